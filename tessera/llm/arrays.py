@@ -12,7 +12,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Texts are worked on in runs of about this many bytes, so that temporary arrays stay small.
-RUN_BYTES = 3 << 20
+RUN_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,40 @@ def partitions_for(n: int, each: int, least: int | None = None, spark: SparkSess
     """How many partitions keep about ``each`` of ``n`` items, and at least the session's shuffle partitions."""
     floor = int(spark.conf.get("spark.sql.shuffle.partitions")) if spark is not None else (least or 1)
     return max(floor, -(-n // each))
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc, packed: the texts in compressed form, for shuffles that carry whole texts."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for b in batches:
+            at = 0
+            while at < b.num_rows:  # few texts at a time
+                part = b.slice(at, 500)
+                blobs = []
+                for x in part.column("text"):
+                    raw = x.as_buffer() or b""
+                    blobs.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(blobs, pa.binary())], ["doc", "packed"])
+                at += 500
+
+    return docs.select(doc_key().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(pack, "doc long, packed binary")
+
+
+def unpacked(packed: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    raw = [codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in packed.to_pylist()]
+    return pa.array(raw, pa.large_binary())
+
+
+def in_runs(batch: pa.RecordBatch, run_bytes: int = 4 << 20, column: str = "packed") -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of packed texts with about ``run_bytes`` of text each."""
+    at, size = 0, 0
+    for i, x in enumerate(batch.column(column)):
+        size += int.from_bytes(bytes(x.as_buffer()[:8]), "little")
+        if size >= run_bytes:
+            yield batch.slice(at, i + 1 - at)
+            at, size = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, sharding, toxicity, warc
+from tessera.llm import decontaminate, recompress, sharding, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_substring_dedup": recompress.op4_substring_dedup,
     "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
     "op6_balanced_shards": sharding.op6_balanced_shards,
     "op8_warc_revisits": warc.op8_warc_revisits,
 }
 
 ORACLE_SQL = {
+    "op4_substring_dedup": recompress.OP4_SQL,
     "op5_benchmark_leaks": decontaminate.OP5_SQL,
     "op8_warc_revisits": warc.OP8_SQL,
 }
