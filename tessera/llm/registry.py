@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, recompress, sharding, toxicity, warc
+from tessera.llm import decontaminate, jaccard, recompress, sharding, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -10,10 +10,12 @@ QUERIES = {
     "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
     "op6_balanced_shards": sharding.op6_balanced_shards,
     "op8_warc_revisits": warc.op8_warc_revisits,
+    "op10_similar_documents": jaccard.op10_similar_documents,
 }
 
 ORACLE_SQL = {
     "op4_substring_dedup": recompress.OP4_SQL,
     "op5_benchmark_leaks": decontaminate.OP5_SQL,
     "op8_warc_revisits": warc.OP8_SQL,
+    "op10_similar_documents": jaccard.OP10_SQL,
 }
