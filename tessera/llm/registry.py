@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, jaccard, recompress, sharding, toxicity, warc
+from tessera.llm import decontaminate, jaccard, neardup_vectors, recompress, sharding, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_near_duplicate_vectors": neardup_vectors.op3_near_duplicate_vectors,
     "op4_substring_dedup": recompress.op4_substring_dedup,
     "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
     "op6_balanced_shards": sharding.op6_balanced_shards,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_near_duplicate_vectors": neardup_vectors.OP3_SQL,
     "op4_substring_dedup": recompress.OP4_SQL,
     "op5_benchmark_leaks": decontaminate.OP5_SQL,
     "op8_warc_revisits": warc.OP8_SQL,
