@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, jaccard, neardup_vectors, recompress, sharding, toxicity, warc
+from tessera.llm import decontaminate, jaccard, neardup_vectors, recompress, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_substring_dedup": recompress.op4_substring_dedup,
     "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
     "op6_balanced_shards": sharding.op6_balanced_shards,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op10_similar_documents": jaccard.op10_similar_documents,
 }
