@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, jaccard, neardup_vectors, recompress, sharding, suffixes, toxicity, warc
+from tessera.llm import decontaminate, jaccard, neardup_vectors, pieces, recompress, sharding, suffixes, toxicity, warc
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_near_duplicate_vectors": neardup_vectors.op3_near_duplicate_vectors,
     "op4_substring_dedup": recompress.op4_substring_dedup,
