@@ -4,22 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, jaccard, pieces, recompress, toxicity
 from tessera.llm.common import table, written
 
 
-def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the smallest id stays."""
+    return jaccard.one_of_each_group(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Word windows that occurred before are cut out; every document stays."""
+    return recompress.dedup_rows(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", leak_stage)]
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as tokens: doc_id, n_tokens, ids_sha256, round_trip."""
+    return pieces.encode_digest(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("substring dedup", substring_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("SentencePiece encoding and decoding", token_stage),
+]
 
-#: SQL cannot express the trained classifier of the first stage.
+#: SQL cannot express the trained classifier of the first stage or the tokenizer of the last.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written as Parquet and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)

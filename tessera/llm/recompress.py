@@ -261,19 +261,24 @@ def repeated_windows(docs: DataFrame, width: int = 20) -> DataFrame:
     return both.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
+def _removed(words: Words, ranges: list, width: int) -> np.ndarray:
+    """For each word whether a window that starts in one of its text's ranges covers it."""
+    gone = np.zeros(len(words.start) + 1, np.int64)
+    for i, found in enumerate(ranges):
+        n = words.first[i + 1] - words.first[i]
+        for r in found or ():
+            if r["lo"] < n:
+                gone[words.first[i] + r["lo"]] += 1
+                gone[words.first[i] + min(r["hi"] + width, n)] -= 1
+    return np.cumsum(gone)[:-1] > 0
+
+
 def _kept(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bytes]]]]:
     """For each slice of packed texts: words, removed words, and the kept words joined by one space."""
     for batch in batches:
         for part in in_runs(batch):
             words = Words(unpacked(part.column("packed")))
-            gone = np.zeros(len(words.start) + 1, np.int64)
-            for i, found in enumerate(part.column("ranges").to_pylist()):
-                n = words.first[i + 1] - words.first[i]
-                for r in found or ():
-                    if r["lo"] < n:
-                        gone[words.first[i] + r["lo"]] += 1
-                        gone[words.first[i] + min(r["hi"] + width, n)] -= 1
-            removed = np.cumsum(gone)[:-1] > 0
+            removed = _removed(words, part.column("ranges").to_pylist(), width)
             rows = []
             for i in range(part.num_rows):
                 a, b = words.first[i], words.first[i + 1]
@@ -302,6 +307,32 @@ def dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     return done.select(id_of("doc").alias("doc_id"), "n_words", "n_removed", "kept_text")
 
 
+def dedup_rows(docs: DataFrame, width: int = 20) -> DataFrame:
+    """All rows and columns of ``docs``; texts that lose words are their kept words joined by one space, and n_chars follows."""
+    rows = docs.select(doc_key().alias("doc"), F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    at = rows.join(repeated_windows(docs, width).hint("shuffle_hash"), "doc", "left")
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs(batch):
+                words = Words(part.column("text"))
+                removed = _removed(words, part.column("ranges").to_pylist(), width)
+                changed = np.diff(np.append(0, np.cumsum(removed))[words.first]) > 0
+                columns = part.column("row").flatten()
+                texts = columns[names.index("text")].to_pylist()
+                for i in np.flatnonzero(changed).tolist():
+                    keep = np.flatnonzero(~removed[words.first[i] : words.first[i + 1]]) + words.first[i]
+                    texts[i] = b" ".join([words.bytes_of(j) for j in keep]).decode()
+                columns[names.index("text")] = pa.array(texts, pa.string())
+                if "n_chars" in names:
+                    n = columns[names.index("n_chars")]
+                    columns[names.index("n_chars")] = pa.array([len(t) if c else x for t, c, x in zip(texts, changed, n.to_pylist(), strict=True)], n.type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return at.select("row", "text", "ranges").mapInArrow(cut, docs.schema)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))

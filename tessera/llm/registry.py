@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, jaccard, neardup_vectors, pieces, recompress, sharding, suffixes, toxicity, warc
+from tessera.llm import decontaminate, jaccard, neardup_vectors, pieces, quality, recompress, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_balanced_shards": sharding.op6_balanced_shards,
     "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_warc_revisits": warc.op8_warc_revisits,
+    "op9_quality": quality.op9_quality,
     "op10_similar_documents": jaccard.op10_similar_documents,
 }
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,6 +201,6 @@ def drop_toxic(docs: DataFrame, model: dict) -> DataFrame:
     def keep(batches):
         raw = scorer(model)
         for b in batches:
-            yield b[raw(b["text"]) < 0]
+            yield b.filter(pa.array(raw(b.column("text").to_pylist()) < 0))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
