@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, doc_key, id_of, shared_dir, table
 
-#: A record ends with this; Spark's text sink writes it after each value, so its files are plain WARC archives.
+#: A record ends with this; Spark's text sink writes it after each value, so its files are WARC archives.
 END = "\r\n\r\n"
 #: Fixed values of the WARC 1.1 format.
 VERSION, IDENTICAL = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,8 +45,8 @@ def record(kind: Column, page: Column, url: Column, payload: Column, digest: Col
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Write a DataFrame of one string column (a record each) as uncompressed archives."""
-    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Write a DataFrame of one string column (a record each) as archives, each one gzip stream."""
+    records.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -71,7 +72,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for raw in b["content"]:
                 rows = []
-                for head, block in parse(raw):
+                for head, block in parse(gzip.decompress(raw)):
                     revisit = head["warc-type"] == "revisit"
                     digest = head["warc-payload-digest"][5:] if revisit else base64.b32encode(hashlib.sha1(block).digest()).decode()
                     if not revisit and head.get("warc-payload-digest", "sha1:" + digest) != "sha1:" + digest:
