@@ -72,7 +72,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h2 = np.array([mix(s + U64(0x89ABCDEF0123)).sum(dtype=U64) for s in sets], U64)
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n), pa.array(signed(h1)), pa.array(signed(h2)), pa.array([sketch(s) for s in sets], pa.binary())], names)
             held += sets
-            if sum(map(len, held)) > 4 * HELD:
+            if sum(map(len, held)) > HELD:
                 yield from common()
     if held:
         yield from common()
@@ -186,10 +186,10 @@ def _verified(pairs: DataFrame, info: DataFrame, packed: DataFrame) -> DataFrame
     two = info.select(*[F.col(c).alias(f"{c}_b") for c in ("n", "sketch")], F.col("doc").alias("b"))
     near = written(pairs.join(one, "a").join(two, "b").mapInArrow(_near, "a long, b long"), "near-pairs")
     wanted = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct()
-    sets = written(packed.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_sets, "doc long, set binary"), "shingle-sets")
+    sets = written(packed.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_sets, "doc long, set binary"), "shingle-sets", 500)
     first = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a"))
     second = sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b"))
-    return written(near.join(first, "a").join(second, "b").mapInArrow(_similar, "a long, b long"), "similar-pairs")
+    return written(near.join(first, "a").join(second, "b").mapInArrow(_similar, "a long, b long"), "similar-pairs", 250)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
