@@ -217,7 +217,7 @@ def confidence_filter(spark, d):
     return bx.with_class_name(kept, fx.classes(spark)).select("image_id", "pred_idx", "class_name", "confidence")
 
 
-@query(f"""WITH {BASE} SELECT image_id, pred_idx::BIGINT AS pred_idx, round((x2 - x1) * (y2 - y1) / 480000, 4) AS area_ratio, round((x2 - x1) / 800, 4) AS width_ratio, round((y2 - y1) / 600, 4) AS height_ratio, x1 <= 1 OR y1 <= 1 OR x2 >= 799 OR y2 >= 599 AS touches_border,
+@query(f"""WITH {BASE} SELECT image_id, pred_idx::BIGINT AS pred_idx, floor((x2 - x1) * (y2 - y1) / 48 + 0.5) / 10000 AS area_ratio, floor((x2 - x1) * 12.5 + 0.5) / 10000 AS width_ratio, floor((y2 - y1) * 100 / 6 + 0.5) / 10000 AS height_ratio, x1 <= 1 OR y1 <= 1 OR x2 >= 799 OR y2 >= 599 AS touches_border,
   concat(image_id::VARCHAR, '|', printf('%.4f,%.4f,%.4f,%.4f', x1, y1, x2, y2)) AS object_key FROM pred""")
 def box_diagnostics(spark, d):
     df = bx.box_diagnostics(fx.pred(spark, d).withColumn("width", F.lit(800)).withColumn("height", F.lit(600)))
