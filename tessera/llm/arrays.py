@@ -5,6 +5,7 @@ All hashes are functions of content alone, so executors agree on them without ta
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,14 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that is used again does not hold its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads the bits (the finaliser of splitmix64)."""
     x = x ^ (x >> U64(30))

@@ -14,16 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import BYTE, U64, mix, prefix_hash, runs, signed, span_hash, texts_of
+from tessera.llm.arrays import BYTE, U64, mix, prefix_hash, release, runs, signed, span_hash, texts_of
 from tessera.llm.common import doc_key, id_of, in_runs, packed_texts, table, unpacked, written
 from tessera.llm.recompress import _gathered, _ranges, _rows
 
 GRAM = 32
 #: Low bits of a rank hold the place, so that equal hashes go to the leftmost.
 PLACE = U64((1 << 28) - 1)
-HELD = 1_000_000
+HELD = 400_000
 #: Suffixes that a task sorts into one run.
-RUN = 100_000
+RUN = 60_000
 KNOWN, OPEN = 1, 0
 
 
@@ -75,6 +75,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         f = first & shared
         if f.any():
             yield _rows(names, key[f], doc[f], np.full(f.sum(), 1), np.zeros(f.sum(), np.int64), at[f], lead[f], np.full(f.sum(), OPEN, np.int8))
+        release()
 
     for batch in batches:
         for part in runs(batch):
@@ -219,6 +220,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], width: int, cuts: np.ndarray
             d, lo, hi = _ranges(*np.array(covered, np.int64).T)
             rows.append((-1 - int(d[0]) % 64, b"", b"", np.stack([d, lo, hi]).tobytes(), b""))
         names = ["bucket", "lcp", "tails", "meta", "before"]
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names)
 
     for batch in batches:
@@ -260,24 +262,29 @@ def _merge(table_of_runs: pa.Table, width: int) -> pa.Table:
         has = left > d
         before[has, d] = raw[starts[has] + left[has] - 1 - d]
     near = np.maximum(lcp, np.append(lcp[1:], 0)) >= GRAM
-    found_row, found_start = [], []
+    # For each anchor the distance at which its present row of repeated windows began; a row that ends is a range.
+    began = np.full(len(run), -1, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     hashed = np.zeros(len(run), U64)
     for d in range(width - GRAM + 1):
         if d:
             hashed = hashed * U64(0x100000001B3) + BYTE[before[:, d - 1]]
         rows_at = np.flatnonzero(near & (left >= d) & (back <= d))
-        if len(rows_at) < 2:
-            continue
-        block = np.cumsum(lcp < width - d)[rows_at]
-        key = mix(hashed[rows_at] ^ (block.astype(U64) * U64(0x9E3779B97F4A7C15)))
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        hit = rows_at[order[np.append(same, False) | np.append(False, same)]]
-        found_row.append(hit)
-        found_start.append(at[hit] - d)
-    hit = np.concatenate(found_row) if found_row else np.zeros(0, np.int64)
-    start = np.concatenate(found_start) if found_start else np.zeros(0, np.int64)
-    return pa.Table.from_batches([_rows(names, *_ranges(doc[hit], start, start))])
+        hit = np.zeros(len(run), bool)
+        if len(rows_at) > 1:
+            block = np.cumsum(lcp < width - d)[rows_at]
+            key = mix(hashed[rows_at] ^ (block.astype(U64) * U64(0x9E3779B97F4A7C15)))
+            order = np.argsort(key)
+            same = key[order][1:] == key[order][:-1]
+            hit[rows_at[order[np.append(same, False) | np.append(False, same)]]] = True
+        ended = np.flatnonzero((began >= 0) & ~hit)
+        found.append((doc[ended], at[ended] - d + 1, at[ended] - began[ended]))
+        began[ended] = -1
+        began[hit & (began < 0)] = d
+    ended = np.flatnonzero(began >= 0)
+    found.append((doc[ended], at[ended] - (width - GRAM), at[ended] - began[ended]))
+    release()
+    return pa.Table.from_batches([_rows(names, *_ranges(*(np.concatenate(x) for x in zip(*found, strict=True))))])
 
 
 def repeated_strings(docs: DataFrame, width: int = 200) -> DataFrame:
@@ -333,3 +340,19 @@ def dedup_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_bytes(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows as slices of bytes, counted by their hash; touching windows make one span.
+OP7_SQL = r"""
+WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(1, n - 198)) AS i, unnest(list_transform(range(1, n - 198), lambda i: md5(b[i:i + 199]))) AS m FROM n WHERE n >= 200),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+g AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM r),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM g),
+sp AS (SELECT doc_id, s, min(i) AS a, max(i) + 200 AS e FROM k GROUP BY doc_id, s),
+p AS (SELECT doc_id, lag(e, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS f, a AS t FROM sp UNION ALL SELECT doc_id, max(e), NULL FROM sp GROUP BY doc_id),
+kept AS (SELECT p.doc_id, string_agg(CASE WHEN f < coalesce(t, n + 1) THEN hex(b[f:coalesce(t, n + 1) - 1]) ELSE '' END, '' ORDER BY f) AS x FROM p JOIN n USING (doc_id) GROUP BY p.doc_id),
+c AS (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans FROM sp GROUP BY doc_id)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN x IS NULL THEN b ELSE unhex(x) END) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
