@@ -21,6 +21,8 @@ ORACLE_SQL = {
     "op3_near_duplicate_vectors": neardup_vectors.OP3_SQL,
     "op4_substring_dedup": recompress.OP4_SQL,
     "op5_benchmark_leaks": decontaminate.OP5_SQL,
+    "op6_balanced_shards": sharding.OP6_SQL,
+    "op7_suffix_dedup": suffixes.OP7_SQL,
     "op8_warc_revisits": warc.OP8_SQL,
     "op10_similar_documents": jaccard.OP10_SQL,
 }

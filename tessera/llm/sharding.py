@@ -60,3 +60,14 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
 
 def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 by its table of 256 steps; a prefix sum gives each row's middle byte.
+OP6_SQL = r"""
+WITH c AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+x AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, b: xor(tab[1 + (xor(s, b) & 255)], s // 256)), 4294967295)::BIGINT AS text_crc32 FROM d, c),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) AS e, sum(size) OVER () AS total FROM x),
+m AS (SELECT *, least(23, floor((e - size / 2.0::DOUBLE) * 24 / total))::INTEGER AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM m
+"""
