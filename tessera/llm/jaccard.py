@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import U64, Words, mix, run_hashes, runs, signed
+from tessera.llm.arrays import U64, Words, mix, release, run_hashes, runs, signed
 from tessera.llm.common import doc_key, id_of, in_runs, packed_texts, table, unpacked, written
 from tessera.llm.components import components
 
@@ -19,8 +19,12 @@ NUM, DEN = 3, 4
 #: Sets below this size use their elements as signatures; size bands above it double.
 SMALL = 16
 #: A shingle that more than 1 in this many documents hold is common (and at least LEAST_COMMON documents).
-COMMON, LEAST_COMMON = 2048, 24
+COMMON, LEAST_COMMON = 16384, 12
+#: Sketches compared at once.
+TILE = 256
 HELD = 1_000_000
+#: Stands for no pivot.
+NO_PIVOT = 2**63 - 1
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -36,7 +40,7 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of the hashed elements, in about two bits for each; sets differ in at least as many elements as sketches in bits."""
+    """Parities of the hashed elements, in two to four bits for each; sets differ in at least as many elements as sketches in bits."""
     bits = max(64, 1 << (2 * len(s)).bit_length())
     odd = np.bincount((mix(s) % U64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -60,6 +64,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, count = np.unique(np.concatenate(held), return_counts=True)
         many = count >= max(2, len(held) // (2 * COMMON))
         held.clear()
+        release()
         n = int(many.sum())
         if n:
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(count[many].astype(np.int64)), pa.array(signed(every[many])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
@@ -72,13 +77,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h2 = np.array([mix(s + U64(0x89ABCDEF0123)).sum(dtype=U64) for s in sets], U64)
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n), pa.array(signed(h1)), pa.array(signed(h2)), pa.array([sketch(s) for s in sets], pa.binary())], names)
             held += sets
-            if sum(map(len, held)) > HELD:
+            if sum(map(len, held)) > 2 * HELD:
                 yield from common()
     if held:
         yield from common()
 
 
-def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, common: np.ndarray, df: np.ndarray | None = None) -> np.ndarray:
     """The PartEnum signatures of a set.
 
     Let n be its size and k = floor(n / 3): a set with Jaccard similarity of 3/4 or more differs from it in at most k
@@ -87,15 +92,19 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     the projection of the set on such a subset.  Of the non-empty projections at most k can be missing from a similar
     set, so if there are more than k, the k + 1 smallest of both sets share one.  A set takes part in its own band
     and in the next if its size is within 3/4 of it.  Where common shingles leave too few projections, and for small
-    sets, the k + 1 smallest elements are signatures as well; of two sets at least one has enough projections, or both
-    have these.
+    sets, the k + 1 first elements are signatures as well, in the order of rarity (``df`` of the common ones) and then
+    of hash; of two sets at least one has enough projections, or both have these.
     """
     n = len(s)
     k = n // 3
     out = []
     elements = n * NUM < SMALL * DEN
+    weight = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        weight = np.where(common[at] == s, df[at] if df is not None else 1, 0)
     if n >= SMALL:
-        rare = s[~np.isin(s, common, assume_unique=True)] if len(common) else s
+        rare = s[weight == 0]
         band = (n // SMALL).bit_length() - 1
         upper = SMALL << (band + 1)
         for j in (band, band + 1) if n * DEN >= upper * NUM else (band,):
@@ -110,11 +119,12 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
             elements |= len(found) <= k
             out.append(found[: k + 1])
     if elements:
-        out.append(np.sort(mix(s ^ U64(0x27D4EB2F165667C5)))[: k + 1])
+        h = mix(s ^ U64(0x27D4EB2F165667C5))
+        out.append(h[np.lexsort((h, weight))[: k + 1]])
     return np.concatenate(out) if out else s[:0]
 
 
-def _signed_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _signed_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
     """signature, doc; of texts of one set that the task meets in a row of batches only the first has signatures (they are linked already)."""
     seen: set[bytes] = set()
     for batch in batches:
@@ -125,7 +135,7 @@ def _signed_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Itera
                 key = len(s).to_bytes(8, "little") + mix(s).sum(dtype=U64).tobytes() + mix(s ^ U64(77)).sum(dtype=U64).tobytes()
                 if key not in seen and len(s):
                     seen.add(key)
-                    found.append((signatures(s, common), doc))
+                    found.append((signatures(s, common, df), doc))
             if len(seen) > HELD:
                 seen.clear()
             if found:
@@ -151,6 +161,81 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sig, doc, pivot)], ["sig", "doc", "pivot"])
 
 
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sig, doc, component of signatures whose documents lie in several components, without the pivots, which all were compared with."""
+    kept = [[b.column(c).fill_null(NO_PIVOT).to_numpy() for c in ("sig", "doc", "pivot", "component")] for b in batches if b.num_rows]
+    if not kept:
+        return
+    sig, doc, pivot, comp = (np.concatenate(x) for x in zip(*kept, strict=True))
+    rest = doc != pivot
+    sig, doc, comp = sig[rest], doc[rest], comp[rest]
+    order = np.lexsort((comp, sig))
+    sig, doc, comp = sig[order], doc[order], comp[order]
+    if not len(sig):
+        return
+    first = np.append(True, sig[1:] != sig[:-1])
+    group = np.cumsum(first) - 1
+    kinds = np.bincount(group, first | np.append(True, comp[1:] != comp[:-1]))
+    several = kinds[group] > 1
+    yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sig, doc, comp)], ["sig", "doc", "component"])
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each signature's documents those of other components with the hub, the document that shares most signatures.
+
+    In a group of copies that is one with few changes, so most others are similar to it.
+    """
+    kept = [[b.column(c).to_numpy() for c in ("sig", "doc", "component", "degree")] for b in batches if b.num_rows]
+    if not kept:
+        return
+    sig, doc, comp, degree = (np.concatenate(x) for x in zip(*kept, strict=True))
+    order = np.lexsort((doc, -degree, sig))
+    sig, doc, comp = sig[order], doc[order], comp[order]
+    first = np.append(True, sig[1:] != sig[:-1])
+    hub = np.flatnonzero(first)[np.cumsum(first) - 1]
+    other = comp != comp[hub]
+    pairs = np.unique(np.stack([doc[other], doc[hub][other]], axis=1), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    release()
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one signature's documents in different components whose sizes and sketches allow a similarity of 3/4.
+
+    Pairs are compared in tiles and only those that pass leave the task.
+    """
+    kept = [b for b in batches if b.num_rows]
+    if not kept:
+        return
+    t = pa.Table.from_batches(kept).combine_chunks()
+    sig, doc, comp, n = (t.column(c).to_numpy() for c in ("sig", "doc", "component", "n"))
+    sketches = t.column("sketch").combine_chunks()
+    order = np.argsort(sig, kind="stable")
+    edges = np.append(np.flatnonzero(np.append(True, sig[order][1:] != sig[order][:-1])), len(sig))
+    found: set[tuple[int, int]] = set()
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        at = order[a:b]
+        raw = [np.frombuffer(sketches[i].as_buffer(), np.uint8) for i in at.tolist()]
+        size = min(map(len, raw))
+        folded = np.zeros((len(at), size), np.uint8)
+        for i, x in enumerate(raw):
+            folded[i] = np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+        folded = folded.view(np.uint64)
+        for x in range(0, len(at), TILE):
+            for y in range(x, len(at), TILE):
+                p, q = at[x : x + TILE], at[y : y + TILE]
+                may = (comp[p][:, None] != comp[q][None, :]) & (doc[p][:, None] < doc[q][None, :]) if x == y else comp[p][:, None] != comp[q][None, :]
+                may &= np.minimum(n[p][:, None], n[q][None, :]) * DEN >= np.maximum(n[p][:, None], n[q][None, :]) * NUM
+                i, j = np.nonzero(may)
+                if len(i):
+                    apart = np.bitwise_count(folded[x + i] ^ folded[y + j]).sum(axis=1, dtype=np.int64)
+                    near = 7 * apart <= n[p[i]] + n[q[j]]
+                    d, e = doc[p[i[near]]], doc[q[j[near]]]
+                    found.update(zip(np.minimum(d, e).tolist(), np.maximum(d, e).tolist(), strict=True))
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sizes and sketches allow a similarity of 3/4."""
     for b in batches:
@@ -180,11 +265,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "set"])
 
 
-def _verified(pairs: DataFrame, info: DataFrame, packed: DataFrame) -> DataFrame:
-    """The pairs (a, b) of truly similar documents: first by sketches, then by whole sets."""
-    one = info.select(*[F.col(c).alias(f"{c}_a") for c in ("n", "sketch")], F.col("doc").alias("a"))
-    two = info.select(*[F.col(c).alias(f"{c}_b") for c in ("n", "sketch")], F.col("doc").alias("b"))
-    near = written(pairs.join(one, "a").join(two, "b").mapInArrow(_near, "a long, b long"), "near-pairs")
+def _near_pairs(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sizes and then their sketches do not rule out."""
+    a, b = [info.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    sized = pairs.join(a.drop("sketch_a"), "a").join(b.drop("sketch_b"), "b").where(F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM)
+    sized = sized.join(a.drop("n_a"), "a").join(b.drop("n_b"), "b")
+    return written(sized.mapInArrow(_near, "a long, b long"), "near-pairs")
+
+
+def _verified(near: DataFrame, packed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of truly similar documents, by their whole sets."""
+    if near.isEmpty():
+        return near
     wanted = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct()
     sets = written(packed.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_sets, "doc long, set binary"), "shingle-sets", 500)
     first = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a"))
@@ -192,6 +284,16 @@ def _verified(pairs: DataFrame, info: DataFrame, packed: DataFrame) -> DataFrame
     return written(near.join(first, "a").join(second, "b").mapInArrow(_similar, "a long, b long"), "similar-pairs", 250)
 
 
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only these, between the components so far, are contracted."""
+    at = lambda c: F.coalesce(F.col(f"c_{c}"), F.col(c)).alias(c)
+    known = links.join(groups.select(F.col("id").alias("a"), F.col("component").alias("c_a")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b", "left")
+    up = written(components(known.select(at("a"), at("b"))), "joined").select(F.col("id").alias("component"), F.col("component").alias("top"))
+    alone = up.join(groups.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("top").alias("component"))
+    moved = groups.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return written(moved.unionByName(alone), "groups")
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc, n (size of the shingle set), component (smallest doc that links of 3/4 similarity reach, itself included).
 
@@ -206,11 +308,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     n_docs = info.count()
     least = max(LEAST_COMMON, n_docs // COMMON)
     # At most COMMON times the mean set size rows: a shingle is here only if it is in 1 of COMMON documents.
-    common = described.where("doc is null").groupBy("h1").agg(F.sum("n").alias("df")).where(F.col("df") >= least).select("h1")
-    rows = common.toArrow().column("h1").to_numpy()
-    hot = docs.sparkSession.sparkContext.broadcast(np.sort(rows.astype(np.int64).view(U64)))
+    common = described.where("doc is null").groupBy("h1").agg(F.sum("n").alias("df")).where(F.col("df") >= least)
+    rows = common.toArrow()
+    shingle, df = rows.column("h1").to_numpy().astype(np.int64).view(U64), rows.column("df").to_numpy()
+    by = np.argsort(shingle)
+    hot = docs.sparkSession.sparkContext.broadcast((shingle[by], df[by]))
 
-    signed_rows = texts.mapInArrow(lambda it: _signed_rows(it, hot.value), "sig long, doc long")
+    signed_rows = texts.mapInArrow(lambda it: _signed_rows(it, *hot.value), "sig long, doc long")
     met = written(signed_rows.repartition("sig").mapInArrow(_meet, "sig long, doc long, pivot long"), "shared-signatures")
     packed = packed_texts(docs)
     # Equal sets need no comparison.
@@ -218,18 +322,25 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     same = info.join(equal.where("copies > 1").select("h1", "h2", "n", "b"), ["h1", "h2", "n"]).where("doc <> b").select(F.col("doc").alias("a"), "b")
     same = written(same, "equal-sets")
     star = met.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = _verified(star, info, packed).unionByName(same)
+    links = _verified(_near_pairs(star, info), packed).unionByName(same)
     groups = written(components(links), "groups")
 
-    # Signatures whose documents still lie in several components.
-    placed = met.join(groups.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2")
-    open_rows = written(placed.join(split.select("sig"), "sig").where("doc <> pivot"), "open-signatures")
-    x, y = open_rows.select("sig", F.col("doc").alias("a"), F.col("component").alias("c")), open_rows.select("sig", F.col("doc").alias("b"), F.col("component").alias("d"))
-    rest = x.join(y, "sig").where("c < d").select("a", "b").distinct()
-    more = _verified(rest, info, packed)
+    def still_open(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        placed = rows.join(groups.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        return written(placed.repartition("sig").mapInArrow(_open, "sig long, doc long, component long"), "open-signatures")
+
+    # Signatures whose documents still lie in several components: first their hubs, then all pairs across these.
+    open_rows = still_open(met, groups)
+    degree = open_rows.groupBy("doc").agg(F.count("*").alias("degree"))
+    hubs = open_rows.join(degree, "doc").repartition("sig").mapInArrow(_hubs, "a long, b long")
+    by_hub = _verified(_near_pairs(hubs.distinct(), info), packed)
+    if not by_hub.isEmpty():
+        groups = _joined(groups, by_hub)
+        open_rows = still_open(open_rows.select("sig", "doc", F.lit(None).cast("long").alias("pivot")), groups)
+    across = open_rows.join(info.select("doc", "n", "sketch"), "doc").repartition("sig").mapInArrow(_across, "a long, b long")
+    more = _verified(written(across.distinct(), "near-pairs"), packed)
     if not more.isEmpty():
-        groups = written(components(links.unionByName(more)), "groups")
+        groups = _joined(groups, more)
     found = info.select("doc", "n").join(groups.withColumnRenamed("id", "doc"), "doc", "left")
     return found.select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
