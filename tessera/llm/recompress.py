@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import U64, Words, merged, mix, prefix_hash, runs, signed, span_hash
+from tessera.llm.arrays import U64, Words, merged, mix, prefix_hash, release, runs, signed, span_hash
 from tessera.llm.common import doc_key, id_of, in_runs, packed_texts, table, unpacked, written
 
 FAR = 1 << 40
@@ -109,7 +109,7 @@ def window_anchors(names: np.ndarray, first: np.ndarray, doc: np.ndarray, width:
 
 
 #: A task hands on its anchors, those with equal surroundings merged, whenever it holds this many.
-HELD = 1_000_000
+HELD = 400_000
 COVERED, OPEN = 1, 0
 
 
@@ -148,6 +148,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
         d, a, b = _ranges(doc[gone], lo[gone], hi[gone])
         if len(d):
             yield _rows(names, mix(d.view(U64) + a.astype(U64)), np.zeros(len(d), U64), d, a, b, np.full(len(d), COVERED, np.int8))
+        release()
 
     for batch in batches:
         for part in runs(batch):
@@ -196,6 +197,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(["doc", "lo", "hi", "kind"], d, a, b, np.full(len(d), COVERED, np.int8))
     d, a, b = _ranges(*(x[first & several] for x in (doc, lo, hi)))
     yield _rows(["doc", "lo", "hi", "kind"], d, a, b, np.full(len(d), OPEN, np.int8))
+    release()
 
 
 def _open_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -213,6 +215,7 @@ def _open_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         gone = order[~first]
         if len(gone):
             yield _rows(names, mix(doc[gone].view(U64)), doc[gone], start[gone], np.full(len(gone), COVERED, np.int8))
+        release()
 
     for batch in batches:
         for part in in_runs(batch):
@@ -245,6 +248,7 @@ def _settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     d, s = np.concatenate([doc[done], d[later]]), np.concatenate([start[done], s[later]])
     d, a, b = _ranges(d, s, s)
     yield _rows(["doc", "lo", "hi"], d, a, b)
+    release()
 
 
 def repeated_windows(docs: DataFrame, width: int = 20) -> DataFrame:
