@@ -52,6 +52,11 @@ def doc_key(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 
 
+def text_key() -> Column:
+    """Tells rows of one doc_id with unlike texts apart; rows of one doc_id and one text are equal to all that looks at texts alone."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def id_of(key: str) -> Column:
     return F.when(F.col(key) != NULL_ID, F.col(key))
 
@@ -62,8 +67,10 @@ def partitions_for(n: int, each: int, least: int | None = None, spark: SparkSess
     return max(floor, -(-n // each))
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc, packed: the texts in compressed form, for shuffles that carry whole texts."""
+def packed_texts(docs: DataFrame, **keys: Column) -> DataFrame:
+    """doc (or the given keys), packed: the texts in compressed form, for shuffles that carry whole texts."""
+    keys = keys or {"doc": doc_key()}
+    names = list(keys)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
@@ -75,10 +82,11 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 for x in part.column("text"):
                     raw = x.as_buffer() or b""
                     blobs.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(blobs, pa.binary())], ["doc", "packed"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), pa.array(blobs, pa.binary())], [*names, "packed"])
                 at += 500
 
-    return docs.select(doc_key().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(pack, "doc long, packed binary")
+    schema = ", ".join(f"{k} long" for k in names) + ", packed binary"
+    return docs.select(*(c.alias(k) for k, c in keys.items()), F.col("text").cast("string").alias("text")).mapInArrow(pack, schema)
 
 
 def unpacked(packed: pa.Array) -> pa.Array:

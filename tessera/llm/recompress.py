@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import U64, Words, merged, mix, prefix_hash, release, runs, signed, span_hash
-from tessera.llm.common import doc_key, id_of, in_runs, packed_texts, table, unpacked, written
+from tessera.llm.common import doc_key, id_of, in_runs, packed_texts, table, text_key, unpacked, written
 
 FAR = 1 << 40
 ROUNDS = 2
@@ -113,46 +113,68 @@ HELD = 400_000
 COVERED, OPEN = 1, 0
 
 
-def _ranges(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges [lo, hi] of window starts, merged within each document."""
-    if not len(doc):
-        return doc, lo, hi
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    group = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1
+def _ranges(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges [lo, hi] of window starts, the last two columns, merged within the columns before these (doc, or doc and row)."""
+    *keys, lo, hi = columns
+    if not len(lo):
+        return columns
+    order = np.lexsort((lo, *keys[::-1]))
+    *keys, lo, hi = (x[order] for x in columns)
+    new = np.zeros(len(lo), bool)
+    new[0] = True
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
     shift = group * FAR  # keeps documents apart
     a, b = merged(lo + shift, hi + 1 + shift)
     g = a // FAR
-    return doc[first][g], a - g * FAR, b - g * FAR - 1
+    return *(x[first][g] for x in keys), a - g * FAR, b - g * FAR - 1
+
+
+def _by_place(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order by keys (last one first) and place; in that order: new keys, which to keep, and which come later.
+
+    A place is a doc and a start: equal places of unlike rows do not come before each other, so all at the first place
+    are kept, one for each row.
+    """
+    order = np.lexsort((row, lo, doc, *keys))
+    doc, row, lo, *keys = (x[order] for x in (doc, row, lo, *keys))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (doc != doc[at]) | (lo != lo[at])
+    again = np.zeros(len(order), bool)
+    again[1:] = ~new[1:] & (row[1:] == row[:-1])
+    return order, new, ~later & ~again, later
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of all windows: key, surroundings, doc, lo, hi (window starts), kind.
+    """Anchors of all windows: key, surroundings, doc, row, lo, hi (window starts), kind.
 
-    Of anchors with equal surroundings only the first that the task holds stays open; the others' windows all occur
-    earlier and are covered.  So a passage that a third of all documents repeat leaves a row for each task.
+    Of anchors with equal surroundings only those at the first place that the task holds stay open; the others' windows
+    all occur earlier and are covered.  So a passage that a third of all documents repeat leaves a row for each task.
     """
-    names = ["key", "around", "doc", "lo", "hi", "kind"]
+    names = ["key", "around", "doc", "row", "lo", "hi", "kind"]
     held: list[tuple[np.ndarray, ...]] = []
 
     def out() -> Iterator[pa.RecordBatch]:
-        key, around, doc, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, around, doc, row, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((lo, doc, around, key))
-        k, a = key[order], around[order]
-        first = np.append(True, (k[1:] != k[:-1]) | (a[1:] != a[:-1]))[: len(k)]
-        stay = np.sort(order[first])
-        yield _rows(names, key[stay], around[stay], doc[stay], lo[stay], hi[stay], np.full(len(stay), OPEN, np.int8))
-        gone = order[~first]
-        d, a, b = _ranges(doc[gone], lo[gone], hi[gone])
+        order, _, keep, later = _by_place(doc, row, lo, around, key)
+        stay = np.sort(order[keep])
+        yield _rows(names, key[stay], around[stay], doc[stay], row[stay], lo[stay], hi[stay], np.full(len(stay), OPEN, np.int8))
+        gone = order[later]
+        d, r, a, b = _ranges(doc[gone], row[gone], lo[gone], hi[gone])
         if len(d):
-            yield _rows(names, mix(d.view(U64) + a.astype(U64)), np.zeros(len(d), U64), d, a, b, np.full(len(d), COVERED, np.int8))
+            yield _rows(names, mix(d.view(U64) + r.view(U64) + a.astype(U64)), np.zeros(len(d), U64), d, r, a, b, np.full(len(d), COVERED, np.int8))
         release()
 
     for batch in batches:
         for part in runs(batch):
-            ids = part.column("doc").to_numpy(zero_copy_only=False)
+            ids, rows = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "row"))
             words = Words(part.column("text"))
             hashes = words.hashes()
             start, key, at = window_anchors(hashes, words.first, words.doc, width)
@@ -164,7 +186,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
             prefix = prefix_hash(hashes)
             around = mix(span_hash(prefix, a, b + width) + U64(0x9E3779B97F4A7C15) * (at[new] - a).astype(U64) + U64(31) * (b - a).astype(U64))
             d = words.doc[a]
-            held.append((key[new], around, ids[d].astype(np.int64), a - words.first[d], b - words.first[d]))
+            held.append((key[new], around, ids[d], rows[d], a - words.first[d], b - words.first[d]))
             if sum(len(x[0]) for x in held) > HELD:
                 yield from out()
     if held:
@@ -182,39 +204,38 @@ def _gathered(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of one key: all but the first of those with equal surroundings are covered; if surroundings differ, the firsts stay open."""
-    key, around, doc, lo, hi, kind = _gathered(batches, "key", "around", "doc", "lo", "hi", "kind")
+    """Anchors of one key: those with equal surroundings are covered but at their first place; if surroundings differ, the firsts stay open."""
+    key, around, doc, row, lo, hi, kind = _gathered(batches, "key", "around", "doc", "row", "lo", "hi", "kind")
+    names = ["doc", "row", "lo", "hi", "kind"]
     done = kind == COVERED
-    passed = [doc[done], lo[done], hi[done]]
-    key, around, doc, lo, hi = (x[~done] for x in (key, around, doc, lo, hi))
-    order = np.lexsort((lo, doc, around, key))
-    key, around, doc, lo, hi = (x[order] for x in (key, around, doc, lo, hi))
+    passed = [doc[done], row[done], lo[done], hi[done]]
+    key, around, doc, row, lo, hi = (x[~done] for x in (key, around, doc, row, lo, hi))
+    order, first, keep, later = _by_place(doc, row, lo, around, key)
+    key, doc, row, lo, hi = (x[order] for x in (key, doc, row, lo, hi))
     new_key = np.append(True, key[1:] != key[:-1])[: len(key)]
-    first = (new_key | np.append(True, around[1:] != around[:-1])[: len(key)])
     kinds = np.bincount(np.cumsum(new_key) - 1, first, minlength=1) if len(key) else np.zeros(1)
     several = (kinds > 1)[np.cumsum(new_key) - 1] if len(key) else np.zeros(0, bool)
-    d, a, b = _ranges(*(np.concatenate([p, x[~first]]) for p, x in zip(passed, (doc, lo, hi), strict=True)))
-    yield _rows(["doc", "lo", "hi", "kind"], d, a, b, np.full(len(d), COVERED, np.int8))
-    d, a, b = _ranges(*(x[first & several] for x in (doc, lo, hi)))
-    yield _rows(["doc", "lo", "hi", "kind"], d, a, b, np.full(len(d), OPEN, np.int8))
+    d, r, a, b = _ranges(*(np.concatenate([p, x[later]]) for p, x in zip(passed, (doc, row, lo, hi), strict=True)))
+    yield _rows(names, d, r, a, b, np.full(len(d), COVERED, np.int8))
+    d, r, a, b = _ranges(*(x[keep & several] for x in (doc, row, lo, hi)))
+    yield _rows(names, d, r, a, b, np.full(len(d), OPEN, np.int8))
     release()
 
 
 def _open_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """key (hash of the window's words), doc, start of each window in the open ranges; only the first of equal ones that the task holds stays open."""
-    names = ["key", "doc", "start", "kind"]
+    """key (hash of the window's words), doc, row, start of each window in the open ranges; of equal ones only those at the first place that the task holds stay open."""
+    names = ["key", "doc", "row", "start", "kind"]
     held: list[tuple[np.ndarray, ...]] = []
 
     def out() -> Iterator[pa.RecordBatch]:
-        key, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((start, doc, key))
-        first = np.append(True, key[order][1:] != key[order][:-1])
-        stay = np.sort(order[first])
-        yield _rows(names, key[stay], doc[stay], start[stay], np.full(len(stay), OPEN, np.int8))
-        gone = order[~first]
+        order, _, keep, later = _by_place(doc, row, start, key)
+        stay = np.sort(order[keep])
+        yield _rows(names, key[stay], doc[stay], row[stay], start[stay], np.full(len(stay), OPEN, np.int8))
+        gone = order[later]
         if len(gone):
-            yield _rows(names, mix(doc[gone].view(U64)), doc[gone], start[gone], np.full(len(gone), COVERED, np.int8))
+            yield _rows(names, mix(doc[gone].view(U64) + row[gone].view(U64)), doc[gone], row[gone], start[gone], np.full(len(gone), COVERED, np.int8))
         release()
 
     for batch in batches:
@@ -222,7 +243,7 @@ def _open_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             words = Words(unpacked(part.column("packed")))
             hashes = words.hashes()
             prefix = prefix_hash(hashes)
-            ids = part.column("doc").to_numpy(zero_copy_only=False)
+            ids, rows = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "row"))
             where = []
             for i, found in enumerate(part.column("open").to_pylist()):
                 for r in found:
@@ -232,7 +253,7 @@ def _open_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             d = words.doc[start]
             start = start[start + width <= words.first[d + 1]]
             d = words.doc[start]
-            held.append((mix(span_hash(prefix, start, start + width)), ids[d].astype(np.int64), start - words.first[d]))
+            held.append((mix(span_hash(prefix, start, start + width)), ids[d], rows[d], start - words.first[d]))
             if sum(len(x[0]) for x in held) > HELD:
                 yield from out()
     if held:
@@ -240,29 +261,28 @@ def _open_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
 
 
 def _settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, doc, start, kind = _gathered(batches, "key", "doc", "start", "kind")
+    key, doc, row, start, kind = _gathered(batches, "key", "doc", "row", "start", "kind")
     done = kind == COVERED
-    order = np.lexsort((start[~done], doc[~done], key[~done]))
-    k, d, s = (x[~done][order] for x in (key, doc, start))
-    later = ~np.append(True, k[1:] != k[:-1])[: len(k)]
-    d, s = np.concatenate([doc[done], d[later]]), np.concatenate([start[done], s[later]])
-    d, a, b = _ranges(d, s, s)
-    yield _rows(["doc", "lo", "hi"], d, a, b)
+    k, d, r, s = (x[~done] for x in (key, doc, row, start))
+    order, _, _, later = _by_place(d, r, s, k)
+    gone = order[later]
+    d, r, s = (np.concatenate([x[done], y[gone]]) for x, y in ((doc, d), (row, r), (start, s)))
+    yield _rows(["doc", "row", "lo", "hi"], *_ranges(d, r, s, s))
     release()
 
 
 def repeated_windows(docs: DataFrame, width: int = 20) -> DataFrame:
-    """doc, ranges (lo, hi): the starts of all windows of ``width`` words whose words also start earlier."""
-    texts = docs.select(doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    anchors = texts.mapInArrow(lambda it: _anchor_batches(it, width), "key long, around long, doc long, lo long, hi long, kind byte")
-    settled = written(anchors.repartition("key").mapInArrow(_settle, "doc long, lo long, hi long, kind byte"), "repeat-ranges")
+    """doc, row (of its text), ranges (lo, hi): the starts of all windows of ``width`` words whose words also start earlier."""
+    texts = docs.select(doc_key().alias("doc"), text_key().alias("row"), F.col("text").cast("string").alias("text"))
+    anchors = texts.mapInArrow(lambda it: _anchor_batches(it, width), "key long, around long, doc long, row long, lo long, hi long, kind byte")
+    settled = written(anchors.repartition("key").mapInArrow(_settle, "doc long, row long, lo long, hi long, kind byte"), "repeat-ranges")
     # Anchors that occur in unlike surroundings: compare their windows one by one.
-    undecided = settled.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
-    at = packed_texts(docs).join(undecided.hint("shuffle_hash"), "doc")
-    windows = at.mapInArrow(lambda it: _open_windows(it, width), "key long, doc long, start long, kind byte")
-    more = windows.repartition("key").mapInArrow(_settle_windows, "doc long, lo long, hi long")
-    both = settled.where(F.col("kind") == COVERED).select("doc", "lo", "hi").unionByName(more)
-    return both.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    undecided = settled.where(F.col("kind") == OPEN).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
+    at = packed_texts(docs, doc=doc_key(), row=text_key()).join(undecided.hint("shuffle_hash"), ["doc", "row"])
+    windows = at.mapInArrow(lambda it: _open_windows(it, width), "key long, doc long, row long, start long, kind byte")
+    more = windows.repartition("key").mapInArrow(_settle_windows, "doc long, row long, lo long, hi long")
+    both = settled.where(F.col("kind") == COVERED).select("doc", "row", "lo", "hi").unionByName(more)
+    return both.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 def _removed(words: Words, ranges: list, width: int) -> np.ndarray:
@@ -296,11 +316,12 @@ def dedup(docs: DataFrame, width: int = 20) -> DataFrame:
 
     A window is ``width`` consecutive words of one document; it occurred before if the same words start in a document
     of smaller id or earlier in the same document.  All windows are judged on the input.  Null or empty text: no
-    words, empty kept text.  Null doc_id: comes before all others.  Rows of equal doc_id are one document to the
-    order: their repeats are found as positions, and a position found in one such row is removed in all of them.
+    words, empty kept text.  Null doc_id: comes before all others.  Rows of equal doc_id (or of none) are one
+    document to the order, so equal windows at equal starts of two such rows do not remove each other; each row loses
+    only what its own text repeats.
     Texts of any length are worked on whole.  Other columns are ignored.
     """
-    at = packed_texts(docs).join(repeated_windows(docs, width).hint("shuffle_hash"), "doc", "left")
+    at = packed_texts(docs, doc=doc_key(), row=text_key()).join(repeated_windows(docs, width).hint("shuffle_hash"), ["doc", "row"], "left")
 
     def cut(batches):
         for part, rows in _kept(batches, width):
@@ -313,8 +334,8 @@ def dedup(docs: DataFrame, width: int = 20) -> DataFrame:
 
 def dedup_rows(docs: DataFrame, width: int = 20) -> DataFrame:
     """All rows and columns of ``docs``; texts that lose words are their kept words joined by one space, and n_chars follows."""
-    rows = docs.select(doc_key().alias("doc"), F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    at = rows.join(repeated_windows(docs, width).hint("shuffle_hash"), "doc", "left")
+    rows = docs.select(doc_key().alias("doc"), text_key().alias("row"), F.struct("*").alias("whole"), F.col("text").cast("string").alias("text"))
+    at = rows.join(repeated_windows(docs, width).hint("shuffle_hash"), ["doc", "row"], "left")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +344,7 @@ def dedup_rows(docs: DataFrame, width: int = 20) -> DataFrame:
                 words = Words(part.column("text"))
                 removed = _removed(words, part.column("ranges").to_pylist(), width)
                 changed = np.diff(np.append(0, np.cumsum(removed))[words.first]) > 0
-                columns = part.column("row").flatten()
+                columns = part.column("whole").flatten()
                 texts = columns[names.index("text")].to_pylist()
                 for i in np.flatnonzero(changed).tolist():
                     keep = np.flatnonzero(~removed[words.first[i] : words.first[i + 1]]) + words.first[i]
@@ -334,7 +355,7 @@ def dedup_rows(docs: DataFrame, width: int = 20) -> DataFrame:
                     columns[names.index("n_chars")] = pa.array([len(t) if c else x for t, c, x in zip(texts, changed, n.to_pylist(), strict=True)], n.type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return at.select("row", "text", "ranges").mapInArrow(cut, docs.schema)
+    return at.select("whole", "text", "ranges").mapInArrow(cut, docs.schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

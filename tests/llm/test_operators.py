@@ -338,3 +338,17 @@ def test_null_and_repeated_ids(spark):
     assert out == [(False, 0, 1, 0), (False, 0, 60, 0), (True, 5, 60, 60), (True, 5, 60, 60), (True, 7, 1, 0)]
     assert suffixes.dedup_bytes(d).count() == 5 and sharding.assign_shards(d).count() == 5 and pieces.encode_digest(d).count() == 5
     assert jaccard.op10_similar_documents.__doc__ and jaccard.similar_groups(d).count() == 5
+
+
+def test_substring_dedup_leaves_an_original_among_rows_of_one_id(spark):
+    make = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    twice, passage = make("t", 40), make("p", 25)
+    late = f"{make('a', 30)} {passage}"  # repeats the passage at word 30, where the other null-id row has words of its own
+    early = f"{passage} {make('b', 30)}"
+    rows = [(5, twice), (5, twice), (None, late), (None, early), (None, make("n", 30)), (None, make("n", 30)), (9, twice), (5, f"one {twice}")]
+    want = sorted([(5, 40, 0, twice), (5, 40, 0, twice), (-1, 55, 25, make("a", 30)), (-1, 55, 0, early), (-1, 30, 0, make("n", 30)), (-1, 30, 0, make("n", 30)), (9, 40, 40, ""), (5, 41, 40, "one")])
+    for parts in (1, 4):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        out = recompress.dedup(d).collect()
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out) == want
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in recompress.dedup_rows(d).collect()) == sorted((i, k) for i, _, _, k in want)
