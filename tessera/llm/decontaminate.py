@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_key, id_of, table, written
+from tessera.llm.common import doc_key, id_of, table, text_key, written
 
 #: A word is a run of anything but ASCII white space; A-Z are lower-cased, nothing else.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -42,7 +42,15 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
     doc_id count as one document, rows of equal item_id as one item.  Returns doc_id, item_id, n_item (distinct
     shingles of the item), n_shared, containment.
     """
-    spark = docs.sparkSession
+    found = _held_items(docs, doc_key(), items, k, threshold, size_base)
+    return found.select(
+        id_of("doc").alias("doc_id"), id_of("item").alias("item_id"), "n_item", "n_shared",
+        F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"),
+    )
+
+
+def _held_items(docs: DataFrame, key: Column, items: DataFrame, k: int = 5, threshold: float = 0.75, size_base: float = 1.5) -> DataFrame:
+    """doc (the key), item, n_item, n_shared of ``find_items``; rows of equal ``key`` count as one document."""
     item_words = items.select(doc_key("item_id").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     named = item_words.select("item", F.least(F.size("w"), F.lit(k)).alias("k"), F.transform("w", lambda x: F.xxhash64(x)).alias("names"))
     by_length = F.coalesce(*[F.when(F.col("k") == j, shingles(F.col("names"), j)) for j in range(1, k + 1)])
@@ -62,7 +70,7 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
     small = sketch.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
 
-    wanted = docs.select(doc_key().alias("doc"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("names"))
+    wanted = docs.select(key.alias("doc"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("names"))
     of_docs = F.concat(*[shingles(F.col("names"), j) for j in lengths]) if lengths else F.array().cast("array<bigint>")
     doc_shingles = wanted.select("doc", F.explode(of_docs).alias("shingle"))
     keys = hint(sketch.select("shingle").distinct())
@@ -72,18 +80,14 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
 
     # Exact check: documents with a candidate are expanded once more and meet the candidates' whole shingle sets.
     expected = pairs.join(item_shingles, "item").select("doc", "item", "shingle")
-    verify = docs.select(doc_key().alias("doc"), "text").join(pairs.select("doc").distinct(), "doc", "left_semi")
+    verify = docs.select(key.alias("doc"), "text").join(pairs.select("doc").distinct(), "doc", "left_semi")
     verify = verify.select("doc", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("names"))
     held = verify.select("doc", F.explode(of_docs).alias("shingle"))
     item_keys = item_shingles.select("shingle").distinct()
     few = item_shingles.count() <= BROADCAST_ROWS
     held = held.join(F.broadcast(item_keys) if few else item_keys, "shingle", "left_semi").distinct()
     shared = expected.join(held, ["doc", "shingle"]).groupBy("doc", "item").agg(F.count("*").alias("n_shared"))
-    found = shared.join(F.broadcast(sizes) if few else sizes, "item").where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item"))
-    return found.select(
-        id_of("doc").alias("doc_id"), id_of("item").alias("item_id"), "n_item", "n_shared",
-        F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"),
-    )
+    return shared.join(F.broadcast(sizes) if few else sizes, "item").where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item"))
 
 
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +95,9 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item; a row with a null id stays unless a null-id row holds one."""
-    leaks = find_items(docs, items).select(doc_key().alias("leak")).distinct()
-    return docs.join(leaks, doc_key() == F.col("leak"), "left_anti").select(*docs.columns)
+    """The rows whose own text holds no item, whatever other rows of the same doc_id (or of none) hold."""
+    leaks = _held_items(docs, text_key(), items).select(F.col("doc").alias("leak")).distinct()
+    return docs.join(leaks, text_key() == F.col("leak"), "left_anti").select(*docs.columns)
 
 
 OP5_SQL = r"""

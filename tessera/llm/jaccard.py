@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import U64, Words, mix, release, run_hashes, runs, signed
@@ -294,15 +294,18 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(alone), "groups")
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
+def similar_groups(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """doc, n (size of the shingle set), component (smallest doc that links of 3/4 similarity reach, itself included).
 
+    Rows of equal ``key`` (doc_id unless given) are one vertex.
+
     Documents of equal sets are linked through the smallest of them, by one aggregation.  Of the documents that share
     a signature each is compared with the smallest.  Only where a signature's documents then lie in several
     components are the other pairs between those components compared, so that large groups of copies cost a
     comparison for each member while no link is lost.
     """
-    texts = docs.select(doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
+    key = doc_key() if key is None else key
+    texts = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))
     described = written(texts.mapInArrow(_describe, "doc long, n long, h1 long, h2 long, sketch binary"), "shingle-info")
     info = described.where("doc is not null")
     n_docs = info.count()
@@ -316,7 +319,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     signed_rows = texts.mapInArrow(lambda it: _signed_rows(it, *hot.value), "sig long, doc long")
     met = written(signed_rows.repartition("sig").mapInArrow(_meet, "sig long, doc long, pivot long"), "shared-signatures")
-    packed = packed_texts(docs)
+    packed = packed_texts(docs, doc=key)
     # Equal sets need no comparison.
     equal = info.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("b"), F.count("*").alias("copies"))
     same = info.join(equal.where("copies > 1").select("h1", "h2", "n", "b"), ["h1", "h2", "n"]).where("doc <> b").select(F.col("doc").alias("a"), "b")
@@ -357,9 +360,25 @@ def op10_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that are similar to a row of smaller id, by links; columns as they are."""
-    drop = similar_groups(docs).where("doc <> component").select(F.col("doc").alias("copy")).distinct()
-    return docs.join(drop, doc_key() == F.col("copy"), "left_anti").select(*docs.columns)
+    """Of each group of rows that links of similarity join the one with the smallest id (null first); columns as they are.
+
+    Rows are told apart by doc_id and text, not by doc_id alone.  Of rows equal in both, one stays; rows without
+    words are similar to nothing and all stay.
+    """
+    columns = docs.columns
+    vertex = F.xxhash64(doc_key(), F.col("text").cast("string"))
+    with_words = docs.where(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"))
+    again = written(with_words.select(vertex.alias("vertex")).groupBy("vertex").agg(F.count("*").alias("n")).where("n > 1").select("vertex"), "repeated-rows")
+    if not again.isEmpty():
+        rows = docs.select(vertex.alias("vertex"), F.struct("*").alias("row"))
+        firsts = rows.join(again, "vertex", "left_semi").groupBy("vertex").agg(F.first("row").alias("row"))
+        docs = rows.join(again, "vertex", "left_anti").unionByName(firsts).select("row.*")
+    copies = written(similar_groups(docs, vertex).where("doc <> component").select("doc", "component"), "copies")
+    members = copies.unionByName(copies.select(F.col("component").alias("doc"), "component").distinct())
+    placed = written(docs.select(vertex.alias("doc"), doc_key().alias("id")).join(members, "doc"), "group-members")
+    best = placed.groupBy("component").agg(F.min(F.struct("id", "doc")).alias("best")).select(F.col("best.doc").alias("doc"))
+    drop = placed.join(best, "doc", "left_anti").select(F.col("doc").alias("copy"))
+    return docs.join(drop, vertex == F.col("copy"), "left_anti").select(*columns)
 
 
 OP10_SQL = r"""

@@ -352,3 +352,20 @@ def test_substring_dedup_leaves_an_original_among_rows_of_one_id(spark):
         out = recompress.dedup(d).collect()
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out) == want
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in recompress.dedup_rows(d).collect()) == sorted((i, k) for i, _, _, k in want)
+
+
+def test_filters_decide_by_row(spark):
+    make = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    item = make("i", 12)
+    half, rest = " ".join(item.split()[:8]), " ".join(item.split()[4:])  # only together they hold the item
+    leak = f"{make('x', 9)} {item}"
+    rows = [(None, leak), (None, make("e", 30)), (None, make("e", 30)), (None, make("c", 30)), (None, half), (None, rest), (None, ""), (None, "")]
+    rows += [(7, make("b", 40)), (7, make("b", 40)), (7, f"{make('b', 40)} more"), (7, make("clean", 30)), (3, f"{make('b', 40)} end"), (8, make("b", 40)), (7, leak), (9, half)]
+    d = spark.createDataFrame([(*x, "clash", "clash") for x in rows], "doc_id long, text string, doc string, row string").repartition(3)
+    got = lambda out: sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in out.collect())
+    want = lambda kept: sorted((i is not None, i or 0, t) for i, t in kept)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert got(decontaminate.drop_leaks(d, items)) == want([x for x in rows if x[1] != leak])
+    kept = [(None, leak), (None, make("e", 30)), (None, make("c", 30)), (None, half), (None, rest), (None, ""), (None, ""), (3, f"{make('b', 40)} end"), (7, make("clean", 30))]
+    out = jaccard.one_of_each_group(d)
+    assert out.columns == d.columns and got(out) == want(kept)
