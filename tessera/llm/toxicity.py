@@ -42,10 +42,25 @@ def words(text: str | None) -> set[str]:
 
 
 def features(text: str | None) -> set[str]:
-    found = words(text)
+    return _features(words(text))
+
+
+def _features(found: set[str]) -> set[str]:
     return found.union(*({w[:n] + "*" for w in found if len(w) > n} for n in STEMS))
 
 
+def swapped(text: str | None, terms: dict[str, int], groups: Sequence[Sequence[str]]) -> Iterator[tuple[set[str], set[str]]]:
+    """For each counterfactual of a text the features that go and those that come: words and stems that no other word holds."""
+    found = words(text)
+    for w in sorted(found & terms.keys()):
+        rest = _features(found - {w})
+        gone = _features({w}) - rest
+        for other in groups[terms[w]]:
+            if other not in found:
+                come = _features({other}) - rest
+                yield gone - come, come - gone
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partial counts of rows, and of rows with label 1, for each feature; the feature '' counts all rows."""
     every: Counter[str] = Counter()
@@ -98,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, groups: Sequence[Sequence[str]] = ID
     counts over these: the words and stems whose presence says most about the
     label by chi-square (``least_chi`` at least, which chance hardly reaches in so many words), and all identity terms.  Each row that mentions an
     identity term also stands as its counterfactuals, where the term is swapped for another one of its group;
-    ``strength`` times the squared change of the score between the row and each of them is added to the loss, so
-    that a mention alone cannot move a score.
+    ``strength`` times the squared change of the score between the row and each of them, all words and stems that the
+    swap exchanges counted, is added to the loss, so that a mention alone cannot move a score.
     """
     rows = train_labels(docs, labels)
     labelled = train_labels(docs.select("doc_id", F.lit(None).cast("string").alias("text")), labels).count()
@@ -124,47 +139,46 @@ def fit(docs: DataFrame, labels: DataFrame, groups: Sequence[Sequence[str]] = ID
 
     def number(batches):
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "at": [[index[w] for w in sorted(features(t)) if w in index] for t in b["text"]]})
+            at = [[index[w] for w in sorted(features(t)) if w in index] for t in b["text"]]
+            # Of a counterfactual, -1 - i for a feature i that goes and i for one that comes.
+            swaps = [[sorted([-1 - index[w] for w in gone if w in index] + [index[w] for w in come if w in index]) for gone, come in swapped(t, terms, groups)] for t in b["text"]]
+            yield pd.DataFrame({"y": b["y"], "at": at, "swaps": swaps})
 
-    sample = rows.select("y", "text").mapInPandas(number, "y int, at array<int>").toPandas()  # train_rows rows or so
+    sample = rows.select("y", "text").mapInPandas(number, "y int, at array<int>, swaps array<array<int>>").toPandas()  # train_rows rows or so
     cols, rws = [], []
     for i, at in enumerate(sample["at"]):
         cols += list(at)
         rws += [i] * len(at)
     X, y = _Sparse(np.array(rws, int), np.array(cols, int), len(sample), len(vocab)), sample["y"].to_numpy(float)
-    # Counterfactual pairs as differences of features: the score change is w[to] - w[from].
-    swaps: dict[tuple[int, int], int] = {}
-    for at in sample["at"]:
-        ws = {vocab[i] for i in at}
-        for w in ws & set(terms):
-            for other in groups[terms[w]]:
-                if other not in ws:
-                    swaps[index[w], index[other]] = swaps.get((index[w], index[other]), 0) + 1
-    frm, to, times = (np.array(x, int) for x in ([k[0] for k in swaps], [k[1] for k in swaps], list(swaps.values())))
-    w, bias = _train(X, y, frm, to, times * strength / len(sample), ridge)
+    # Counterfactuals as differences of features, equal ones once: the score change is the sum of what comes less that of what goes.
+    swaps = Counter(tuple(x) for found in sample["swaps"] for x in found)
+    pair = np.repeat(np.arange(len(swaps)), [len(x) for x in swaps])
+    signed_at = np.array([f for x in swaps for f in x], int)
+    sign, feature = np.where(signed_at < 0, -1.0, 1.0), np.where(signed_at < 0, -1 - signed_at, signed_at)
+    D = _Sparse(pair, feature, len(swaps), len(vocab), sign)
+    w, bias = _train(X, y, D, np.array(list(swaps.values()), float) * strength / len(sample), ridge)
     return {"weights": {v: float(w[i]) for v, i in index.items() if abs(w[i]) > 1e-6}, "bias": float(bias)}
 
 
 class _Sparse:
-    def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, m: int) -> None:
-        self.rows, self.cols, self.n, self.m = rows, cols, n, m
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, m: int, values: np.ndarray | float = 1.0) -> None:
+        self.rows, self.cols, self.n, self.m, self.values = rows, cols, n, m, values
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, w[self.cols], self.n)
+        return np.bincount(self.rows, self.values * w[self.cols], self.n)
 
     def t_dot(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, r[self.rows], self.m)
+        return np.bincount(self.cols, self.values * r[self.rows], self.m)
 
 
-def _train(X: _Sparse, y: np.ndarray, frm: np.ndarray, to: np.ndarray, strength: np.ndarray, ridge: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the penalised log loss."""
+def _train(X: _Sparse, y: np.ndarray, D: _Sparse, strength: np.ndarray, ridge: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the log loss, with the squared score changes ``D`` makes penalised by ``strength``."""
     w, bias = np.zeros(X.m), 0.0
     m1, m2 = np.zeros(X.m + 1), np.zeros(X.m + 1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(X.dot(w) + bias, -30, 30)))
         r = (p - y) / len(y)
-        change = 2 * strength * (w[to] - w[frm])
-        g = X.t_dot(r) + ridge * w + np.bincount(to, change, X.m) - np.bincount(frm, change, X.m)
+        g = X.t_dot(r) + ridge * w + D.t_dot(2 * strength * D.dot(w))
         g = np.append(g, r.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)

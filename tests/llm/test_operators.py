@@ -369,3 +369,26 @@ def test_filters_decide_by_row(spark):
     kept = [(None, leak), (None, make("e", 30)), (None, make("c", 30)), (None, half), (None, rest), (None, ""), (None, ""), (3, f"{make('b', 40)} end"), (7, make("clean", 30))]
     out = jaccard.one_of_each_group(d)
     assert out.columns == d.columns and got(out) == want(kept)
+
+
+def test_toxicity_swaps_exchange_stems(spark):
+    terms = {t: g for g, group in enumerate(toxicity.IDENTITY_GROUPS) for t in group}
+    pairs = list(toxicity.swapped("muslims and a muslin shirt", terms, toxicity.IDENTITY_GROUPS))
+    assert ({"muslims", "muslim*"}, {"jews"}) in pairs and len(pairs) == 5  # musl*, musli* stay with muslin
+    r = random.Random(6)
+    vocab = ["tree", "river", "walk", "house", "green", "quiet", "morning", "paper", "window", "garden"]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 4 == 0
+        w = [r.choice(vocab) for _ in range(12)]
+        if toxic and r.random() < 0.5:
+            w[3] = r.choice(["idiot", "scum"])
+        if r.random() < (0.7 if toxic else 0.05):
+            w[7] = "immigrants"
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    d, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fair, plain = toxicity.scorer(toxicity.fit(d, marks)), toxicity.scorer(toxicity.fit(d, marks, strength=0.0))
+    texts = [f"tree river walk {g} house" for g in ("immigrants", "natives", "refugees", "foreigners", "citizens")]
+    assert np.ptp(plain(texts)) > 1
+    assert np.ptp(fair(texts)) < 0.1, fair(texts)
