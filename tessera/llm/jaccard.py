@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import U64, Words, mix, release, run_hashes, runs, signed
@@ -20,11 +20,17 @@ NUM, DEN = 3, 4
 SMALL = 16
 #: A shingle that more than 1 in this many documents hold is common (and at least LEAST_COMMON documents).
 COMMON, LEAST_COMMON = 16384, 12
+#: Bound of the common shingles that go to every worker (16 bytes each).
+COMMON_ROWS = 2_000_000
 #: Sketches compared at once.
 TILE = 256
-HELD = 1_000_000
-#: Stands for no pivot.
-NO_PIVOT = 2**63 - 1
+#: A tile holds two blocks of a signature's documents, each of about so many documents and shingles at most.
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
+TILE_KEY = ["sig", "low", "high"]
+#: Tables of document keys up to this many rows are broadcast, larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Shingles that a task counts at once; text keys that it remembers.
+HELD, REMEMBERED = 1_000_000, 200_000
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -136,7 +142,7 @@ def _signed_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray, df: np.n
                 if key not in seen and len(s):
                     seen.add(key)
                     found.append((signatures(s, common, df), doc))
-            if len(seen) > HELD:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             if found:
                 sig = np.concatenate([x for x, _ in found])
@@ -145,95 +151,140 @@ def _signed_rows(batches: Iterator[pa.RecordBatch], common: np.ndarray, df: np.n
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sig, doc, pivot (the smallest document) for signatures of several documents."""
-    kept = [(b.column("sig").to_numpy(), b.column("doc").to_numpy()) for b in batches if b.num_rows]
-    if not kept:
-        return
-    sig, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
-    new = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))
-    sig, doc = sig[new], doc[new]
-    first = np.append(True, sig[1:] != sig[:-1])
-    group = np.cumsum(first) - 1
-    several = np.bincount(group)[group] > 1
-    pivot = doc[first][group]
-    yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sig, doc, pivot)], ["sig", "doc", "pivot"])
-
-
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sig, doc, component of signatures whose documents lie in several components, without the pivots, which all were compared with."""
-    kept = [[b.column(c).fill_null(NO_PIVOT).to_numpy() for c in ("sig", "doc", "pivot", "component")] for b in batches if b.num_rows]
-    if not kept:
-        return
-    sig, doc, pivot, comp = (np.concatenate(x) for x in zip(*kept, strict=True))
-    rest = doc != pivot
-    sig, doc, comp = sig[rest], doc[rest], comp[rest]
-    order = np.lexsort((comp, sig))
-    sig, doc, comp = sig[order], doc[order], comp[order]
-    if not len(sig):
-        return
-    first = np.append(True, sig[1:] != sig[:-1])
-    group = np.cumsum(first) - 1
-    kinds = np.bincount(group, first | np.append(True, comp[1:] != comp[:-1]))
-    several = kinds[group] > 1
-    yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sig, doc, comp)], ["sig", "doc", "component"])
-
-
-def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each signature's documents those of other components with the hub, the document that shares most signatures.
-
-    In a group of copies that is one with few changes, so most others are similar to it.
-    """
-    kept = [[b.column(c).to_numpy() for c in ("sig", "doc", "component", "degree")] for b in batches if b.num_rows]
-    if not kept:
-        return
-    sig, doc, comp, degree = (np.concatenate(x) for x in zip(*kept, strict=True))
-    order = np.lexsort((doc, -degree, sig))
-    sig, doc, comp = sig[order], doc[order], comp[order]
-    first = np.append(True, sig[1:] != sig[:-1])
-    hub = np.flatnonzero(first)[np.cumsum(first) - 1]
-    other = comp != comp[hub]
-    pairs = np.unique(np.stack([doc[other], doc[hub][other]], axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-    release()
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one signature's documents in different components whose sizes and sketches allow a similarity of 3/4.
-
-    Pairs are compared in tiles and only those that pass leave the task.
+    """sig, doc, pivot (the smallest document) for signatures of several documents, from rows sorted by sig and doc.
+
+    Only the pivot of the last signature is held, so a signature of very many documents needs no memory.
     """
-    kept = [b for b in batches if b.num_rows]
-    if not kept:
-        return
-    t = pa.Table.from_batches(kept).combine_chunks()
-    sig, doc, comp, n = (t.column(c).to_numpy() for c in ("sig", "doc", "component", "n"))
-    sketches = t.column("sketch").combine_chunks()
-    order = np.argsort(sig, kind="stable")
-    edges = np.append(np.flatnonzero(np.append(True, sig[order][1:] != sig[order][:-1])), len(sig))
-    found: set[tuple[int, int]] = set()
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        at = order[a:b]
-        raw = [np.frombuffer(sketches[i].as_buffer(), np.uint8) for i in at.tolist()]
-        size = min(map(len, raw))
-        folded = np.zeros((len(at), size), np.uint8)
-        for i, x in enumerate(raw):
-            folded[i] = np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
-        folded = folded.view(np.uint64)
-        for x in range(0, len(at), TILE):
-            for y in range(x, len(at), TILE):
-                p, q = at[x : x + TILE], at[y : y + TILE]
-                may = (comp[p][:, None] != comp[q][None, :]) & (doc[p][:, None] < doc[q][None, :]) if x == y else comp[p][:, None] != comp[q][None, :]
-                may &= np.minimum(n[p][:, None], n[q][None, :]) * DEN >= np.maximum(n[p][:, None], n[q][None, :]) * NUM
-                i, j = np.nonzero(may)
-                if len(i):
-                    apart = np.bitwise_count(folded[x + i] ^ folded[y + j]).sum(axis=1, dtype=np.int64)
-                    near = 7 * apart <= n[p[i]] + n[q[j]]
-                    d, e = doc[p[i[near]]], doc[q[j[near]]]
-                    found.update(zip(np.minimum(d, e).tolist(), np.maximum(d, e).tolist(), strict=True))
-    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    sig0 = doc0 = pivot0 = None
+    sent = False
+    for b in batches:
+        sig, doc = b.column("sig").to_numpy(), b.column("doc").to_numpy()
+        if not len(sig):
+            continue
+        if sig0 is not None:  # the last row again, as a row of its signature
+            sig, doc = np.append(sig0, sig), np.append(doc0, doc)
+        new = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))
+        sig, doc = sig[new], doc[new]
+        first = np.append(True, sig[1:] != sig[:-1])
+        group = np.cumsum(first) - 1
+        pivot = doc[first][group]
+        if sig0 is not None:
+            pivot[group == 0] = pivot0
+        several = np.bincount(group)[group] > 1
+        out = several.copy()
+        if sig0 is not None and (sent or pivot0 != doc0):
+            out[0] = False
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, doc, pivot)], ["sig", "doc", "pivot"])
+        sig0, doc0, pivot0, sent = sig[-1], doc[-1], pivot[-1], bool(several[-1])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_bytes: int = 4 << 20) -> Iterator[pa.Table]:
+    """Tables of some size that hold only whole groups, from rows sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    size, wanted = 0, least_bytes
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size < wanted:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        differs = np.zeros(t.num_rows, bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            differs |= x != x[-1]
+        cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = pa.Table.from_batches(t.slice(cut).to_batches()).to_batches()
+        size = sum(x.nbytes for x in held)
+        wanted = max(least_bytes, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _tiles(t: pa.Table) -> Iterator[np.ndarray]:
+    """The rows of each tile of a sorted table."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in TILE_KEY:
+        x = t.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    edges = np.append(np.flatnonzero(new), t.num_rows).tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield np.arange(a, b)
+
+
+def _candidates(at: np.ndarray, side: np.ndarray, low: int, high: int, comp: np.ndarray, n: np.ndarray, sketches: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a tile's rows in different components whose sizes and sketches allow a similarity of 3/4: two places in ``at`` and the sketches' distance."""
+    size = min(map(len, sketches))
+    folded = np.zeros((len(at), size), np.uint8)
+    for i, x in enumerate(sketches):
+        folded[i] = x if len(x) == size else np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+    folded = folded.view(np.uint64)
+    left = np.flatnonzero(side[at] == low)
+    right = left if low == high else np.flatnonzero(side[at] == high)
+    comp, n = comp[at], n[at]
+    for x in range(0, len(left), TILE):
+        for y in range(x if low == high else 0, len(right), TILE):
+            p, q = left[x : x + TILE], right[y : y + TILE]
+            may = comp[p][:, None] != comp[q][None, :]
+            if low == high and x == y:
+                may &= p[:, None] < q[None, :]
+            may &= np.minimum(n[p][:, None], n[q][None, :]) * DEN >= np.maximum(n[p][:, None], n[q][None, :]) * NUM
+            i, j = np.nonzero(may)
+            if len(i):
+                apart = np.bitwise_count(folded[p[i]] ^ folded[q[j]]).sum(axis=1, dtype=np.int64)
+                near = 7 * apart <= n[p[i]] + n[q[j]]
+                yield p[i[near]], q[j[near]], apart[near]
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tile's rows (without sketches) that some other row may be similar to: rows, never pairs, leave the task."""
+    for t in whole_groups(batches, TILE_KEY):
+        side, comp, n = (t.column(c).to_numpy() for c in ("side", "component", "n"))
+        low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
+        sketches = t.column("sketch").combine_chunks()
+        hit = np.zeros(t.num_rows, bool)
+        for at in _tiles(t):
+            if len(at) < 2:
+                continue
+            raw = [np.frombuffer(sketches[i].as_buffer(), np.uint8) for i in at.tolist()]
+            for i, j, _ in _candidates(at, side, low[at[0]], high[at[0]], comp, n, raw):
+                hit[at[i]] = hit[at[j]] = True
+        kept = t.drop_columns(["sketch"]).filter(pa.array(hit))
+        yield from kept.to_batches()
+        release()
+
+
+def _forest_of_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a tile's truly similar pairs, by their whole sets, those that join components it had not joined before: a forest."""
+    for t in whole_groups(batches, TILE_KEY, 16 << 20):
+        doc, side, comp, n = (t.column(c).to_numpy() for c in ("doc", "side", "component", "n"))
+        low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
+        held = t.column("set").combine_chunks()
+        out_a, out_b = [], []
+        for at in _tiles(t):
+            sets = [np.frombuffer(held[i].as_buffer(), U64) for i in at.tolist()]
+            root = {c: c for c in comp[at].tolist()}
+
+            def find(c: int, root: dict[int, int] = root) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for i, j, apart in _candidates(at, side, low[at[0]], high[at[0]], comp, n, [np.frombuffer(sketch(s), np.uint8) for s in sets]):
+                for k in np.argsort(apart, kind="stable").tolist():
+                    p, q = int(i[k]), int(j[k])
+                    a, b = find(int(comp[at[p]])), find(int(comp[at[q]]))
+                    if a != b and similar(sets[p], sets[q]):
+                        root[max(a, b)] = min(a, b)
+                        out_a.append(doc[at[p]])
+                        out_b.append(doc[at[q]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (out_a, out_b)], ["a", "b"])
+        release()
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,25 +297,38 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sets have a similarity of 3/4 or more."""
+    both = np.sort(np.concatenate([s, t]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared * 100 >= 75 * (len(both) - shared)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets have a similarity of 3/4 or more."""
+    """The pairs whose sets are similar."""
     for b in batches:
-        keep = []
-        for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-            s, t = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            both = np.sort(np.concatenate([s, t]), kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(shared * 100 >= 75 * (len(both) - shared))
+        keep = [similar(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True)]
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in in_runs(batch):
-            sets = shingle_sets(unpacked(part.column("packed")))
+        packed = "packed" in batch.schema.names
+        for part in in_runs(batch) if packed else runs(batch):
+            sets = shingle_sets(unpacked(part.column("packed")) if packed else part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "set"])
 
 
+def _sets_of(wanted: DataFrame, docs: DataFrame, key: Column) -> DataFrame:
+    """doc, set (hashes as bytes) of the wanted documents; rows of one key and one text once."""
+    wanted = written(wanted.select("doc").distinct(), "wanted-documents")
+    if wanted.count() <= BROADCAST_ROWS:
+        texts = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc", "left_semi")
+    else:
+        texts = packed_texts(docs, doc=key).join(wanted.hint("shuffle_hash"), "doc", "left_semi")
+    return written(texts.mapInArrow(_sets, "doc long, set binary"), "shingle-sets", 500)
+
+
 def _near_pairs(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """The pairs (a, b) that their sizes and then their sketches do not rule out."""
     a, b = [info.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
@@ -273,12 +337,11 @@ def _near_pairs(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return written(sized.mapInArrow(_near, "a long, b long"), "near-pairs")
 
 
-def _verified(near: DataFrame, packed: DataFrame) -> DataFrame:
+def _verified(near: DataFrame, docs: DataFrame, key: Column) -> DataFrame:
     """The pairs (a, b) of truly similar documents, by their whole sets."""
     if near.isEmpty():
         return near
-    wanted = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct()
-    sets = written(packed.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_sets, "doc long, set binary"), "shingle-sets", 500)
+    sets = _sets_of(near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))), docs, key)
     first = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a"))
     second = sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b"))
     return written(near.join(first, "a").join(second, "b").mapInArrow(_similar, "a long, b long"), "similar-pairs", 250)
@@ -294,55 +357,102 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(alone), "groups")
 
 
+def _common(described: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles, sorted, and how many documents hold each; COMMON_ROWS of them at most."""
+    counts = described.where("doc is null").groupBy("h1").agg(F.sum("n").alias("df")).where(F.col("df") >= max(LEAST_COMMON, n_docs // COMMON))
+    counts = written(counts, "common-shingles")
+    # The threshold rises by doubling until the bound holds; a row for each power of two comes here.
+    by_power = sorted(((r["p"], r["n"]) for r in counts.groupBy((F.length(F.bin("df")) - 1).alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, 1
+    for p, n in by_power:
+        total += n
+        if total > COMMON_ROWS:
+            least = 1 << (p + 1)
+            break
+    rows = counts.where(F.col("df") >= least).toArrow()
+    shingle, df = rows.column("h1").to_numpy().astype(np.int64).view(U64), rows.column("df").to_numpy()
+    by = np.argsort(shingle)
+    return shingle[by], df[by]
+
+
+def _still_open(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """sig, doc, component of signatures whose documents, but for their pivots, lie in several components.
+
+    Pivots were compared with all others.  Signatures of the same documents are one: ``sig`` is made from the
+    documents here (should two sets of documents get one name, they are only compared with each other for nothing).
+    """
+    placed = rows.where("doc <> pivot").join(groups.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    one = Window.partitionBy("sig")
+    seen = placed.withColumn("least", F.min("component").over(one)).where(F.col("component").isNotNull())
+    seen = seen.withColumn("most", F.max("component").over(one)).withColumn("name", F.bit_xor(F.xxhash64("doc")).over(one)).where("least < most")
+    return written(seen.select(F.col("name").alias("sig"), "doc", "component").distinct(), "open-signatures")
+
+
+def _with_hubs(open_rows: DataFrame) -> DataFrame:
+    """Open rows with their signature's hub as pivot, the document that shares most signatures, and its component.
+
+    In a group of copies the hub is one with few changes, so most others are similar to it.
+    """
+    degree = open_rows.groupBy("doc").agg(F.count("*").alias("degree"))
+    hub = open_rows.join(degree, "doc").groupBy("sig").agg(F.max(F.struct("degree", F.bitwise_not(F.col("doc")).alias("order"), "component")).alias("hub"))
+    hub = written(hub.select("sig", F.bitwise_not(F.col("hub.order")).alias("pivot"), F.col("hub.component").alias("pivot_component")), "hubs")
+    return open_rows.join(hub, "sig")
+
+
+def _dealt(open_rows: DataFrame, info: DataFrame) -> DataFrame:
+    """Open rows as rows of tiles: a signature of many or of large documents is cut into blocks, a tile is a pair of them."""
+    sized = open_rows.join(info.select("doc", "n", "sketch"), "doc")
+    weight = open_rows.join(info.select("doc", "n"), "doc").groupBy("sig").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    blocks = written(weight.select("sig", blocks.cast("int").alias("blocks")), "signature-blocks")
+    dealt = sized.join(blocks, "sig").withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("sig", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "doc", "component", "n", "sketch")
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *TILE_KEY).sortWithinPartitions(*TILE_KEY)
+
+
 def similar_groups(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """doc, n (size of the shingle set), component (smallest doc that links of 3/4 similarity reach, itself included).
 
     Rows of equal ``key`` (doc_id unless given) are one vertex.
 
     Documents of equal sets are linked through the smallest of them, by one aggregation.  Of the documents that share
-    a signature each is compared with the smallest.  Only where a signature's documents then lie in several
-    components are the other pairs between those components compared, so that large groups of copies cost a
-    comparison for each member while no link is lost.
+    a signature each is compared with the smallest, then with the one that shares most signatures.  Where a
+    signature's documents then still lie in several components, all pairs across these are compared in tiles: first
+    by sketches, which leaves the documents that have a partner, then by whole sets.  Rows and forests of links leave
+    the tiles, never pairs, so large groups of near copies cost rows in proportion while no link is lost.
     """
     key = doc_key() if key is None else key
     texts = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))
     described = written(texts.mapInArrow(_describe, "doc long, n long, h1 long, h2 long, sketch binary"), "shingle-info")
     info = described.where("doc is not null")
-    n_docs = info.count()
-    least = max(LEAST_COMMON, n_docs // COMMON)
-    # At most COMMON times the mean set size rows: a shingle is here only if it is in 1 of COMMON documents.
-    common = described.where("doc is null").groupBy("h1").agg(F.sum("n").alias("df")).where(F.col("df") >= least)
-    rows = common.toArrow()
-    shingle, df = rows.column("h1").to_numpy().astype(np.int64).view(U64), rows.column("df").to_numpy()
-    by = np.argsort(shingle)
-    hot = docs.sparkSession.sparkContext.broadcast((shingle[by], df[by]))
-
+    hot = docs.sparkSession.sparkContext.broadcast(_common(described, info.count()))
     signed_rows = texts.mapInArrow(lambda it: _signed_rows(it, *hot.value), "sig long, doc long")
-    met = written(signed_rows.repartition("sig").mapInArrow(_meet, "sig long, doc long, pivot long"), "shared-signatures")
-    packed = packed_texts(docs, doc=key)
-    # Equal sets need no comparison.
-    equal = info.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("b"), F.count("*").alias("copies"))
-    same = info.join(equal.where("copies > 1").select("h1", "h2", "n", "b"), ["h1", "h2", "n"]).where("doc <> b").select(F.col("doc").alias("a"), "b")
-    same = written(same, "equal-sets")
+    met = written(signed_rows.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(_meet, "sig long, doc long, pivot long"), "shared-signatures", 50_000)
+    # Equal sets need no comparison. The classes are a table, so that Spark may split the join of a large one.
+    equal = info.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("b"), F.count("*").alias("copies")).where("copies > 1")
+    equal = written(equal.select("h1", "h2", "n", "b"), "set-classes")
+    same = written(info.select("h1", "h2", "n", F.col("doc").alias("a")).join(equal, ["h1", "h2", "n"]).where("a <> b").select("a", "b"), "equal-sets")
     star = met.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = _verified(_near_pairs(star, info), packed).unionByName(same)
+    links = _verified(_near_pairs(star, info), docs, key).unionByName(same)
     groups = written(components(links), "groups")
 
-    def still_open(rows: DataFrame, groups: DataFrame) -> DataFrame:
-        placed = rows.join(groups.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        return written(placed.repartition("sig").mapInArrow(_open, "sig long, doc long, component long"), "open-signatures")
-
-    # Signatures whose documents still lie in several components: first their hubs, then all pairs across these.
-    open_rows = still_open(met, groups)
-    degree = open_rows.groupBy("doc").agg(F.count("*").alias("degree"))
-    hubs = open_rows.join(degree, "doc").repartition("sig").mapInArrow(_hubs, "a long, b long")
-    by_hub = _verified(_near_pairs(hubs.distinct(), info), packed)
+    open_rows = _still_open(met, groups)
+    hubs = written(_with_hubs(open_rows), "hub-rows")
+    to_hub = hubs.where("component <> pivot_component").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    by_hub = _verified(_near_pairs(to_hub, info), docs, key)
     if not by_hub.isEmpty():
         groups = _joined(groups, by_hub)
-        open_rows = still_open(open_rows.select("sig", "doc", F.lit(None).cast("long").alias("pivot")), groups)
-    across = open_rows.join(info.select("doc", "n", "sketch"), "doc").repartition("sig").mapInArrow(_across, "a long, b long")
-    more = _verified(written(across.distinct(), "near-pairs"), packed)
-    if not more.isEmpty():
+    open_rows = _still_open(hubs.select("sig", "doc", "pivot"), groups)
+    tile_rows = "sig long, low int, high int, side int, doc long, component long, n long"
+    partnered = written(_by_tile(_dealt(open_rows, info)).mapInArrow(_with_partner, tile_rows), "tile-rows", 10_000)
+    if not partnered.isEmpty():
+        sets = _sets_of(partnered, docs, key)
+        more = written(_by_tile(partnered.join(sets, "doc")).mapInArrow(_forest_of_links, "a long, b long"), "tile-links", 500)
         groups = _joined(groups, more)
     found = info.select("doc", "n").join(groups.withColumnRenamed("id", "doc"), "doc", "left")
     return found.select("doc", "n", F.coalesce("component", "doc").alias("component"))
@@ -363,22 +473,24 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     """Of each group of rows that links of similarity join the one with the smallest id (null first); columns as they are.
 
     Rows are told apart by doc_id and text, not by doc_id alone.  Of rows equal in both, one stays; rows without
-    words are similar to nothing and all stay.
+    words (null, empty, white space) are similar to nothing and all stay.  Texts of any length count whole.  An empty
+    table gives an empty one.  Columns of any name pass through, whatever names are used inside.
     """
-    columns = docs.columns
+    # The row in a struct: names inside cannot clash with names of columns.
     vertex = F.xxhash64(doc_key(), F.col("text").cast("string"))
-    with_words = docs.where(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"))
-    again = written(with_words.select(vertex.alias("vertex")).groupBy("vertex").agg(F.count("*").alias("n")).where("n > 1").select("vertex"), "repeated-rows")
+    with_words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(vertex.alias("vertex"), doc_key().alias("id"), with_words.alias("counts"), F.struct("*").alias("whole"))
+    again = written(rows.where("counts").groupBy("vertex").agg(F.count("*").alias("n")).where("n > 1").select("vertex"), "repeated-rows")
     if not again.isEmpty():
-        rows = docs.select(vertex.alias("vertex"), F.struct("*").alias("row"))
-        firsts = rows.join(again, "vertex", "left_semi").groupBy("vertex").agg(F.first("row").alias("row"))
-        docs = rows.join(again, "vertex", "left_anti").unionByName(firsts).select("row.*")
-    copies = written(similar_groups(docs, vertex).where("doc <> component").select("doc", "component"), "copies")
+        firsts = rows.join(again, "vertex", "left_semi").groupBy("vertex").agg(*[F.first(c).alias(c) for c in ("id", "counts", "whole")])
+        rows = rows.join(again, "vertex", "left_anti").unionByName(firsts)
+    texts = rows.select("vertex", F.col("whole.text").alias("text"))
+    copies = written(similar_groups(texts, F.col("vertex")).where("doc <> component").select("doc", "component"), "copies")
     members = copies.unionByName(copies.select(F.col("component").alias("doc"), "component").distinct())
-    placed = written(docs.select(vertex.alias("doc"), doc_key().alias("id")).join(members, "doc"), "group-members")
+    placed = written(rows.select(F.col("vertex").alias("doc"), "id").join(members, "doc"), "group-members")
     best = placed.groupBy("component").agg(F.min(F.struct("id", "doc")).alias("best")).select(F.col("best.doc").alias("doc"))
-    drop = placed.join(best, "doc", "left_anti").select(F.col("doc").alias("copy"))
-    return docs.join(drop, vertex == F.col("copy"), "left_anti").select(*columns)
+    drop = written(placed.join(best, "doc", "left_anti").select(F.col("doc").alias("vertex")), "group-copies")
+    return rows.join(drop, "vertex", "left_anti").select("whole.*")
 
 
 OP10_SQL = r"""
