@@ -6,6 +6,7 @@ All hashes are functions of content alone, so executors agree on them without ta
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Texts are worked on in runs of about this many bytes, so that temporary arrays stay small.
 RUN_BYTES = 1 << 20
+#: Byte ranges above this length have a hash of their own kind.
+LONG = 64
 BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -68,6 +71,19 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start]
 
 
+def text_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, folded: bool = False) -> np.ndarray:
+    """The hash of each byte range; ``folded`` takes A-Z as a-z.
+
+    Sums of powers modulo 2 ** 64 cancel out in certain strings of many hundred bytes, whatever the base, so ranges
+    of more than LONG bytes are hashed by BLAKE2.
+    """
+    out = span_hash(prefix_hash((BYTE_FOLDED if folded else BYTE)[raw]), start, end)
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        part = raw[start[i] : end[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(part.lower() if folded else part, digest_size=8).digest(), "little")
+    return out
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and where each begins (and the last ends). Null: no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -115,8 +131,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(self.at) - 1), np.diff(self.first))
 
     def hashes(self, folded: bool = False) -> np.ndarray:
-        prefix = prefix_hash((BYTE_FOLDED if folded else BYTE)[self.raw])
-        return mix(span_hash(prefix, self.start, self.end) ^ U64(0x5851F42D4C957F2D))
+        return mix(text_hashes(self.raw, self.start, self.end, folded) ^ U64(0x5851F42D4C957F2D))
 
     def bytes_of(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.end[i]].tobytes()

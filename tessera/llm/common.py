@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset and all runs in one process."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     return sc.getCheckpointDir()
@@ -32,13 +35,43 @@ def shared_dir(spark: SparkSession) -> str:
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: The tables and archives that each thread of the driver has put into the shared folder, so that it can remove them.
+_made = threading.local()
+
+
+def _paths() -> list[str]:
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths().append(path)
+    return path
+
+
+def temporary_tables() -> int:
+    """How many tables this thread has in the shared folder."""
+    return len(_paths())
+
+
+def remove_temporary(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete this thread's tables from ``since`` to ``until`` in the order they were made; for when nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    for path in _paths()[since:until]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _paths().remove(path)
+
+
 def written(df: DataFrame, name: str, batch_rows: int = 2500) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends here and survives lost executors.
 
     While it is written, batches that go to Python hold at most ``batch_rows`` rows, as texts and sets can be long.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     before = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, str(min(int(before), batch_rows) if int(before) > 0 else batch_rows))
     try:

@@ -91,13 +91,20 @@ def _held_items(docs: DataFrame, key: Column, items: DataFrame, k: int = 5, thre
 
 
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared, containment of every benchmark item that a document holds; cases as in ``find_items``."""
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows whose own text holds no item, whatever other rows of the same doc_id (or of none) hold."""
-    leaks = _held_items(docs, text_key(), items).select(F.col("doc").alias("leak")).distinct()
-    return docs.join(leaks, text_key() == F.col("leak"), "left_anti").select(*docs.columns)
+    """The rows whose own text holds no item, whatever other rows of the same doc_id (or of none) hold; columns as they are.
+
+    Null, empty or blank texts hold nothing and stay; texts of any length count whole; repeated rows go or stay
+    together.  Without items, or with null and empty ones only, all rows stay; an empty table gives an empty one.
+    Columns of any name pass through, whatever names are used inside.
+    """
+    leaks = written(_held_items(docs, text_key(), items).select("doc").distinct(), "leaking-texts")
+    rows = docs.select(text_key().alias("doc"), F.struct("*").alias("whole"))
+    return rows.join(leaks, "doc", "left_anti").select("whole.*")
 
 
 OP5_SQL = r"""

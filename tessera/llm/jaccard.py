@@ -240,50 +240,51 @@ def _candidates(at: np.ndarray, side: np.ndarray, low: int, high: int, comp: np.
                 yield p[i[near]], q[j[near]], apart[near]
 
 
-def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tile's rows (without sketches) that some other row may be similar to: rows, never pairs, leave the task."""
-    for t in whole_groups(batches, TILE_KEY):
-        side, comp, n = (t.column(c).to_numpy() for c in ("side", "component", "n"))
-        low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
-        sketches = t.column("sketch").combine_chunks()
-        hit = np.zeros(t.num_rows, bool)
-        for at in _tiles(t):
-            if len(at) < 2:
-                continue
-            raw = [np.frombuffer(sketches[i].as_buffer(), np.uint8) for i in at.tolist()]
-            for i, j, _ in _candidates(at, side, low[at[0]], high[at[0]], comp, n, raw):
-                hit[at[i]] = hit[at[j]] = True
-        kept = t.drop_columns(["sketch"]).filter(pa.array(hit))
-        yield from kept.to_batches()
-        release()
+class _Forest:
+    """Union-find over some keys; the smallest key of a tree is its root."""
+
+    def __init__(self, keys: list[int]) -> None:
+        self.root = {c: c for c in keys}
+
+    def find(self, c: int) -> int:
+        root = self.root
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
 
 
-def _forest_of_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a tile's truly similar pairs, by their whole sets, those that join components it had not joined before: a forest."""
-    for t in whole_groups(batches, TILE_KEY, 16 << 20):
+def _forests(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the tiles, as forests: at most as many as a tile has rows, never all its pairs.
+
+    Without ``exact``: between documents that sizes and sketches allow to be similar.  With it: between documents whose
+    whole sets are similar, as far as they join components that the tile had not joined before.
+    """
+    for t in whole_groups(batches, TILE_KEY, (16 if exact else 4) << 20):
         doc, side, comp, n = (t.column(c).to_numpy() for c in ("doc", "side", "component", "n"))
         low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
-        held = t.column("set").combine_chunks()
-        out_a, out_b = [], []
+        held = t.column("payload").combine_chunks()
+        out: list[tuple[int, int]] = []
         for at in _tiles(t):
-            sets = [np.frombuffer(held[i].as_buffer(), U64) for i in at.tolist()]
-            root = {c: c for c in comp[at].tolist()}
-
-            def find(c: int, root: dict[int, int] = root) -> int:
-                while root[c] != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-
-            for i, j, apart in _candidates(at, side, low[at[0]], high[at[0]], comp, n, [np.frombuffer(sketch(s), np.uint8) for s in sets]):
+            if len(at) < 2:
+                continue
+            sets = [np.frombuffer(held[i].as_buffer(), U64 if exact else np.uint8) for i in at.tolist()]
+            sketches = [np.frombuffer(sketch(x), np.uint8) for x in sets] if exact else sets
+            key = comp if exact else doc
+            forest = _Forest(key[at].tolist())
+            for i, j, apart in _candidates(at, side, low[at[0]], high[at[0]], comp, n, sketches):
                 for k in np.argsort(apart, kind="stable").tolist():
                     p, q = int(i[k]), int(j[k])
-                    a, b = find(int(comp[at[p]])), find(int(comp[at[q]]))
-                    if a != b and similar(sets[p], sets[q]):
-                        root[max(a, b)] = min(a, b)
-                        out_a.append(doc[at[p]])
-                        out_b.append(doc[at[q]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (out_a, out_b)], ["a", "b"])
+                    a, b = int(key[at[p]]), int(key[at[q]])
+                    if forest.find(a) != forest.find(b) and (not exact or similar(sets[p], sets[q])):
+                        forest.join(a, b)
+                        out.append((int(doc[at[p]]), int(doc[at[q]])))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
         release()
 
 
@@ -399,15 +400,17 @@ def _with_hubs(open_rows: DataFrame) -> DataFrame:
     return open_rows.join(hub, "sig")
 
 
-def _dealt(open_rows: DataFrame, info: DataFrame) -> DataFrame:
-    """Open rows as rows of tiles: a signature of many or of large documents is cut into blocks, a tile is a pair of them."""
-    sized = open_rows.join(info.select("doc", "n", "sketch"), "doc")
-    weight = open_rows.join(info.select("doc", "n"), "doc").groupBy("sig").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    blocks = written(weight.select("sig", blocks.cast("int").alias("blocks")), "signature-blocks")
-    dealt = sized.join(blocks, "sig").withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("sig", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "doc", "component", "n", "sketch")
+def _dealt(rows: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Rows (sig, doc, component) with their payload (doc, n, payload) as rows of tiles.
+
+    A signature of many or of large documents is cut into blocks, and a tile is a pair of them.
+    """
+    weight = rows.join(payloads.select("doc", "n"), "doc").groupBy("sig").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1))
+    blocks = written(weight.where("docs > 1").select("sig", blocks.cast("int").alias("blocks")), "signature-blocks")
+    dealt = rows.join(blocks, "sig").withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(payloads, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("sig", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "doc", "component", "n", "payload")
 
 
 def _by_tile(rows: DataFrame) -> DataFrame:
@@ -423,8 +426,9 @@ def similar_groups(docs: DataFrame, key: Column | None = None) -> DataFrame:
     Documents of equal sets are linked through the smallest of them, by one aggregation.  Of the documents that share
     a signature each is compared with the smallest, then with the one that shares most signatures.  Where a
     signature's documents then still lie in several components, all pairs across these are compared in tiles: first
-    by sketches, which leaves the documents that have a partner, then by whole sets.  Rows and forests of links leave
-    the tiles, never pairs, so large groups of near copies cost rows in proportion while no link is lost.
+    by sketches, which joins documents that may be similar to clusters, then inside each cluster by whole sets.
+    Forests of links leave the tiles, never pairs, so large groups of near copies cost rows in proportion while no
+    link is lost.
     """
     key = doc_key() if key is None else key
     texts = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))
@@ -448,11 +452,14 @@ def similar_groups(docs: DataFrame, key: Column | None = None) -> DataFrame:
     if not by_hub.isEmpty():
         groups = _joined(groups, by_hub)
     open_rows = _still_open(hubs.select("sig", "doc", "pivot"), groups)
-    tile_rows = "sig long, low int, high int, side int, doc long, component long, n long"
-    partnered = written(_by_tile(_dealt(open_rows, info)).mapInArrow(_with_partner, tile_rows), "tile-rows", 10_000)
-    if not partnered.isEmpty():
-        sets = _sets_of(partnered, docs, key)
-        more = written(_by_tile(partnered.join(sets, "doc")).mapInArrow(_forest_of_links, "a long, b long"), "tile-links", 500)
+    # What sketches allow makes clusters; each document's whole set then goes to the tiles of its cluster alone.
+    sketched = info.select("doc", "n", F.col("sketch").alias("payload"))
+    allowed = written(_by_tile(_dealt(open_rows, sketched)).mapInArrow(lambda it: _forests(it, exact=False), "a long, b long"), "candidate-forests")
+    if not allowed.isEmpty():
+        clusters = written(components(allowed), "clusters").select(F.col("id").alias("doc"), F.col("component").alias("sig"))
+        clusters = clusters.join(groups.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
+        sets = _sets_of(clusters, docs, key).select("doc", (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("payload"))
+        more = written(_by_tile(_dealt(written(clusters, "cluster-rows"), sets)).mapInArrow(lambda it: _forests(it, exact=True), "a long, b long"), "tile-links", 500)
         groups = _joined(groups, more)
     found = info.select("doc", "n").join(groups.withColumnRenamed("id", "doc"), "doc", "left")
     return found.select("doc", "n", F.coalesce("component", "doc").alias("component"))

@@ -10,6 +10,7 @@ position exactly one extends an encoding: the one that is compatible with the la
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import BYTE, U64, mix, prefix_hash, runs, span_hash, texts_of
+from tessera.llm.arrays import U64, mix, runs, text_hashes, texts_of
 from tessera.llm.common import doc_key, id_of, table
 
 #: Fixed values of the format: the mark that stands for a space, and the kinds of pieces.
@@ -26,7 +27,10 @@ NORMAL, BYTE_PIECE = 1, 6
 SEPARATOR = 0xFF
 #: Encodings of stretches that a worker keeps; pairs of pieces whose compatibility it keeps.
 CACHED, PAIRS = 1_500_000, 1 << 21
-LONGEST = 64
+#: Longer stretches are relaxed one by one, in windows of so many bytes; shorter ones all at once.
+LONGEST, WINDOW = 64, 1 << 16
+#: Pairs of pieces whose compatibility is kept for long stretches.
+REMEMBERED = 500_000
 
 
 def model_path() -> str:
@@ -222,9 +226,11 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(stretches)
         plain = []
         for i, s in enumerate(stretches):
-            # Runs of spaces have pieces of equal score, and very long stretches would need many steps: by definition.
-            if b"  " in s or b"\xe2\x96\x81" in s or len(s) > LONGEST:
-                out[i] = np.array(self._by_parts(s.decode().replace(MARK, " ")), np.int32)
+            # Runs of spaces have pieces of equal score: by definition.
+            if b"  " in s or b"\xe2\x96\x81" in s:
+                out[i] = np.array(merge_long(v, s.decode().replace(MARK, " ")), np.int32)
+            elif len(s) > LONGEST:
+                out[i] = self._encode_long(s)
             else:
                 plain.append(i)
         if not plain:
@@ -292,26 +298,64 @@ class Encoder:
         edge = np.searchsorted(owner, np.arange(len(plain) + 1))
         flat = flat.astype(np.int32)
         for n, i in enumerate(plain):
-            out[i] = np.array(v.merge(stretches[i].decode()), np.int32) if lost[n] else flat[edge[n] : edge[n + 1]]
+            out[i] = np.array(merge_long(v, stretches[i].decode()), np.int32) if lost[n] else flat[edge[n] : edge[n + 1]]
         return out
 
-    def _by_parts(self, s: str) -> list[int]:
-        """BPE by definition, piecewise: no piece crosses a character that has none, so long stretches fall apart there."""
-        out: list[int] = []
-        at = 0
-        for i, c in enumerate(s):
-            if c not in self.v.id_of:
-                out += self.v.merge(s[at:i]) if i > at else []
-                out += self.v.byte_ids[list(c.encode())].tolist()
-                at = i + 1
-        if at < len(s):
-            out += merge_long(self.v, s[at:])
-        return out
+    def _encode_long(self, stretch: bytes) -> np.ndarray:
+        """One long stretch: the edges of a window of it at a time, sorted by their ends and relaxed in this order."""
+        v, n = self.v, len(stretch)
+        raw = np.frombuffer(stretch, np.uint8)
+        reach = max(int(v.lengths.max()), 4)
+        NONE, START = -3, -2
+        last, last_start = array("i", [NONE]) * (n + 1), array("i", [0]) * (n + 1)
+        last[0] = START
+        known: dict[tuple[int, int], bool] = {}
+        late: list[tuple[int, int, int]] = []  # edges that end beyond their window
+        for low in range(0, n, WINDOW):
+            high = min(low + WINDOW, n)
+            part = raw[low : min(high + reach, n)]
+            place, piece = self.edges(part)
+            inside = place < high - low
+            place, piece = place[inside] + low, piece[inside]
+            end, token = place + v.lengths[piece], v.ids[piece]
+            # Characters without a piece: edges of their own, which go with all neighbours.
+            lead = np.flatnonzero((raw[low:high] & 0xC0) != 0x80) + low
+            width = np.where(raw[lead] < 0x80, 1, np.where(raw[lead] < 0xE0, 2, np.where(raw[lead] < 0xF0, 3, 4)))
+            has = np.zeros(high - low, bool)
+            char = np.where(raw[place] < 0x80, 1, np.where(raw[place] < 0xE0, 2, np.where(raw[place] < 0xF0, 3, 4)))
+            has[place[end - place == char] - low] = True
+            lone = ~has[lead - low]
+            edges = late + list(zip(np.append(end, lead[lone] + width[lone]).tolist(), np.append(place, lead[lone]).tolist(), np.append(token, np.full(int(lone.sum()), -1)).tolist(), strict=True))
+            edges.sort()
+            late = [x for x in edges if x[0] > high]
+            for e, s, t in edges:
+                if e > high:
+                    break
+                before = last[s]
+                if before == NONE:
+                    continue
+                if before >= 0 and t >= 0:
+                    ok = known.get((before, t))
+                    if ok is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        ok = known[before, t] = v.compatible(before, t)
+                    if not ok:
+                        continue
+                last[e], last_start[e] = t, s
+        ids = array("i")
+        at = n
+        while at > 0:
+            t, s = last[at], last_start[at]
+            if t == NONE:
+                return np.array(merge_long(v, stretch.decode()), np.int32)
+            ids.extend([t] if t >= 0 else v.byte_ids[raw[s:at]][::-1].tolist())
+            at = s
+        return np.array(ids, np.int32)[::-1]
 
     def encode(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all stretches one after the other, and the number of ids of each."""
-        prefix = prefix_hash(BYTE[raw])
-        key = mix(span_hash(prefix, start, end) ^ (end - start).astype(U64))
+        key = mix(text_hashes(raw, start, end) ^ (end - start).astype(U64))
         fresh, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         begin, count = self._lookup(fresh)
         new = np.flatnonzero(begin < 0)
@@ -473,4 +517,5 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, round_trip of every document; cases as in ``encode_digest``."""
     return encode_digest(table(spark, sf_dir, "documents"))

@@ -333,7 +333,12 @@ def dedup(docs: DataFrame, width: int = 20) -> DataFrame:
 
 
 def dedup_rows(docs: DataFrame, width: int = 20) -> DataFrame:
-    """All rows and columns of ``docs``; texts that lose words are their kept words joined by one space, and n_chars follows."""
+    """All rows and columns of ``docs``; texts that lose words are their kept words joined by one space, and n_chars follows.
+
+    Cases as in ``dedup``: null and empty texts stay as they are, rows of one doc_id (or of none) are told apart by
+    their texts, texts of any length count whole, an empty table gives an empty one.  Columns of any name pass
+    through; a column n_chars is updated where a text changes.
+    """
     rows = docs.select(doc_key().alias("doc"), text_key().alias("row"), F.struct("*").alias("whole"), F.col("text").cast("string").alias("text"))
     at = rows.join(repeated_windows(docs, width).hint("shuffle_hash"), ["doc", "row"], "left")
     names = docs.columns
@@ -359,6 +364,7 @@ def dedup_rows(docs: DataFrame, width: int = 20) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document; cases as in ``dedup``."""
     kept = dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import BYTE, U64, mix, prefix_hash, release, runs, signed, span_hash, texts_of
-from tessera.llm.common import doc_key, id_of, in_runs, packed_texts, table, unpacked, written
+from tessera.llm.common import doc_key, id_of, in_runs, packed_texts, table, text_key, unpacked, written
 from tessera.llm.recompress import _gathered, _ranges, _rows
 
 GRAM = 32
-#: Low bits of a rank hold the place, so that equal hashes go to the leftmost.
-PLACE = U64((1 << 28) - 1)
+#: Low bits of a rank hold the place (a text has less than 2 GiB), so that equal hashes go to the leftmost.
+PLACE = U64((1 << 31) - 1)
 HELD = 400_000
 #: Suffixes that a task sorts into one run.
 RUN = 60_000
@@ -54,16 +54,16 @@ def anchors(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """key, doc, lo, hi, at, lead (first bytes of the suffix as a number), kind.
+    """key, doc, row, lo, hi, at, lead (first bytes of the suffix as a number), kind.
 
     An anchor whose hash the task holds more than once is known to be shared; of these one row stays open for the
     other tasks to meet, so that a string that a third of all texts hold leaves a row for each task.
     """
-    names = ["key", "doc", "lo", "hi", "at", "lead", "kind"]
+    names = ["key", "doc", "row", "lo", "hi", "at", "lead", "kind"]
     held: list[tuple[np.ndarray, ...]] = []
 
     def out() -> Iterator[pa.RecordBatch]:
-        key, doc, lo, hi, at, lead = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, doc, row, lo, hi, at, lead = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         _, back, count = np.unique(key, return_inverse=True, return_counts=True)
         shared = count[back] > 1
@@ -71,16 +71,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         first[np.unique(key, return_index=True)[1]] = True
         known = np.where(shared, KNOWN, OPEN).astype(np.int8)
         # A known row goes on under a key of its own; its first one also meets the others, as a row without windows.
-        yield _rows(names, np.where(shared, mix(doc.view(U64) + at.astype(U64)), key), doc, lo, hi, at, lead, known)
+        yield _rows(names, np.where(shared, mix(doc.view(U64) + at.astype(U64)), key), doc, row, lo, hi, at, lead, known)
         f = first & shared
         if f.any():
-            yield _rows(names, key[f], doc[f], np.full(f.sum(), 1), np.zeros(f.sum(), np.int64), at[f], lead[f], np.full(f.sum(), OPEN, np.int8))
+            yield _rows(names, key[f], doc[f], row[f], np.full(f.sum(), 1), np.zeros(f.sum(), np.int64), at[f], lead[f], np.full(f.sum(), OPEN, np.int8))
         release()
 
     for batch in batches:
         for part in runs(batch):
             raw, at = texts_of(part.column("text"))
-            ids = part.column("doc").to_numpy(zero_copy_only=False)
+            ids, rows = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "row"))
             text, lo, hi, place, key = anchors(raw, at, width)
             if not len(text):
                 continue
@@ -88,7 +88,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             for i in range(7):
                 lead = (lead << 8) | raw[place + i]
             base = at[text]
-            held.append((key, ids[text].astype(np.int64), lo - base, hi - base, place - base, lead))
+            held.append((key, ids[text], rows[text], lo - base, hi - base, place - base, lead))
             if sum(len(x[0]) for x in held) > HELD:
                 yield from out()
     if held:
@@ -97,13 +97,13 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The anchors whose hash occurs more than once."""
-    key, doc, lo, hi, at, lead, kind = _gathered(batches, "key", "doc", "lo", "hi", "at", "lead", "kind")
+    key, doc, row, lo, hi, at, lead, kind = _gathered(batches, "key", "doc", "row", "lo", "hi", "at", "lead", "kind")
     if not len(key):
         return
     _, back, count = np.unique(key, return_inverse=True, return_counts=True)
     # A row without windows stands for a known one: the hash is shared though the key may occur once here.
     keep = (kind == KNOWN) | ((count[back] > 1) & (lo <= hi))
-    yield _rows(["doc", "lo", "hi", "at", "lead"], *(x[keep] for x in (doc, lo, hi, at, lead)))
+    yield _rows(["doc", "row", "lo", "hi", "at", "lead"], *(x[keep] for x in (doc, row, lo, hi, at, lead)))
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -192,7 +192,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], width: int, cuts: np.ndarray
     Of anchors with equal surroundings in a run one goes on; all of them repeat, so their windows are covered, which
     the rows of range -1 say.
     """
-    held: list[tuple[bytes, bytes, int, int, int]] = []  # suffix, bytes before, hi to anchor, doc, anchor
+    held: list[tuple[bytes, bytes, int, int, int, int]] = []  # suffix, bytes before, hi to anchor, doc, row, anchor
 
     def out() -> Iterator[pa.RecordBatch]:
         held.sort()
@@ -204,7 +204,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], width: int, cuts: np.ndarray
                 j += 1
             keep.append(held[i])
             if j > i + 1:
-                covered += [(doc, at - len(left), at - back) for _, left, back, doc, at in held[i:j]]
+                covered += [(doc, row, at - len(left), at - back) for _, left, back, doc, row, at in held[i:j]]
             i = j
         held.clear()
         lead = np.array([int.from_bytes(x[0][:7].ljust(7, b"\0"), "big") for x in keep], np.int64)
@@ -214,11 +214,11 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], width: int, cuts: np.ndarray
         for a, b in zip(edges, edges[1:], strict=False):
             part = keep[a:b]
             lcp, tails = front_code([x[0] for x in part])
-            meta = np.array([(len(x[0]), len(x[1]), x[2], x[3], x[4]) for x in part], np.int64).T
+            meta = np.array([(len(x[0]), len(x[1]), *x[2:]) for x in part], np.int64).T
             rows.append((int(bucket[a]), lcp.tobytes(), tails, np.ascontiguousarray(meta).tobytes(), b"".join(x[1] for x in part)))
         if covered:
-            d, lo, hi = _ranges(*np.array(covered, np.int64).T)
-            rows.append((-1 - int(d[0]) % 64, b"", b"", np.stack([d, lo, hi]).tobytes(), b""))
+            found = np.stack(_ranges(*np.array(covered, np.int64).T))
+            rows.append((-1 - int(found[0, 0]) % 64, b"", b"", found.tobytes(), b""))
         names = ["bucket", "lcp", "tails", "meta", "before"]
         release()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names)
@@ -226,12 +226,12 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], width: int, cuts: np.ndarray
     for batch in batches:
         for part in in_runs(batch):
             texts = unpacked(part.column("packed"))
-            for doc, text, found in zip(part.column("doc").to_pylist(), texts, part.column("open").to_pylist(), strict=True):
+            for doc, row, text, found in zip(part.column("doc").to_pylist(), part.column("row").to_pylist(), texts, part.column("open").to_pylist(), strict=True):
                 raw = text.as_py()
                 for r in found:
                     lo, hi, at = r["lo"], r["hi"], r["at"]
                     if hi + width <= len(raw):
-                        held.append((raw[at : hi + width], raw[lo:at], at - hi, doc, at))
+                        held.append((raw[at : hi + width], raw[lo:at], at - hi, doc, row, at))
             if len(held) > RUN:
                 yield from out()
     if held:
@@ -239,13 +239,13 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], width: int, cuts: np.ndarray
 
 
 def _merge(table_of_runs: pa.Table, width: int) -> pa.Table:
-    """Merge the runs of a range and find the windows that occur more than once; doc, lo, hi of their starts."""
-    names = ["doc", "lo", "hi"]
+    """Merge the runs of a range and find the windows that occur more than once; doc, row, lo, hi of their starts."""
+    names = ["doc", "row", "lo", "hi"]
     rows = table_of_runs.to_pylist()
     if rows[0]["bucket"] < 0:
-        d, lo, hi = np.concatenate([np.frombuffer(r["meta"], np.int64).reshape(3, -1) for r in rows], axis=1)
-        return pa.Table.from_batches([_rows(names, *_ranges(d, lo, hi))])
-    metas = [np.frombuffer(r["meta"], np.int64).reshape(5, -1) for r in rows]
+        covered = np.concatenate([np.frombuffer(r["meta"], np.int64).reshape(4, -1) for r in rows], axis=1)
+        return pa.Table.from_batches([_rows(names, *_ranges(*covered))])
+    metas = [np.frombuffer(r["meta"], np.int64).reshape(6, -1) for r in rows]
     tree = LoserTree([front_decode(np.frombuffer(r["lcp"], np.int32), m[0], r["tails"]) for r, m in zip(rows, metas, strict=True)])
     merged_order = np.fromiter((x for pair in tree for x in pair), np.int64).reshape(-1, 2)
     run, lcp = merged_order.T
@@ -253,7 +253,7 @@ def _merge(table_of_runs: pa.Table, width: int) -> pa.Table:
     inner = np.zeros(len(run), np.int64)  # each run keeps its order
     for i in range(len(rows)):
         inner[run == i] = np.arange(metas[i].shape[1])
-    _, left, back, doc, at = np.concatenate(metas, axis=1)[:, base[run] + inner]
+    _, left, back, doc, row, at = np.concatenate(metas, axis=1)[:, base[run] + inner]
     # The bytes before each anchor, nearest first.
     before = np.zeros((len(run), width - GRAM), np.uint8)
     starts = np.cumsum([0, *left[np.argsort(base[run] + inner)]])[base[run] + inner]
@@ -264,7 +264,7 @@ def _merge(table_of_runs: pa.Table, width: int) -> pa.Table:
     near = np.maximum(lcp, np.append(lcp[1:], 0)) >= GRAM
     # For each anchor the distance at which its present row of repeated windows began; a row that ends is a range.
     began = np.full(len(run), -1, np.int64)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     hashed = np.zeros(len(run), U64)
     for d in range(width - GRAM + 1):
         if d:
@@ -278,29 +278,29 @@ def _merge(table_of_runs: pa.Table, width: int) -> pa.Table:
             same = key[order][1:] == key[order][:-1]
             hit[rows_at[order[np.append(same, False) | np.append(False, same)]]] = True
         ended = np.flatnonzero((began >= 0) & ~hit)
-        found.append((doc[ended], at[ended] - d + 1, at[ended] - began[ended]))
+        found.append((doc[ended], row[ended], at[ended] - d + 1, at[ended] - began[ended]))
         began[ended] = -1
         began[hit & (began < 0)] = d
     ended = np.flatnonzero(began >= 0)
-    found.append((doc[ended], at[ended] - (width - GRAM), at[ended] - began[ended]))
+    found.append((doc[ended], row[ended], at[ended] - (width - GRAM), at[ended] - began[ended]))
     release()
     return pa.Table.from_batches([_rows(names, *_ranges(*(np.concatenate(x) for x in zip(*found, strict=True))))])
 
 
 def repeated_strings(docs: DataFrame, width: int = 200) -> DataFrame:
-    """doc, ranges (lo, hi): the starts of all strings of ``width`` bytes that also start elsewhere."""
+    """doc, row (of its text), ranges (lo, hi): the starts of all strings of ``width`` bytes that also start elsewhere."""
     spark = docs.sparkSession
-    texts = docs.select(doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(lambda it: _anchor_rows(it, width), "key long, doc long, lo long, hi long, at long, lead long, kind byte")
-    shared = written(rows.repartition("key").mapInArrow(_shared, "doc long, lo long, hi long, at long, lead long"), "shared-anchors")
+    texts = docs.select(doc_key().alias("doc"), text_key().alias("row"), F.col("text").cast("string").alias("text"))
+    rows = texts.mapInArrow(lambda it: _anchor_rows(it, width), "key long, doc long, row long, lo long, hi long, at long, lead long, kind byte")
+    shared = written(rows.repartition("key").mapInArrow(_shared, "doc long, row long, lo long, hi long, at long, lead long"), "shared-anchors")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = shared.select(F.percentile_approx("lead", F.array(*[F.lit(i / n) for i in range(1, n)] or [F.lit(0.5)]), F.lit(20_000))).first()[0]
     cuts = np.unique(np.array(cuts or [], np.int64))
-    open_at = shared.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("open"))
-    at = packed_texts(docs).join(open_at.hint("shuffle_hash"), "doc")
+    open_at = shared.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("open"))
+    at = packed_texts(docs, doc=doc_key(), row=text_key()).join(open_at.hint("shuffle_hash"), ["doc", "row"])
     front = at.mapInArrow(lambda it: _sorted_runs(it, width, cuts), "bucket int, lcp binary, tails binary, meta binary, before binary")
-    found = front.groupBy("bucket").applyInArrow(lambda t: _merge(t, width), "doc long, lo long, hi long")
-    return found.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    found = front.groupBy("bucket").applyInArrow(lambda t: _merge(t, width), "doc long, row long, lo long, hi long")
+    return found.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -328,16 +328,17 @@ def dedup_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
 
     A string is ``width`` UTF-8 bytes of one text; it counts where it starts at two places of any texts, overlapping
     ones included.  All strings are judged on the input.  ``kept`` is binary, as a cut may fall inside a character.
-    Null or empty text: no bytes.  Null doc_id: kept as null.  Rows of equal doc_id are one document to the search:
-    a string that starts at equal places of two such rows may count as repeated, and what is found at a place is
-    removed in all of them.  Other columns are ignored.
+    Null or empty text: no bytes.  Null doc_id: kept as null.  Rows of equal doc_id (or of none) are told apart by
+    their texts, and each loses only what its own text repeats; of repeated rows each loses what they share, as the
+    strings of one start in the other.  Texts of any length are worked on whole.  Other columns are ignored.
     """
-    at = packed_texts(docs).join(repeated_strings(docs, width).hint("shuffle_hash"), "doc", "left")
+    at = packed_texts(docs, doc=doc_key(), row=text_key()).join(repeated_strings(docs, width).hint("shuffle_hash"), ["doc", "row"], "left")
     done = at.mapInArrow(lambda it: _cut(it, width), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.select(id_of("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; cases as in ``dedup_bytes``."""
     kept = dedup_bytes(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

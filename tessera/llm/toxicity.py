@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.arrays import runs
 from tessera.llm.common import doc_key, id_of, table, written
 
 #: Groups of identity terms. A term may be swapped for any other term of its group.
@@ -35,6 +35,8 @@ WORD = r"[^\W\d_]+"
 STEMS = (4, 5, 6, 7)
 #: Word counts are handed on whenever a task holds this many.
 COUNTS = 200_000
+#: Words whose features a task remembers.
+REMEMBERED = 200_000
 
 
 def words(text: str | None) -> set[str]:
@@ -61,19 +63,20 @@ def swapped(text: str | None, terms: dict[str, int], groups: Sequence[Sequence[s
                 yield gone - come, come - gone
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of rows, and of rows with label 1, for each feature; the feature '' counts all rows."""
     every: Counter[str] = Counter()
     toxic: Counter[str] = Counter()
 
-    def out() -> pd.DataFrame:
-        return pd.DataFrame({"feature": pd.Series(list(every), dtype=object), "df": list(every.values()), "df_pos": [toxic[f] for f in every]})
+    def out() -> pa.RecordBatch:
+        columns = [pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[f] for f in every], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["feature", "df", "df_pos"])
 
     for b in batches:
-        for y, text in zip(b["y"], b["text"], strict=True):
-            found = features(text) | {""}
+        for y, text in zip(b.column("y"), b.column("text"), strict=True):
+            found = features(text.as_py()) | {""}
             every.update(found)
-            if y:
+            if y.as_py():
                 toxic.update(found)
             if len(every) > COUNTS:
                 yield out()
@@ -81,18 +84,21 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
-def scorer(model: dict) -> Callable[[pd.Series], np.ndarray]:
-    """Raw scores (log odds) of texts."""
-    weights, bias = model["weights"], model["bias"]  # VOCABULARY features and the identity terms at most
-    plain = frozenset(w for w in weights if not w.endswith("*"))
-    stems = [(n, s) for n in STEMS if (s := frozenset(w for w in weights if len(w) == n + 1 and w.endswith("*")))]
+def scorer(model: dict) -> Callable[[Iterable[str | None]], np.ndarray]:
+    """Raw scores (log odds) of texts. What each word contributes is looked up once, for at most REMEMBERED words."""
+    weights, bias = model["weights"], model["bias"]  # the chosen features and the identity terms
+    known: dict[str, tuple[str, ...]] = {}
 
     def one(text: str | None) -> float:
-        found = words(text)
-        hits = found & plain
-        for n, known in stems:
-            hits |= {w[:n] + "*" for w in found if len(w) > n} & known
-        return bias + sum(weights[w] for w in sorted(hits))
+        hits: set[str] = set()
+        for w in words(text):
+            found = known.get(w)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[w] = tuple(f for f in _features({w}) if f in weights)
+            hits.update(found)
+        return bias + sum(weights[f] for f in sorted(hits))
 
     return lambda texts: np.array([one(t) for t in texts], float)
 
@@ -120,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, groups: Sequence[Sequence[str]] = ID
     labelled = train_labels(docs.select("doc_id", F.lit(None).cast("string").alias("text")), labels).count()
     if labelled > train_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc"), F.lit(labelled)) < train_rows)
-    counts = written(rows.select("y", "text").mapInPandas(_count, "feature string, df long, df_pos long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("df_pos").alias("df_pos")), "toxicity-words")
+    counts = written(rows.select("y", "text").mapInArrow(_count, "feature string, df long, df_pos long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("df_pos").alias("df_pos")), "toxicity-words")
     total = counts.where("feature = ''").first()
     n, pos = (int(total["df"]), int(total["df_pos"])) if total else (0, 0)
     model = {"weights": {}, "bias": -2.0}
@@ -139,24 +145,24 @@ def fit(docs: DataFrame, labels: DataFrame, groups: Sequence[Sequence[str]] = ID
 
     def number(batches):
         for b in batches:
-            at = [[index[w] for w in sorted(features(t)) if w in index] for t in b["text"]]
+            texts = b.column("text").to_pylist()
+            at = [[index[w] for w in sorted(features(t)) if w in index] for t in texts]
             # Of a counterfactual, -1 - i for a feature i that goes and i for one that comes.
-            swaps = [[sorted([-1 - index[w] for w in gone if w in index] + [index[w] for w in come if w in index]) for gone, come in swapped(t, terms, groups)] for t in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "at": at, "swaps": swaps})
-
-    sample = rows.select("y", "text").mapInPandas(number, "y int, at array<int>, swaps array<array<int>>").toPandas()  # train_rows rows or so
-    cols, rws = [], []
-    for i, at in enumerate(sample["at"]):
-        cols += list(at)
-        rws += [i] * len(at)
-    X, y = _Sparse(np.array(rws, int), np.array(cols, int), len(sample), len(vocab)), sample["y"].to_numpy(float)
+            swaps = [[sorted([-1 - index[w] for w in gone if w in index] + [index[w] for w in come if w in index]) for gone, come in swapped(t, terms, groups)] for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], ["y", "at", "swaps"])
+
+    sample = rows.select("y", "text").mapInArrow(number, "y int, at array<int>, swaps array<array<int>>").toArrow().to_pydict()  # train_rows rows or so
+    n_rows = len(sample["y"])
+    cols = np.array([f for at in sample["at"] for f in at], int)
+    X = _Sparse(np.repeat(np.arange(n_rows), [len(at) for at in sample["at"]]), cols, n_rows, len(vocab))
+    y = np.array(sample["y"], float)
     # Counterfactuals as differences of features, equal ones once: the score change is the sum of what comes less that of what goes.
     swaps = Counter(tuple(x) for found in sample["swaps"] for x in found)
     pair = np.repeat(np.arange(len(swaps)), [len(x) for x in swaps])
     signed_at = np.array([f for x in swaps for f in x], int)
     sign, feature = np.where(signed_at < 0, -1.0, 1.0), np.where(signed_at < 0, -1 - signed_at, signed_at)
     D = _Sparse(pair, feature, len(swaps), len(vocab), sign)
-    w, bias = _train(X, y, D, np.array(list(swaps.values()), float) * strength / len(sample), ridge)
+    w, bias = _train(X, y, D, np.array(list(swaps.values()), float) * strength / n_rows, ridge)
     return {"weights": {v: float(w[i]) for v, i in index.items() if abs(w[i]) > 1e-6}, "bias": float(bias)}
 
 
@@ -188,12 +194,14 @@ def _train(X: _Sparse, y: np.ndarray, D: _Sparse, strength: np.ndarray, ridge: f
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, predicted for each row; every word of every text counts. Null or empty text: the bias alone."""
-    def apply(batches):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = scorer(model)
         for b in batches:
-            yield pd.DataFrame({"doc": b["doc"], "score": 1 / (1 + np.exp(-np.clip(raw(b["text"]), -50, 50)))})
+            for part in runs(b):
+                score = 1 / (1 + np.exp(-np.clip(raw(part.column("text").to_pylist()), -50, 50)))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(score)], ["doc", "score"])
 
-    scored = docs.select(doc_key().alias("doc"), "text").mapInPandas(apply, "doc long, score double")
+    scored = docs.select(doc_key().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(apply, "doc long, score double")
     return scored.select(id_of("doc").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -211,10 +219,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their columns."""
-    def keep(batches):
+    """The rows of ``docs`` that the classifier does not reject (score below 0.5), with their columns, whatever their names.
+
+    Each row is judged by its own whole text: repeated rows and rows without an id too.  Null and empty texts have the
+    score of the bias alone.  An empty table gives an empty one; a model without labels of both kinds rejects all or none.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = scorer(model)
         for b in batches:
-            yield b.filter(pa.array(raw(b.column("text").to_pylist()) < 0))
+            for part in runs(b):
+                yield part.filter(pa.array(raw(part.column("text").to_pylist()) < 0))
 
     return docs.mapInArrow(keep, docs.schema)
