@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, jaccard, pieces, recompress, toxicity
-from tessera.llm.common import table, written
+from tessera.llm.common import remove_temporary, table, temporary_tables, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written as Parquet and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
+    start = temporary_tables()
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")
+        remove_temporary(spark, start, temporary_tables() - 1)  # only the stage's result is read from here on
     return STAGES[-1][1](spark, docs, sf_dir)
