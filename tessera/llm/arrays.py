@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Texts are worked on in runs of about this many bytes, so that temporary arrays stay small.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: Byte ranges above this length have a hash of their own kind.
 LONG = 64
 BASE = 0x9E3779B97F4A7C55
@@ -50,14 +50,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    if base not in _powers or len(_powers[base]) < n:
-        size = max(n, RUN_BYTES + 1024)
-        p = np.full(size, base, U64)
-        p[0] = 1
-        _powers[base] = np.cumprod(p)
-        if len(_powers) > 4:
-            _powers.pop(next(iter(_powers)))
-    return _powers[base][:n]
+    if base in _powers and n <= len(_powers[base]):
+        return _powers[base][:n]
+    p = np.full(max(n, RUN_BYTES + 1024), base, U64)
+    p[0] = 1
+    p = np.cumprod(p)
+    if len(p) == RUN_BYTES + 1024:  # those of longer texts are not kept
+        _powers[base] = p
+    return p[:n]
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:

@@ -128,7 +128,7 @@ def unpacked(packed: pa.Array) -> pa.Array:
     return pa.array(raw, pa.large_binary())
 
 
-def in_runs(batch: pa.RecordBatch, run_bytes: int = 4 << 20, column: str = "packed") -> Iterator[pa.RecordBatch]:
+def in_runs(batch: pa.RecordBatch, run_bytes: int = 1 << 19, column: str = "packed") -> Iterator[pa.RecordBatch]:
     """Slices of a batch of packed texts with about ``run_bytes`` of text each."""
     at, size = 0, 0
     for i, x in enumerate(batch.column(column)):

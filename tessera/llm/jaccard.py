@@ -25,12 +25,12 @@ COMMON_ROWS = 2_000_000
 #: Sketches compared at once.
 TILE = 256
 #: A tile holds two blocks of a signature's documents, each of about so many documents and shingles at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 TILE_KEY = ["sig", "low", "high"]
 #: Tables of document keys up to this many rows are broadcast, larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Shingles that a task counts at once; text keys that it remembers.
-HELD, REMEMBERED = 1_000_000, 200_000
+HELD, REMEMBERED = 300_000, 100_000
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -264,7 +264,7 @@ def _forests(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.Reco
     Without ``exact``: between documents that sizes and sketches allow to be similar.  With it: between documents whose
     whole sets are similar, as far as they join components that the tile had not joined before.
     """
-    for t in whole_groups(batches, TILE_KEY, (16 if exact else 4) << 20):
+    for t in whole_groups(batches, TILE_KEY, (8 if exact else 4) << 20):
         doc, side, comp, n = (t.column(c).to_numpy() for c in ("doc", "side", "component", "n"))
         low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
         held = t.column("payload").combine_chunks()

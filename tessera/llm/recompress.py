@@ -109,7 +109,7 @@ def window_anchors(names: np.ndarray, first: np.ndarray, doc: np.ndarray, width:
 
 
 #: A task hands on its anchors, those with equal surroundings merged, whenever it holds this many.
-HELD = 400_000
+HELD = 200_000
 COVERED, OPEN = 1, 0
 
 

@@ -21,7 +21,7 @@ from tessera.llm.recompress import _gathered, _ranges, _rows
 GRAM = 32
 #: Low bits of a rank hold the place (a text has less than 2 GiB), so that equal hashes go to the leftmost.
 PLACE = U64((1 << 31) - 1)
-HELD = 400_000
+HELD = 200_000
 #: Suffixes that a task sorts into one run.
 RUN = 60_000
 KNOWN, OPEN = 1, 0

@@ -34,9 +34,9 @@ WORD = r"[^\W\d_]+"
 #: A word also counts as its first 4, 5, 6 and 7 letters (written with a star), so that inflected forms share evidence.
 STEMS = (4, 5, 6, 7)
 #: Word counts are handed on whenever a task holds this many.
-COUNTS = 200_000
+COUNTS = 100_000
 #: Words whose features a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 
 def words(text: str | None) -> set[str]:
