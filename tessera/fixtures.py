@@ -93,8 +93,8 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(index, queries): object_id, class_id, embedding; case_id, gt_class, pred_class, embedding."""
+    """(index, queries): object_id, class_id, embedding of all rows; case_id, gt_class, pred_class, embedding of every 50th id."""
     e = table(spark, sf_dir, "embeddings")
-    index = e.where("vec_id % 5 <> 0").selectExpr("vec_id AS object_id", "label AS class_id", "CAST(embedding AS ARRAY<DOUBLE>) AS embedding")
-    cases = e.where("vec_id % 5 = 0").selectExpr("vec_id AS case_id", "label AS gt_class", "CAST((label + 1 + vec_id % 9) % 10 AS INT) AS pred_class", "CAST(embedding AS ARRAY<DOUBLE>) AS embedding")
+    index = e.selectExpr("vec_id AS object_id", "label AS class_id", "CAST(embedding AS ARRAY<DOUBLE>) AS embedding")
+    cases = e.where("vec_id % 50 = 0").selectExpr("vec_id AS case_id", "label AS gt_class", "CAST((label + 1 + vec_id % 9) % 10 AS INT) AS pred_class", "CAST(embedding AS ARRAY<DOUBLE>) AS embedding")
     return index, cases

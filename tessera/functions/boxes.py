@@ -148,15 +148,25 @@ def performance_level(ap) -> Column:
     return F.when(c(ap) > 0.9, "good").when(c(ap) > 0.8, "medium").otherwise("poor")
 
 
+#: Advice for a low recall, a low precision, another cause of a low AP, and for a good class.
+RECOMMENDATIONS = (
+    "Add more training samples for this class",
+    "Reduce false positives by adjusting confidence threshold",
+    "Consider data augmentation specific to this class",
+    "Performance is good, no specific recommendation",
+)
+
+
 def recommendation(ap, precision, recall) -> Column:
-    """What to do about a class: null for an AP of 0.85 and more."""
-    advice = F.when(c(recall) < 0.8, "improve_recall").when(c(precision) < 0.8, "improve_precision").otherwise("improve_localization")
-    return F.when(c(ap) < 0.85, advice)
+    """What to do about a class."""
+    recall_text, precision_text, other_text, good_text = RECOMMENDATIONS
+    advice = F.when(c(recall) < 0.8, recall_text).when(c(precision) < 0.8, precision_text).otherwise(other_text)
+    return F.when(c(ap) < 0.85, advice).otherwise(good_text)
 
 
 def confusion_kind(mean_iou, hi: float = 0.8, lo: float = 0.5) -> Column:
     v = c(mean_iou)
-    return F.when(v.isNull(), "unknown").when(v >= hi, "classification").when(v < lo, "localization").otherwise("mixed")
+    return F.when(v.isNull(), "unknown").when(v >= hi, "classification_dominant").when(v < lo, "localization_dominant").otherwise("mixed")
 
 
 def size_ok(width, height, least_side: int = 10, least_aspect: float = 0.0, most_aspect: float = 1e9) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,88 +80,121 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _bands(hash_col: Column, n_bands: int) -> Column:
-    """The 64 bits in ``n_bands`` bands (sizes as equal as can be), each with its number."""
-    edges = [64 * i // n_bands for i in range(n_bands + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(hash_col, 64 - e), 64 - (e - s)).alias("bits")) for i, (s, e) in enumerate(zip(edges, edges[1:], strict=False))])
+def _ball(width: int, radius: int) -> list[int]:
+    """All masks of ``width`` bits with at most ``radius`` of them set."""
+    return [sum(1 << i for i in at) for r in range(radius + 1) for at in itertools.combinations(range(width), r)]
 
 
-def near_pairs(hashes: DataFrame, most: int = 8, id_col: str = "path", hash_col: str = "perceptual_hash") -> DataFrame:
-    """Pairs (a < b) of hashes within a distance of ``most``: two such share one of most + 1 bands, so they join on bands.
+def class_pairs(hashes: DataFrame, most: int = 8, id_col: str = "path", hash_col: str = "perceptual_hash") -> DataFrame:
+    """Pairs (a < b, distance) of the first members of unlike hashes within a distance of ``most``.
 
-    Equal hashes are one for the join: their pairs come from the group, and are between its first member and the rest.
+    Hashes are cut into (most + 1) / 3 bands, so two within the distance differ by two bits at most in one of them:
+    one side is joined on its bands, the other on all masks of two bits.  Wide bands keep what meets by chance small.
     """
     rows = hashes.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
     first = rows.groupBy("h").agg(F.min("id").alias("id"))
-    banded = first.select("id", "h", F.explode(_bands(F.col("h"), most + 1)).alias("x")).select("id", "h", "x.band", "x.bits")
-    p, q = banded.select(F.col("id").alias("p"), F.col("h").alias("hp"), "band", "bits"), banded.select(F.col("id").alias("q"), F.col("h").alias("hq"), "band", "bits")
-    met = p.join(q, ["band", "bits"]).where((F.col("p") < F.col("q")) & (hamming(F.col("hp"), F.col("hq")) <= most)).select("p", "q", "hp", "hq").distinct()
-    classes = met.select(F.col("p").alias("a"), F.col("q").alias("b"), hamming(F.col("hp"), F.col("hq")).alias("distance"))
-    same = rows.join(first.withColumnRenamed("id", "first"), "h").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-    return classes.unionByName(same)
+    n = max(1, (most + 1) // 3)
+    edges = [64 * i // n for i in range(n + 1)]
+    cut = lambda s, e: F.shiftrightunsigned(F.shiftleft("h", 64 - e), 64 - (e - s))
+    plain = F.array(*[F.struct(F.lit(i).alias("band"), cut(s, e).alias("bits")) for i, (s, e) in enumerate(zip(edges, edges[1:], strict=False))])
+    masks = [[m for m in _ball(e - s, most // n)] for s, e in zip(edges, edges[1:], strict=False)]
+    p = first.select(F.col("id").alias("p"), F.col("h").alias("hp"), F.explode(plain).alias("x")).select("p", "hp", "x.band", "x.bits")
+    table = hashes.sparkSession.createDataFrame([(i, m) for i, ms in enumerate(masks) for m in ms], "band int, mask long")  # a few hundred rows
+    q = first.select(F.col("id").alias("q"), F.col("h").alias("hq"), F.explode(plain).alias("x")).select("q", "hq", "x.band", "x.bits")
+    q = q.join(F.broadcast(table), "band").select("q", "hq", "band", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits"))
+    met = p.join(q, ["band", "bits"]).where((F.col("p") < F.col("q")) & (hamming(F.col("hp"), F.col("hq")) <= most))
+    return met.select(F.col("p").alias("a"), F.col("q").alias("b"), hamming(F.col("hp"), F.col("hq")).alias("distance")).distinct()
 
 
-def all_near_pairs(hashes: DataFrame, most: int = 8, id_col: str = "path", hash_col: str = "perceptual_hash") -> DataFrame:
-    """All pairs (a < b) within a distance of ``most``, equal hashes expanded: as many rows as there are pairs."""
+def near_pairs(hashes: DataFrame, most: int = 8, id_col: str = "path", hash_col: str = "perceptual_hash") -> DataFrame:
+    """Pairs (a < b, distance) within ``most`` bits: between the first members of unlike hashes, and of each member of a hash with its first."""
     rows = hashes.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
-    banded = rows.select("id", "h", F.explode(_bands(F.col("h"), most + 1)).alias("x")).select("id", "h", "x.band", "x.bits")
-    p, q = banded.select(F.col("id").alias("a"), F.col("h").alias("hp"), "band", "bits"), banded.select(F.col("id").alias("b"), F.col("h").alias("hq"), "band", "bits")
-    met = p.join(q, ["band", "bits"]).where((F.col("a") < F.col("b")) & (hamming(F.col("hp"), F.col("hq")) <= most))
-    return met.select("a", "b", hamming(F.col("hp"), F.col("hq")).alias("distance")).distinct()
+    first = rows.groupBy("h").agg(F.min("id").alias("first"))
+    same = rows.join(first, "h").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return class_pairs(hashes, most, id_col, hash_col).unionByName(same)
+
+
+#: Fixed value: the image files that a bank takes.
+SUPPORTED = r"\.(jpg|jpeg|png|webp)$"
 
 
 def validate_images(df: DataFrame, least_width: int = 640, least_height: int = 480, least_aspect: float = 0.5, most_aspect: float = 2.5, least_quality: float = 0.25) -> DataFrame:
-    """Reasons against each image, in fixed order; usable if there are none. Unreadable: that reason alone."""
+    """Reasons against each image, in fixed order; usable if there are none.
+
+    A failure before the pixels is the only reason: an unsupported extension (of the path), an unreadable image (no
+    size), sizes that are not positive.  Columns is_found and is_file, if there, tell paths that are not there or no files.
+    """
     aspect = F.when(F.col("height") > 0, F.col("width") / F.col("height"))
     codes = [
         F.when(F.col("width") < least_width, "width_too_small"), F.when(F.col("height") < least_height, "height_too_small"), F.when(aspect < least_aspect, "aspect_ratio_too_small"),
-        F.when(aspect > most_aspect, "aspect_ratio_too_large"), F.when(F.col("is_blurry"), "blurry"), F.when(F.col("is_dark"), "too_dark"), F.when(F.col("is_bright"), "too_bright"),
-        F.when(F.col("is_flat"), "low_contrast"), F.when(F.col("quality_score") < least_quality, "low_quality"),
+        F.when(aspect > most_aspect, "aspect_ratio_too_large"), F.when(F.col("is_blurry"), "image_blurry"), F.when(F.col("is_dark"), "image_too_dark"), F.when(F.col("is_bright"), "image_too_bright"),
+        F.when(F.col("is_flat"), "low_contrast"), F.when(F.col("quality_score") < least_quality, "quality_score_too_low"),
     ]
-    reasons = F.when(F.col("width").isNull(), F.array(F.lit("unreadable"))).otherwise(F.array_compact(F.array(*codes)))
+    flag = lambda name: ~F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+    early = F.when(flag("is_found"), "file_not_found").when(flag("is_file"), "not_a_file")
+    if "path" in df.columns and dict(df.dtypes)["path"] == "string":
+        early = early.when(~F.lower("path").rlike(SUPPORTED), "unsupported_extension")
+    early = early.when(F.col("width").isNull() | F.col("height").isNull(), "image_unreadable").when((F.col("width") <= 0) | (F.col("height") <= 0), "invalid_dimensions")
+    reasons = F.when(early.isNotNull(), F.array(early)).otherwise(F.array_compact(F.array(*codes)))
     return df.withColumn("aspect_ratio", aspect).withColumn("reasons", reasons).withColumn("usable", F.size("reasons") == 0)
 
 
 def accept_in_order(validated: DataFrame, most: int = 8, id_col: str = "path", hash_col: str = "perceptual_hash", checkpoint=None) -> DataFrame:
     """Accept usable images in order of id, unless an earlier *accepted* one is within ``most`` bits.
 
-    Rounds: a row without an undecided earlier neighbour is accepted, and later neighbours of accepted rows are
-    rejected; rounds are few where order and likeness have nothing to do with each other.  ``checkpoint`` cuts the
-    lineage of a DataFrame (default: DataFrame.checkpoint where a folder is set, else a local table).
+    Of equal hashes only the first can be accepted: whatever it meets, the later ones meet too.  So the rounds work
+    on one row for each hash: a row without an undecided earlier neighbour is accepted, and later neighbours of
+    accepted rows are rejected; rounds are few where order and likeness have nothing to do with each other.  Images
+    without a hash are like no other.  ``checkpoint`` cuts the lineage of a DataFrame (default: DataFrame.checkpoint).
     """
-    cut = checkpoint or _cut
-    good = validated.where("usable").select(F.col(id_col).alias("id"))
-    pairs = cut(all_near_pairs(validated.where("usable"), most, id_col, hash_col).select("a", "b"))
-    state = cut(good.withColumn("accepted", F.lit(None).cast("boolean")))
-    while True:
+    cut_off = checkpoint or cut
+    good = validated.where("usable")
+    firsts = good.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(id_col).alias("id")).select("id")
+    pairs = cut_off(class_pairs(good, most, id_col, hash_col).select("a", "b"))
+    state = cut_off(firsts.withColumn("accepted", F.lit(None).cast("boolean")))
+    while not state.where("accepted IS NULL").isEmpty():
         open_rows = state.where("accepted IS NULL").select("id")
         waiting = pairs.join(open_rows.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         new = open_rows.join(waiting, "id", "left_anti").select("id", F.lit(True).alias("decision"))
         beaten = pairs.join(new.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         decided = new.unionByName(beaten.join(open_rows, "id", "left_semi").select("id", F.lit(False).alias("decision")))
-        state = cut(state.join(decided, "id", "left").select("id", F.coalesce("accepted", "decision").alias("accepted")))
-        if state.where("accepted IS NULL").isEmpty():
-            return state
+        state = cut_off(state.join(decided, "id", "left").select("id", F.coalesce("accepted", "decision").alias("accepted")))
+    ids = good.select(F.col(id_col).alias("id"), F.col(hash_col).isNull().alias("_alone"))
+    return ids.join(state, "id", "left").select("id", F.coalesce("accepted", "_alone").alias("accepted"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage in the folder that all executors share."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
     return df.checkpoint()
 
 
 def duplicate_reasons(validated: DataFrame, accepted: DataFrame, most: int = 8, id_col: str = "path", hash_col: str = "perceptual_hash") -> DataFrame:
-    """id, reasons: every image (unusable ones too) against earlier accepted ones; an exact copy has both codes."""
-    kept = accepted.where("accepted").select(F.col("id").alias("a"))
-    near = all_near_pairs(validated, most, id_col, hash_col).join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct()
+    """id, reasons: every image (unusable ones too) against earlier accepted ones; an exact copy has both codes.
+
+    Equal hashes are one for the join, so a large group of copies costs a row for each member.
+    """
+    rows = validated.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
+    kept = accepted.where("accepted").select("id")
+    # Of each hash the first accepted image; unlike hashes meet by the first member of each.
+    firsts = rows.groupBy("h").agg(F.min("id").alias("first"))
+    owners = rows.join(kept, "id", "left_semi").groupBy("h").agg(F.min("id").alias("owner")).join(firsts, "h")
+    pairs = class_pairs(validated, most, id_col, hash_col)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(firsts.select(F.col("first").alias("a"), F.col("first").alias("b")))
+    met = owners.select(F.col("first").alias("a"), "owner").join(both, "a").groupBy("b").agg(F.min("owner").alias("owner"))
+    near = rows.join(firsts, "h").join(met.withColumnRenamed("b", "first"), "first").where("id > owner").select("id")
     hashes = validated.select(F.col(id_col).alias("id"), "content_hash")
-    owner = hashes.join(kept.withColumnRenamed("a", "id"), "id", "left_semi").groupBy("content_hash").agg(F.min("id").alias("owner"))
+    owner = hashes.join(kept, "id", "left_semi").groupBy("content_hash").agg(F.min("id").alias("owner"))
     exact = hashes.join(owner, "content_hash").where("id > owner").select("id").withColumn("_e", F.lit("exact_duplicate"))
-    both = near.withColumn("_n", F.lit("near_duplicate")).join(exact, "id", "full_outer")
-    return both.select("id", F.array_compact(F.array("_e", "_n")).alias("reasons"))
+    coded = near.withColumn("_n", F.lit("near_duplicate")).join(exact, "id", "full_outer")
+    return coded.select("id", F.array_compact(F.array("_e", "_n")).alias("reasons"))
 
 
 def bank_summary(validated: DataFrame) -> DataFrame:

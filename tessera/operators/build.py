@@ -65,16 +65,23 @@ def extract_objects(annotated: DataFrame) -> DataFrame:
 
 
 def check_metadata(objects: DataFrame) -> DataFrame:
-    """Integrity rules of object metadata, as a list of problems."""
-    codes = [
-        F.when(F.col("object_id").isNull() | (F.col("object_id") == ""), "missing_object_id"), F.when(F.col("source_image").isNull(), "missing_source"),
-        F.when(F.col("class_id").isNull() | (F.col("class_id") < 0), "bad_class_id"), F.when(F.col("class_name").isNull(), "missing_class_name"),
-        F.when(F.coalesce(F.col("image_width"), F.lit(0)) <= 0, "bad_image_width"), F.when(F.coalesce(F.col("image_height"), F.lit(0)) <= 0, "bad_image_height"),
-        F.when(~F.coalesce((F.col("x1") >= 0) & (F.col("y1") >= 0), F.lit(False)), "negative_box"), F.when(~F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False)), "empty_box"),
-        F.when((F.col("x2") > F.col("image_width")) | (F.col("y2") > F.col("image_height")), "box_outside"), F.when(~F.coalesce(F.col("occupancy").between(0, 1), F.lit(False)), "bad_occupancy"),
-        F.when(~F.coalesce(F.col("segmentation_score").between(0, 1), F.lit(False)), "bad_score"),
+    """Integrity rules of object metadata, as a list of problems; a missing value breaks its rule.
+
+    Columns: object_id, split, class_id, class_name, image_width, image_height, x1, y1, x2, y2, crop_width,
+    crop_height, segmentation_score, mask_area, bbox_area, occupancy.
+    """
+    holds = lambda rule: F.coalesce(rule, F.lit(False))
+    v = F.col
+    rules = [
+        ("empty_object_id", v("object_id") != ""), ("not_train_split", v("split") == "train"), ("negative_class_id", v("class_id") >= 0), ("empty_class_name", v("class_name") != ""),
+        ("invalid_image_dimensions", (v("image_width") > 0) & (v("image_height") > 0)),
+        ("bbox_outside_image", (v("x1") >= 0) & (v("y1") >= 0) & (v("x2") <= v("image_width")) & (v("y2") <= v("image_height"))),
+        ("invalid_bbox_dimensions", (v("x2") > v("x1")) & (v("y2") > v("y1"))),
+        ("crop_size_mismatch", (v("crop_width") == v("x2") - v("x1")) & (v("crop_height") == v("y2") - v("y1"))),
+        ("segmentation_score_out_of_range", v("segmentation_score").between(0, 1)), ("empty_mask", v("mask_area") > 0), ("invalid_bbox_area", v("bbox_area") > 0),
+        ("occupancy_out_of_range", v("occupancy").between(0, 1)),
     ]
-    return objects.withColumn("problems", F.array_compact(F.array(*codes)))
+    return objects.withColumn("problems", F.array_compact(F.array(*[F.when(~holds(rule), name) for name, rule in rules])))
 
 
 def object_pool(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def place(plan: DataFrame, seed: int, low: float = 0.10, high: float = 0.35, fit
         shrink = F.least(F.lit(1.0), F.col("width") / width)
         height, width = height * shrink, width * shrink
     out = plan.withColumn("place_w", F.greatest(F.lit(1), F.floor(width).cast("int"))).withColumn("place_h", F.greatest(F.lit(1), F.floor(height).cast("int")))
-    at = lambda name, room: F.floor(uniform(seed, F.lit(name), "name") * F.greatest(F.lit(0), room)).cast("int")
+    at = lambda name, room: F.floor(uniform(seed, F.lit(name), "name") * (F.greatest(F.lit(0), room) + 1)).cast("int")
     return out.withColumn("place_x", at("x", F.col("width") - F.col("place_w"))).withColumn("place_y", at("y", F.col("height") - F.col("place_h")))
 
 
@@ -228,6 +235,23 @@ def audit_oversample(source: DataFrame, output: DataFrame, expected: DataFrame)
     return lost.unionByName(differs).unionByName(unknown).unionByName(wrong)
 
 
+def oversample_totals(output: DataFrame) -> DataFrame:
+    """Originals, copies and samples of an oversampled set, and whether they add up."""
+    out = output.agg(F.count_if(F.col("kind") == "original").alias("originals"), F.count_if(F.col("kind") == "copy").alias("copies"), F.count("*").alias("samples"))
+    return out.withColumn("adds_up", F.col("originals") + F.col("copies") == F.col("samples"))
+
+
+def copy_frequency(output: DataFrame) -> DataFrame:
+    """How many sources have how many copies."""
+    n = output.where("kind = 'copy'").groupBy("source_stem").agg(F.count("*").alias("copies"))
+    return n.groupBy("copies").agg(F.count("*").alias("sources"))
+
+
+def copy_classes(output: DataFrame, classes: DataFrame) -> DataFrame:
+    """Copies of each class (source_stem, class_id of the selected objects)."""
+    return output.where("kind = 'copy'").join(classes, "source_stem").groupBy("class_id").agg(F.count("*").alias("copies"), F.countDistinct("source_stem").alias("sources"))
+
+
 def reconcile(summary: DataFrame, samples: DataFrame) -> DataFrame:
     """Whether a build's summary row (images, labels, originals, synthetic, objects) agrees with itself and its samples."""
     n = samples.agg(F.count("*").alias("n_samples"), F.count_if(F.col("kind") == "synthetic").alias("n_synthetic"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import confusion_kind
-from tessera.operators.matching import match_cases
+from tessera.operators.matching import box_iou, left_over, match_cases
 
 
 def _status(a: Column, b: Column) -> Column:
@@ -41,7 +41,16 @@ def compare_confusions(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def compare_error_class(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _compare_counts(a, b, ["class_id"])
+    """False positives or negatives per class: counts, mean confidences where both tables have them, change and status."""
+    more = ["mean_confidence"] if "mean_confidence" in a.columns and "mean_confidence" in b.columns else []
+    delta = F.col("delta")
+    status = F.when(delta > 0, "regressed").when(delta < 0, "improved").otherwise("unchanged")
+    return _compare_counts(a, b, ["class_id"], more).withColumn("status", status)
+
+
+def error_totals(cmp: DataFrame) -> DataFrame:
+    """Both totals of a comparison of counts."""
+    return cmp.agg(F.sum("base_count").alias("base_total"), F.sum("exp_count").alias("exp_total"))
 
 
 def comparison_summary(cmp: DataFrame) -> DataFrame:
@@ -53,32 +62,34 @@ def top_changes(cmp: DataFrame, col: str = "delta", k: int = 5, worst: bool = Tr
     return changed.orderBy(F.desc(col) if worst else F.asc(col), *ties).limit(k)
 
 
-def case_transitions(base: DataFrame, exp: DataFrame, least: float = 0.95) -> DataFrame:
+def case_transitions(base: DataFrame, exp: DataFrame, least: float = 0.95, similarity: Callable[[Column, Column], Column] = box_iou) -> DataFrame:
     """What became of each confusion case (image_id, gt_class, pred_class, case_idx, box, iou, confidence).
 
     Cases are matched one to one by image, true class and box; equal predictions persist, others changed; cases
     without a counterpart were resolved (base) or are new (experiment).
     """
-    m = match_cases(base.withColumn("base_pred", F.col("pred_class")).drop("pred_class"), exp.drop("pred_class"), ["gt_class"], least)
-    a = base.select(F.col("image_id"), F.col("case_idx").alias("base_idx"), F.col("pred_class").alias("base_pred"))
-    b = exp.select(F.col("image_id"), F.col("case_idx").alias("exp_idx"), F.col("pred_class").alias("exp_pred"))
-    met = m.join(a, ["image_id", "base_idx"]).join(b, ["image_id", "exp_idx"])
-    same = F.when(F.col("base_pred") == F.col("exp_pred"), "persistent_error").otherwise("prediction_changed")
-    none = lambda t: F.lit(None).cast(t)
-    paired = met.select("image_id", "gt_class", "base_idx", "exp_idx", "base_pred", "exp_pred", (F.col("exp_iou") - F.col("base_iou")).alias("iou_delta"), (F.col("exp_conf") - F.col("base_conf")).alias("confidence_delta"), same.alias("transition"))
-    gone = base.withColumn("base_idx", F.col("case_idx")).join(m.select("image_id", "base_idx"), ["image_id", "base_idx"], "left_anti").select(
-        "image_id", "gt_class", "base_idx", none("int").alias("exp_idx"), F.col("pred_class").alias("base_pred"), none("bigint").alias("exp_pred"), none("double").alias("iou_delta"), none("double").alias("confidence_delta"), F.lit("confusion_resolved_or_changed").alias("transition"))
-    new = exp.withColumn("exp_idx", F.col("case_idx")).join(m.select("image_id", "exp_idx"), ["image_id", "exp_idx"], "left_anti").select(
-        "image_id", "gt_class", none("int").alias("base_idx"), "exp_idx", none("bigint").alias("base_pred"), F.col("pred_class").alias("exp_pred"), none("double").alias("iou_delta"), none("double").alias("confidence_delta"), F.lit("new_confusion_case").alias("transition"))
-    return paired.unionByName(gone).unionByName(new)
-
-
-def case_persistence(base: DataFrame, exp: DataFrame, least: float = 0.95) -> DataFrame:
+    folded = match_cases(base, exp, ["gt_class"], least, similarity)
+    kinds = {"idx": base.schema["case_idx"].dataType, "pred": base.schema["pred_class"].dataType}
+
+    def row(transition: Column, x: Column | None, y: Column | None) -> Column:
+        of = lambda side, c, kind: (F.lit(None) if side is None else side[c]).cast(kind)
+        change = lambda c: (F.lit(None) if x is None or y is None else y[c] - x[c]).cast("double")
+        return F.struct(
+            of(x, "case_idx", kinds["idx"]).alias("base_idx"), of(y, "case_idx", kinds["idx"]).alias("exp_idx"), of(x, "pred_class", kinds["pred"]).alias("base_pred"), of(y, "pred_class", kinds["pred"]).alias("exp_pred"),
+            change("iou").alias("iou_delta"), change("confidence").alias("confidence_delta"), transition.alias("transition"),
+        )
+
+    same = lambda m: F.when(m["l"]["pred_class"] == m["r"]["pred_class"], "persistent_error").otherwise("prediction_changed")
+    paired = F.transform("taken", lambda m: row(same(m), m["l"], m["r"]))
+    gone = F.transform(left_over("l", "case_idx"), lambda x: row(F.lit("confusion_resolved_or_changed"), x, None))
+    new = F.transform(left_over("r", "case_idx"), lambda y: row(F.lit("new_confusion_case"), None, y))
+    return folded.select("image_id", "gt_class", F.explode(F.concat(paired, gone, new)).alias("t")).select("image_id", "gt_class", "t.*")
+
+
+def case_persistence(base: DataFrame, exp: DataFrame, least: float = 0.95, similarity: Callable[[Column, Column], Column] = box_iou) -> DataFrame:
     """Per class: cases of both experiments, those that persist, were resolved and are new (image_id, class_id, case_idx, box)."""
-    m = match_cases(base, exp, ["class_id"], least).groupBy("class_id").agg(F.count("*").alias("persistent"))
-    x = base.groupBy("class_id").agg(F.count("*").alias("base_cases"))
-    y = exp.groupBy("class_id").agg(F.count("*").alias("exp_cases"))
-    out = x.join(y, "class_id", "full_outer").join(m, "class_id", "left").fillna(0, ["base_cases", "exp_cases", "persistent"])
+    n = {"base_cases": "l", "exp_cases": "r", "persistent": "taken"}
+    out = match_cases(base, exp, ["class_id"], least, similarity).groupBy("class_id").agg(*[F.sum(F.size(c)).cast("bigint").alias(x) for x, c in n.items()])
     return out.withColumn("resolved", F.col("base_cases") - F.col("persistent")).withColumn("new", F.col("exp_cases") - F.col("persistent"))
 
 
@@ -102,8 +113,16 @@ def focus_classes(base: DataFrame, exp: DataFrame, classes: Sequence[int]) -> Da
     return joined.withColumn("delta", F.col("exp_total") - F.col("base_total"))
 
 
+def error_image_list(base: DataFrame, exp: DataFrame) -> DataFrame:
+    """status, image_id, side: every image with an error of that kind, in both experiments, base_only or exp_only."""
+    a = base.select("status", "image_id").distinct().withColumn("a", F.lit(1))
+    b = exp.select("status", "image_id").distinct().withColumn("b", F.lit(1))
+    side = F.when(F.col("b").isNull(), "base_only").when(F.col("a").isNull(), "exp_only").otherwise("both")
+    return a.join(b, ["status", "image_id"], "full_outer").select("status", "image_id", side.alias("side"))
+
+
 def error_image_sets(base: DataFrame, exp: DataFrame) -> DataFrame:
-    """Per kind of error (status): images in both experiments, and in one only."""
+    """Per kind of error (status): how many images in both experiments, and in one only."""
     a = base.select("status", "image_id").distinct().withColumn("a", F.lit(1))
     b = exp.select("status", "image_id").distinct().withColumn("b", F.lit(1))
     both = a.join(b, ["status", "image_id"], "full_outer")
@@ -144,12 +163,23 @@ def check_report(columns: Sequence[str], split: str | None) -> list[str]:
     return missing + ([f"warning:split={split}"] if split not in ("val", "test") else [])
 
 
-def diagnose(metrics: DataFrame, confusions: DataFrame, fp: DataFrame, fn: DataFrame, focus: int, drop: float = 0.02) -> DataFrame:
-    """Signals about one class: code and value, from the comparisons of metrics, confusions and error classes."""
-    recall = metrics.where((F.col("class_id") == focus) & (F.col("recall_delta") <= -drop)).select(F.lit("recall_drop").alias("signal"), F.col("recall_delta").alias("value"))
-    mine = confusions.where((F.col("gt_class") == focus) & (F.col("exp_count") > 0))
-    kinds = mine.groupBy("kind").agg(F.sum("exp_count").cast("double").alias("value"))
-    most = kinds.orderBy(F.desc("value"), "kind").limit(1).select(F.concat(F.col("kind"), F.lit("_dominant")).alias("signal"), "value")
-    pair = mine.orderBy(F.desc("exp_count"), "pred_class").limit(1).select(F.concat(F.lit("dominant_pair_"), F.col("pred_class").cast("string")).alias("signal"), F.col("exp_count").cast("double").alias("value"))
-    rise = lambda df, n: df.where((F.col("class_id") == focus) & (F.col("delta") > 0)).select(F.lit(n).alias("signal"), F.col("delta").cast("double").alias("value"))
-    return recall.unionByName(most).unionByName(pair).unionByName(rise(fp, "false_positive_rise")).unionByName(rise(fn, "false_negative_rise"))
+def diagnose(metrics: DataFrame, confusions: DataFrame, base_stats: DataFrame, exp_stats: DataFrame, fp: DataFrame, fn: DataFrame, focus: int) -> DataFrame:
+    """Diagnostic signals: type, value and, for the dominant confusion, its pair; evidence, not proof of a cause.
+
+    ``metrics``, ``confusions``, ``fp`` and ``fn`` are comparisons, ``*_stats`` the case statistics of all confusions
+    (one row each).  The class's recall fell; confusions rose while the share of cases with a high IoU did not fall;
+    the share with a low IoU rose; the pair that rose most; false positives and negatives of the class rose.
+    """
+    pair = [F.lit(None).cast("bigint").alias("gt_class"), F.lit(None).cast("bigint").alias("pred_class")]
+    signal = lambda kind, value: [F.lit(kind).alias("signal"), value.cast("double").alias("value")]
+    recall = metrics.where((F.col("class_id") == focus) & (F.col("recall_delta") < 0)).select(*signal("recall_regression", F.abs("recall_delta")), *pair)
+    total = confusions.agg((F.sum("exp_count") - F.sum("base_count")).alias("total"))
+    ratios = [df.select(*[F.col(f"{x}_iou_ratio").alias(f"{n}_{x}") for x in ("high", "low")]) for df, n in ((base_stats, "base"), (exp_stats, "exp"))]
+    one = total.crossJoin(ratios[0]).crossJoin(ratios[1])  # one row each
+    fell = F.col("base_high").isNotNull() & (F.col("exp_high") < F.col("base_high"))
+    kept_high = one.where((F.col("total") > 0) & F.col("exp_high").isNotNull() & ~F.coalesce(fell, F.lit(False))).select(*signal("classification_dominant_regression", F.col("exp_high")), *pair)
+    lower = one.where(F.col("exp_low").isNotNull() & (F.col("base_low").isNull() | (F.col("exp_low") > F.col("base_low")))).select(*signal("localization_regression_signal", F.col("exp_low")), *pair)
+    rose = confusions.where(F.col("delta") > 0).orderBy(F.desc("delta"), "gt_class", "pred_class").limit(1)
+    most = rose.select(*signal("dominant_confusion", F.col("delta")), F.col("gt_class").cast("bigint").alias("gt_class"), F.col("pred_class").cast("bigint").alias("pred_class"))
+    rise = lambda df, n: df.where((F.col("class_id") == focus) & (F.col("delta") > 0)).select(*signal(n, F.col("delta")), *pair)
+    return recall.unionByName(kept_high).unionByName(lower).unionByName(most).unionByName(rise(fp, "false_positive_increase")).unionByName(rise(fn, "false_negative_increase"))

@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How a criterion turns an item into a score, and whether a high one is the worse.
-CRITERIA = {"ap": ("ap", False), "count": ("count", True)}
+#: A criterion is the column (or an expression) whose value is the score, and whether a high one is the worse.
+CRITERIA: dict[str, tuple[str | Column, bool]] = {"ap": ("ap", False), "count": ("count", True)}
+
+
+def register_criterion(name: str, score: str | Column, high_is_worse: bool) -> None:
+    """Make a criterion of one's own known to ``rank``."""
+    CRITERIA[name] = (score, high_is_worse)
 
 
 def confusion(matches: DataFrame) -> DataFrame:
@@ -72,11 +77,11 @@ def rank(df: DataFrame, criterion: str, ties: Sequence[str], top_k: int | None =
     if criterion not in CRITERIA:
         raise ValueError(f"unknown criterion {criterion!r}; there are {sorted(CRITERIA)}")
     column, high = CRITERIA[criterion]
-    score = F.col(column).cast("double") if high else 1 - F.col(column)
-    out = df.withColumn("priority_score", score)
+    score = F.col(column) if isinstance(column, str) else column
+    out = df.withColumn("priority_score", score.cast("double"))
     if top_k is not None and top_k <= 0:
         return out.limit(0)
-    ordered = out.orderBy(F.desc("priority_score"), *ties)
+    ordered = out.orderBy(F.desc("priority_score") if high else F.asc("priority_score"), *ties)
     return ordered if top_k is None else ordered.limit(top_k)
 
 
@@ -90,11 +95,13 @@ def policy_score(*scores: Column) -> Column:
 
 
 def error_table(matches: DataFrame) -> DataFrame:
-    """error_type, source_class, target_class, count of all three kinds of error."""
-    conf = confusion(matches).select(F.lit("confusion").alias("error_type"), F.col("gt_class").alias("source_class"), F.col("pred_class").alias("target_class"), "count")
-    fn = false_negatives(matches).select(F.lit("false_negative").alias("error_type"), F.col("class_id").alias("source_class"), F.lit(None).cast("bigint").alias("target_class"), "count")
-    fp = false_positives(matches).select(F.lit("false_positive").alias("error_type"), F.col("class_id").alias("source_class"), F.lit(None).cast("bigint").alias("target_class"), "count")
-    return conf.unionByName(fn).unionByName(fp)
+    """error_type, source_class, target_class, count of all three kinds of error, in one aggregation."""
+    kind = F.when(F.col("status") == "fp", "false_positive").when(F.col("status") == "fn", "false_negative").otherwise("confusion")
+    wrong = matches.where("status <> 'match' OR gt_class <> pred_class")
+    return wrong.groupBy(
+        kind.alias("error_type"), F.when(F.col("status") == "fp", F.col("pred_class")).otherwise(F.col("gt_class")).alias("source_class"),
+        F.when(F.col("status") == "match", F.col("pred_class")).alias("target_class"),
+    ).agg(F.count("*").alias("count"))
 
 
 def extract_patterns(ranked: DataFrame, min_count: int = 1, top_k: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,36 +35,76 @@ def candidate_pairs(preds: DataFrame, gts: DataFrame, least: float, keys: Sequen
     return pairs.where(F.col("iou") >= least)
 
 
-def match_pairs(preds: DataFrame, gts: DataFrame, least: float = 0.5, order: str = "confidence") -> DataFrame:
-    """The matches: predictions by falling confidence (or in input order) each take the free box of highest IoU.
+def fold_sides(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], ids: tuple[str, str], score: Callable[[Column, Column], Column], least: float,
+    order: Callable[[Column, Column, Column], Sequence[Column]],
+) -> DataFrame:
+    """For each group of equal keys: l and r, its rows of both sides, and taken, the pairs (l, r, score) of a greedy match.
 
-    Class plays no part.  Ties go to the lower box index.
+    Pairs whose score is at least ``least`` are taken in the order of ``order(l, r, score)`` if both sides are still
+    free.  Both sides meet in one shuffle by the keys, and all that is left over is in the same row, so matches and
+    leftovers need one pass.  Groups are images or the like, so their arrays stay small.
     """
-    if order not in ("confidence", "input"):
-        raise ValueError(f"order must be 'confidence' or 'input', not {order!r}")
-    pairs = candidate_pairs(preds, gts, least)
-    first = [-F.col("p_confidence")] if order == "confidence" else []
-    by = [*first, F.col("p_pred_idx"), -F.col("iou"), F.col("g_gt_idx")]
-    kept = pairs.select("image_id", "p_pred_idx", "g_gt_idx", "p_class_id", "g_class_id", "p_confidence", "iou")
-    return greedy(kept, ["image_id"], by, "p_pred_idx", "g_gt_idx").select(
-        "image_id", F.col("p_pred_idx").alias("pred_idx"), F.col("g_gt_idx").alias("gt_idx"), F.col("p_class_id").alias("pred_class"),
-        F.col("g_class_id").alias("gt_class"), F.col("p_confidence").alias("confidence"), "iou",
-    )
+    sides = [F.struct(*[x for x in df.columns if x not in keys]).alias(n) for df, n in ((left, "l"), (right, "r"))]
+    kinds = [df.select(side).schema[0].dataType for df, side in zip((left, right), sides, strict=True)]
+    both = left.select(*keys, sides[0], F.lit(None).cast(kinds[1]).alias("r")).unionByName(right.select(*keys, F.lit(None).cast(kinds[0]).alias("l"), sides[1]))
+    grouped = both.groupBy(*keys).agg(F.collect_list("l").alias("l"), F.collect_list("r").alias("r"))
+
+    def pair(x: Column, y: Column) -> Column:
+        return F.struct(score(x, y).alias("score"), x.alias("l"), y.alias("r"))
+
+    every = F.filter(F.flatten(F.transform("l", lambda x: F.transform("r", lambda y: pair(x, y)))), lambda z: z["score"] >= least)
+    by = F.transform(every, lambda z: F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order(z["l"], z["r"], z["score"]))], z["l"][ids[0]].alias("li"), z["r"][ids[1]].alias("ri"), z.alias("z")))
+    paired = grouped.withColumn("c", F.array_sort(by))
+    free = F.expr("size(array_distinct(c.li)) = size(c) AND size(array_distinct(c.ri)) = size(c)")
+    fold = F.expr("aggregate(c, slice(c, 1, 0), (acc, x) -> IF(exists(acc, m -> m.li = x.li OR m.ri = x.ri), acc, array_append(acc, x)))")
+    return paired.select(*keys, "l", "r", F.when(free, F.col("c")).otherwise(fold).alias("c")).select(*keys, "l", "r", F.col("c.z").alias("taken"))
+
+
+def left_over(side: str, own_id: str) -> Column:
+    """The rows of a side of ``fold_sides`` that no pair took."""
+    return F.filter(side, lambda x: ~F.exists("taken", lambda m: m[side][own_id] == x[own_id]))
+
+
+def box_of(x: Column) -> tuple[Column, ...]:
+    return x["x1"], x["y1"], x["x2"], x["y2"]
+
+
+def box_iou(x: Column, y: Column) -> Column:
+    """The similarity of two rows with boxes."""
+    return iou(box_of(x), box_of(y))
 
 
 def match_detections(preds: DataFrame, gts: DataFrame, least: float = 0.5, order: str = "confidence") -> DataFrame:
     """Matches, and what is left: status match, fp (a prediction without a box) or fn (a box without a prediction).
 
-    An image that only one side knows counts with all its rows.
+    Predictions by falling confidence (or in input order) each take the free box of highest IoU.  Class plays no
+    part.  Ties go to the lower box index.  An image that only one side knows counts with all its rows.
     """
-    m = match_pairs(preds, gts, least, order)
-    fp = preds.join(m.select("image_id", "pred_idx"), ["image_id", "pred_idx"], "left_anti").select(
-        "image_id", "pred_idx", F.lit(None).cast("int").alias("gt_idx"), F.col("class_id").alias("pred_class"), F.lit(None).cast("bigint").alias("gt_class"), "confidence", F.lit(None).cast("double").alias("iou"), F.lit("fp").alias("status"),
-    )
-    fn = gts.join(m.select("image_id", "gt_idx"), ["image_id", "gt_idx"], "left_anti").select(
-        "image_id", F.lit(None).cast("int").alias("pred_idx"), "gt_idx", F.lit(None).cast("bigint").alias("pred_class"), F.col("class_id").alias("gt_class"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("double").alias("iou"), F.lit("fn").alias("status"),
+    if order not in ("confidence", "input"):
+        raise ValueError(f"order must be 'confidence' or 'input', not {order!r}")
+    box = ["class_id", "x1", "y1", "x2", "y2"]
+    first = (lambda x: [-x["confidence"]]) if order == "confidence" else (lambda x: [])
+    folded = fold_sides(
+        preds.select("image_id", "pred_idx", "confidence", *box), gts.select("image_id", "gt_idx", *box), ["image_id"], ("pred_idx", "gt_idx"), box_iou, least,
+        lambda x, y, v: [*first(x), x["pred_idx"], -v, y["gt_idx"]],
     )
-    return m.withColumn("status", F.lit("match")).unionByName(fp).unionByName(fn)
+    kinds = {n: df.schema[c].dataType for n, df, c in (("pred_idx", preds, "pred_idx"), ("gt_idx", gts, "gt_idx"), ("pred_class", preds, "class_id"), ("gt_class", gts, "class_id"), ("confidence", preds, "confidence"))}
+
+    def row(status: str, x: Column | None, y: Column | None, v: Column | None) -> Column:
+        got = {"pred_idx": (x, "pred_idx"), "gt_idx": (y, "gt_idx"), "pred_class": (x, "class_id"), "gt_class": (y, "class_id"), "confidence": (x, "confidence")}
+        made = [(F.lit(None) if side is None else side[c]).cast(kinds[n]).alias(n) for n, (side, c) in got.items()]
+        return F.struct(*made, (F.lit(None) if v is None else v).cast("double").alias("iou"), F.lit(status).alias("status"))
+
+    matched = F.transform("taken", lambda m: row("match", m["l"], m["r"], m["score"]))
+    fp = F.transform(left_over("l", "pred_idx"), lambda x: row("fp", x, None, None))
+    fn = F.transform(left_over("r", "gt_idx"), lambda y: row("fn", None, y, None))
+    return folded.select("image_id", F.explode(F.concat(matched, fp, fn)).alias("m")).select("image_id", "m.*")
+
+
+def match_pairs(preds: DataFrame, gts: DataFrame, least: float = 0.5, order: str = "confidence") -> DataFrame:
+    """The matches alone."""
+    return match_detections(preds, gts, least, order).where("status = 'match'").drop("status")
 
 
 def match_predictions(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
@@ -76,18 +116,13 @@ def match_predictions(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFra
     return greedy(kept, ["image_id", "class_id"], [F.col("a_idx"), -F.col("iou"), F.col("b_idx")], "a_idx", "b_idx")
 
 
-def match_cases(base: DataFrame, exp: DataFrame, classes: Sequence[str], least: float = 0.95) -> DataFrame:
-    """One-to-one match of error cases of two experiments, best similarity first.
+def match_cases(base: DataFrame, exp: DataFrame, classes: Sequence[str], least: float = 0.95, similarity: Callable[[Column, Column], Column] = box_iou) -> DataFrame:
+    """One-to-one match of error cases of two experiments, best similarity first: groups with l, r and taken.
 
-    Similarity is the IoU of the cases' boxes where image and classes agree, else 0; so groups of equal image and
-    classes never compete and each is matched by itself.
+    ``similarity`` of two cases is the IoU of their boxes unless given, where image and classes agree, else 0; so
+    groups of equal image and classes never compete and each is matched by itself.
     """
-    keys = ["image_id", *classes]
-    a = base.select(*keys, F.col("case_idx").alias("base_idx"), F.col("iou").alias("base_iou"), F.col("confidence").alias("base_conf"), *[F.col(x).alias(f"p_{x}") for x in ("x1", "y1", "x2", "y2")])
-    b = exp.select(*keys, F.col("case_idx").alias("exp_idx"), F.col("iou").alias("exp_iou"), F.col("confidence").alias("exp_conf"), *[F.col(x).alias(f"g_{x}") for x in ("x1", "y1", "x2", "y2")])
-    pairs = a.join(b, keys).withColumn("score", iou(box_cols("p_"), box_cols("g_"))).where(F.col("score") >= least)
-    kept = pairs.drop(*[f"{s}_{x}" for s in "pg" for x in ("x1", "y1", "x2", "y2")])
-    return greedy(kept, keys, [-F.col("score"), F.col("base_idx"), F.col("exp_idx")], "base_idx", "exp_idx")
+    return fold_sides(base, exp, ["image_id", *classes], ("case_idx", "case_idx"), similarity, least, lambda x, y, v: [-v, x["case_idx"], y["case_idx"]])
 
 
 def nms(preds: DataFrame, least: float = 0.45, per_class: bool = False, most: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.similarity import ranked_objects
+from tessera.operators.similarity import ranked_objects, table_of
 
 
 def shuffle_key(seed: int, *parts: Column | str) -> Column:
@@ -79,10 +79,10 @@ def class_area_sample(pool: DataFrame, n: int, seed: int, groups: Sequence[str]
     """Round robin over the sorted groups; cyclic, in shuffled order, within each."""
     sizes = pool.groupBy(*groups).agg(F.count("*").alias("_size"))
     # A row for each class and bucket.
-    ordered = sizes.withColumn("_g", F.row_number().over(Window.orderBy(*groups)) - 1)
+    ordered = table_of(sizes.withColumn("_g", F.row_number().over(Window.orderBy(*groups)) - 1))
     n_groups = ordered.count()
     draws = pool.sparkSession.range(n).select(F.col("id").alias("draw"), (F.col("id") % n_groups).cast("int").alias("_g"), F.floor(F.col("id") / n_groups).alias("_turn"))
-    wanted = draws.join(F.broadcast(ordered), "_g").withColumn("_at", F.col("_turn") % F.col("_size"))
+    wanted = draws.join(ordered, "_g").withColumn("_at", F.col("_turn") % F.col("_size"))
     w = Window.partitionBy(*groups).orderBy(shuffle_key(seed, id_col), id_col)
     member = pool.withColumn("_at", (F.row_number().over(w) - 1).cast("bigint"))
     return wanted.join(member, [*groups, "_at"]).select("draw", *pool.columns)
@@ -97,7 +97,8 @@ def weighted_sample(df: DataFrame, n: int, seed: int, epoch: int = 0, id_col: st
     rows = df.where(F.col(weight) > 0)
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, id_col).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = rows.repartitionByRange(parts, id_col).withColumn("_part", F.spark_partition_id())
+    dealt = table_of(dealt)
     totals = dealt.groupBy("_part").agg(F.sum(weight).alias("_sum"), F.count("*").alias("_n"))
     whole = totals.agg(F.sum("_sum"), F.sum("_n")).first()
     if whole[0] is None:
@@ -131,3 +132,16 @@ def compare_strategies(pool: DataFrame, n: int, seed: int, generations: str = "g
         row = coverage(pool, s).crossJoin(s.agg(F.sum(generations).alias("synthetic_images"))).select(F.lit(name).alias("strategy"), "*")  # one row each
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def coverage_by_class_area(pool: DataFrame, selected: DataFrame, id_col: str = "object_id") -> DataFrame:
+    """Draws of each class in each area bucket, zeros included: a row for each class of the pool."""
+    n = selected.groupBy(id_col).agg(F.count("*").alias("n"))
+    each = pool.select(id_col, "class_name", "bucket").join(n, id_col, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    at = [F.sum(F.when(F.col("bucket") == b, F.col("n")).otherwise(0)).alias(b) for b in ("small", "medium", "large")]
+    return each.groupBy("class_name").agg(*at, F.sum("n").alias("draws"))
+
+
+def coverage_by_generations(selected: DataFrame, generations: str = "generations") -> DataFrame:
+    """Draws and images for each generation count."""
+    return selected.groupBy(generations).agg(F.count("*").alias("draws"), F.sum(generations).alias("synthetic_images"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that go to the workers at once; more are searched in further blocks.
-QUERY_BLOCK = 4096
+#: Query vectors of a block, and objects of a part of the index.
+QUERY_BLOCK, INDEX_PART = 4096, 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,54 +31,58 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / n[:, None]
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int, same_class: str | None = None, per_class: bool = True) -> DataFrame:
+def knn(queries: DataFrame, index: DataFrame, k: int, same_class: str | None = None, per_class: bool = True, other_than_self: bool = False) -> DataFrame:
     """case_id, class_id, object_id, similarity, rank: the ``k`` nearest objects of each query, per class of object.
 
-    ``same_class`` names the query's column that an object's class must equal.  Exact: blocks of at most QUERY_BLOCK
-    query vectors go to the workers, which scan the index in batches, keep a local top k for each query and class and
-    return no more; the global top k is a ranked window over these.  Similarity is rounded to 4 decimals before it is
+    ``same_class`` names the query's column that an object's class must equel.  ``other_than_self`` leaves out the
+    object whose id is the query's own.  Exact: queries are dealt to blocks and the index to parts, each block meets
+    each part in a task of its own, which returns a local top k for each query and class; the global top k is a
+    ranked window over these.  Nothing passes through the driver.  Similarity is rounded to 4 decimals before it is
     ranked; ties go to the smaller object.
     """
-    keep = ["case_id", *([same_class] if same_class else [])]
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    local = None
-    for i in range(n_blocks):
-        part = queries.where(F.pmod(F.xxhash64("case_id"), F.lit(n_blocks)) == i).select(*keep, "embedding").toPandas()
-        if not len(part):
-            continue
-        found = _search(part, index, k, same_class, per_class)
-        local = found if local is None else local.unionByName(found)
-    if local is None:
-        return queries.sparkSession.createDataFrame([], "case_id long, class_id int, object_id long, similarity double, rank int")
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // INDEX_PART)), -(-index.count() // (8 * INDEX_PART)))
+    dealt = lambda df, id_col, own, own_n, other, other_n: (
+        df.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(own_n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+    )
+    wanted = F.col(same_class).cast("int") if same_class else F.lit(None).cast("int")
+    q = dealt(queries.select(F.col("case_id").cast("long").alias("case_id"), wanted.alias("wanted"), "embedding"), "case_id", "block", blocks, "part", parts)
+    x = dealt(index.select(F.col("object_id").cast("long").alias("object_id"), F.col("class_id").cast("int").alias("class_id"), "embedding"), "object_id", "part", parts, "block", blocks)
+
+    def search(some: pd.DataFrame, objects: pd.DataFrame) -> pd.DataFrame:
+        return _search(some, objects, k, same_class is not None, per_class, other_than_self)
+
+    schema = "case_id long, class_id int, object_id long, similarity double"
+    local = q.groupBy("block", "part").cogroup(x.groupBy("block", "part")).applyInPandas(search, schema)
     by = ["case_id", "class_id"] if per_class else ["case_id"]
     w = Window.partitionBy(*by).orderBy(F.desc("similarity"), "object_id")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _search(part: pd.DataFrame, index: DataFrame, k: int, same_class: str | None, per_class: bool) -> DataFrame:
-    q = _unit(np.stack([np.asarray(x, float) for x in part["embedding"]]))
-    ids = part["case_id"].to_numpy(np.int64)
-    wanted = part[same_class].to_numpy() if same_class else None
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            sims = np.round(q @ _unit(np.stack([np.asarray(x, float) for x in b["embedding"]])).T, 4)
-            objects, classes = b["object_id"].to_numpy(np.int64), b["class_id"].to_numpy()
-            groups = [(c, np.flatnonzero(classes == c)) for c in np.unique(classes)] if per_class or same_class else [(None, np.arange(len(b)))]
-            for c, at in groups:
-                rows = np.flatnonzero(wanted == c) if same_class else np.arange(len(q))
-                if not len(rows):
-                    continue
-                order = np.argsort(objects[at], kind="stable")
-                at = at[order]
-                top = np.argsort(-sims[np.ix_(rows, at)], axis=1, kind="stable")[:, :k]
-                row = np.repeat(rows, top.shape[1])
-                obj = at[top.ravel()]
-                yield pd.DataFrame({"case_id": ids[row], "class_id": classes[obj], "object_id": objects[obj], "similarity": sims[row, obj]})
-
-    return index.select("object_id", "class_id", "embedding").mapInPandas(scan, "case_id long, class_id int, object_id long, similarity double")
+def _search(some: pd.DataFrame, objects: pd.DataFrame, k: int, same_class: bool, per_class: bool, other_than_self: bool) -> pd.DataFrame:
+    """The local top k of a block of queries in a part of the index."""
+    empty = pd.DataFrame({"case_id": np.zeros(0, np.int64), "class_id": np.zeros(0, np.int32), "object_id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+    if not len(some) or not len(objects):
+        return empty
+    objects = objects.sort_values("object_id")
+    q, x = (_unit(np.stack([np.asarray(v, float) for v in df["embedding"]])) for df in (some, objects))
+    ids, own, classes = some["case_id"].to_numpy(np.int64), objects["object_id"].to_numpy(np.int64), objects["class_id"].to_numpy()
+    out = [empty]
+    for c in np.unique(classes) if per_class or same_class else [None]:
+        at = np.flatnonzero(classes == c) if c is not None else np.arange(len(own))
+        rows = np.flatnonzero(some["wanted"].to_numpy() == c) if same_class else np.arange(len(q))
+        for a in range(0, len(rows), 512):
+            some_rows = rows[a : a + 512]
+            sims = np.round(q[some_rows] @ x[at].T, 4)
+            if other_than_self:
+                sims[ids[some_rows][:, None] == own[at][None, :]] = -np.inf
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(sims, top, axis=1)
+            i, j = np.nonzero(np.isfinite(best))
+            obj = at[top[i, j]]
+            out.append(pd.DataFrame({"case_id": ids[some_rows[i]], "class_id": classes[obj], "object_id": own[obj], "similarity": best[i, j]}))
+    return pd.concat(out)
 
 
 def margins(cases: DataFrame, neighbours: DataFrame, missing: str = "null") -> DataFrame:
@@ -130,39 +134,47 @@ def pattern_candidates(patterns: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(small, "class_id")
 
 
-def mine_objects(cases: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def mine_objects(cases: DataFrame, index: DataFrame, k: int, other_than_self: bool = False) -> DataFrame:
     """Objects of each case's true class among its ``k`` nearest: how often chosen, best similarity, by whom, and rank."""
-    near = knn(cases, index, k, same_class="gt_class")
+    near = knn(cases, index, k, same_class="gt_class", other_than_self=other_than_self)
     chosen = near.groupBy("object_id", "class_id").agg(
         F.count("*").alias("selection_count"), F.max("similarity").alias("max_similarity"), F.array_sort(F.collect_list(F.struct("case_id", "rank", "similarity"))).alias("selected_by")
     )
     return ranked_objects(chosen, [F.desc("selection_count"), F.desc("max_similarity"), F.col("object_id")])
 
 
+def table_of(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the folder that all executors share."""
+    from tessera.operators.bank import cut
+
+    return cut(df)
+
+
 def ranked_objects(chosen: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Global rank 1..n in two levels: rows are range-partitioned in order, and each partition adds the rows before it."""
     spark = chosen.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = chosen.repartitionByRange(n, *order).sortWithinPartitions(*order)
     numbered = dealt.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id") - F.shiftleft("_part", 33))
-    numbered = numbered.persist()
+    # A table, so that both of its readers see the same ranges even if an executor is lost.
+    numbered = table_of(numbered)
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return numbered.join(F.broadcast(before), "_part").withColumn("global_rank", F.col("_before") + F.col("_in") + 1).drop("_id", "_part", "_in", "_before")
 
 
-def mine_confusions(ranked: DataFrame, cases: DataFrame, index: DataFrame, k: int, cap: int) -> DataFrame:
+def mine_confusions(ranked: DataFrame, cases: DataFrame, index: DataFrame, k: int, cap: int, other_than_self: bool = False) -> DataFrame:
     """For each ranked confusion the objects nearest to its cases: best similarity, matched cases, at most ``cap`` each."""
     mine = cases.join(ranked.select("gt_class", "pred_class", "confusion_rank"), ["gt_class", "pred_class"])
-    near = knn(mine, index, k, same_class="gt_class").join(mine.select("case_id", "confusion_rank", "gt_class", "pred_class"), "case_id")
+    near = knn(mine, index, k, same_class="gt_class", other_than_self=other_than_self).join(mine.select("case_id", "confusion_rank", "gt_class", "pred_class"), "case_id")
     agg = near.groupBy("confusion_rank", "gt_class", "pred_class", "object_id").agg(F.max("similarity").alias("max_similarity"), F.count("*").alias("matched_cases"))
     w = Window.partitionBy("confusion_rank").orderBy(F.desc("max_similarity"), F.desc("matched_cases"), "object_id")
     return agg.withColumn("object_rank", F.row_number().over(w)).where(F.col("object_rank") <= cap)
 
 
-def mine_pattern(patterns: DataFrame, cases: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def mine_pattern(patterns: DataFrame, cases: DataFrame, index: DataFrame, k: int, other_than_self: bool = False) -> DataFrame:
     """For each pattern, the ``k`` nearest candidate objects of each of its cases (cases carry pattern_id)."""
-    near = knn(cases, index, k)
+    near = knn(cases, index, k, other_than_self=other_than_self)
     allowed = pattern_candidates(patterns, index.select("class_id").distinct()).select("pattern_id", "class_id")
     found = near.join(cases.select("case_id", "pattern_id"), "case_id").join(allowed, ["pattern_id", "class_id"])
     w = Window.partitionBy("pattern_id", "case_id").orderBy(F.desc("similarity"), "object_id")
@@ -178,19 +190,40 @@ def check_cases(cases: DataFrame, gt_class: int, pred_class: int) -> DataFrame:
 
 
 def audit_mined(samples: DataFrame, train_images: DataFrame) -> DataFrame:
-    """Error codes of mined samples, and which of equal keys comes first (rank, then position): ``keep``."""
+    """Mined samples with their errors, and ``keep``: valid, and the first of its key by confusion rank and position.
+
+    Columns: image_path, bbox (array), class_name, similarity, matched_test_cases, in_train, confusion_rank, position.
+    Missing keys are the only error of their sample.  ``train_images`` (image_path) are the files that are there.
+    """
     images = train_images.select(F.col("image_path").alias("_known")).distinct()
     s = samples.join(images, F.col("image_path") == F.col("_known"), "left")
+    needed = ["bbox", "class_name", "image_path", "matched_test_cases", "similarity"]
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in needed]))
+    corner = lambda i: F.get("bbox", F.lit(i))
+    four = F.size("bbox") == 4
     sim = F.col("similarity")
     codes = [
-        F.when(F.col("image_path").isNull() | (F.col("image_path") == ""), "missing_image_path"), F.when(F.col("_known").isNull(), "not_in_train"),
-        F.when(F.col("x1").isNull() | F.col("y1").isNull() | F.col("x2").isNull() | F.col("y2").isNull(), "missing_bbox"),
-        F.when((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")), "invalid_bbox"), F.when(sim.isNull() | F.isnan(sim), "missing_similarity"),
-        F.when((sim < -1) | (sim > 1), "similarity_out_of_range"), F.when(F.coalesce("matched_cases", F.lit(0)) < 1, "no_matched_cases"), F.when(F.col("class_id").isNull(), "missing_class"),
+        F.when(~F.coalesce("in_train", F.lit(False)), "not_train_sample").when(F.col("_known").isNull(), "image_not_found"),
+        F.when(~four, "invalid_bbox_length").when(F.exists("bbox", lambda v: v.isNull()), "invalid_bbox_values").when((corner(2) <= corner(0)) | (corner(3) <= corner(1)), "invalid_bbox"),
+        F.when(F.isnan(sim) | ~sim.between(-1, 1), "invalid_similarity"), F.when(F.col("matched_test_cases") < 1, "invalid_matched_test_cases"),
     ]
-    s = s.withColumn("errors", F.array_compact(F.array(*codes))).drop("_known")
-    w = Window.partitionBy("object_key").orderBy("confusion_rank", "position")
-    return s.withColumn("keep", (F.size("errors") == 0) & (F.row_number().over(w) == 1))
+    s = s.withColumn("errors", F.when(F.size(missing) > 0, F.array(F.lit("missing_keys"))).otherwise(F.array_compact(F.array(*codes)))).drop("_known")
+    key = F.concat_ws("|", "image_path", F.concat_ws(",", F.transform("bbox", lambda v: F.format_string("%.4f", v.cast("double")))))
+    s = s.withColumn("object_key", F.when(F.size("errors") == 0, key))
+    first = s.where("object_key IS NOT NULL").groupBy("object_key").agg(F.min(F.struct("confusion_rank", "position")).alias("_first"))
+    s = s.join(first, "object_key", "left")
+    return s.withColumn("keep", F.coalesce(F.struct("confusion_rank", "position") == F.col("_first"), F.lit(False))).drop("_first")
+
+
+def audit_statistics(audited: DataFrame) -> DataFrame:
+    """Totals of ``audit_mined``."""
+    bad = F.size("errors") > 0
+    return audited.agg(F.count("*").alias("total_samples"), F.count_if("keep").alias("valid_samples"), F.count_if(bad).alias("invalid_samples"), F.count_if(~bad & ~F.col("keep")).alias("duplicate_samples"))
+
+
+def audited_manifest(audited: DataFrame) -> DataFrame:
+    """The kept samples by falling similarity, then matches."""
+    return audited.where("keep").orderBy(F.desc("similarity"), F.desc("matched_test_cases"), "object_key")
 
 
 def hard_manifest(mined: DataFrame) -> DataFrame:

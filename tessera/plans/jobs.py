@@ -8,7 +8,10 @@ from tessera.operators import errors, matching, similarity
 
 
 def error_analysis(preds: DataFrame, gts: DataFrame, least: float = 0.5, top_k: int | None = None) -> dict[str, DataFrame]:
-    """Matches once, kept for the reports that read them, then confusions, misses, false alarms, patterns and priorities."""
+    """Matches once, kept for the reports that read them, then confusions, misses, false alarms, patterns and priorities.
+
+    The caller unpersists ``matches`` when the reports are done.
+    """
     matches = matching.match_detections(preds, gts, least).persist()
     table = errors.error_table(matches)
     patterns = errors.find_patterns(table)

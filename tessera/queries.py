@@ -192,8 +192,8 @@ def detection_ap(spark, d):
     return metrics.detection_metrics(fx.pred(spark, d), fx.gt(spark, d), (0.5, 0.75))
 
 
-@query(f"""{AP_SQL} SELECT class_id, {_SCORES}, round(1 - ap, 6) AS priority_score, CASE WHEN ap > 0.9 THEN 'good' WHEN ap > 0.8 THEN 'medium' ELSE 'poor' END AS level,
-  CASE WHEN ap < 0.85 THEN CASE WHEN recall < 0.8 THEN 'improve_recall' WHEN "precision" < 0.8 THEN 'improve_precision' ELSE 'improve_localization' END END AS advice FROM r WHERE threshold = 0.5""")
+@query(f"""{AP_SQL} SELECT class_id, {_SCORES}, round(ap, 6) AS priority_score, CASE WHEN ap > 0.9 THEN 'good' WHEN ap > 0.8 THEN 'medium' ELSE 'poor' END AS level,
+  CASE WHEN ap >= 0.85 THEN 'Performance is good, no specific recommendation' WHEN recall < 0.8 THEN 'Add more training samples for this class' WHEN "precision" < 0.8 THEN 'Reduce false positives by adjusting confidence threshold' ELSE 'Consider data augmentation specific to this class' END AS advice FROM r WHERE threshold = 0.5""")
 def rank_classes(spark, d):
     m = metrics.detection_metrics(fx.pred(spark, d), fx.gt(spark, d)).select("class_id", "precision", "recall", "ap")
     return errors.rank(m, "ap", ["class_id"]).withColumns({"level": bx.performance_level("ap"), "advice": bx.recommendation("ap", "precision", "recall")})
@@ -236,12 +236,14 @@ COUNTS = f"base_count, exp_count, exp_count - base_count AS delta, CASE WHEN bas
 CMP = f"{M2}, ca AS ({CONF.format(t='m_all')}), cb AS ({CONF.format(t='n_all')}), cj AS (SELECT gt_class, pred_class, coalesce(ca.count, 0) AS base_count, ca.mean_iou AS base_mean_iou, coalesce(cb.count, 0) AS exp_count, cb.mean_iou AS exp_mean_iou FROM ca FULL JOIN cb USING (gt_class, pred_class))"
 
 
-@query(f"{CMP} SELECT gt_class, pred_class, round(base_mean_iou, 6) AS base_mean_iou, round(exp_mean_iou, 6) AS exp_mean_iou, {COUNTS}, CASE WHEN coalesce(exp_mean_iou, base_mean_iou) >= 0.8 THEN 'classification' WHEN coalesce(exp_mean_iou, base_mean_iou) < 0.5 THEN 'localization' ELSE 'mixed' END AS kind FROM cj")
+@query(f"{CMP} SELECT gt_class, pred_class, round(base_mean_iou, 6) AS base_mean_iou, round(exp_mean_iou, 6) AS exp_mean_iou, {COUNTS}, CASE WHEN coalesce(exp_mean_iou, base_mean_iou) >= 0.8 THEN 'classification_dominant' WHEN coalesce(exp_mean_iou, base_mean_iou) < 0.5 THEN 'localization_dominant' ELSE 'mixed' END AS kind FROM cj")
 def compare_confusions(spark, d):
     return compare.compare_confusions(errors.confusion(_matches(spark, d)), errors.confusion(_matches(spark, d, True)))
 
 
-@query(f"{M2}, fa AS (SELECT pred_class AS class_id, count(*) AS count FROM m_all WHERE status = 'fp' GROUP BY 1), fb AS (SELECT pred_class AS class_id, count(*) AS count FROM n_all WHERE status = 'fp' GROUP BY 1), j AS (SELECT class_id, coalesce(fa.count, 0) AS base_count, coalesce(fb.count, 0) AS exp_count FROM fa FULL JOIN fb USING (class_id)) SELECT class_id, {COUNTS} FROM j")
+@query(f"""{M2}, fa AS (SELECT pred_class AS class_id, count(*) AS count, avg(confidence) AS c FROM m_all WHERE status = 'fp' GROUP BY 1), fb AS (SELECT pred_class AS class_id, count(*) AS count, avg(confidence) AS c FROM n_all WHERE status = 'fp' GROUP BY 1),
+j AS (SELECT class_id, coalesce(fa.count, 0) AS base_count, coalesce(fb.count, 0) AS exp_count, round(fa.c, 6) AS base_mean_confidence, round(fb.c, 6) AS exp_mean_confidence FROM fa FULL JOIN fb USING (class_id))
+SELECT class_id, base_mean_confidence, exp_mean_confidence, base_count, exp_count, exp_count - base_count AS delta, CASE WHEN base_count > 0 THEN round((exp_count - base_count) / base_count, 6) END AS relative_change, CASE WHEN exp_count > base_count THEN 'regressed' WHEN exp_count < base_count THEN 'improved' ELSE 'unchanged' END AS status FROM j""")
 def compare_false_positives(spark, d):
     return compare.compare_error_class(errors.false_positives(_matches(spark, d)), errors.false_positives(_matches(spark, d, True)))
 
@@ -300,9 +302,9 @@ def diff_cases(spark, d):
 
 # ---- similarity and hard mining -----------------------------------------------------------------------------------
 
-E = """ix AS MATERIALIZED (SELECT vec_id AS object_id, label AS class_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 <> 0),
-q AS MATERIALIZED (SELECT vec_id AS case_id, label AS gt_class, (label + 1 + vec_id % 9) % 10 AS pred_class, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 = 0)"""
-KNN = f"WITH {E}, s AS (SELECT case_id, class_id, object_id, round(list_cosine_similarity(q.v, ix.v), 4) AS similarity FROM q, ix), knn AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, class_id ORDER BY similarity DESC, object_id) AS rank FROM s) WHERE rank <= 5)"
+E = """ix AS MATERIALIZED (SELECT vec_id AS object_id, label AS class_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+q AS MATERIALIZED (SELECT vec_id AS case_id, label AS gt_class, (label + 1 + vec_id % 9) % 10 AS pred_class, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0)"""
+KNN = f"WITH {E}, s AS (SELECT case_id, class_id, object_id, round(list_cosine_similarity(q.v, ix.v), 4) AS similarity FROM q JOIN ix ON object_id <> case_id), knn AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, class_id ORDER BY similarity DESC, object_id) AS rank FROM s) WHERE rank <= 5)"
 MARG = f"{KNN}, mj AS (SELECT q.case_id, gt_class, pred_class, max(similarity) FILTER (class_id = gt_class) AS gt_best, max(similarity) FILTER (class_id = pred_class) AS pred_best FROM q LEFT JOIN knn USING (case_id) GROUP BY ALL), mg AS (SELECT *, CASE WHEN gt_class <> pred_class THEN round(pred_best - gt_best, 4) + 0.0 END AS margin FROM mj), mr AS (SELECT *, CASE WHEN margin > 0 THEN pred_class WHEN margin IS NOT NULL THEN gt_class END AS nearest_class FROM mg)"
 MINE = f"{KNN}, mo AS (SELECT object_id, class_id, count(*) AS selection_count, max(similarity) AS max_similarity FROM knn JOIN q USING (case_id) WHERE class_id = gt_class GROUP BY ALL)"
 
@@ -310,13 +312,13 @@ MINE = f"{KNN}, mo AS (SELECT object_id, class_id, count(*) AS selection_count,
 @query(f"{KNN} SELECT case_id, class_id::BIGINT AS class_id, object_id, similarity, rank FROM knn")
 def knn_per_class(spark, d):
     index, cases = fx.embeddings(spark, d)
-    return similarity.knn(cases, index, 5)
+    return similarity.knn(cases, index, 5, other_than_self=True)
 
 
 @query(f"{MARG} SELECT case_id, gt_class::BIGINT AS gt_class, pred_class::BIGINT AS pred_class, gt_best, pred_best, margin, nearest_class::BIGINT AS nearest_class FROM mr")
 def margins(spark, d):
     index, cases = fx.embeddings(spark, d)
-    return similarity.margins(cases, similarity.knn(cases, index, 5))
+    return similarity.margins(cases, similarity.knn(cases, index, 5, other_than_self=True))
 
 
 @query(f"""{MARG} SELECT gt_class::BIGINT AS gt_class, pred_class::BIGINT AS pred_class, count(*) AS n_cases, count(*) FILTER (nearest_class = pred_class) AS nearest_pred, count(*) FILTER (nearest_class = gt_class) AS nearest_gt,
@@ -324,19 +326,19 @@ def margins(spark, d):
   CASE WHEN avg(margin) > 0.05 THEN 'closer_to_predicted' WHEN avg(margin) < -0.05 THEN 'closer_to_true' ELSE 'ambiguous' END AS verdict FROM mr WHERE margin IS NOT NULL GROUP BY ALL""")
 def similarity_report(spark, d):
     index, cases = fx.embeddings(spark, d)
-    return similarity.similarity_report(similarity.margins(cases, similarity.knn(cases, index, 5)))
+    return similarity.similarity_report(similarity.margins(cases, similarity.knn(cases, index, 5, other_than_self=True)))
 
 
 @query(f"{MINE} SELECT object_id, class_id::BIGINT AS class_id, selection_count, max_similarity, row_number() OVER (ORDER BY selection_count DESC, max_similarity DESC, object_id) AS global_rank FROM mo")
 def mine_objects(spark, d):
     index, cases = fx.embeddings(spark, d)
-    return similarity.mine_objects(cases, index, 5).drop("selected_by")
+    return similarity.mine_objects(cases, index, 5, other_than_self=True).drop("selected_by")
 
 
 @query(f"{MINE}, sc AS (SELECT *, round(selection_count * max_similarity, 6) AS score FROM mo) SELECT object_id, class_id::BIGINT AS class_id, selection_count, max_similarity, score, row_number() OVER (ORDER BY score DESC, selection_count DESC, max_similarity DESC, object_id) AS global_rank FROM sc")
 def hard_manifest(spark, d):
     index, cases = fx.embeddings(spark, d)
-    return similarity.hard_manifest(similarity.mine_objects(cases, index, 5).drop("selected_by"))
+    return similarity.hard_manifest(similarity.mine_objects(cases, index, 5, other_than_self=True).drop("selected_by"))
 
 
 @query(f"""{KNN}, rk AS (SELECT gt_class, pred_class, row_number() OVER (ORDER BY count(*) DESC, gt_class, pred_class) AS confusion_rank FROM q GROUP BY gt_class, pred_class QUALIFY confusion_rank <= 10),
@@ -346,13 +348,13 @@ def mine_confusions(spark, d):
     index, cases = fx.embeddings(spark, d)
     n = cases.groupBy("gt_class", "pred_class").agg(F.count("*").alias("n"))
     ranked = n.withColumn("confusion_rank", F.row_number().over(Window.orderBy(F.desc("n"), "gt_class", "pred_class"))).where("confusion_rank <= 10")
-    return similarity.mine_confusions(ranked, cases, index, 5, 8)
+    return similarity.mine_confusions(ranked, cases, index, 5, 8, other_than_self=True)
 
 
 @query(f"{MINE} SELECT vec_id AS image_id, CASE WHEN object_id IS NULL THEN 1.0 ELSE 3.0 END::DOUBLE AS weight FROM embeddings LEFT JOIN mo ON object_id = vec_id")
 def image_weights(spark, d):
     index, cases = fx.embeddings(spark, d)
-    hard = similarity.mine_objects(cases, index, 5).select(F.col("object_id").alias("image_id"))
+    hard = similarity.mine_objects(cases, index, 5, other_than_self=True).select(F.col("object_id").alias("image_id"))
     return similarity.image_weights(fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id")), hard)
 
 
@@ -362,14 +364,14 @@ SELECT object_id, concat('img', object_id, '__e4hm_rank', printf('%04d', g), '_r
 def oversample(spark, d):
     index, cases = fx.embeddings(spark, d)
     samples = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.concat(F.lit("img"), F.col("vec_id").cast("string")).alias("stem"))
-    objects = similarity.mine_objects(cases, index, 5).select(F.col("object_id").alias("image_id"), "selection_count", "global_rank")
+    objects = similarity.mine_objects(cases, index, 5, other_than_self=True).select(F.col("object_id").alias("image_id"), "selection_count", "global_rank")
     return similarity.oversample(samples, objects)
 
 
 @query(f"{MARG}, zero AS (SELECT case_id, pred_class, round(coalesce(pred_best, 0) - coalesce(gt_best, 0), 4) AS margin FROM mj), p AS (SELECT mr.case_id, mr.margin AS margin_a, mr.pred_class AS pred_a, zero.margin AS margin_b, zero.pred_class AS pred_b, round(zero.margin - mr.margin, 4) + 0.0 AS delta FROM mr JOIN zero USING (case_id)) SELECT case_id, margin_a, pred_a::BIGINT AS pred_a, margin_b, pred_b::BIGINT AS pred_b, delta, CASE WHEN delta < 0 THEN 'improved' WHEN delta > 0 THEN 'regressed' WHEN delta = 0 THEN 'unchanged' END AS status, pred_a <> pred_b AS prediction_changed FROM p")
 def compare_margins(spark, d):
     index, cases = fx.embeddings(spark, d)
-    near = similarity.knn(cases, index, 5)
+    near = similarity.knn(cases, index, 5, other_than_self=True)
     return similarity.compare_margins(similarity.margins(cases, near), similarity.margins(cases, near, "zero"))
 
 
@@ -389,16 +391,16 @@ HASH = """h AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x:
 np AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.b[i] <> b.b[i] THEN 1 ELSE 0 END))::BIGINT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id)"""
 
 
-@query(f"WITH {HASH} SELECT a, b, distance FROM np WHERE distance <= 20")
+@query(f"WITH {HASH}, f AS (SELECT b, min(vec_id) AS first FROM h GROUP BY b) SELECT a, np.b, distance FROM np JOIN f fa ON fa.first = a JOIN f fb ON fb.first = np.b WHERE distance BETWEEN 1 AND 8 UNION ALL SELECT first, vec_id, 0 FROM h JOIN f USING (b) WHERE vec_id <> first")
 def near_duplicates(spark, d):
-    return bank.all_near_pairs(_hashes(spark, d), 20)
+    return bank.near_pairs(_hashes(spark, d))
 
 
-@query(f"""WITH RECURSIVE {HASH}, nb AS (SELECT b, list(a) AS before FROM np WHERE distance <= 20 GROUP BY b), o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM h),
+@query(f"""WITH RECURSIVE {HASH}, nb AS (SELECT b, list(a) AS before FROM np WHERE distance <= 8 GROUP BY b), o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM h),
 st AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS acc UNION ALL SELECT o.rn, CASE WHEN nb.before IS NOT NULL AND list_has_any(st.acc, nb.before) THEN st.acc ELSE list_append(st.acc, o.vec_id) END FROM st JOIN o ON o.rn = st.rn + 1 LEFT JOIN nb ON nb.b = o.vec_id),
 l AS (SELECT acc FROM st ORDER BY rn DESC LIMIT 1) SELECT vec_id AS id, list_contains((SELECT acc FROM l), vec_id) AS accepted FROM h""")
 def accept_in_order(spark, d):
-    return bank.accept_in_order(_hashes(spark, d), 20)
+    return bank.accept_in_order(_hashes(spark, d))
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_path, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -493,7 +495,7 @@ PLACED = f"""{PLAN}, p0 AS (SELECT name, 100.0::DOUBLE + object_id % 200 AS ow,
 p4 AS (SELECT name, greatest(1, floor(pw * k)::BIGINT) AS place_w, greatest(1, floor(ph * k)::BIGINT) AS place_h FROM p3)"""
 
 
-@query(f"{PLACED} SELECT name, place_w, place_h, floor({UNIT.format(f'''concat('{SEED}:x:', name)''')} * greatest(0, 800 - place_w))::BIGINT AS place_x, floor({UNIT.format(f'''concat('{SEED}:y:', name)''')} * greatest(0, 600 - place_h))::BIGINT AS place_y FROM p4")
+@query(f"{PLACED} SELECT name, place_w, place_h, floor({UNIT.format(f'''concat('{SEED}:x:', name)''')} * (greatest(0, 800 - place_w) + 1))::BIGINT AS place_x, floor({UNIT.format(f'''concat('{SEED}:y:', name)''')} * (greatest(0, 600 - place_h) + 1))::BIGINT AS place_y FROM p4")
 def placements(spark, d):
     plan = build.plan_composition(fx.backgrounds(spark, d), fx.pool(spark, d), SEED)
     sized = plan.withColumns({"width": F.lit(800), "height": F.lit(600), "object_width": F.lit(100.0) + F.col("object_id") % 200, "object_height": F.lit(80.0) + F.col("object_id") % 90})
@@ -544,6 +546,11 @@ ex AS (SELECT stem AS source_stem, CASE WHEN k % 107 = 8 THEN 7 ELSE k % 3 END A
 UNION ALL SELECT 'label_differs', ou.stem, NULL FROM ou JOIN src ON src.stem = ou.source_stem WHERE ou.label_hash <> src.label_hash
 UNION ALL SELECT 'copy_count', source_stem, concat(coalesce(n, 0), '/', coalesce(copies, 0)) FROM ex FULL JOIN (SELECT source_stem, count(*) AS n FROM ou WHERE kind = 'copy' GROUP BY 1) USING (source_stem) WHERE coalesce(n, 0) <> coalesce(copies, 0)""")
 def oversample_audit(spark, d):
+    return build.audit_oversample(*oversampled(spark, d))
+
+
+def oversampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Source, output and expected copies of an oversampled set with planted faults."""
     c = fx.table(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("stem"), F.md5(F.col("c_custkey").cast("string").cast("binary")).alias("label_hash"), F.col("c_custkey").alias("k"))
     four = c.where("k % 4 = 0")
     copies = four.where("k % 3 > 0").withColumn("i", F.explode(F.expr("sequence(1, cast(k % 3 AS int))")))
@@ -551,7 +558,7 @@ def oversample_audit(spark, d):
         copies.select(F.concat("stem", F.lit("_r"), F.col("i").cast("string")).alias("stem"), F.col("stem").alias("source_stem"), F.lit("copy").alias("kind"), F.when(F.col("k") % 103 == 5, "bad").otherwise(F.col("label_hash")).alias("label_hash"))
     )
     expected = four.select(F.col("stem").alias("source_stem"), F.when(F.col("k") % 107 == 8, 7).otherwise(F.col("k") % 3).alias("copies"))
-    return build.audit_oversample(c.select("stem", "label_hash"), out, expected)
+    return c.select("stem", "label_hash"), out, expected
 
 
 @query("SELECT o_orderkey AS image_id FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey % 50 = 0")
@@ -560,13 +567,13 @@ def leakage(spark, d):
     return build.leakage(o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("image_id")), o.where("o_custkey % 50 = 0").select(F.col("o_orderkey").alias("image_id")))
 
 
-@query("SELECT page_id, concat('bg_', substr(sha256(url), 1, 12)) AS background_id, lower(replace(url, '\\', '/')) AS norm, regexp_extract(url, '[^/]*$') AS base FROM pages")
+@query("SELECT page_id, concat('bg_', substr(sha256(url), 1, 12)) AS background_id, lower(regexp_replace(replace(url, '\\', '/'), '/+', '/', 'g')) AS norm, regexp_extract(url, '[^/]*$') AS base FROM pages")
 def background_ids(spark, d):
     from tessera.sources.files import collect_backgrounds
 
     p = fx.table(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.lit(4).alias("width"), F.lit(3).alias("height"))
     ids = collect_backgrounds(p, " Web ", "pages").select("background_id", F.col("image_path").alias("path"))
-    return p.join(ids.distinct(), "path").select("page_id", "background_id", F.lower(F.regexp_replace("path", r"\\", "/")).alias("norm"), bx.base_name("path").alias("base"))
+    return p.join(ids.distinct(), "path").select("page_id", "background_id", bx.norm_path("path").alias("norm"), bx.base_name("path").alias("base"))
 
 
 # ---- latency -------------------------------------------------------------------------------------------------------
@@ -597,3 +604,6 @@ SELECT runtime, round(o.ms, 6) AS old_ms, round(o.fps, 6) AS old_fps, round(n.ms
 def benchmark_compare(spark, d):
     t = fx.timings(spark, d)
     return latency.compare_benchmarks(latency.latency_stats(t.where("image % 2 = 0")), latency.latency_stats(t.where("image % 2 = 1")))
+
+
+from tessera import queries_more  # noqa: E402, F401  (registers its queries here)

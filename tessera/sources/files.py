@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.parse
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,6 +130,45 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def error_report(split: str, metrics: DataFrame, confusion: DataFrame, cases: DataFrame, false_positives: DataFrame, false_negatives: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """The nested report of a split, as one row in the layout that ``read_error_report`` reads.
+
+    metrics: class_name, ap, precision, recall; confusion: gt_class, pred_class, count, mean_iou, mean_confidence;
+    cases: image_path, gt_class, pred_class, gt_bbox, pred_bbox, iou, confidence; false_positives: class_name, count,
+    mean_confidence; false_negatives: class_name, count; summary: class_name, text.  Classes and pairs of them are few; their cases
+    are as many as a report is meant to list.
+    """
+    spark = metrics.sparkSession
+    pair = ["gt_class", "pred_class"]
+    listed = cases.groupBy(*pair).agg(
+        F.array_sort(F.collect_set("image_path")).alias("images"),
+        F.array_sort(F.collect_list(F.struct("image_path", *pair, "gt_bbox", "pred_bbox", "iou", "confidence"))).alias("cases"),
+    )
+    entry = F.struct("count", "mean_iou", "mean_confidence", "images", "cases")
+    by_gt = confusion.join(listed, pair, "left").groupBy("gt_class").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pred_class", entry.alias("v"))))).alias("m"))
+    as_map = lambda df, key, *fields: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, F.struct(*fields).alias("v"))))).alias("m"))
+    no_images = F.array().cast("array<string>").alias("images")
+    parts = {
+        "per_class_metrics": as_map(metrics, "class_name", "ap", "precision", "recall"),
+        "confusion": by_gt.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("gt_class", F.map_entries("m").alias("e"))))).alias("m")),
+        "false_positives": as_map(false_positives, "class_name", "count", "mean_confidence", no_images),
+        "false_negatives": as_map(false_negatives, "class_name", "count", no_images),
+    }
+    parts["confusion"] = parts["confusion"].select(F.transform_values("m", lambda _, e: F.map_from_entries(e)).alias("m"))
+    texts = summary if summary is not None else spark.createDataFrame([], "class_name string, text string")
+    parts["class_performance_summary"] = texts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", "text")))).alias("m"))
+    out = spark.range(1).select(F.lit(split).alias("split"))
+    for name, df in parts.items():
+        out = out.crossJoin(df.withColumnRenamed("m", name))  # one row each
+    analysis = F.struct("confusion", "false_positives", "false_negatives").alias("error_analysis")
+    return out.select("split", "per_class_metrics", "class_performance_summary", analysis)
+
+
+def write_error_report(report: DataFrame, path: str) -> None:
+    """The report's row as JSON that ``read_error_report`` reads."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -141,19 +181,43 @@ def label_texts(annotations: DataFrame) -> DataFrame:
 
 
 def write_yolo_labels(annotations: DataFrame, path: str) -> None:
-    """A folder stem=<name> with a text file for each image, through Spark's text sink; ``read_written_labels`` reads it."""
-    label_texts(annotations).select("stem", F.col("text").alias("value")).write.mode("overwrite").partitionBy("stem").text(path)
-
+    """``<stem>.txt`` for each image below ``path``, a line for each object with six decimals and a newline at the end.
 
-def read_written_labels(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("wholetext", False).text(path)
-    t = F.split(F.trim("value"), " ")
-    return rows.select(F.col("stem").cast("string").alias("stem"), F.get(t, F.lit(0)).cast("int").alias("class_id"), *[F.get(t, F.lit(i)).cast("double").alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)])
+    Spark writes a folder for each image, whole or not at all; the tasks then give the files their names.  The folder
+    is one that the driver and all executors share, on any store that Spark knows.
+    """
+    texts = label_texts(annotations).select("stem", F.col("text").alias("value"))
+    spark = texts.sparkSession
+    staged = f"{path.rstrip('/')}/_staged"
+    texts.repartition("stem").write.mode("overwrite").partitionBy("stem").text(staged)
+    # Names are given by the store's rename, which moves no data; only the listing of the staged folders is read here.
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(staged)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listFiles(root, True)
+    while files.hasNext():
+        f = files.next().getPath()
+        if f.getName().startswith("part-"):
+            name = urllib.parse.unquote(f.getParent().getName().split("=", 1)[1])
+            target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}.txt")
+            fs.delete(target, False)
+            if not fs.rename(f, target):
+                raise OSError(f"{f.toString()} could not be renamed to {target.toString()}")
+    fs.delete(root, True)
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=True)
+    return reader.json(path, multiLine=path.endswith(".json"))  # a file holds one array, a folder a record a line
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """A manifest's records as JSON, which ``read_manifest`` reads."""
+    manifest.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def manifest_count(manifest: DataFrame) -> int:
+    return manifest.count()
 
 
 def manifest_categories(manifest: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def test_box_expressions(spark):
     u = one.select(*[c.alias(n) for c, n in zip(bx.unletterbox(320.0, 320.0, 100.0, 50.0, 2.0, 0.0, 140.0, 320, 180), "abcd", strict=True)]).first()
     assert tuple(u) == (135.0, 77.5, 185.0, 102.5)
     kinds = [r[0] for r in spark.createDataFrame([(0.8,), (0.49,), (0.6,), (None,)], "v double").select(bx.confusion_kind("v")).collect()]
-    assert kinds == ["classification", "localization", "mixed", "unknown"]
+    assert kinds == ["classification_dominant", "localization_dominant", "mixed", "unknown"]
     paths = spark.createDataFrame([("/d/train/a.jpg", "train"), ("/d/val/a.jpg", "train"), ("/d/train/b.jpg", "val")], "path string, split string")
     assert [r["path"] for r in bx.train_only(paths, "/d/train").collect()] == ["/d/train/a.jpg"]
 
@@ -112,7 +112,7 @@ def test_ranking(spark):
     with pytest.raises(ValueError):
         errors.rank(df, "banana", ["gt_class"])
     ap = spark.createDataFrame([("plastic", 0.719), ("glass", 0.744), ("metal", 0.834)], "class_id string, ap double")
-    assert [r["class_id"] for r in errors.rank(ap, "ap", ["class_id"]).collect()] == ["plastic", "glass", "metal"] and errors.worst_class(ap).first()["class_id"] == "plastic"
+    assert [r["class_id"] for r in errors.rank(ap, "ap", ["class_id"]).collect()] == ["plastic", "glass", "metal"] and errors.rank(ap, "ap", ["class_id"]).first()["priority_score"] == 0.719 and errors.worst_class(ap).first()["class_id"] == "plastic"
     assert spark.range(1).select(errors.policy_score(F.lit(1.0), F.lit(0.5))).first()[0] == 0.75
     with pytest.raises(ValueError):
         errors.policy_score()
@@ -157,7 +157,10 @@ def test_accept_in_order_equals_the_loop(spark):
     assert near == {i for i, h, *_ in rows if any(j < i and bin((h ^ rows[j][1]) & (2**64 - 1)).count("1") <= 8 for j in accepted)}
     assert bank.bank_summary(df).first()["total"] == 120
     links = {frozenset((x["a"], x["b"])) for x in bank.near_pairs(df).collect()}
-    assert links <= {frozenset((x["a"], x["b"])) for x in bank.all_near_pairs(df).collect()}
+    far = lambda a, b: bin((rows[a][1] ^ rows[b][1]) & (2**64 - 1)).count("1")
+    first = {h: min(i for i, g, *_ in rows if g == h) for _, h, *_ in rows}
+    want = {frozenset((a, b)) for a in first.values() for b in first.values() if a < b and far(a, b) <= 8}
+    assert links == want | {frozenset((first[h], i)) for i, h, *_ in rows if i != first[h]}
 
 
 def test_image_quality_and_hash(spark):
@@ -165,13 +168,13 @@ def test_image_quality_and_hash(spark):
     noise = g.integers(0, 256, (60, 80, 3)).astype(np.uint8)
     grid = np.kron(g.integers(0, 2, (8, 10)) * 255, np.ones((8, 8))).astype(np.uint8)[:60, :80, None].repeat(3, 2)
     small = noise.reshape(30, 2, 40, 2, 3).mean(axis=(1, 3)).astype(np.uint8)
-    rows = [("noise", 60, 80, 3, noise.tobytes()), ("small", 30, 40, 3, small.tobytes()), ("grid", 60, 80, 3, grid.tobytes()), ("flat", 60, 80, 3, bytes(60 * 80 * 3)), ("bad", -1, -1, -1, None)]
+    rows = [("noise.png", 60, 80, 3, noise.tobytes()), ("small.png", 30, 40, 3, small.tobytes()), ("grid.png", 60, 80, 3, grid.tobytes()), ("flat.png", 60, 80, 3, bytes(60 * 80 * 3)), ("bad.png", -1, -1, -1, None)]
     facts = bank.image_quality(bank.pixel_facts(spark.createDataFrame(rows, "path string, height int, width int, nChannels int, data binary")))
     q = {r["path"]: r for r in bank.validate_images(facts, 40, 30).collect()}
-    assert q["noise"]["usable"] and not q["small"]["reasons"].count("unreadable") and q["bad"]["reasons"] == ["unreadable"]
-    assert {"blurry", "too_dark", "low_contrast", "low_quality"} <= set(q["flat"]["reasons"])
+    assert q["noise.png"]["usable"] and not q["small.png"]["reasons"].count("image_unreadable") and q["bad.png"]["reasons"] == ["image_unreadable"]
+    assert {"image_blurry", "image_too_dark", "low_contrast", "quality_score_too_low"} <= set(q["flat.png"]["reasons"])
     far = lambda a, b: bin((q[a]["perceptual_hash"] ^ q[b]["perceptual_hash"]) & (2**64 - 1)).count("1")
-    assert far("noise", "small") <= 8 < far("noise", "grid")
+    assert far("noise.png", "small.png") <= 8 < far("noise.png", "grid.png")
 
 
 def test_oversample_and_weights(spark):
