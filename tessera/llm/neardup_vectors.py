@@ -72,7 +72,8 @@ def _join(part: pd.DataFrame, least: float) -> pd.DataFrame:
     pairs_a, pairs_b = [], []
     for at in range(0, len(left), 512):
         rows = left[at : at + 512]
-        near = square[rows][:, None] + square[right][None, :] - 2 * sub[rows] @ sub[right].T <= share[block] + 1e-9
+        # A little wide, as the expanded distance is inexact; the direct one below decides.
+        near = square[rows][:, None] + square[right][None, :] - 2 * sub[rows] @ sub[right].T <= share[block] + 1e-6
         i, j = np.nonzero(near)
         a, b = rows[i], right[j]
         if low == high:
@@ -83,10 +84,11 @@ def _join(part: pd.DataFrame, least: float) -> pd.DataFrame:
             x, y = x[true], y[true]
             # A pair is counted in the first block that keeps within its share.
             first = np.ones(len(x), bool)
-            for other in range(block):
+            for other in range(block + 1):
                 p, q = cuts[other]
                 d = turned[x, p:q] - turned[y, p:q]
-                first &= (d * d).sum(axis=1) > share[other]
+                within = (d * d).sum(axis=1) <= share[other]
+                first &= within if other == block else ~within
             pairs_a.append(x[first])
             pairs_b.append(y[first])
     a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (pairs_a, pairs_b))
@@ -134,7 +136,7 @@ def near_links(vectors: DataFrame, least: float = 0.93) -> tuple[DataFrame, Data
                     yield out.assign(block=k, home=home[row], low=np.minimum(home[row], to), high=np.maximum(home[row], to))
 
     tiles = vectors.withColumn("width", F.octet_length("vector")).join(sizes, ["label", "width"]).mapInPandas(
-        deal, "vec long, label int, copies long, vector binary, width int, block int, home long, low long, high long"
+        deal, "vec long, label long, copies long, vector binary, width int, block int, home long, low long, high long"
     )
     found = tiles.groupBy("label", "width", "block", "low", "high").applyInPandas(lambda part: _join(part, least), "vec long, other long, n long")
     found = written(found, "vector-links")
@@ -160,8 +162,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
                 out.append(v.tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([b.column("vec"), b.column("label"), pa.array(out, pa.binary())], ["vec", "label", "vector"])
 
-    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = written(rows.mapInArrow(plain, "vec long, label int, vector binary"), "vectors")
+    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = written(rows.mapInArrow(plain, "vec long, label long, vector binary"), "vectors")
     usable = rows.where("vector is not null")
     classes = written(usable.groupBy("label", "vector").agg(F.min("vec").alias("first"), F.count("*").alias("copies")), "vector-classes")
     n, forest = near_links(classes.select(F.col("first").alias("vec"), "label", "copies", "vector"), least)
@@ -178,6 +180,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
 
 def op3_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector; cases as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 

@@ -5,20 +5,22 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, doc_key, id_of, shared_dir, table
+from tessera.llm.common import NULL_ID, doc_key, id_of, new_path, table, written
 
 #: A record ends with this; Spark's text sink writes it after each value, so its files are WARC archives.
 END = "\r\n\r\n"
 #: Fixed values of the WARC 1.1 format.
 VERSION, IDENTICAL = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 2000
+RECORDS_PER_FILE = 1000
 FIELDS = "page long, record_type string, payload_bytes long, payload_digest string, payload_hex string, refers_to long"
 
 
@@ -49,38 +51,48 @@ def write_archives(records: DataFrame, path: str) -> None:
     records.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers (names in lower case) and the block of each record of an archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}: {lines[0][:40]!r}")
-        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers (names in lower case) and the block of each record of an archive, one record at a time."""
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where one should begin: {first[:40]!r}")
+        head = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode("utf-8").partition(":")
+            head[k.lower()] = v.strip()
         size = int(head["content-length"])
-        yield head, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        block = stream.read(size)
+        if len(block) != size:
+            raise ValueError(f"record {head.get('warc-record-id')} ends before its content")
+        yield head, block
+        stream.read(len(END))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives below ``path``; digest and size are those of the block, or of the header in a revisit."""
+    """The records of all archives below ``path``; digest and size are those of the block, or of the header in a revisit.
+
+    A task holds one packed archive and one unpacked record at a time.
+    """
 
     def read(batches):
         page = re.compile(r"<urn:page:(-?\d+)>")
         number = lambda x: int(page.fullmatch(x)[1]) if x else None
+        names = ["page", "record_type", "payload_bytes", "payload_digest", "payload_hex", "refers_to"]
+
+        def frame(rows):
+            return pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64", "refers_to": "Int64"})
+
         for b in batches:
             for raw in b["content"]:
                 rows = []
-                for head, block in parse(gzip.decompress(raw)):
+                for head, block in parse(gzip.open(io.BytesIO(raw))):
                     revisit = head["warc-type"] == "revisit"
                     digest = head["warc-payload-digest"][5:] if revisit else base64.b32encode(hashlib.sha1(block).digest()).decode()
                     if not revisit and head.get("warc-payload-digest", "sha1:" + digest) != "sha1:" + digest:
                         raise ValueError(f"payload of {head['warc-record-id']} does not have its digest")
                     rows.append((number(head["warc-record-id"]), head["warc-type"], None if revisit else len(block), digest,
                                  base64.b32decode(digest).hex(), number(head.get("warc-refers-to"))))
-                frame = pd.DataFrame(rows, columns=["page", "record_type", "payload_bytes", "payload_digest", "payload_hex", "refers_to"])
-                yield frame.astype({"payload_bytes": "Int64", "refers_to": "Int64"})
+                yield frame(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInPandas(read, FIELDS)
@@ -113,7 +125,8 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFram
     spark = pages.sparkSession
     rows = pages.select(doc_key("page_id").alias("page"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     write_archives(rows.select(record(F.lit("response"), F.col("page"), F.col("url"), F.col("html"))), f"{path}/raw")
-    decided = resolve(read_archives(spark, f"{path}/raw"), least_bytes)
+    # The headers are a small table, so that the archives are parsed once.
+    decided = resolve(written(read_archives(spark, f"{path}/raw"), "warc-headers", 4), least_bytes)
     known = decided.dropDuplicates(["page", "payload_hex"]).select(F.col("page").alias("of"), "payload_digest", "payload_hex", "record_type", "refers_to")
     # Fresh headers meet their payloads again, by page and digest.
     full = rows.withColumn("hex", F.sha1(F.encode("html", "utf-8"))).join(known, (F.col("page") == F.col("of")) & (F.col("hex") == F.col("payload_hex")))
@@ -136,9 +149,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    return archive_pages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page; cases as in ``archive_pages``."""
+    return archive_pages(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
 
 
 def _bits(hex_digit: str) -> str:

@@ -460,3 +460,99 @@ def test_whole_groups():
     got = [t.column("k").to_pylist() for t in jaccard.whole_groups(iter(batches), ["k"], least_bytes=16)]
     assert sum(got, []) == [1, 1, 2, 2, 2, 2, 3] + [4] * 5
     assert all(a[-1] != b[0] for a, b in zip(got, got[1:], strict=False)) and len(got) > 1
+
+
+def test_near_vectors_null_and_repeated_ids(spark):
+    v = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5]
+    rows = [(None, v, 1), (None, v, 1), (4, v, 1), (4, [0.0] * 7 + [1.0], 1), (9, v, 2**40), (10, v, 2**40), (11, v, 2**40 + 2**32)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = sorted((-1 if r["vec_id"] is None else r["vec_id"], r["n_links"], r["component_id"]) for r in neardup_vectors.near_duplicates(df).collect())
+    assert got == [(-1, 2, None), (-1, 2, None), (4, 0, None), (4, 2, None), (9, 1, 9), (10, 1, 9), (11, 0, 11)]
+
+
+def test_items_with_null_and_repeated_ids(spark):
+    make = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    docs = spark.createDataFrame([(None, make("i", 20)), (3, make("i", 10)), (3, " ".join(f"i{k}" for k in range(6, 20))), (4, make("x", 9))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, make("x", 6)), (1, make("i", 20)), (2, make("x", 4)), (2, make("x", 4))], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["item_id"]), r["n_item"], r["n_shared"]) for r in decontaminate.find_items(docs, items).collect())
+    # Rows of doc 3 hold 6 and 10 of the item's 16 shingles, together all of them.
+    assert got == [("3", "1", 16, 16), ("4", "2", 1, 1), ("4", "None", 2, 2), ("None", "1", 16, 16)]
+
+
+def test_warc_null_and_repeated_ids(spark):
+    rows = [(None, "u", "a"), (None, "u", "b"), (7, "u", "a"), (7, "v", "a"), (8, None, "b"), (9, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = warc.archive_pages(df, f"{shared_dir(spark)}/warc-ids-{random.random()}").collect()
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in out)
+    assert got == [("7", 1, "response", None), ("7", 1, "response", None), ("8", 1, "response", None), ("9", 0, "response", None), ("None", 1, "revisit", 7), ("None", 1, "revisit", 8)]
+
+
+def test_toxicity_gradient_equals_differences():
+    r = np.random.Generator(np.random.PCG64(2))
+    x, y = (r.random((40, 9)) < 0.4), (r.random(40) < 0.5).astype(float)
+    d = r.integers(-1, 2, (7, 9))
+    sparse = lambda m, v: toxicity._Sparse(*np.nonzero(m), *m.shape, v)
+    X, D, s = sparse(x, 1.0), sparse(d, d[np.nonzero(d)].astype(float)), np.abs(r.standard_normal(7))
+    w, bias = toxicity._train(X, y, D, s, 1e-3, steps=4000)
+
+    def loss(w, bias):
+        z = x @ w + bias
+        return np.mean(np.logaddexp(0, z) - y * z) + 0.5e-3 * w @ w + s @ (d @ w) ** 2
+
+    best = loss(w, bias)  # a minimum of the loss as stated, swaps included
+    for _ in range(200):
+        assert loss(w + 0.02 * r.standard_normal(9), bias + 0.02 * r.standard_normal()) >= best - 1e-6
+
+
+def test_toxicity_scores_equal_the_sum_of_weights(spark):
+    rows = [(i, t) for i, t in enumerate(["you idiot", "a muslim walks", None, "", "idiots! IDIOT idiotic", "nothing"])]
+    model = {"weights": {"idiot": 2.0, "idio*": 0.5, "idiot*": 0.25, "muslim": -1.0}, "bias": -1.5}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    raw = {0: -1.5 + 2.0 + 0.5, 1: -1.5 - 1.0, 2: -1.5, 3: -1.5, 4: -1.5 + 2.75, 5: -1.5}
+    assert all(abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-12 for i, z in raw.items())
+
+
+def test_scores_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b"), (None, "a b"), (3, "x"), (3, "y"), (4, None)]
+    d = spark.createDataFrame([(*x, "clash", "clash", "clash") for x in rows], "doc_id long, text string, score string, p string, raw string")
+    assert sorted(str(r["doc_id"]) for r in toxicity.score(d, {"weights": {"a": 1.0}, "bias": 0.0}).collect()) == ["3", "3", "4", "None", "None"]
+    assert toxicity.drop_toxic(d, {"weights": {"a": 1.0}, "bias": -0.5}).columns == d.columns
+    assert sorted(str(r["doc_id"]) for r in toxicity.drop_toxic(d, {"weights": {"a": 1.0}, "bias": -0.5}).collect()) == ["3", "3", "4"]
+
+
+def test_quality_posteriors_equal_the_formulas(spark):
+    r = random.Random(5)
+    rows = [(i if i % 17 else None, " ".join(r.choice(["word", "###", "Some", "12"]) for _ in range(r.randint(0, 30))) if i % 13 else None, r.choice(["a", "b", "c", None]), r.choice(["x", "y", None])) for i in range(120)]
+    rows += [(5, "word " * 9, "a", "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    n = 2 * len(quality.FEATURES)
+    model = {"mean": np.full(n, 0.2), "scale": np.ones(n), "w": np.linspace(-1, 1, n), "bias": 0.3, "prior": 0.4}
+    import pyarrow as pa
+
+    x = (quality.expand(quality.features(pa.array([t for _, t, _, _ in rows], pa.string()))) - model["mean"]) @ model["w"] + model["bias"]
+    raw = np.clip(x, -30, 30)
+    p = 1 / (1 + np.exp(-raw))
+    host, path = [h or "" for *_, h, _ in rows], [(h or "", q or "") for *_, h, q in rows]
+    mu = p.mean()
+
+    def strength(keys, parent):
+        groups = {k: (sum(1 for q in keys if q == k), p[[q == k for q in keys]].sum()) for k in set(keys)}
+        spread = sum(m * (t / m - parent[k]) ** 2 for k, (m, t) in groups.items())
+        noise = sum(parent[k] * (1 - parent[k]) for k in groups)
+        total, var = sum(m for m, _ in groups.values()), sum(m * parent[k] * (1 - parent[k]) for k, (m, _) in groups.items())
+        tau = max((spread - noise) / total, 1e-9)
+        return groups, min(max(var / total / tau - 1, 1.0), 1e6)
+
+    hosts, kh = strength(host, {h: mu for h in host})
+    mean = {h: (kh * mu + t) / (kh + m) for h, (m, t) in hosts.items()}
+    paths, kp = strength(path, {q: mean[q[0]] for q in path})
+    want = []
+    for i, (doc, *_) in enumerate(rows):
+        m, t = hosts[host[i]]
+        own = (kh * mu + t - p[i]) / (kh + m - 1)
+        m, t = paths[path[i]]
+        site = (kp * own + t - p[i]) / (kp + m - 1)
+        odds = raw[i] - model["prior"] + np.log(site / (1 - site))
+        want.append((str(doc), host[i], round(site, 8), round(1 / (1 + np.exp(-odds)), 8), bool(odds >= 0)))
+    got = [(str(r["doc_id"]), r["host"], round(r["site"], 8), round(r["score"], 8), r["keep"]) for r in quality.posteriors(docs, model, F.col("source"), F.col("lang")).collect()]
+    assert sorted(got) == sorted(want)
