@@ -85,7 +85,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for raw in b["content"]:
                 rows = []
-                for head, block in parse(gzip.open(io.BytesIO(raw))):
+                for head, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw)), 1 << 20)):
                     revisit = head["warc-type"] == "revisit"
                     digest = head["warc-payload-digest"][5:] if revisit else base64.b32encode(hashlib.sha1(block).digest()).decode()
                     if not revisit and head.get("warc-payload-digest", "sha1:" + digest) != "sha1:" + digest:
