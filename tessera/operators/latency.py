@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import finite
+from tessera.operators.prefix import percentiles
 
 
 def check_timings(timings: DataFrame) -> DataFrame:
@@ -18,17 +19,21 @@ def check_timings(timings: DataFrame) -> DataFrame:
 def latency_stats(timings: DataFrame, by: Sequence[str] = ("runtime",), ms: str = "ms", strict: bool = False) -> DataFrame:
     """n, mean, median, population deviation, min, max, linear 95th percentile and frames a second.
 
-    Percentiles are exact.  With ``strict`` a bad time fails the job; otherwise bad times are left out.
+    Percentiles are exact and ranked in ranges of the distinct times.  With ``strict`` a bad time fails the job; otherwise bad times are left out.
     """
     v = F.col(ms)
     good = F.coalesce(finite(v) & (v >= 0), F.lit(False))
     if strict:
         timings = timings.withColumn(ms, F.when(good, v).otherwise(F.raise_error(F.lit("a time is negative or not finite"))))
     mean = F.avg(v)
-    return timings.where(good).groupBy(*by).agg(
-        F.count("*").alias("n"), mean.alias("mean_ms"), F.median(v).alias("median_ms"), F.stddev_pop(v).alias("std_ms"), F.min(v).alias("min_ms"), F.max(v).alias("max_ms"),
-        F.percentile(v, F.lit(0.95)).alias("p95_ms"), F.when(mean > 0, 1000 / mean).otherwise(F.lit(0.0)).alias("fps"),
+    kept = timings.where(good).withColumn("_key", F.struct(*by))
+    plain = kept.groupBy("_key").agg(
+        F.count("*").alias("n"), mean.alias("mean_ms"), F.stddev_pop(v).alias("std_ms"), F.min(v).alias("min_ms"), F.max(v).alias("max_ms"),
+        F.when(mean > 0, 1000 / mean).otherwise(F.lit(0.0)).alias("fps"),
     )
+    ranked = percentiles(kept, v, {"median_ms": 0.5, "p95_ms": 0.95}).withColumnRenamed("_key", "_key2")
+    both = plain.join(ranked, F.col("_key").eqNullSafe(F.col("_key2")))
+    return both.select("_key.*", "n", "mean_ms", "median_ms", "std_ms", "min_ms", "max_ms", "p95_ms", "fps")
 
 
 def latency_two_stage(timings: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.matching import candidate_pairs, greedy
+from tessera.operators.prefix import in_ranges, later_max, running_sums
 
 IOUS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
@@ -23,28 +24,26 @@ def matches_by_threshold(preds: DataFrame, gts: DataFrame, ious: Sequence[float]
 def detection_metrics(preds: DataFrame, gts: DataFrame, ious: Sequence[float] = (0.5,)) -> DataFrame:
     """threshold, class_id, n_gt, n_pred, tp, precision, recall, ap.
 
-    AP is the area under the precision envelope over all points of recall.  Ranks are per class, so the cumulative
-    counts are taken in two levels: confidence steps are counted first, and only those are ordered; a class with any
-    number of predictions is a window over its distinct confidences.
+    AP is the area under the precision envelope over all points of recall.  Confidence steps are counted first; the
+    running counts and the envelope are then taken in ranges of them, so a class may have any number of steps.
     """
     m = matches_by_threshold(preds, gts, ious)
     thresholds = F.explode(F.array(*[F.lit(float(t)) for t in ious]))
     every = preds.select("class_id", "confidence").withColumn("threshold", thresholds).groupBy("threshold", "class_id", "confidence").agg(F.count("*").alias("n"))
-    hits = m.groupBy("threshold", "class_id", "confidence").agg(F.count("*").alias("tp"))
-    steps = every.join(hits, ["threshold", "class_id", "confidence"], "left").fillna(0, ["tp"])
-    by = Window.partitionBy("threshold", "class_id").orderBy(F.desc("confidence"))
-    running = by.rowsBetween(Window.unboundedPreceding, 0)
+    hits = m.groupBy("threshold", "class_id", "confidence").agg(F.count("*").alias("hits"))
+    steps = every.join(hits, ["threshold", "class_id", "confidence"], "left").fillna(0, ["hits"])
+    order = [F.desc("confidence")]
+    ranges = in_ranges(steps.select(F.struct("threshold", "class_id").alias("_key"), "confidence", "n", "hits"), order)
+    curve = running_sums(ranges, order, {"seen": "n", "found": "hits"}).withColumn("precision", F.col("found") / F.col("seen"))
+    area = later_max(curve, order, "envelope", "precision")
+    scored = area.groupBy("_key").agg(F.max("seen").alias("n_pred"), F.max("found").alias("tp"), F.sum(F.col("envelope") * F.col("hits")).alias("area"))
+    scored = scored.select("_key.*", "n_pred", "tp", "area")
     n_gt = gts.groupBy("class_id").agg(F.count("*").alias("n_gt"))
-    curve = steps.select("threshold", "class_id", "confidence", F.sum("n").over(running).alias("seen"), F.sum("tp").over(running).alias("found"), "tp")
-    curve = curve.join(F.broadcast(n_gt), "class_id").withColumn("precision", F.col("found") / F.col("seen"))  # a row for each class
-    envelope = F.max("precision").over(by.rowsBetween(0, Window.unboundedFollowing))
-    area = curve.withColumn("part", envelope * F.col("tp") / F.col("n_gt"))
-    scored = area.groupBy("threshold", "class_id").agg(F.max("seen").alias("n_pred"), F.max("found").alias("tp"), F.sum("part").alias("ap"))
     whole = n_gt.withColumn("threshold", thresholds).join(scored, ["threshold", "class_id"], "left")
     n_pred, tp = F.coalesce("n_pred", F.lit(0)), F.coalesce("tp", F.lit(0))
     return whole.select(
         "threshold", "class_id", "n_gt", n_pred.alias("n_pred"), tp.alias("tp"),
-        F.when(n_pred > 0, tp / n_pred).otherwise(F.lit(0.0)).alias("precision"), (tp / F.col("n_gt")).alias("recall"), F.coalesce("ap", F.lit(0.0)).alias("ap"),
+        F.when(n_pred > 0, tp / n_pred).otherwise(F.lit(0.0)).alias("precision"), (tp / F.col("n_gt")).alias("recall"), F.coalesce(F.col("area") / F.col("n_gt"), F.lit(0.0)).alias("ap"),
     )
 
 

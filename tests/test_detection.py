@@ -275,3 +275,34 @@ def test_live_stream(spark, tmp_path):
     frames = live.read_frames(spark, f"{tmp_path}/in")
     live.score_stream(frames, model, f"{tmp_path}/out", f"{tmp_path}/ckpt", once=True).awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_sums_and_percentiles_in_ranges(spark):
+    """Few groups over many ranges, so that groups are cut; a null group is one."""
+    from tessera.operators import prefix
+
+    r = random.Random(12)
+    rows = [(r.choice(["a", "a", "a", "b", None]), round(r.random(), 2)) for _ in range(3000)] + [("one", 4.5)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        df = spark.createDataFrame(rows, "g string, v double").withColumn("_key", F.struct("g"))
+        got = {x["_key"]["g"]: x for x in prefix.percentiles(df, F.col("v"), {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+        steps = df.groupBy("_key", "v").agg(F.count("*").alias("n"))
+        ranges = prefix.in_ranges(steps, [F.desc("v")])
+        assert ranges.where("_key.g = 'a'").select("_part").distinct().count() >= 3
+        sums = prefix.running_sums(ranges, [F.desc("v")], {"upto": "n"})
+        found = prefix.later_max(sums, [F.desc("v")], "most", "n").collect()
+        stats = {x["g"]: x for x in latency.latency_stats(df.drop("_key"), by=("g",), ms="v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert set(got) == {"a", "b", None, "one"} == set(stats)
+    for g in got:
+        mine = [v for k, v in rows if k == g]
+        want = np.percentile(mine, [0, 50, 95, 100])
+        assert np.allclose([got[g][c] for c in ("p0", "p50", "p95", "p100")], want)
+        assert stats[g]["n"] == len(mine) and np.allclose([stats[g]["median_ms"], stats[g]["p95_ms"], stats[g]["mean_ms"]], [want[1], want[2], np.mean(mine)])
+    for x in found:
+        mine = [v for k, v in rows if k == x["_key"]["g"]]
+        assert x["upto"] == sum(v >= x["v"] for v in mine)
+        assert x["most"] == max(mine.count(v) for v in set(mine) if v <= x["v"])
