@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import area_bucket, generation_count, images_with_class
+from tessera.operators.prefix import numbered
 from tessera.operators.sampling import balanced_sample, uniform
 
 
@@ -59,8 +60,7 @@ def extract_objects(annotated: DataFrame) -> DataFrame:
     out = annotated.select("image_id", "object_index", "class_name", "height", "width", "x1", "y1", "x2", "y2", "data", "mask").mapInPandas(work, schema)
     # Numbers come from keys alone, so pixels are not sorted by class.
     keys = out.where("error IS NULL").select("image_id", "object_index", "class_name")
-    numbered = keys.withColumn("_n", F.row_number().over(Window.partitionBy("class_name").orderBy("image_id", "object_index")))
-    named = numbered.select("image_id", "object_index", F.format_string("%s_%06d", "class_name", "_n").alias("object_id"))
+    named = numbered(keys, ["class_name"], ["image_id", "object_index"], "_n").select("image_id", "object_index", F.format_string("%s_%06d", "class_name", "_n").alias("object_id"))
     return out.join(named, ["image_id", "object_index"], "left")
 
 
@@ -94,9 +94,9 @@ def plan_composition(backgrounds: DataFrame, pool: DataFrame, seed: int, counts:
     from tessera.operators.similarity import ranked_objects
 
     n = backgrounds.count()
-    numbered = ranked_objects(backgrounds, [F.col("background_id")]).withColumn("draw", F.col("global_rank") - 1).drop("global_rank")
+    placed = ranked_objects(backgrounds, [F.col("background_id")]).withColumn("draw", F.col("global_rank") - 1).drop("global_rank")
     drawn = balanced_sample(pool, n, seed)
-    planned = numbered.join(drawn, "draw").withColumn("bucket", area_bucket(F.col("area_ratio")))
+    planned = placed.join(drawn, "draw").withColumn("bucket", area_bucket(F.col("area_ratio")))
     each = planned.withColumn("generation", F.explode(F.sequence(F.lit(1), generation_count(F.col("area_ratio"), counts))))
     return each.withColumn("name", F.concat_ws("_", F.col("background_id").cast("string"), F.lit("e7"), F.col("generation").cast("string"), F.col("object_id").cast("string")))
 

@@ -37,6 +37,13 @@ def running_sums(ranges: DataFrame, order: Sequence[Column], sums: Mapping[str,
     return out.withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in sums}).drop(*[f"_before_{name}" for name in sums])
 
 
+def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the row's number 1, 2, ... in its group by the columns of ``order``, which tell rows apart."""
+    keyed = df.select("*", F.struct(*groups).alias("_key"), F.lit(1).alias("_one"))
+    by = [F.col(c) for c in order]
+    return running_sums(in_ranges(keyed, by), by, {name: "_one"}).drop("_key", "_one", "_part")
+
+
 def later_max(ranges: DataFrame, order: Sequence[Column], name: str, value: str) -> DataFrame:
     """``name``: the largest ``value`` of the group's rows from this one on."""
     later = Window.partitionBy("_key").orderBy("_part").rowsBetween(1, Window.unboundedFollowing)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import numbered
 from tessera.operators.similarity import ranked_objects, table_of
 
 
@@ -83,8 +84,7 @@ def class_area_sample(pool: DataFrame, n: int, seed: int, groups: Sequence[str]
     n_groups = ordered.count()
     draws = pool.sparkSession.range(n).select(F.col("id").alias("draw"), (F.col("id") % n_groups).cast("int").alias("_g"), F.floor(F.col("id") / n_groups).alias("_turn"))
     wanted = draws.join(ordered, "_g").withColumn("_at", F.col("_turn") % F.col("_size"))
-    w = Window.partitionBy(*groups).orderBy(shuffle_key(seed, id_col), id_col)
-    member = pool.withColumn("_at", (F.row_number().over(w) - 1).cast("bigint"))
+    member = numbered(pool.withColumn("_order", shuffle_key(seed, id_col)), groups, ["_order", id_col], "_at").withColumn("_at", F.col("_at") - 1)
     return wanted.join(member, [*groups, "_at"]).select("draw", *pool.columns)
 
 
