@@ -14,9 +14,9 @@ from tessera.llm.common import NULL_ID, id_of, table, written
 from tessera.llm.components import components
 
 BLOCK_DIMS = 8
-#: A label's vectors are cut into slabs of about this many along the first axis of each block.
-SLAB = 1024
-#: The cuts of the slabs come from the axes of this many vectors (chosen by hash over all of them).
+#: A label's vectors are cut into cells of about this many bytes of vectors in each block; a tile holds two cells.
+CELL_BYTES = 4 << 20
+#: The cuts of the cells come from this many vectors (chosen by hash over all of them).
 SAMPLE = 20_000
 
 
@@ -54,96 +54,127 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _tree(sample: np.ndarray, depth: int) -> np.ndarray:
+    """Medians that cut a sample along its axes in turn; node i is cut into 2 i + 1 (up to the median) and 2 i + 2."""
+    cuts, node = np.full(2**depth - 1, np.inf), np.zeros(len(sample), np.int64)
+    for level in range(depth):
+        x = sample[:, level % sample.shape[1]]
+        medians = pd.Series(x).groupby(node).median()
+        cuts[medians.index] = medians
+        node = 2 * node + 1 + (x > cuts[node])
+    return cuts
+
+
+def _cells(cuts: np.ndarray, points: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each point's own cell, and (point, cell) for all cells within a squared distance of ``share``, over all axes."""
+    home, point, node = np.zeros(len(points), np.int64), np.arange(len(points)), np.zeros(len(points), np.int64)
+    away = np.zeros(points.shape)  # squared distance from a node, by axis
+    leaves = (len(cuts) + 1).bit_length() - 1
+    for level in range(leaves):
+        axis = level % points.shape[1]
+        home = 2 * home + 1 + (points[:, axis] > cuts[home])
+        gap = points[point, axis] - cuts[node]
+        beyond = away.copy()
+        beyond[:, axis] = np.maximum(away[:, axis], gap * gap)
+        keep = beyond.sum(axis=1) <= share
+        node = np.concatenate([2 * node + 1 + (gap > 0), (2 * node + 1 + (gap <= 0))[keep]])
+        point, away = np.concatenate([point, point[keep]]), np.concatenate([away, beyond[keep]])
+    return home - len(cuts), point, node - len(cuts)
+
+
 def _join(part: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links between the home slabs of a tile: rows (vec, other null, n) count a vector's links, rows with other make a spanning forest."""
+    """Links between the home cells of a tile: rows (id key, other null, n) count links of a vector, rows (id, other) are a spanning forest."""
     block, low, high = (int(part[c].iloc[0]) for c in ("block", "low", "high"))
-    part = part.sort_values("vec")
     unit = _unit(list(part["vector"]))
-    ids, weight, home = part["vec"].to_numpy(), part["copies"].to_numpy(), part["home"].to_numpy()
+    ids, keys, weight, home = (part[c].to_numpy() for c in ("vec", "key", "copies", "home"))
     turned = unit @ rotation(unit.shape[1])
     cuts = blocks_of(unit.shape[1])
     budget = 2 - 2 * least
     share = [budget * (e - s) / unit.shape[1] * (1 + 1e-9) + 1e-12 for s, e in cuts]
     s, e = cuts[block]
-    left = np.flatnonzero(home == low)
-    right = left if low == high else np.flatnonzero(home == high)
     sub = turned[:, s:e]
     square = (sub * sub).sum(axis=1)
+    by_axis = np.argsort(sub[:, 0], kind="stable")
+    left = by_axis[home[by_axis] == low]
+    right = left if low == high else by_axis[home[by_axis] == high]
+    # A little wide, as the expanded distance is inexact; the direct one below decides.
+    wide = share[block] + 1e-6
     pairs_a, pairs_b = [], []
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        # A little wide, as the expanded distance is inexact; the direct one below decides.
-        near = square[rows][:, None] + square[right][None, :] - 2 * sub[rows] @ sub[right].T <= share[block] + 1e-6
-        i, j = np.nonzero(near)
-        a, b = rows[i], right[j]
-        if low == high:
-            a, b = a[a < b], b[a < b]
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        first, last = np.searchsorted(sub[right, 0], [sub[rows[0], 0] - np.sqrt(wide), sub[rows[-1], 0] + np.sqrt(wide)])
+        first = at if low == high else first
+        others = right[first:last]
+        near = square[rows][:, None] + square[others][None, :] - 2 * sub[rows] @ sub[others].T <= wide
+        i, j = np.nonzero(np.triu(near, 1) if low == high else near)
+        a, b = rows[i], others[j]
         for cut in range(0, len(a), 100_000):  # exact check of the candidates
             x, y = a[cut : cut + 100_000], b[cut : cut + 100_000]
             true = (unit[x] * unit[y]).sum(axis=1) >= least
             x, y = x[true], y[true]
             # A pair is counted in the first block that keeps within its share.
-            first = np.ones(len(x), bool)
+            first_block = np.ones(len(x), bool)
             for other in range(block + 1):
                 p, q = cuts[other]
                 d = turned[x, p:q] - turned[y, p:q]
                 within = (d * d).sum(axis=1) <= share[other]
-                first &= within if other == block else ~within
-            pairs_a.append(x[first])
-            pairs_b.append(y[first])
+                first_block &= within if other == block else ~within
+            pairs_a.append(x[first_block])
+            pairs_b.append(y[first_block])
     a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (pairs_a, pairs_b))
     links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
     some = np.flatnonzero(links)
-    counts = pd.DataFrame({"vec": ids[some], "other": NULL_ID, "n": links[some].astype(np.int64)})
+    counts = pd.DataFrame({"id": keys[some], "other": None, "n": links[some]}, dtype="Int64")
     tree = _forest(len(ids), a, b)
-    forest = pd.DataFrame({"vec": ids[[x for x, _ in tree]], "other": ids[[y for _, y in tree]], "n": 0})
-    return pd.concat([counts, forest]).astype(np.int64)
+    forest = pd.DataFrame({"id": ids[[x for x, _ in tree]], "other": ids[[y for _, y in tree]], "n": 0}, dtype="Int64")
+    return pd.concat([counts, forest])
 
 
-def near_links(vectors: DataFrame, least: float = 0.93) -> tuple[DataFrame, DataFrame]:
-    """(vec, n links; a row for each tile) and (vec, other; a spanning forest of each tile's links).
+def near_links(vectors: DataFrame, least: float = 0.93, cell_bytes: int = CELL_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(key, n links; a row for each tile) and (vec, other; a spanning forest of each tile's links).
 
-    ``vectors``: vec, label, copies, vector (float64 as bytes).  Unit vectors with a cosine of ``least`` lie within a
-    squared distance of 2 - 2 * least; of the blocks of a rotated vector at least one is within its share of that, in
-    proportion to its axes.  For each block the join is a range join: vectors are cut into slabs along the block's
-    first axis and meet those slabs that the block's radius can reach; a tile is a pair of slabs of one label.  So a
-    label of any size is spread over many small tiles, and none emits its pairs: it returns counts and a forest.
+    ``vectors``: key (unique), vec, label, copies, vector (float64 as bytes).  Unit vectors with a cosine of ``least``
+    lie within a squared distance of 2 - 2 * least; of the blocks of a rotated vector at least one is within its share
+    of that, in proportion to its axes.  For each block the join is a range join: a label's vectors are cut into cells
+    by medians along all axes of the block and meet those cells whose distance, over all axes, is within the share; a
+    tile is a pair of cells of one label.  So a label of any size is spread over many small tiles, and none emits its
+    pairs: it returns counts and a forest.  The cuts do not change the result.
     """
-    sizes = vectors.groupBy("label", F.octet_length("vector").alias("width")).agg(F.count("*").alias("group_size"))
+    vectors = vectors.withColumn("width", F.octet_length("vector"))
+    sizes = vectors.groupBy("label", "width").agg(F.count("*").alias("group_size"))
     n = max(vectors.count(), 1)
-    sample = vectors.where(F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(n)) < SAMPLE).select("vector").toArrow().column("vector").to_pylist()
-    grids: dict[int, list[np.ndarray]] = {}
-    for width in {len(x) for x in sample}:
-        turned = _unit([x for x in sample if len(x) == width]) @ rotation(width // 8)
-        grids[width] = [np.quantile(turned[:, s], np.linspace(0, 1, 1025)) for s, _ in blocks_of(width // 8)]
+    sample = vectors.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(n)) < SAMPLE).join(sizes, ["label", "width"]).select("label", "width", "group_size", "vector")
+    trees: dict[int, dict[int, list[np.ndarray]]] = {}
+    for (label, width, size), part in sample.toArrow().to_pandas().groupby(["label", "width", "group_size"]):
+        depth = min((-(-int(size) * int(width) // cell_bytes) - 1).bit_length(), len(part).bit_length() - 2)
+        if depth > 0:
+            turned = _unit(list(part["vector"])) @ rotation(width // 8)
+            trees.setdefault(width, {})[label] = [_tree(turned[:, s:e], depth) for s, e in blocks_of(width // 8)]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for (width, size), b in whole.groupby(["width", "group_size"]):
-                turned = _unit(list(b["vector"])) @ rotation(width // 8)
-                slabs = -(-size // SLAB)
-                for k, (s, e) in enumerate(blocks_of(width // 8)):
-                    # A width that the sample lacks has one slab for each label.
-                    radius = np.sqrt((2 - 2 * least) * (e - s) / turned.shape[1]) * (1 + 1e-9) + 1e-9
-                    grid = grids.get(width, [np.zeros(1)] * (k + 1))[k]
-                    slab = lambda x, g=grid: np.minimum(np.interp(x, g, np.linspace(0, 1, len(g))) * slabs, slabs - 1).astype(np.int64)
-                    x = turned[:, s]
-                    home, first, last = slab(x), slab(x - radius), slab(x + radius)
-                    reach = last - first + 1
-                    row = np.repeat(np.arange(len(b)), reach)
-                    to = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach)
-                    out = b.iloc[row][["vec", "label", "copies", "vector", "width"]]
-                    yield out.assign(block=k, home=home[row], low=np.minimum(home[row], to), high=np.maximum(home[row], to))
-
-    tiles = vectors.withColumn("width", F.octet_length("vector")).join(sizes, ["label", "width"]).mapInPandas(
-        deal, "vec long, label long, copies long, vector binary, width int, block int, home long, low long, high long"
+            for width, wide in whole.groupby("width"):
+                cut = trees.get(width, {})
+                large = wide["label"].isin(list(cut))
+                for label in [None, *wide.loc[large, "label"].unique()]:  # small labels are one cell each
+                    rows = wide[~large if label is None else wide["label"] == label]
+                    for at in range(0, len(rows), 500):
+                        b = rows.iloc[at : at + 500]
+                        turned = _unit(list(b["vector"])) @ rotation(width // 8)
+                        for k, (s, e) in enumerate(blocks_of(width // 8)):
+                            share = (2 - 2 * least) * (e - s) / turned.shape[1] * (1 + 1e-9) + 1e-9
+                            home, row, to = _cells(np.zeros(0) if label is None else cut[label][k], turned[:, s:e], share)
+                            yield b.iloc[row].assign(block=k, home=home[row], low=np.minimum(home[row], to), high=np.maximum(home[row], to))
+
+    tiles = vectors.select("key", "vec", "label", "copies", "vector", "width").mapInPandas(
+        deal, "key long, vec long, label long, copies long, vector binary, width int, block int, home long, low long, high long"
     )
-    found = tiles.groupBy("label", "width", "block", "low", "high").applyInPandas(lambda part: _join(part, least), "vec long, other long, n long")
+    found = tiles.groupBy("label", "width", "block", "low", "high").applyInPandas(lambda part: _join(part, least), "id long, other long, n long")
     found = written(found, "vector-links")
-    return found.where(F.col("other") == NULL_ID).select("vec", "n"), found.where(F.col("other") != NULL_ID).select("vec", "other")
+    return found.where("other is null").select(F.col("id").alias("key"), "n"), found.where("other is not null").select(F.col("id").alias("vec"), "other")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label).
 
     Vectors of equal label and equal direction in all bits are one for the join and count as links of each other.
@@ -165,13 +196,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = written(rows.mapInArrow(plain, "vec long, label long, vector binary"), "vectors")
     usable = rows.where("vector is not null")
-    classes = written(usable.groupBy("label", "vector").agg(F.min("vec").alias("first"), F.count("*").alias("copies")), "vector-classes")
-    n, forest = near_links(classes.select(F.col("first").alias("vec"), "label", "copies", "vector"), least)
-    n = n.groupBy(F.col("vec").alias("first")).agg(F.sum("n").alias("n"))
-    member = usable.join(classes, ["label", "vector"]).select("vec", "first", "copies")
+    classes = usable.groupBy("label", "vector").agg(F.min("vec").alias("first"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "vector-classes")
+    n, forest = near_links(classes.select("key", F.col("first").alias("vec"), "label", "copies", "vector"), least, cell_bytes)
+    n = n.groupBy("key").agg(F.sum("n").alias("n"))
+    member = usable.join(classes, ["label", "vector"]).select("vec", "first", "key", "copies")
     links = forest.select(F.col("vec").alias("a"), F.col("other").alias("b")).unionByName(member.where("vec <> first").select(F.col("vec").alias("a"), F.col("first").alias("b")))
     groups = components(links)
-    counted = member.join(n, "first", "left").select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    counted = member.join(n, "key", "left").select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     counted = counted.unionByName(rows.where("vector is null").select("vec", F.lit(0).cast("long").alias("n_links")))
     found = counted.join(groups.withColumnRenamed("id", "vec"), "vec", "left").withColumn("component", F.coalesce("component", "vec"))
     return found.select(

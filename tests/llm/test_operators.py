@@ -247,16 +247,24 @@ def test_near_vectors(spark):
     links = [(a, b) for a in good for b in good if a < b and good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and (cos(good[a][0], good[b][0]) >= 0.93 or np.array_equal(good[a][0], good[b][0]))]
     comp = components_brute([x[0] for x in rows + bad], links)
     n = {i: sum(i in x for x in links) for i in comp}
-    old = neardup_vectors.SLAB
-    neardup_vectors.SLAB = 64  # several slabs for each label
-    try:
-        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup_vectors.near_duplicates(df).collect()}
-    finally:
-        neardup_vectors.SLAB = old
-    assert got == {i: (n[i], comp[i], comp[i] == i) for i in comp}
+    for cell_bytes in (neardup_vectors.CELL_BYTES, 16 << 10, 2 << 10):  # one, some and many cells for each label
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup_vectors.near_duplicates(df, cell_bytes=cell_bytes).collect()}
+        assert got == {i: (n[i], comp[i], comp[i] == i) for i in comp}
     assert len(links) > 100
 
 
+def test_cells_within_reach():
+    """Whatever the cuts, two points within the share meet: each is dealt to the other's own cell."""
+    r = np.random.Generator(np.random.PCG64(5))
+    for points in (r.standard_normal((300, 4)), r.standard_normal((300, 4)) * [1, 1e-3, 0, 1], np.repeat(r.standard_normal((30, 4)), 10, axis=0)):
+        cuts, share = neardup_vectors._tree(points[::3], 5), 0.3
+        home, point, cell = neardup_vectors._cells(cuts, points, share)
+        met = set(zip(point.tolist(), cell.tolist(), strict=True))
+        assert len(met) == len(point) and {(i, c) for i, c in enumerate(home.tolist())} <= met
+        assert all((i, home[j]) in met for i in range(300) for j in range(300) if ((points[i] - points[j]) ** 2).sum() <= share)
+    assert len(set(home.tolist())) > 8
+
+
 def test_warc(spark):
     html = ["<p>a</p>", None, "", "line\r\n\r\nWARC/1.1\r\n", "é" * 500, "<p>a</p>", "<p>a</p>", "unique"]
     rows = [(i, f"http://h/{i}", h, "clash") for i, h in enumerate(html)] + [(20, None, "x" * 300_000, "clash")]
@@ -465,9 +473,10 @@ def test_whole_groups():
 def test_near_vectors_null_and_repeated_ids(spark):
     v = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5]
     rows = [(None, v, 1), (None, v, 1), (4, v, 1), (4, [0.0] * 7 + [1.0], 1), (9, v, 2**40), (10, v, 2**40), (11, v, 2**40 + 2**32)]
+    rows += [(20, v, 7), (20, v[:7] + [0.51], 7), (21, [0.0] * 7 + [1.0], 7)]  # unlike rows of one id, each with one link
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
     got = sorted((-1 if r["vec_id"] is None else r["vec_id"], r["n_links"], r["component_id"]) for r in neardup_vectors.near_duplicates(df).collect())
-    assert got == [(-1, 2, None), (-1, 2, None), (4, 0, None), (4, 2, None), (9, 1, 9), (10, 1, 9), (11, 0, 11)]
+    assert got == [(-1, 2, None), (-1, 2, None), (4, 0, None), (4, 2, None), (9, 1, 9), (10, 1, 9), (11, 0, 11), (20, 1, 20), (20, 1, 20), (21, 0, 21)]
 
 
 def test_items_with_null_and_repeated_ids(spark):
