@@ -149,6 +149,6 @@ def posteriors(docs: DataFrame, model: dict, host: Column, path: Column) -> Data
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every document; its source is the host, and its language below that the path."""
+    """Quality of every document; its source is the host, and its language below that the path; cases as in ``posteriors``."""
     docs = table(spark, sf_dir, "documents")
     return posteriors(docs, fit(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
