@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, jaccard, neardup_vectors, pieces, quality, recompress, sharding, suffixes, toxicity, warc
+from tessera.llm import conversations, decontaminate, jaccard, line_rules, neardup_vectors, periodic, pieces, quality, recompress, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_quality": quality.op9_quality,
     "op10_similar_documents": jaccard.op10_similar_documents,
+    "op11_line_rules": line_rules.op11_line_rules,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -25,4 +28,6 @@ ORACLE_SQL = {
     "op7_suffix_dedup": suffixes.OP7_SQL,
     "op8_warc_revisits": warc.OP8_SQL,
     "op10_similar_documents": jaccard.OP10_SQL,
+    "op11_line_rules": line_rules.OP11_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
 }
