@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import confusion_kind
@@ -36,8 +36,12 @@ def _compare_counts(a: DataFrame, b: DataFrame, keys: Sequence[str], more: Seque
 
 
 def compare_confusions(a: DataFrame, b: DataFrame) -> DataFrame:
-    out = _compare_counts(a, b, ["gt_class", "pred_class"], ["mean_iou"])
-    return out.withColumn("kind", confusion_kind(F.coalesce("exp_mean_iou", "base_mean_iou")))
+    """Pairs of classes in two experiments: counts, means of IoU and confidence of both, change, status.
+
+    The kind is that of the experiment, so a pair that it no longer has is ``unknown``.
+    """
+    out = _compare_counts(a, b, ["gt_class", "pred_class"], ["mean_iou", "mean_confidence"])
+    return out.withColumn("kind", confusion_kind(F.col("exp_mean_iou")))
 
 
 def compare_error_class(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -62,6 +66,16 @@ def top_changes(cmp: DataFrame, col: str = "delta", k: int = 5, worst: bool = Tr
     return changed.orderBy(F.desc(col) if worst else F.asc(col), *ties).limit(k)
 
 
+def worst_deltas(cmp: DataFrame, metrics: Sequence[str] = ("recall", "ap", "precision"), k: int = 5) -> DataFrame:
+    """metric, place, class_id, delta: for each metric the ``k`` classes whose change is smallest, whatever its sign; ties by class.
+
+    The comparison has a row for each class of the model, so the ranks of a metric are few.
+    """
+    long = cmp.select("class_id", F.posexplode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_delta").alias("delta")) for m in metrics])).alias("_", "m")).select("class_id", "m.*")
+    place = F.row_number().over(Window.partitionBy("metric").orderBy("delta", "class_id"))
+    return long.where("delta IS NOT NULL").select("metric", place.alias("place"), "class_id", "delta").where(F.col("place") <= k)
+
+
 def case_transitions(base: DataFrame, exp: DataFrame, least: float = 0.95, similarity: Callable[[Column, Column], Column] = box_iou) -> DataFrame:
     """What became of each confusion case (image_id, gt_class, pred_class, case_idx, box, iou, confidence).
 
@@ -157,10 +171,19 @@ def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return best.select(*keys, "_row.*").select(*df.columns)
 
 
-def check_report(columns: Sequence[str], split: str | None) -> list[str]:
-    """Problems of an error report: missing top-level keys, and a split that is not for evaluation."""
-    missing = [f"missing:{k}" for k in ("split", "per_class_metrics", "class_performance_summary", "error_analysis") if k not in columns]
-    return missing + ([f"warning:split={split}"] if split not in ("val", "test") else [])
+REPORT_KEYS = ("split", "per_class_metrics", "class_performance_summary", "error_analysis")
+
+
+def check_report(report: DataFrame) -> DataFrame:
+    """``report`` (a row for each error report) with ``problems``: missing top-level keys, and a split that is not for evaluation.
+
+    A key is missing if its column is absent or null.
+    """
+    value = lambda k: F.col(k) if k in report.columns else F.lit(None)
+    missing = [F.when(value(k).isNull(), F.lit(f"missing:{k}")) for k in REPORT_KEYS]
+    split = value("split").cast("string")
+    warning = F.when(~F.coalesce(split.isin("val", "test"), F.lit(False)), F.concat(F.lit("warning:split="), F.coalesce(split, F.lit("None"))))
+    return report.withColumn("problems", F.array_compact(F.array(*missing, warning)))
 
 
 def diagnose(metrics: DataFrame, confusions: DataFrame, base_stats: DataFrame, exp_stats: DataFrame, fp: DataFrame, fn: DataFrame, focus: int) -> DataFrame:

@@ -52,24 +52,43 @@ def speedups(stats: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return both.select("baseline", "comparison", F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("a") / F.col("b")).otherwise(F.lit(0.0)).alias("speedup"))
 
 
-def agreement_by_image(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per image: predictions of both runtimes, matches, lowest IoU and largest difference of confidence."""
+def agreement_by_image(matches: DataFrame, a: DataFrame, b: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Per image: predictions of both runtimes, matches, unmatched ones, and the means of IoU and difference of confidence.
+
+    ``images`` (image_id) are those that were compared; one without predictions on either side agrees exactly.  Without
+    it, images are those that a prediction names.  *exact*: both sides have as many predictions as matches;
+    *near_perfect*: there is a match, and the image's means are at least 0.999 and at most 1e-5.
+    """
     n_a = a.groupBy("image_id").agg(F.count("*").alias("n_a"))
     n_b = b.groupBy("image_id").agg(F.count("*").alias("n_b"))
-    diff = F.abs(F.col("a_conf") - F.col("b_conf"))
-    m = matches.groupBy("image_id").agg(F.count("*").alias("n_match"), F.sum("iou").alias("sum_iou"), F.min("iou").alias("min_iou"), F.sum(diff).alias("sum_diff"), F.max(diff).alias("max_diff"))
-    joined = n_a.join(n_b, "image_id", "full_outer").join(m, "image_id", "left").fillna(0, ["n_a", "n_b", "n_match"])
-    complete = (F.col("n_a") == F.col("n_match")) & (F.col("n_b") == F.col("n_match"))
-    return joined.withColumn("exact", complete).withColumn("near_perfect", complete & (F.coalesce("min_iou", F.lit(1.0)) >= 0.999) & (F.coalesce("max_diff", F.lit(0.0)) <= 1e-5))
-
-
-def agreement_summary(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    n = F.sum("n_match")
-    most = F.greatest(F.sum("n_a"), F.sum("n_b"))
-    return agreement_by_image(matches, a, b).agg(
+    m = matches.groupBy("image_id").agg(F.count("*").alias("n_match"), F.avg("iou").alias("mean_iou"), F.avg(F.abs(F.col("a_conf") - F.col("b_conf"))).alias("mean_diff"))
+    named = n_a.join(n_b, "image_id", "full_outer")
+    if images is not None:
+        named = images.select("image_id").distinct().join(named, "image_id", "left")
+    joined = named.join(m, "image_id", "left").fillna(0, ["n_a", "n_b", "n_match"])
+    n = F.col("n_match")
+    return joined.withColumns({
+        "unmatched_a": F.col("n_a") - n, "unmatched_b": F.col("n_b") - n, "exact": (F.col("n_a") == n) & (F.col("n_b") == n),
+        "near_perfect": (n > 0) & F.coalesce((F.col("mean_iou") >= 0.999) & (F.col("mean_diff") <= 1e-5), F.lit(False)),
+    })
+
+
+def agreement_summary(matches: DataFrame, a: DataFrame, b: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Totals over images: rates of exact and nearly perfect ones, and of matches among all detections of both runtimes.
+
+    The match rate divides by matches and both sides' unmatched detections (1 if there are none).  IoU and difference of
+    confidence are summed up over the means of the images that have matches: their average is 0 without any, their
+    lowest and largest are null.
+    """
+    n, left_a, left_b = F.sum("n_match"), F.sum("unmatched_a"), F.sum("unmatched_b")
+    every = n + left_a + left_b
+    rate = lambda v: F.when(F.count("*") > 0, F.count_if(v) / F.count("*"))
+    return agreement_by_image(matches, a, b, images).agg(
         F.count("*").alias("n_images"), F.count_if("exact").alias("exact_images"), F.count_if("near_perfect").alias("near_perfect_images"),
-        F.sum("n_a").alias("total_a"), F.sum("n_b").alias("total_b"), n.alias("total_matches"), F.when(most > 0, n / most).otherwise(F.lit(1.0)).alias("match_rate"),
-        F.when(n > 0, F.sum("sum_iou") / n).alias("avg_iou"), F.min("min_iou").alias("min_iou"), F.when(n > 0, F.sum("sum_diff") / n).alias("avg_conf_diff"), F.max("max_diff").alias("max_conf_diff"),
+        rate("exact").alias("exact_rate"), rate("near_perfect").alias("near_perfect_rate"), F.sum("n_a").alias("total_a"), F.sum("n_b").alias("total_b"),
+        (F.sum("n_b") - F.sum("n_a")).alias("count_difference"), n.alias("total_matches"), left_a.alias("unmatched_a"), left_b.alias("unmatched_b"),
+        F.when(every > 0, n / every).otherwise(F.lit(1.0)).alias("match_rate"), F.coalesce(F.avg("mean_iou"), F.lit(0.0)).alias("avg_iou"), F.min("mean_iou").alias("min_iou"),
+        F.coalesce(F.avg("mean_diff"), F.lit(0.0)).alias("avg_conf_diff"), F.max("mean_diff").alias("max_conf_diff"),
     )
 
 

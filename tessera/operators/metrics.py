@@ -7,18 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.matching import candidate_pairs, greedy
+from tessera.operators.matching import candidate_pairs
 from tessera.operators.prefix import in_ranges, later_max, running_sums
 
 IOUS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
 
 def matches_by_threshold(preds: DataFrame, gts: DataFrame, ious: Sequence[float]) -> DataFrame:
-    """Class-aware matches for each IoU threshold: the candidates are joined once, at the lowest."""
-    pairs = candidate_pairs(preds, gts, min(ious), ("image_id", "class_id"))
-    each = pairs.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in ious]))).where(F.col("iou") >= F.col("threshold"))
-    kept = each.select("threshold", "image_id", "class_id", F.col("p_pred_idx").alias("pred_idx"), F.col("g_gt_idx").alias("gt_idx"), F.col("p_confidence").alias("confidence"), "iou")
-    return greedy(kept, ["threshold", "image_id", "class_id"], [-F.col("confidence"), F.col("pred_idx"), -F.col("iou"), F.col("gt_idx")], "pred_idx", "gt_idx")
+    """Class-aware matches for each IoU threshold, with as few rows as there are matches.
+
+    Candidates are joined once, at the lowest threshold, and gathered once for each image and class, in order; every
+    threshold folds that one array, leaving out what lies below it, so no candidate is copied or shuffled again.
+    """
+    keys = ["image_id", "class_id"]
+    pairs = candidate_pairs(preds, gts, min(ious), keys)
+    item = F.struct((-F.col("p_confidence")).alias("o0"), F.col("p_pred_idx").alias("pred_idx"), (-F.col("iou")).alias("o1"), F.col("g_gt_idx").alias("gt_idx"), "iou")
+    grouped = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("c"))
+    free = F.expr("size(array_distinct(c.pred_idx)) = size(c) AND size(array_distinct(c.gt_idx)) = size(c)")
+    fold = "aggregate(filter(c, x -> x.iou >= t), slice(c, 1, 0), (acc, x) -> IF(exists(acc, m -> m.pred_idx = x.pred_idx OR m.gt_idx = x.gt_idx), acc, array_append(acc, x)))"
+    thresholds = "array(" + ", ".join(f"{float(t)}D" for t in ious) + ")"
+    at = lambda taken: F.expr(f"flatten(transform({thresholds}, t -> transform({taken}, m -> struct(t AS threshold, m AS m))))")
+    taken = grouped.select(*keys, F.explode(F.when(free, at("filter(c, x -> x.iou >= t)")).otherwise(at(fold))).alias("z"))
+    return taken.select("z.threshold", *keys, "z.m.pred_idx", "z.m.gt_idx", (-F.col("z.m.o0")).alias("confidence"), "z.m.iou")
 
 
 def detection_metrics(preds: DataFrame, gts: DataFrame, ious: Sequence[float] = (0.5,)) -> DataFrame:
@@ -48,6 +58,6 @@ def detection_metrics(preds: DataFrame, gts: DataFrame, ious: Sequence[float] =
 
 
 def mean_ap(metrics: DataFrame) -> DataFrame:
-    """map50, map75 and map50_95 over classes and thresholds."""
+    """map50, map75 and map50_95, the mean over classes and all of IOUS, which ``metrics`` has to hold for it (else null)."""
     at = lambda t: F.avg(F.when(F.abs(F.col("threshold") - t) < 1e-9, F.col("ap")))
-    return metrics.agg(at(0.5).alias("map50"), at(0.75).alias("map75"), F.avg("ap").alias("map50_95"))
+    return metrics.agg(at(0.5).alias("map50"), at(0.75).alias("map75"), F.when(F.count_distinct(F.round("threshold", 2)) == len(IOUS), F.avg("ap")).alias("map50_95"))

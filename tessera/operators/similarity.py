@@ -104,18 +104,33 @@ def margins(cases: DataFrame, neighbours: DataFrame, missing: str = "null") -> D
     return out.withColumn("nearest_class", F.when(F.col("margin") > 0, F.col("pred_class")).when(F.col("margin").isNotNull(), F.col("gt_class")))
 
 
+def _ten_thousandths(v: Column) -> Column:
+    """Sum of values of four decimals as whole numbers, so that means do not depend on the order of rows."""
+    return F.sum(F.round(v * 10000))
+
+
 def similarity_report(m: DataFrame) -> DataFrame:
-    """Per pair of classes: cases, nearest-class counts and shares, margin statistics, verdict at +-0.05."""
-    r = lambda v: F.round(v, 4)
-    avg = F.avg("margin")
-    # Margins have four decimals; their mean is rounded from whole ten-thousandths, so that halves are exact.
-    mean = F.round(F.sum(F.round(F.col("margin") * 10000)) / F.count("*")) / 10000
-    return m.where("margin IS NOT NULL").groupBy("gt_class", "pred_class").agg(
-        F.count("*").alias("n_cases"), F.count_if(F.col("nearest_class") == F.col("pred_class")).alias("nearest_pred"), F.count_if(F.col("nearest_class") == F.col("gt_class")).alias("nearest_gt"),
-        r(100 * F.avg((F.col("nearest_class") == F.col("pred_class")).cast("double"))).alias("nearest_pred_pct"),
-        mean.alias("avg_margin"), r(F.min("margin")).alias("min_margin"), r(F.max("margin")).alias("max_margin"),
-        F.when(avg > 0.05, "closer_to_predicted").when(avg < -0.05, "closer_to_true").otherwise("ambiguous").alias("verdict"),
-    )
+    """level, gt_class, pred_class and statistics for each pair of classes and, as level ``overall``, for all cases.
+
+    n_cases counts every case, n_margins those with a margin; shares of the nearest class are of all cases.  The mean
+    margin is 0 where there is none; the verdict is the mean's at +-0.05.  Pairs and the overall row are one aggregate.
+    """
+    n, s = F.count("margin"), _ten_thousandths(F.col("margin"))
+    pred, gt = F.count_if("_pred"), F.count_if("_gt")
+    flagged = m.withColumn("_pred", F.col("nearest_class") == F.col("pred_class")).withColumn("_gt", F.col("nearest_class") == F.col("gt_class"))
+    return flagged.groupingSets([[F.col("gt_class"), F.col("pred_class")], []], "gt_class", "pred_class").agg(
+        F.when(F.grouping("gt_class") == 1, "overall").otherwise("pair").alias("level"), F.count("*").alias("n_cases"), n.alias("n_margins"), pred.alias("nearest_pred"), gt.alias("nearest_gt"),
+        F.round(100 * pred / F.count("*"), 4).alias("nearest_pred_pct"), F.round(100 * gt / F.count("*"), 4).alias("nearest_gt_pct"),
+        F.coalesce(F.when(n > 0, F.round(s / n) / 10000), F.lit(0.0)).alias("avg_margin"), F.round(F.min("margin"), 4).alias("min_margin"), F.round(F.max("margin"), 4).alias("max_margin"),
+        F.when(s > 500 * n, "closer_to_predicted").when(s < -500 * n, "closer_to_true").otherwise("ambiguous").alias("verdict"),
+    ).where("n_cases > 0")
+
+
+def nearest_classes(m: DataFrame) -> DataFrame:
+    """nearest_class, its cases, and their percentage of all cases, those without a nearest class included."""
+    whole = m.agg(F.count("*").alias("whole"))  # one row
+    n = m.where("nearest_class IS NOT NULL").groupBy("nearest_class").agg(F.count("*").alias("n_cases"))
+    return n.crossJoin(F.broadcast(whole)).select("nearest_class", "n_cases", F.round(100 * F.col("n_cases") / F.col("whole"), 4).alias("percentage"))
 
 
 def build_index(annotations: DataFrame, embed, classes: Sequence[int]) -> DataFrame:
@@ -262,3 +277,14 @@ def compare_margins(a: DataFrame, b: DataFrame) -> DataFrame:
     both = x.join(y, "case_id").withColumn("delta", F.round(F.col("margin_b") - F.col("margin_a"), 4))
     status = F.when(F.col("delta") < 0, "improved").when(F.col("delta") > 0, "regressed").when(F.col("delta") == 0, "unchanged")
     return both.withColumn("status", status).withColumn("prediction_changed", F.col("pred_a") != F.col("pred_b"))
+
+
+def margin_summary(cmp: DataFrame) -> DataFrame:
+    """Of ``compare_margins``: matched cases, how many improved, regressed and stayed, and both mean margins with their difference, of four decimals."""
+    status = lambda x: F.count_if(F.col("status") == x).alias(x)
+    mean = lambda c: _ten_thousandths(F.col(c)) / F.count(c)
+    a, b = mean("margin_a"), mean("margin_b")
+    return cmp.agg(
+        F.count("*").alias("matched_cases"), status("improved"), status("regressed"), status("unchanged"),
+        (F.round(a) / 10000).alias("avg_margin_a"), (F.round(b) / 10000).alias("avg_margin_b"), (F.round(b - a) / 10000).alias("delta_margin"),
+    )

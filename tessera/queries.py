@@ -111,15 +111,17 @@ def match_class_aware(spark, d):
     return matching.match_predictions(fx.pred(spark, d), fx.pred2(spark, d))
 
 
-@query(f"""WITH RECURSIVE {BASE}, {AWARE}, na AS (SELECT image_id, count(*) AS n_a FROM pred GROUP BY 1), nb AS (SELECT image_id, count(*) AS n_b FROM pred2 GROUP BY 1),
-i AS (SELECT image_id, count(*) AS n_match, sum(iou) AS sum_iou, min(iou) AS min_iou, sum(abs(a_conf - b_conf)) AS sum_diff, max(abs(a_conf - b_conf)) AS max_diff FROM a GROUP BY 1),
-j AS (SELECT image_id, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(n_match, 0) AS n_match, sum_iou, min_iou, sum_diff, max_diff FROM na FULL JOIN nb USING (image_id) LEFT JOIN i USING (image_id))
-SELECT count(*) AS n_images, count(*) FILTER (n_a = n_match AND n_b = n_match) AS exact_images, count(*) FILTER (n_a = n_match AND n_b = n_match AND coalesce(min_iou, 1) >= 0.999 AND coalesce(max_diff, 0) <= 1e-5) AS near_perfect_images,
-  sum(n_a)::BIGINT AS total_a, sum(n_b)::BIGINT AS total_b, sum(n_match)::BIGINT AS total_matches, round(sum(n_match) / greatest(sum(n_a), sum(n_b)), 6) AS match_rate, round(sum(sum_iou) / sum(n_match), 6) AS avg_iou, round(min(min_iou), 6) AS min_iou,
-  round(sum(sum_diff) / sum(n_match), 6) AS avg_conf_diff, round(max(max_diff), 6) AS max_conf_diff FROM j""")
+@query(f"""WITH RECURSIVE {BASE}, {AWARE}, i AS (SELECT DISTINCT o_orderkey AS image_id FROM orders), na AS (SELECT image_id, count(*) AS n FROM pred GROUP BY 1), nb AS (SELECT image_id, count(*) AS n FROM pred2 GROUP BY 1),
+k AS (SELECT image_id, count(*) AS n, avg(iou) AS u, avg(abs(a_conf - b_conf)) AS c FROM a GROUP BY 1),
+j AS (SELECT coalesce(na.n, 0) AS x, coalesce(nb.n, 0) AS y, coalesce(k.n, 0) AS m, u, c FROM i LEFT JOIN na USING (image_id) LEFT JOIN nb USING (image_id) LEFT JOIN k USING (image_id))
+SELECT count(*) AS n_images, count(*) FILTER (x = m AND y = m) AS exact_images, count(*) FILTER (m > 0 AND u >= 0.999 AND c <= 1e-5) AS near_perfect_images,
+  round(count(*) FILTER (x = m AND y = m) / count(*), 6) AS exact_rate, round(count(*) FILTER (m > 0 AND u >= 0.999 AND c <= 1e-5) / count(*), 6) AS near_perfect_rate,
+  sum(x)::BIGINT AS total_a, sum(y)::BIGINT AS total_b, (sum(y) - sum(x))::BIGINT AS count_difference, sum(m)::BIGINT AS total_matches, sum(x - m)::BIGINT AS unmatched_a, sum(y - m)::BIGINT AS unmatched_b,
+  round(sum(m) / (sum(x) + sum(y) - sum(m)), 6) AS match_rate, round(avg(u), 6) AS avg_iou, round(min(u), 6) AS min_iou, round(avg(c), 6) AS avg_conf_diff, round(max(c), 6) AS max_conf_diff FROM j""")
 def agreement_summary(spark, d):
     a, b = fx.pred(spark, d), fx.pred2(spark, d)
-    return latency.agreement_summary(matching.match_predictions(a, b), a, b)
+    images = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
+    return latency.agreement_summary(matching.match_predictions(a, b), a, b, images)
 
 
 @query(f"{M}, c AS ({CONF.format(t='m_all')}) SELECT {CONF_OUT} FROM c")
@@ -176,14 +178,21 @@ def case_statistics(spark, d):
     return compare.case_statistics(errors.confusion_cases(_matches(spark, d)), ["gt_class", "pred_class"])
 
 
-AP = greedy_sql("a", f"SELECT t.threshold, p.image_id, p.class_id, p.pred_idx::BIGINT AS l, g.gt_idx::BIGINT AS r, p.confidence AS conf, {iou_sql('p', 'g')} AS iou FROM pred p JOIN gt g ON p.image_id = g.image_id AND p.class_id = g.class_id JOIN (VALUES (0.5::DOUBLE), (0.75::DOUBLE)) t(threshold) ON {iou_sql('p', 'g')} >= t.threshold", "threshold, image_id, class_id", "-conf, l, -iou, r")
-AP_SQL = f"""WITH RECURSIVE {BASE}, {AP}, ts AS (SELECT * FROM (VALUES (0.5::DOUBLE), (0.75::DOUBLE)) t(threshold)),
-st AS (SELECT threshold, class_id, confidence, count(*) AS n FROM pred, ts GROUP BY ALL), hit AS (SELECT threshold, class_id, conf AS confidence, count(*) AS tp FROM a GROUP BY ALL),
-cu AS (SELECT threshold, class_id, confidence, coalesce(tp, 0) AS tp, sum(n) OVER w AS seen, sum(coalesce(tp, 0)) OVER w AS found FROM st LEFT JOIN hit USING (threshold, class_id, confidence) WINDOW w AS (PARTITION BY threshold, class_id ORDER BY confidence DESC ROWS UNBOUNDED PRECEDING)),
-en AS (SELECT *, max(found / seen) OVER (PARTITION BY threshold, class_id ORDER BY confidence DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM cu),
-g AS (SELECT class_id, count(*) AS n_gt FROM gt GROUP BY 1),
-x AS (SELECT en.threshold, en.class_id, max(seen) AS n_pred, max(found) AS tp, sum(p * en.tp / n_gt) AS ap FROM en JOIN g USING (class_id) GROUP BY ALL),
-r AS (SELECT ts.threshold, g.class_id, n_gt, coalesce(n_pred, 0)::BIGINT AS n_pred, coalesce(tp, 0)::BIGINT AS tp, CASE WHEN coalesce(n_pred, 0) > 0 THEN tp / n_pred ELSE 0 END AS precision, coalesce(tp, 0) / n_gt AS recall, coalesce(ap, 0) AS ap FROM g CROSS JOIN ts LEFT JOIN x ON x.threshold = ts.threshold AND x.class_id = g.class_id)"""
+def ap_sql(name: str, preds: str = "pred", ious: tuple[float, ...] = (0.5, 0.75)) -> str:
+    """CTEs ending in ``name``: threshold, class_id, n_gt, n_pred, tp, precision, recall, ap of a table of predictions."""
+    ts = "(VALUES " + ", ".join(f"({t}::DOUBLE)" for t in ious) + ") t(threshold)"
+    n = name
+    matched = greedy_sql(f"{n}_a", f"SELECT t.threshold, p.image_id, p.class_id, p.pred_idx::BIGINT AS l, g.gt_idx::BIGINT AS r, p.confidence AS conf, {iou_sql('p', 'g')} AS iou FROM {preds} p JOIN gt g ON p.image_id = g.image_id AND p.class_id = g.class_id JOIN {ts} ON {iou_sql('p', 'g')} >= t.threshold", "threshold, image_id, class_id", "-conf, l, -iou, r")
+    return f"""{matched}, {n}_ts AS (SELECT * FROM {ts}),
+{n}_st AS (SELECT threshold, class_id, confidence, count(*) AS n FROM {preds}, {n}_ts GROUP BY ALL), {n}_hit AS (SELECT threshold, class_id, conf AS confidence, count(*) AS tp FROM {n}_a GROUP BY ALL),
+{n}_cu AS (SELECT threshold, class_id, confidence, coalesce(tp, 0) AS tp, sum(n) OVER w AS seen, sum(coalesce(tp, 0)) OVER w AS found FROM {n}_st LEFT JOIN {n}_hit USING (threshold, class_id, confidence) WINDOW w AS (PARTITION BY threshold, class_id ORDER BY confidence DESC ROWS UNBOUNDED PRECEDING)),
+{n}_en AS (SELECT *, max(found / seen) OVER (PARTITION BY threshold, class_id ORDER BY confidence DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM {n}_cu),
+{n}_g AS (SELECT class_id, count(*) AS n_gt FROM gt GROUP BY 1),
+{n}_x AS (SELECT e.threshold, e.class_id, max(seen) AS n_pred, max(found) AS tp, sum(p * e.tp / n_gt) AS ap FROM {n}_en e JOIN {n}_g USING (class_id) GROUP BY ALL),
+{n} AS (SELECT t.threshold, g.class_id, n_gt, coalesce(n_pred, 0)::BIGINT AS n_pred, coalesce(tp, 0)::BIGINT AS tp, CASE WHEN coalesce(n_pred, 0) > 0 THEN tp / n_pred ELSE 0 END AS "precision", coalesce(tp, 0) / n_gt AS recall, coalesce(ap, 0) AS ap FROM {n}_g g CROSS JOIN {n}_ts t LEFT JOIN {n}_x x ON x.threshold = t.threshold AND x.class_id = g.class_id)"""
+
+
+AP_SQL = f"WITH RECURSIVE {BASE}, {ap_sql('r')}"
 _SCORES = 'round("precision", 6) AS "precision", round(recall, 6) AS recall, round(ap, 6) AS ap'
 
 
@@ -233,10 +242,10 @@ def object_distribution(spark, d):
 
 STATUS = "CASE WHEN base_count = 0 AND exp_count > 0 THEN 'new_error' WHEN base_count > 0 AND exp_count = 0 THEN 'removed_error' WHEN exp_count < base_count THEN 'improved' WHEN exp_count > base_count THEN 'regressed' ELSE 'unchanged' END AS status"
 COUNTS = f"base_count, exp_count, exp_count - base_count AS delta, CASE WHEN base_count > 0 THEN round((exp_count - base_count) / base_count, 6) END AS relative_change, {STATUS}"
-CMP = f"{M2}, ca AS ({CONF.format(t='m_all')}), cb AS ({CONF.format(t='n_all')}), cj AS (SELECT gt_class, pred_class, coalesce(ca.count, 0) AS base_count, ca.mean_iou AS base_mean_iou, coalesce(cb.count, 0) AS exp_count, cb.mean_iou AS exp_mean_iou FROM ca FULL JOIN cb USING (gt_class, pred_class))"
+CMP = f"{M2}, ca AS ({CONF.format(t='m_all')}), cb AS ({CONF.format(t='n_all')}), cj AS (SELECT gt_class, pred_class, coalesce(ca.count, 0) AS base_count, ca.mean_iou AS base_mean_iou, ca.mean_confidence AS base_mean_confidence, coalesce(cb.count, 0) AS exp_count, cb.mean_iou AS exp_mean_iou, cb.mean_confidence AS exp_mean_confidence FROM ca FULL JOIN cb USING (gt_class, pred_class))"
 
 
-@query(f"{CMP} SELECT gt_class, pred_class, round(base_mean_iou, 6) AS base_mean_iou, round(exp_mean_iou, 6) AS exp_mean_iou, {COUNTS}, CASE WHEN coalesce(exp_mean_iou, base_mean_iou) >= 0.8 THEN 'classification_dominant' WHEN coalesce(exp_mean_iou, base_mean_iou) < 0.5 THEN 'localization_dominant' ELSE 'mixed' END AS kind FROM cj")
+@query(f"{CMP} SELECT gt_class, pred_class, round(base_mean_iou, 6) AS base_mean_iou, round(exp_mean_iou, 6) AS exp_mean_iou, round(base_mean_confidence, 6) AS base_mean_confidence, round(exp_mean_confidence, 6) AS exp_mean_confidence, {COUNTS}, CASE WHEN exp_mean_iou IS NULL THEN 'unknown' WHEN exp_mean_iou >= 0.8 THEN 'classification_dominant' WHEN exp_mean_iou < 0.5 THEN 'localization_dominant' ELSE 'mixed' END AS kind FROM cj")
 def compare_confusions(spark, d):
     return compare.compare_confusions(errors.confusion(_matches(spark, d)), errors.confusion(_matches(spark, d, True)))
 
@@ -321,14 +330,24 @@ def margins(spark, d):
     return similarity.margins(cases, similarity.knn(cases, index, 5, other_than_self=True))
 
 
-@query(f"""{MARG} SELECT gt_class::BIGINT AS gt_class, pred_class::BIGINT AS pred_class, count(*) AS n_cases, count(*) FILTER (nearest_class = pred_class) AS nearest_pred, count(*) FILTER (nearest_class = gt_class) AS nearest_gt,
-  round(100 * avg((nearest_class = pred_class)::INT), 4) AS nearest_pred_pct, round(sum(round(margin * 10000)) / count(*)) / 10000 + 0.0 AS avg_margin, round(min(margin), 4) AS min_margin, round(max(margin), 4) AS max_margin,
-  CASE WHEN avg(margin) > 0.05 THEN 'closer_to_predicted' WHEN avg(margin) < -0.05 THEN 'closer_to_true' ELSE 'ambiguous' END AS verdict FROM mr WHERE margin IS NOT NULL GROUP BY ALL""")
+@query(f"""{MARG}, r AS (SELECT 'pair' AS level, gt_class, pred_class, nearest_class, margin FROM mr UNION ALL SELECT 'overall', NULL, NULL, nearest_class, margin FROM mr),
+c AS (SELECT *, (SELECT count(*) FROM mr x WHERE x.nearest_class = x.pred_class) AS allp, (SELECT count(*) FROM mr x WHERE x.nearest_class = x.gt_class) AS allg FROM r),
+g AS (SELECT level, gt_class, pred_class, count(*) AS n_cases, count(margin) AS n_margins, sum(round(margin * 10000)) AS s, min(margin) AS lo, max(margin) AS hi,
+  CASE WHEN level = 'pair' THEN count(*) FILTER (nearest_class = pred_class) ELSE min(allp) END AS nearest_pred, CASE WHEN level = 'pair' THEN count(*) FILTER (nearest_class = gt_class) ELSE min(allg) END AS nearest_gt FROM c GROUP BY level, gt_class, pred_class)
+SELECT level, gt_class::BIGINT AS gt_class, pred_class::BIGINT AS pred_class, n_cases, n_margins, nearest_pred, nearest_gt, round(100 * nearest_pred / n_cases, 4) AS nearest_pred_pct, round(100 * nearest_gt / n_cases, 4) AS nearest_gt_pct,
+  coalesce(round(s / n_margins) / 10000 + 0.0, 0) AS avg_margin, round(lo, 4) + 0.0 AS min_margin, round(hi, 4) + 0.0 AS max_margin,
+  CASE WHEN s > 500 * n_margins THEN 'closer_to_predicted' WHEN s < -500 * n_margins THEN 'closer_to_true' ELSE 'ambiguous' END AS verdict FROM g""")
 def similarity_report(spark, d):
     index, cases = fx.embeddings(spark, d)
     return similarity.similarity_report(similarity.margins(cases, similarity.knn(cases, index, 5, other_than_self=True)))
 
 
+@query(f"{MARG} SELECT nearest_class::BIGINT AS nearest_class, count(*) AS n_cases, round(100 * count(*) / (SELECT count(*) FROM mr), 4) AS percentage FROM mr WHERE nearest_class IS NOT NULL GROUP BY 1")
+def nearest_classes(spark, d):
+    index, cases = fx.embeddings(spark, d)
+    return similarity.nearest_classes(similarity.margins(cases, similarity.knn(cases, index, 5, other_than_self=True)))
+
+
 @query(f"{MINE} SELECT object_id, class_id::BIGINT AS class_id, selection_count, max_similarity, row_number() OVER (ORDER BY selection_count DESC, max_similarity DESC, object_id) AS global_rank FROM mo")
 def mine_objects(spark, d):
     index, cases = fx.embeddings(spark, d)
@@ -375,6 +394,15 @@ def compare_margins(spark, d):
     return similarity.compare_margins(similarity.margins(cases, near), similarity.margins(cases, near, "zero"))
 
 
+@query(f"""{MARG}, zero AS (SELECT case_id, round(coalesce(pred_best, 0) - coalesce(gt_best, 0), 4) AS b FROM mj), p AS (SELECT mr.margin AS a, b, round(b - mr.margin, 4) AS delta FROM mr JOIN zero USING (case_id))
+SELECT count(*) AS matched_cases, count(*) FILTER (delta < 0) AS improved, count(*) FILTER (delta > 0) AS regressed, count(*) FILTER (delta = 0) AS unchanged, round(sum(round(a * 10000)) / count(a)) / 10000 + 0.0 AS avg_margin_a, round(sum(round(b * 10000)) / count(b)) / 10000 + 0.0 AS avg_margin_b,
+  round(sum(round(b * 10000)) / count(b) - sum(round(a * 10000)) / count(a)) / 10000 + 0.0 AS delta_margin FROM p""")
+def margin_comparison_summary(spark, d):
+    index, cases = fx.embeddings(spark, d)
+    near = similarity.knn(cases, index, 5, other_than_self=True)
+    return similarity.margin_summary(similarity.compare_margins(similarity.margins(cases, near), similarity.margins(cases, near, "zero")))
+
+
 # ---- banks and duplicates -----------------------------------------------------------------------------------------
 
 

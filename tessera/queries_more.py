@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import fixtures as fx
 from tessera.functions import boxes as bx
 from tessera.operators import bank, build, compare, errors, latency, matching, metrics, sampling, similarity
-from tessera.queries import AP_SQL, BAL, BASE, CMP, CONF, ERR, KNN, M, M2, MINE, OVER, POOL, SEED, _draws, _matches, _pool, oversampled, query
+from tessera.queries import AP_SQL, BAL, BASE, CMP, CONF, ERR, KNN, M, M2, MINE, OVER, POOL, SEED, _draws, _matches, _pool, ap_sql, oversampled, query
 from tessera.sources import files
 
 # ---- geometry and rules ---------------------------------------------------------------------------------------------
@@ -79,9 +79,9 @@ def worst_class(spark, d):
     return errors.worst_class(metrics.detection_metrics(fx.pred(spark, d), fx.gt(spark, d)))
 
 
-@query(f"{AP_SQL} SELECT round(avg(ap) FILTER (threshold = 0.5), 6) AS map50, round(avg(ap) FILTER (threshold = 0.75), 6) AS map75, round(avg(ap), 6) AS map50_95 FROM r")
+@query(f"WITH RECURSIVE {BASE}, {ap_sql('r', ious=metrics.IOUS)} SELECT round(avg(ap) FILTER (threshold = 0.5), 6) AS map50, round(avg(ap) FILTER (threshold = 0.75), 6) AS map75, round(avg(ap), 6) AS map50_95 FROM r")
 def mean_ap(spark, d):
-    return metrics.mean_ap(metrics.detection_metrics(fx.pred(spark, d), fx.gt(spark, d), (0.5, 0.75)))
+    return metrics.mean_ap(metrics.detection_metrics(fx.pred(spark, d), fx.gt(spark, d), metrics.IOUS))
 
 
 @query(f"{M} SELECT pred_class AS class_id, count(*) AS count, round(avg(confidence), 6) AS mean_confidence, count(DISTINCT image_id) AS n_images, count(*)::DOUBLE AS priority_score FROM m_all WHERE status = 'fp' GROUP BY 1 ORDER BY count DESC, class_id LIMIT 3")
@@ -179,6 +179,17 @@ def compare_metrics(spark, d):
     return compare.compare_metrics(_rates(_matches(spark, d)), _rates(_matches(spark, d, True)), ("precision", "recall"))
 
 
+def _deltas(m: str) -> str:
+    return f"SELECT '{m}' AS metric, class_id, y.{m} - x.{m} AS delta FROM x JOIN y USING (class_id)".replace(".precision", '."precision"')
+
+
+@query(f"""WITH RECURSIVE {BASE}, {ap_sql('x', ious=(0.5,))}, {ap_sql('y', 'pred2', (0.5,))}, u AS ({" UNION ALL ".join(map(_deltas, ("recall", "ap", "precision")))})
+SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY delta, class_id) AS place, class_id, round(delta, 6) + 0.0 AS delta FROM u QUALIFY place <= 3""")
+def worst_metric_changes(spark, d):
+    a, b = (metrics.detection_metrics(p(spark, d), fx.gt(spark, d)) for p in (fx.pred, fx.pred2))
+    return compare.worst_deltas(compare.compare_metrics(a, b), k=3)
+
+
 @query(f"""{CMP}, {PRS}, {FPN.format(c='pred_class', s='fp')}, {FPN.format(c='gt_class', s='fn').replace('fa ', 'ga ').replace('fb ', 'gb ').replace('fa.', 'ga.').replace('fb.', 'gb.').replace('FROM fa', 'FROM ga').replace('JOIN fb', 'JOIN gb').replace('j AS', 'gj AS')},
 st AS (SELECT count(*) FILTER (iou >= 0.8) / count(*) AS bh, count(*) FILTER (iou < 0.5) / count(*) AS bl FROM m_all WHERE status = 'match' AND gt_class <> pred_class), su AS (SELECT count(*) FILTER (iou >= 0.8) / count(*) AS eh, count(*) FILTER (iou < 0.5) / count(*) AS el FROM n_all WHERE status = 'match' AND gt_class <> pred_class), tt AS (SELECT sum(exp_count) - sum(base_count) AS t FROM cj)
 SELECT 'recall_regression' AS signal, round(ra.recall - rb.recall, 6) AS value, NULL::BIGINT AS gt_class, NULL::BIGINT AS pred_class FROM ra JOIN rb USING (class_id) WHERE class_id = 2 AND rb.recall < ra.recall
@@ -409,12 +420,12 @@ def build_summary(spark, d):
     return build.build_summary(spark.sql(KINDS))
 
 
-@query(f"WITH k AS ({KINDS}), s AS (SELECT count(*) AS images, count(*) FILTER (kind = 'synthetic') AS n FROM k) SELECT true AS images_equal_labels, false AS images_equal_parts, true AS synthetic_equal_objects, true AS samples_equal_images, true AS samples_equal_synthetic FROM s WHERE images > n")
+@query(f"WITH k AS ({KINDS}), p AS (SELECT count(*) AS listed, count(*) FILTER (kind = 'synthetic') AS n_listed FROM k WHERE right(name, 1) <> '7'), s AS (SELECT (SELECT count(*) FROM k) AS images, (SELECT count(*) FROM k WHERE kind = 'synthetic') AS n, (SELECT count(*) FROM k WHERE kind = 'original') AS o, listed, n_listed FROM p) SELECT images = images AS images_equal_labels, images = o + n AS images_equal_parts, n = n AS synthetic_equal_objects, listed = images AS samples_equal_images, n_listed = n AS samples_equal_synthetic FROM s")
 def reconcile(spark, d):
     fx.table(spark, d, "orders").createOrReplaceTempView("orders")
     k = spark.sql(KINDS)
     n = k.agg(F.count("*").alias("images"), F.count("*").alias("labels"), F.count_if(F.col("kind") == "original").alias("originals"), F.count_if(F.col("kind") == "synthetic").alias("synthetic"), F.count_if(F.col("kind") == "synthetic").alias("objects"))
-    return build.reconcile(n, k)
+    return build.reconcile(n, k.where("right(name, 1) <> '7'"))  # some samples are not listed
 
 
 @query(f"WITH k AS ({KINDS}) SELECT name, source, kind FROM k WHERE (kind = 'original' OR kind = 'synthetic') AND right(name, 1) <> '3'")
@@ -424,7 +435,7 @@ def finalised(spark, d):
     return build.finalise(k.where("kind = 'original'"), k.where("kind <> 'failed'"), k.where("right(name, 1) <> '3'").select("name"))
 
 
-@query(f"WITH {OVER} SELECT count(*) FILTER (kind = 'original') AS originals, count(*) FILTER (kind = 'copy') AS copies, count(*) AS samples, true AS adds_up FROM ou")
+@query(f"WITH {OVER} SELECT count(*) FILTER (kind = 'original') AS originals, count(*) FILTER (kind = 'copy') AS copies, count(*) AS samples, count(*) FILTER (kind = 'original') + count(*) FILTER (kind = 'copy') = count(*) AS adds_up FROM ou")
 def oversample_totals(spark, d):
     return build.oversample_totals(oversampled(spark, d)[1])
 

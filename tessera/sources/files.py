@@ -5,7 +5,7 @@ from __future__ import annotations
 import urllib.parse
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import base_name, safe_double, stem
@@ -33,6 +33,16 @@ def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> D
     )
 
 
+def decoded(path: str) -> Column:
+    """A path of ``_metadata``, where Spark encodes it as in a URL, as the store writes it."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+
+
+def _label_files(spark: SparkSession, path: str) -> DataFrame:
+    """stem and value (the whole text) of label files; names are those of the store, not encoded as in a URL."""
+    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(stem(decoded("_metadata.file_name")).alias("stem"), "value")
+
+
 def read_yolo_labels(spark: SparkSession, path: str, mode: str = "skip_line") -> DataFrame:
     """stem, object_index, class_id, cx, cy, w, h of label files with five tokens a line.
 
@@ -41,8 +51,7 @@ def read_yolo_labels(spark: SparkSession, path: str, mode: str = "skip_line") ->
     """
     if mode not in ("skip_line", "skip_file"):
         raise ValueError("mode must be 'skip_line' or 'skip_file'")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).withColumn("path", F.input_file_name())
-    lines = files.select(stem("path").alias("stem"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    lines = _label_files(spark, path).select("stem", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     t = F.split(F.trim("line"), r"\s+")
     five = lines.where(F.size(t) == 5).select("stem", "line_no", *[safe_double(F.get(t, F.lit(i))).alias(n) for i, n in enumerate(("class_id", "cx", "cy", "w", "h"))])
     bad = F.col("class_id").isNull() | F.col("cx").isNull() | F.col("cy").isNull() | F.col("w").isNull() | F.col("h").isNull()
@@ -56,8 +65,7 @@ def read_yolo_labels(spark: SparkSession, path: str, mode: str = "skip_line") ->
 
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
     """stem, line_no, line of every label line that is not blank, for audits."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).withColumn("path", F.input_file_name())
-    return files.select(stem("path").alias("stem"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    return _label_files(spark, path).select("stem", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
 def load_split(images: DataFrame, labels: DataFrame) -> DataFrame:
@@ -227,7 +235,8 @@ def manifest_categories(manifest: DataFrame) -> DataFrame:
 def rebuild_object_manifest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A row for each metadata.json below ``path``, in order of object_id."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").option("multiLine", True)
-    rows = (reader.schema(schema) if schema else reader).json(path).withColumn("metadata_path", F.input_file_name())
+    rows = (reader.schema(schema) if schema else reader).json(path)
+    rows = rows.select("*", decoded("_metadata.file_path").alias("metadata_path"))
     return rows.orderBy("object_id")
 
 

@@ -214,7 +214,10 @@ def test_compare_small_parts(spark):
     assert sorted(map(tuple, compare.name_diff(a, b).collect())) == [("x", "missing"), ("z", "unexpected")]
     d = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a")], "key string, pos int, v string")
     assert compare.first_by_key(d, ["key"], ["pos"]).first()["v"] == "a"
-    assert compare.check_report(["split", "error_analysis"], "train") == ["missing:per_class_metrics", "missing:class_performance_summary", "warning:split=train"]
+    report = spark.createDataFrame([("train", "x", None), ("val", "x", "y")], "split string, error_analysis string, per_class_metrics string")
+    found = [x["problems"] for x in compare.check_report(report).orderBy("split").collect()]
+    assert found == [["missing:per_class_metrics", "missing:class_performance_summary", "warning:split=train"], ["missing:class_performance_summary"]]
+    assert compare.check_report(report.drop("split")).first()["problems"][0] == "missing:split"
     both, only_a, only_b = compare.image_set_diff(a.withColumnRenamed("name", "image_id"), b.withColumnRenamed("name", "image_id"))
     assert (both.count(), only_a.count(), only_b.count()) == (1, 1, 1)
 
@@ -306,3 +309,67 @@ def test_sums_and_percentiles_in_ranges(spark):
         mine = [v for k, v in rows if k == x["_key"]["g"]]
         assert x["upto"] == sum(v >= x["v"] for v in mine)
         assert x["most"] == max(mine.count(v) for v in set(mine) if v <= x["v"])
+
+
+def test_agreement_by_hand(spark):
+    """Image 1: 3 and 2 predictions, 1 match; image 2: one identical pair; image 3: nothing on either side; image 4: one side only."""
+    box = lambda x: (float(x), 0.0, float(x) + 10, 10.0)
+    a = preds(spark, [(1, 0, 0, 0.9, *box(0)), (1, 1, 0, 0.8, *box(100)), (1, 2, 0, 0.7, *box(200)), (2, 0, 1, 0.5, *box(0))])
+    b = preds(spark, [(1, 0, 0, 0.8, *box(0)), (1, 1, 0, 0.8, *box(300)), (2, 0, 1, 0.5, *box(0)), (4, 0, 1, 0.5, *box(0))])
+    m = matching.match_predictions(a, b)
+    images = spark.createDataFrame([(1,), (2,), (3,), (4,)], "image_id bigint")
+    got = latency.agreement_summary(m, a, b, images).first().asDict()
+    assert got["match_rate"] == pytest.approx(2 / (2 + 2 + 2)) and (got["unmatched_a"], got["unmatched_b"], got["count_difference"]) == (2, 2, 0)
+    assert (got["n_images"], got["exact_images"], got["near_perfect_images"]) == (4, 2, 1) and (got["exact_rate"], got["near_perfect_rate"]) == (0.5, 0.25)
+    assert got["avg_iou"] == 1.0 and got["max_conf_diff"] == pytest.approx(0.1) and got["avg_conf_diff"] == pytest.approx(0.05)
+    one = latency.agreement_summary(m.where("image_id = 1"), a.where("image_id = 1"), b.where("image_id = 1")).first()
+    assert one["match_rate"] == 0.25
+    none = latency.agreement_summary(m.where("false"), a.where("false"), b.where("false"), images).first()
+    assert (none["match_rate"], none["avg_iou"], none["min_iou"], none["exact_images"]) == (1.0, 0.0, None, 4)
+
+
+def test_a_removed_pair_is_of_unknown_kind(spark):
+    kinds = "gt_class int, pred_class int, count long, mean_iou double, mean_confidence double"
+    a = spark.createDataFrame([(0, 1, 4, 0.9, 0.5), (0, 2, 1, 0.9, 0.4)], kinds)
+    b = spark.createDataFrame([(0, 2, 3, 0.4, 0.6)], kinds)
+    got = {x["pred_class"]: x for x in compare.compare_confusions(a, b).collect()}
+    assert (got[1]["kind"], got[1]["status"], got[1]["base_mean_confidence"], got[1]["exp_mean_confidence"]) == ("unknown", "removed_error", 0.5, None)
+    assert (got[2]["kind"], got[2]["status"]) == ("localization_dominant", "regressed")
+
+
+def test_worst_deltas_take_any_sign(spark):
+    cmp = spark.createDataFrame([(k, None if k == 3 else v, v) for k, v in enumerate([0.3, -0.2, 0.1, 0.0, 0.5, 0.1, 0.4])], "class_id int, recall_delta double, ap_delta double")
+    got = [(x["metric"], x["place"], x["class_id"]) for x in compare.worst_deltas(cmp, ("recall", "ap")).orderBy("metric", "place").collect()]
+    assert got == [("ap", i, k) for i, k in enumerate((1, 3, 2, 5, 0), 1)] + [("recall", i, k) for i, k in enumerate((1, 2, 5, 0, 6), 1)]
+
+
+def test_similarity_report_counts_cases_without_a_margin(spark):
+    m = spark.createDataFrame([(0, 1, 1, 0.2), (0, 1, 0, -0.1), (0, 1, None, None), (2, 1, None, None)], "gt_class int, pred_class int, nearest_class int, margin double")
+    got = {(x["level"], x["gt_class"]): x for x in similarity.similarity_report(m).collect()}
+    pair, alone, whole = got["pair", 0], got["pair", 2], got["overall", None]
+    assert (pair["n_cases"], pair["n_margins"], pair["nearest_pred_pct"], pair["avg_margin"], pair["verdict"]) == (3, 2, 33.3333, 0.05, "ambiguous")
+    assert (alone["n_cases"], alone["avg_margin"], alone["min_margin"], alone["verdict"]) == (1, 0.0, None, "ambiguous")
+    assert (whole["n_cases"], whole["nearest_pred"], whole["nearest_gt"], whole["max_margin"]) == (4, 1, 1, 0.2)
+    assert {x["nearest_class"]: x["percentage"] for x in similarity.nearest_classes(m).collect()} == {0: 25.0, 1: 25.0}
+    assert similarity.similarity_report(m.where("false")).collect() == []
+
+
+def test_margin_summary(spark):
+    kinds = "case_id int, margin double, pred_class int"
+    a = spark.createDataFrame([(1, 0.2, 0), (2, 0.1, 0), (3, -0.3, 1), (9, 0.5, 1)], kinds)
+    b = spark.createDataFrame([(1, 0.1, 0), (2, 0.1, 1), (3, 0.0, 1), (8, 0.5, 1)], kinds)
+    got = similarity.margin_summary(similarity.compare_margins(a, b)).first()
+    assert tuple(got) == (3, 1, 1, 1, 0.0, 0.0667, 0.0667)
+
+
+def test_mean_ap_needs_all_thresholds(spark):
+    p, g = [(1, 0, 0, 0.9, 0.0, 0.0, 10.0, 10.0)], [(1, 0, 0, 0.0, 0.0, 10.0, 12.0)]
+    some = metrics.mean_ap(metrics.detection_metrics(preds(spark, p), gts(spark, g), (0.5, 0.75))).first()
+    whole = metrics.mean_ap(metrics.detection_metrics(preds(spark, p), gts(spark, g), metrics.IOUS)).first()
+    assert (some["map50"], some["map75"], some["map50_95"]) == (1.0, 1.0, None)
+    assert whole["map50_95"] == pytest.approx(0.7)  # an IoU of 5/6 counts at 0.5 to 0.8
+
+
+def test_candidates_of_all_thresholds_are_one_aggregate(spark):
+    plan = metrics.matches_by_threshold(preds(spark, [(1, 0, 0, 0.9, 0.0, 0.0, 1.0, 1.0)]), gts(spark, [(1, 0, 0, 0.0, 0.0, 1.0, 1.0)]), metrics.IOUS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1

@@ -5,7 +5,9 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import build
 from tessera.sources import files
 
 
@@ -46,6 +48,28 @@ def test_labels(spark, tmp_path):
     assert files.load_split(images, ann).select("stem").distinct().count() == 1
 
 
+def test_names_with_spaces_and_marks(spark, tmp_path):
+    """A space, a percent sign, one that looks encoded, and letters beyond ASCII, through every step of a data set."""
+    stems = ["my img", "50% off", "a%20b", "größe ñ", "plain"]
+    for split in ("train", "val", "test"):
+        (tmp_path / split / "images").mkdir(parents=True)
+        (tmp_path / split / "labels").mkdir()
+        for i, s in enumerate(stems):
+            (tmp_path / split / "images" / f"{s}.png").write_bytes(png(2, 2, (1, 2, 3)))
+            (tmp_path / split / "labels" / f"{s}.txt").write_text(f"{i} 0.5 0.5 0.25 0.25\n")
+    images, labels = files.scan_images(spark, str(tmp_path / "train/images")), files.read_yolo_labels(spark, str(tmp_path / "train/labels"))
+    assert sorted(r["stem"] for r in images.collect()) == sorted(r["stem"] for r in labels.collect()) == sorted(stems)
+    assert files.load_split(images, labels).count() == 5
+    whole = files.load_dataset(spark, str(tmp_path), str(tmp_path))
+    assert sorted((r["split"], r["stem"]) for r in whole.collect()) == sorted((x, s) for x in ("train", "val", "test") for s in stems)
+    files.write_yolo_labels(labels, str(tmp_path / "out"))
+    assert sorted(f.stem for f in (tmp_path / "out").glob("*.txt")) == sorted(stems)
+    assert sorted(map(tuple, files.read_yolo_labels(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, labels.collect()))
+    lines = files.read_label_lines(spark, str(tmp_path / "train/labels"))
+    with_split = lambda df: df.select(F.lit("train").alias("split"), "stem").distinct()
+    assert build.audit_structure(with_split(images), with_split(lines), ["train"]).collect() == []
+
+
 def test_classes(spark, tmp_path):
     assert files.parse_classes("nc: 2\nnames: ['x', 'y']\n") == files.parse_classes("names:\n  0: x\n  1: y\nnc: 2\n") == files.parse_classes("names:\n- x\n- y\n") == [(0, "x"), (1, "y")]
     with pytest.raises(ValueError):
