@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -163,16 +163,22 @@ def accept_in_order(validated: DataFrame, most: int = 8, id_col: str = "path", h
     return ids.join(state, "id", "left").select("id", F.coalesce("accepted", "_alone").alias("accepted"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the folder that all executors share."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset and all runs in one process."""
     import tempfile
 
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not root and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    return root or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage in the folder that all executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -34,13 +34,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def knn(queries: DataFrame, index: DataFrame, k: int, same_class: str | None = None, per_class: bool = True, other_than_self: bool = False) -> DataFrame:
     """case_id, class_id, object_id, similarity, rank: the ``k`` nearest objects of each query, per class of object.
 
-    ``same_class`` names the query's column that an object's class must equel.  ``other_than_self`` leaves out the
+    Rows without a vector, on either side, take no part; a zero vector fails the job.  Objects without a class are found
+    only if neither ``per_class`` nor ``same_class`` asks for one.  For an index that is kept and searched again see
+    ``operators.index``.
+
+    ``same_class`` names the query's column that an object's class must equal.  ``other_than_self`` leaves out the
     object whose id is the query's own.  Exact: queries are dealt to blocks and the index to parts, each block meets
     each part in a task of its own, which returns a local top k for each query and class; the global top k is a
     ranked window over these.  Nothing passes through the driver.  Similarity is rounded to 4 decimals before it is
     ranked; ties go to the smaller object.
     """
     spark = queries.sparkSession
+    queries, index = (df.where(F.col("embedding").isNotNull()) for df in (queries, index))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // INDEX_PART)), -(-index.count() // (8 * INDEX_PART)))
     dealt = lambda df, id_col, own, own_n, other, other_n: (

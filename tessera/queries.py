@@ -5,6 +5,7 @@ Integers leave as BIGINT and doubles rounded to six decimals, on both sides, so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from tessera import fixtures as fx
 from tessera.functions import boxes as bx
-from tessera.operators import bank, build, compare, errors, latency, matching, metrics, sampling, similarity
+from tessera.operators import bank, build, compare, errors, index, latency, matching, metrics, sampling, similarity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -324,6 +325,23 @@ def knn_per_class(spark, d):
     return similarity.knn(cases, index, 5, other_than_self=True)
 
 
+def _index(spark: SparkSession, d: str) -> str:
+    """The embeddings as an index in the shared folder."""
+    path = f"{bank.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.write_index(fx.embeddings(spark, d)[0], path, 512)
+    return path
+
+
+@query(f"{KNN} SELECT case_id, class_id::BIGINT AS class_id, object_id, similarity, rank FROM knn")
+def indexed_knn(spark, d):
+    return index.search_index(fx.embeddings(spark, d)[1], _index(spark, d), 5, other_than_self=True)
+
+
+@query(f"{KNN} SELECT case_id, class_id::BIGINT AS class_id, object_id, similarity, rank FROM knn WHERE class_id IN (2, 7)")
+def indexed_knn_of_classes(spark, d):
+    return index.search_index(fx.embeddings(spark, d)[1], _index(spark, d), 5, [2, 7], other_than_self=True)
+
+
 @query(f"{MARG} SELECT case_id, gt_class::BIGINT AS gt_class, pred_class::BIGINT AS pred_class, gt_best, pred_best, margin, nearest_class::BIGINT AS nearest_class FROM mr")
 def margins(spark, d):
     index, cases = fx.embeddings(spark, d)
