@@ -131,17 +131,20 @@ def nms(preds: DataFrame, least: float = 0.45, per_class: bool = False, most: in
     rest = [x for x in preds.columns if x not in keys]
     item = F.struct((-F.col("confidence")).alias("_o0"), F.col("pred_idx").alias("_o1"), *rest)
     grouped = preds.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("c"))
-    inter = "greatest(0D, least(m.x2, x.x2) - greatest(m.x1, x.x1)) * greatest(0D, least(m.y2, x.y2) - greatest(m.y1, x.y1))"
-    # IoU > t without a division: intersection > t * union, the union never being negative.
-    union = f"((m.x2 - m.x1) * (m.y2 - m.y1) + (x.x2 - x.x1) * (x.y2 - x.y1) - {inter})"
-    kept = F.expr(f"aggregate(c, slice(c, 1, 0), (acc, x) -> IF(exists(acc, m -> {union} > 0 AND {inter} / nullif({union}, 0D) > {float(least)}D), acc, array_append(acc, x)))")
-    out = grouped.select(*keys, F.explode(kept).alias("m")).select(*keys, *[F.col(f"m.{x}").alias(x) for x in rest])
+    out = grouped.select(*keys, F.explode(suppressed("c", least)).alias("m")).select(*keys, *[F.col(f"m.{x}").alias(x) for x in rest])
     if most is not None:
         by = Window.partitionBy("image_id").orderBy(F.desc("confidence"), "pred_idx")
         out = out.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most).drop("_n")
     return out.select(*preds.columns)
 
 
+def suppressed(c: str, least: float) -> Column:
+    """Of a sorted array of boxes those that overlap none kept before by more than ``least``."""
+    inter = "greatest(0D, least(m.x2, x.x2) - greatest(m.x1, x.x1)) * greatest(0D, least(m.y2, x.y2) - greatest(m.y1, x.y1))"
+    # IoU > t without a division: intersection > t * union, the union never being negative.
+    union = f"((m.x2 - m.x1) * (m.y2 - m.y1) + (x.x2 - x.x1) * (x.y2 - x.y1) - {inter})"
+    return F.expr(f"aggregate({c}, slice({c}, 1, 0), (acc, x) -> IF(exists(acc, m -> {union} > 0 AND {inter} / nullif({union}, 0D) > {float(least)}D), acc, array_append(acc, x)))")
+
 def diff_cases(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("image_id", "gt_class", "pred_class")) -> DataFrame:
     """Error keys of two experiments: improved (gone), regressed (new) or unchanged."""
     x = a.groupBy(*keys).agg(F.count("*").alias("base_count"))

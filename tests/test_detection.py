@@ -251,18 +251,28 @@ def test_object_extraction(spark):
 
 
 def model():
-    def found(tensor):
-        assert tensor.shape == (3, 640, 640)
-        return np.array([[320.0, 320.0, 64.0, 64.0, 0.9, 2], [10.0, 10.0, 5.0, 5.0, 0.1, 1]])
+    def found(tensors):
+        assert tensors.shape[1:] == (3, 640, 640)
+        return [np.array([[320.0, 320.0, 64.0, 64.0, 0.9, 2], [10.0, 10.0, 5.0, 5.0, 0.1, 1]])] * len(tensors)
+
+    return found
+
+
+def raw_model():
+    """Three anchors with two classes; the second overlaps the first, the third is sure of nothing."""
+
+    def found(tensors):
+        lift = tensors.mean(axis=(1, 2, 3))
+        return [np.array([[320.0, 320.0, 64.0, 64.0, 0.1, 0.8 - 0.1 * v], [322.0, 320.0, 64.0, 64.0, 0.7, 0.2], [100.0, 300.0, 20.0, 20.0, 0.3, 0.1], [50.0, 300.0, 10.0, 10.0, 0.1, 0.2]]) for v in lift]
 
     return found
 
 
 def test_scoring_and_decoding(spark):
-    rows = [("a", 320, 640, 3, bytes(320 * 640 * 3)), ("b", -1, -1, -1, None)]
+    rows = [("a", 320, 640, 3, bytes(320 * 640 * 3)), ("b", -1, -1, -1, None), ("c", 2, 2, 3, b"short"), ("d", None, None, None, None)]
     df = spark.createDataFrame(rows, "image_id string, height int, width int, nChannels int, data binary")
     got = scoring.score(df, model).collect()
-    assert [(r["image_id"], r["class_id"], r["x1"], r["y1"], r["x2"], r["y2"]) for r in got] == [("a", 2, 288.0, 128.0, 352.0, 192.0)]
+    assert [(r["image_id"], r["pred_idx"], r["class_id"], r["confidence"], r["x1"], r["y1"], r["x2"], r["y2"]) for r in got] == [("a", 0, 2, 0.9, 288.0, 128.0, 352.0, 192.0)]
     frames = df.select(F.lit(7).alias("frame"), "height", "width", "nChannels", "data").limit(1)
     assert len(scoring.score_frames(frames, model).first()["predictions"]) == 1
     raw = spark.createDataFrame([(1, 0, 50.0, 50.0, 20.0, 20.0, [0.1, 0.8], 1.0, 0.0, 0.0, 100, 100), (1, 1, 51.0, 50.0, 20.0, 20.0, [0.7, 0.2], 1.0, 0.0, 0.0, 100, 100), (1, 2, 20.0, 20.0, 10.0, 10.0, [0.1, 0.2], 1.0, 0.0, 0.0, 100, 100)], "image_id long, pred_idx int, cx double, cy double, w double, h double, scores array<double>, ratio double, pad_x double, pad_y double, width int, height int")
@@ -270,6 +280,63 @@ def test_scoring_and_decoding(spark):
     assert [(r["pred_idx"], r["class_id"], r["area_ratio"]) for r in got] == [(0, 1, 0.04)]
 
 
+def test_the_model_gets_batches(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def counted():
+        inner = model()
+
+        def found(tensors):
+            with open(calls, "a") as f:
+                f.write(f"{len(tensors)}\n")
+            return inner(tensors)
+
+        return found
+
+    df = spark.createDataFrame([(str(i), 4, 4, 3, bytes(48)) for i in range(10)], "image_id string, height int, width int, nChannels int, data binary").coalesce(1)
+    assert scoring.score(df, counted, batch=4).count() == 10
+    assert sorted(open(calls).read().split()) == ["2", "4", "4"]
+
+
+def test_model_input_by_hand():
+    """Between the middles of pixels: 0 and 100 over four pixels are 0, 25, 75 and 100; three over two are 1/6 into the border."""
+    row = lambda *v: np.repeat(np.array(v, np.uint8)[None, :, None], 3, axis=2)
+    assert scoring.resize(row(0, 100), 1, 4)[0, :, 0].tolist() == [0, 25, 75, 100]
+    assert scoring.resize(row(0, 60, 120), 1, 2)[0, :, 0].tolist() == [15, 105]
+    assert scoring.resize(row(0, 100).transpose(1, 0, 2), 4, 1)[:, 0, 1].tolist() == [0, 25, 75, 100]
+    out, ratio, left, top = scoring.letterbox(row(0, 60, 120), 5)
+    assert (ratio, left, top) == (5 / 3, 0.0, 1.0) and out[:, 0, 0].tolist() == [114, 0, 0, 114, 114] and out[1, :, 0].tolist() == [0, 24, 60, 96, 120]
+    assert scoring.letterbox(row(0, 60, 120), 5, padding="half")[2:] == (0.0, 1.5)
+    with pytest.raises(ValueError):
+        scoring.letterbox(row(0), 5, padding="other")
+    assert scoring.to_tensor(np.array([[[10, 20, 255]]], np.uint8))[:, 0, 0].tolist() == pytest.approx([1.0, 20 / 255, 10 / 255])
+
+
+def test_embeddings_are_unit_vectors(spark):
+    rows = [("a", 2, 2, 3, bytes([0, 0, 255] * 4)), ("b", 2, 2, 3, None), ("c", 2, 2, 3, bytes(12))]
+    df = spark.createDataFrame(rows, "object_id string, height int, width int, nChannels int, data binary")
+    got = {r["object_id"]: r["embedding"] for r in scoring.embed(df, lambda: lambda t: t.mean(axis=(2, 3)) * 3, size=8).collect()}
+    assert got == {"a": [1.0, 0.0, 0.0], "b": None, "c": None}
+    index = similarity.build_index(df.select("object_id", F.lit(1).alias("class_id"), F.col("data").alias("crop")).unionByName(df.limit(1).select(F.lit("z").alias("object_id"), F.lit(9).alias("class_id"), F.lit(b"x").alias("crop"))), lambda c: F.when(F.length(c) > 0, F.array(F.length(c).cast("double"), F.lit(1.0))), [1])
+    assert sorted((r["object_id"], r["embedding"]) for r in index.collect()) == [("a", [12.0, 1.0]), ("c", [12.0, 1.0])]
+
+
+def frames_of(n, first=0):
+    return [(f"f{i}", 320, 640, 3, bytes([i % 250]) * (320 * 640 * 3)) for i in range(first, first + n)]
+
+
+def test_decoding_inside_a_row_equals_decoding_by_groups(spark):
+    from tessera.streaming import live
+
+    frames = spark.createDataFrame(frames_of(3) + [("none", 5, 5, 3, None)], live.FRAMES)
+    scored = scoring.raw_scores(frames, raw_model, 0.25)
+    flat = scored.select("image_id", F.explode("raw.rows").alias("r"), "raw.ratio", "raw.pad_x", "raw.pad_y", "width", "height").select("image_id", "r.*", "ratio", "pad_x", "pad_y", "width", "height")
+    columns = ["image_id", "pred_idx", "class_id", "confidence", "x1", "y1", "x2", "y2", "area_ratio"]
+    inside, grouped = (sorted(map(tuple, df.select(*columns).collect())) for df in (scoring.decode_frames(scored), scoring.decode(flat)))
+    assert inside == grouped and [x[:3] for x in inside] == [(f"f{i}", p, c) for i in range(3) for p, c in ((0, 1), (2, 0))]
+    assert "Exchange" not in scoring.decode_frames(scored)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_live_stream(spark, tmp_path):
     from tessera.streaming import live
 
@@ -280,6 +347,27 @@ def test_live_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
 
 
+def test_live_decoding_goes_on_after_a_restart(spark, tmp_path):
+    """Two runs, the second after its last batch's commit was lost: that batch is written again, in place of itself."""
+    from tessera.streaming import live
+
+    def run():
+        frames = live.read_frames(spark, f"{tmp_path}/in", per_trigger=1)
+        live.decode_stream(frames, raw_model, f"{tmp_path}/out", f"{tmp_path}/ckpt", once=True).awaitTermination(120)
+
+    spark.createDataFrame(frames_of(2), live.FRAMES).coalesce(1).write.parquet(f"{tmp_path}/in")
+    run()
+    spark.createDataFrame(frames_of(2, 2), live.FRAMES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    commits = sorted((p for p in (tmp_path / "ckpt" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run()
+    columns = ["image_id", "pred_idx", "class_id", "confidence", "x1", "y1", "x2", "y2"]
+    want = scoring.decode_frames(scoring.raw_scores(spark.createDataFrame(frames_of(4), live.FRAMES), raw_model))
+    assert sorted(map(tuple, live.read_detections(spark, f"{tmp_path}/out").select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
 def test_sums_and_percentiles_in_ranges(spark):
     """Few groups over many ranges, so that groups are cut; a null group is one."""
     from tessera.operators import prefix
