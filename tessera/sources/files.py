@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import urllib.parse
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import base_name, safe_double, stem
+from tessera.sources.sink import write_files
 
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png")
 CASE = "struct<image_path:string,gt_class:string,pred_class:string,gt_bbox:array<double>,pred_bbox:array<double>,iou:double,confidence:double>"
@@ -177,6 +177,12 @@ def write_error_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_error_reports(reports: DataFrame, path: str) -> int:
+    """``<split>.json`` below ``path`` for each report (a row with its split), which ``read_error_report`` reads; how many there are."""
+    whole = F.to_json(F.struct(*reports.columns), {"ignoreNullFields": "false"})
+    return write_files(reports.select(F.concat("split", F.lit(".json")).alias("name"), whole.alias("content")), path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -188,30 +194,13 @@ def label_texts(annotations: DataFrame) -> DataFrame:
     return lines.select("stem", F.concat_ws("\n", "l.line").alias("text"))
 
 
-def write_yolo_labels(annotations: DataFrame, path: str) -> None:
-    """``<stem>.txt`` for each image below ``path``, a line for each object with six decimals and a newline at the end.
+def write_yolo_labels(annotations: DataFrame, path: str) -> int:
+    """``<stem>.txt`` for each image below ``path``, a line for each object with six decimals and a newline at the end; how many there are.
 
-    Spark writes a folder for each image, whole or not at all; the tasks then give the files their names.  The folder
-    is one that the driver and all executors share, on any store that Spark knows.
+    Tasks write and move the files; a job that fails leaves none (see ``sink.write_files``).
     """
-    texts = label_texts(annotations).select("stem", F.col("text").alias("value"))
-    spark = texts.sparkSession
-    staged = f"{path.rstrip('/')}/_staged"
-    texts.repartition("stem").write.mode("overwrite").partitionBy("stem").text(staged)
-    # Names are given by the store's rename, which moves no data; only the listing of the staged folders is read here.
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(staged)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = fs.listFiles(root, True)
-    while files.hasNext():
-        f = files.next().getPath()
-        if f.getName().startswith("part-"):
-            name = urllib.parse.unquote(f.getParent().getName().split("=", 1)[1])
-            target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}.txt")
-            fs.delete(target, False)
-            if not fs.rename(f, target):
-                raise OSError(f"{f.toString()} could not be renamed to {target.toString()}")
-    fs.delete(root, True)
+    texts = label_texts(annotations)
+    return write_files(texts.select(F.concat("stem", F.lit(".txt")).alias("name"), F.concat("text", F.lit("\n")).alias("content")), path)
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -7,8 +7,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import build
-from tessera.sources import files
+from tessera.operators import build, compare
+from tessera.sources import files, sink
 
 
 def png(width, height, rgb):
@@ -110,3 +110,43 @@ def test_manifests_and_places(spark, tmp_path):
     assert bg["background_id"].startswith("bg_") and len(bg["background_id"]) == 15 and bg["category"] == "library"
     with pytest.raises(ValueError):
         files.collect_backgrounds(folders, "  ", "web")
+
+
+def test_ten_thousand_files_and_none_of_a_failed_job(spark, tmp_path):
+    """Files are written and moved by tasks; a name that comes twice, or leads out of the folder, undoes the job."""
+    rows = spark.range(10_000).select(F.concat(F.lit("a b/"), F.col("id") % 7, F.lit("/%"), "id", F.lit(".txt")).alias("name"), F.when(F.col("id") > 0, F.concat(F.lit("é"), "id")).alias("content"))
+    assert sink.write_files(rows, str(tmp_path / "out")) == 10_000
+    found = [f for f in (tmp_path / "out").rglob("*") if f.is_file()]
+    assert len(found) == 10_000 and (tmp_path / "out/a b/1/%8.txt").read_text() == "é8" and (tmp_path / "out/a b/0/%0.txt").read_text() == ""
+    again = spark.createDataFrame([("a b/1/%8.txt", b"new"), ("other", b"")], "name string, content binary")
+    assert sink.write_files(again, f"file://{tmp_path}/out") == 2 and (tmp_path / "out/a b/1/%8.txt").read_bytes() == b"new"
+    for bad in ("x5", "../x", None):
+        with pytest.raises(Exception, match="comes twice|not the path"):
+            sink.write_files(spark.range(50).select(F.concat(F.lit("x"), "id").alias("name"), F.lit("v").alias("content")).unionByName(spark.createDataFrame([(bad, "v")], "name string, content string")), str(tmp_path / "bad"))
+    assert not [f for f in (tmp_path / "bad").rglob("*")]
+    assert sink.write_files(again.where("false"), str(tmp_path / "none")) == 0
+
+
+def test_error_reports(spark, tmp_path):
+    """A report that is built, written and read again; one file for each split."""
+    metrics = spark.createDataFrame([("metal", 0.8, 0.7, 0.9)], "class_name string, ap double, precision double, recall double")
+    confusion = spark.createDataFrame([("metal", "glass", 2, 0.9, 0.5)], "gt_class string, pred_class string, count long, mean_iou double, mean_confidence double")
+    cases = spark.createDataFrame([("a", "metal", "glass", [1.0, 2.0, 3.0, 4.0], None, 0.9, 0.5), ("b", "metal", "glass", None, None, 0.8, None)], "image_path string, gt_class string, pred_class string, gt_bbox array<double>, pred_bbox array<double>, iou double, confidence double")
+    fp = spark.createDataFrame([("glass", 10, 0.4)], "class_name string, count long, mean_confidence double")
+    fn = spark.createDataFrame([("plastic", 8)], "class_name string, count long")
+    summary = spark.createDataFrame([("metal", "good")], "class_name string, text string")
+    report = files.error_report("val", metrics, confusion, cases, fp, fn, summary)
+    assert compare.check_report(report).first()["problems"] == []
+    files.write_error_report(report, str(tmp_path / "folder"))
+    assert files.write_error_reports(report.unionByName(files.error_report("test", metrics, confusion, cases, fp, fn)), str(tmp_path / "each")) == 2
+    assert sorted(f.name for f in (tmp_path / "each").iterdir()) == ["test.json", "val.json"]
+    for path in ("folder", "each/val.json"):
+        got = files.read_error_report(spark, str(tmp_path / path))
+        assert [tuple(r) for r in got["metrics"].collect()] == [("val", "metal", 0.8, 0.7, 0.9)]
+        assert [tuple(r) for r in got["confusion"].collect()] == [("val", "metal", "glass", 2, 0.9, 0.5)]
+        assert sorted((r["image_path"], r["gt_class"], r["gt_bbox"], r["iou"]) for r in got["cases"].collect()) == [("a", "metal", [1.0, 2.0, 3.0, 4.0], 0.9), ("b", "metal", None, 0.8)]
+        assert got["false_positives"].first()["count"] == 10 and got["false_negatives"].first()["class_name"] == "plastic"
+    manifest = spark.createDataFrame([("a", None), ("b", "x")], "image_path string, category string")
+    files.write_manifest(manifest, str(tmp_path / "manifest"))
+    assert sorted(map(tuple, files.read_manifest(spark, str(tmp_path / "manifest")).select("image_path", "category").collect()), key=repr) == [("a", None), ("b", "x")]
+    assert files.manifest_count(manifest) == 2
