@@ -23,7 +23,7 @@ def laplacian_variance(gray: np.ndarray) -> float:
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * gray).var())
 
 
-def _area_matrix(n: int, m: int) -> np.ndarray:
+def area_matrix(n: int, m: int) -> np.ndarray:
     """Weights that shrink n samples to m by the area each covers."""
     edges = np.linspace(0, n, m + 1)
     left, right = np.arange(n)[None, :], np.arange(1, n + 1)[None, :]
@@ -32,7 +32,7 @@ def _area_matrix(n: int, m: int) -> np.ndarray:
 
 def phash(gray: np.ndarray, bits: int = 8, size: int = 32) -> int:
     """Bits of the low cosine frequencies that exceed their median; both steps are matrix products."""
-    small = _area_matrix(gray.shape[0], size) @ gray @ _area_matrix(gray.shape[1], size).T
+    small = area_matrix(gray.shape[0], size) @ gray @ area_matrix(gray.shape[1], size).T
     k = np.arange(size)
     dct = np.sqrt(2 / size) * np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * size))
     dct[0] /= np.sqrt(2)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import area_bucket, generation_count, images_with_class
+from tessera.operators.bank import area_matrix
 from tessera.operators.prefix import numbered
 from tessera.operators.sampling import balanced_sample, uniform
 
@@ -89,15 +90,39 @@ def object_pool(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(files.select(F.col("path").alias("object_path")), "object_path", "left_semi")
 
 
-def plan_composition(backgrounds: DataFrame, pool: DataFrame, seed: int, counts: tuple[int, int, int] = (3, 2, 1)) -> DataFrame:
-    """For each background in order of id one object of the balanced cycle, and a row for each image to generate."""
+#: A sampler takes a pool of objects, a number of draws and a seed, and gives rows of the pool with ``draw`` from 0 on.
+Sampler = Callable[[DataFrame, int, int], DataFrame]
+#: A strategy gives the number of images to make of an object, and the bucket it is counted under, from the object's row.
+Strategy = Callable[[], tuple[Column, Column]]
+
+
+def by_area(counts: tuple[int, int, int] = (3, 2, 1), small: float = 0.05, medium: float = 0.20) -> Strategy:
+    """More images of objects that fill less of their image (area_ratio); thresholds are 0 < small < medium < 1."""
+    if not 0 < small < medium < 1:
+        raise ValueError("thresholds must satisfy 0 < small < medium < 1")
+    ratio = "area_ratio"
+    return lambda: (generation_count(F.col(ratio), counts, small, medium), area_bucket(F.col(ratio), small, medium))
+
+
+def by_column(count: str, bucket: str, most: int = 10) -> Strategy:
+    """As many images as a column says, at most ``most``; null makes none."""
+    return lambda: (F.least(F.coalesce(F.col(count).cast("int"), F.lit(0)), F.lit(most)), F.col(bucket))
+
+
+def plan_composition(backgrounds: DataFrame, pool: DataFrame, seed: int, sampler: Sampler = balanced_sample, strategy: Strategy | None = None) -> DataFrame:
+    """For each background in order of id one object that the sampler draws, and a row for each image to generate.
+
+    ``sampler`` and ``strategy`` are the caller's to choose: the first draws as many objects as there are backgrounds,
+    the second says how many images each makes (none: the background has no row).
+    """
     from tessera.operators.similarity import ranked_objects
 
     n = backgrounds.count()
     placed = ranked_objects(backgrounds, [F.col("background_id")]).withColumn("draw", F.col("global_rank") - 1).drop("global_rank")
-    drawn = balanced_sample(pool, n, seed)
-    planned = placed.join(drawn, "draw").withColumn("bucket", area_bucket(F.col("area_ratio")))
-    each = planned.withColumn("generation", F.explode(F.sequence(F.lit(1), generation_count(F.col("area_ratio"), counts))))
+    drawn = sampler(pool, n, seed)
+    count, bucket = (strategy or by_area())()
+    planned = placed.join(drawn, "draw").withColumns({"bucket": bucket, "_count": count}).where("_count > 0")
+    each = planned.withColumn("generation", F.explode(F.sequence(F.lit(1), F.col("_count")))).drop("_count")
     return each.withColumn("name", F.concat_ws("_", F.col("background_id").cast("string"), F.lit("e7"), F.col("generation").cast("string"), F.col("object_id").cast("string")))
 
 
@@ -117,42 +142,69 @@ def place(plan: DataFrame, seed: int, low: float = 0.10, high: float = 0.35, fit
     return out.withColumn("place_x", at("x", F.col("width") - F.col("place_w"))).withColumn("place_y", at("y", F.col("height") - F.col("place_h")))
 
 
-def _resize(x: np.ndarray, h: int, w: int) -> np.ndarray:
-    rows, cols = (np.arange(h) + 0.5) * x.shape[0] / h, (np.arange(w) + 0.5) * x.shape[1] / w
-    return x[rows.astype(int)][:, cols.astype(int)]
+def resize_area(x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bytes (height, width, channels) resampled by the area that each new pixel covers, rounded."""
+    if x.shape[:2] == (h, w):
+        return x
+    out = np.einsum("yi,ijc,xj->yxc", area_matrix(x.shape[0], h), x.astype(float), area_matrix(x.shape[1], w), optimize=True)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
 
+def scene_light(background: np.ndarray) -> float:
+    """Mean luminance of a BGR image, in whole steps for each pixel, where 127.5 is 1."""
+    b, g, r = (background[:, :, k].astype(np.int64) for k in range(3))
+    grey = (1868 * b + 9617 * g + 4899 * r + (1 << 13)) >> 14  # fixed values: the shares of blue, green and red in 1 / 16384
+    return float(grey.mean() / 127.5)
 
-def compose_one(background: np.ndarray, rgba: np.ndarray, x: int, y: int, h: int, w: int, warmth: float = 0.0, occlusion: float = 0.0, reflection: float = 0.0) -> tuple[np.ndarray, tuple[int, int, int, int] | None]:
-    """Blend an object (BGRA) onto a background (BGR): the scene's light, a colour shift, a faint mirror image, a hidden bottom."""
-    obj = _resize(rgba, h, w).astype(float)
-    alpha, colour = obj[:, :, 3:] / 255, obj[:, :, :3]
-    colour = colour * (background.mean() / 127.5)
-    colour = np.clip(colour + np.array([-warmth, 0, warmth]), 0, 255)
+
+def transformed(rgba: np.ndarray, light: float, temperature: int = 0, occlusion: float = 0.0, reflection: float = 0.0) -> np.ndarray:
+    """An object (BGRA bytes) in the scene's light: a shift from red to blue, a highlight that fades from left to right, a hidden bottom.
+
+    Each step is cut off to whole values of 0 to 255.  Colours change where the object is transparent, too; only alpha
+    decides what is seen.
+    """
+    whole = lambda v: np.clip(v, 0, 255).astype(np.uint8)
+    out = rgba.copy()
+    out[:, :, :3] = whole(out[:, :, :3].astype(np.float32) * np.float32(light))
+    out[:, :, :3] = whole(out[:, :, :3].astype(np.float32) + np.array([temperature, 0, -temperature], np.float32))
+    if reflection > 0:
+        highlight = np.linspace(1.0, 0.0, rgba.shape[1])[None, :, None] * 255 * reflection
+        out[:, :, :3] = whole(out[:, :, :3].astype(np.float32) + highlight.astype(np.float32))
     if occlusion > 0:
-        alpha = alpha.copy()
-        alpha[h - int(round(h * occlusion)) :] = 0
-    out = background.astype(float).copy()
+        hidden = int(rgba.shape[0] * occlusion)
+        out[rgba.shape[0] - hidden :, :, 3] = 0
+    return out
+
+
+def compose_one(background: np.ndarray, rgba: np.ndarray, x: int, y: int, h: int, w: int, temperature: int = 0, occlusion: float = 0.0, reflection: float = 0.0) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int, int] | None]:
+    """Blend an object (BGRA) onto a background (BGR) at (x, y): the image, the object's mask (h, w; 0 or 255) and the box of what is seen.
+
+    The object is transformed at its own size and then shrunk by areas, alpha too; every pixel with some alpha is part of
+    the mask.  A place that leads out of the background is an error.
+    """
+    if x < 0 or y < 0 or x + w > background.shape[1] or y + h > background.shape[0]:
+        raise ValueError("the object's place leads out of the background")
+    obj = resize_area(transformed(rgba, scene_light(background), temperature, occlusion, reflection), h, w)
+    alpha = obj[:, :, 3:].astype(np.float32) / np.float32(255)
+    out = background.copy()
     region = out[y : y + h, x : x + w]
-    region[:] = region * (1 - alpha) + colour * alpha
-    if reflection > 0:
-        below = out[y + h : y + 2 * h, x : x + w]
-        n = below.shape[0]
-        below[:] = below * (1 - reflection * alpha[::-1][:n]) + colour[::-1][:n] * alpha[::-1][:n] * reflection
-    ys, xs = np.nonzero(alpha[:, :, 0] > 0.5)
-    box = (int(xs.min()) + x, int(ys.min()) + y, int(xs.max()) + x + 1, int(ys.max()) + y + 1) if len(xs) else None
-    return np.clip(out, 0, 255).astype(np.uint8), box
+    region[:] = np.clip(obj[:, :, :3].astype(np.float32) * alpha + region.astype(np.float32) * (1 - alpha), 0, 255).astype(np.uint8)
+    mask = np.where(obj[:, :, 3] > 0, 255, 0).astype(np.uint8)
+    ys, xs = np.nonzero(mask)
+    return out, mask, (int(xs.min()) + x, int(ys.min()) + y, int(xs.max()) + x + 1, int(ys.max()) + y + 1) if len(xs) else None
 
 
-def compose(plan: DataFrame, images: DataFrame, objects: DataFrame, seed: int, warmth: float = 20.0, reflection: float = 0.25, occlude: bool = True) -> DataFrame:
-    """name, data, box of each planned image; failures are rows with an error.
+def compose(plan: DataFrame, images: DataFrame, objects: DataFrame, seed: int, warmth: int = 20, reflection: float = 0.25, occlude: bool = True) -> DataFrame:
+    """name, data, mask, box of each planned image; failures are rows with an error.
 
     Plan columns: name, background_id, object_id, place_*.  Pixels are joined last: images (background_id, height,
-    width, data in BGR) and objects (object_id, object_height, object_width, rgba in BGRA).
+    width, data in BGR) and objects (object_id, object_height, object_width, rgba in BGRA).  The shift of colour is a whole
+    number of -warmth to warmth, the hidden share of the bottom 0.10 to 0.35, both drawn by name.
     """
     j = plan.join(images.select("background_id", F.col("height").alias("_h"), F.col("width").alias("_w"), "data"), "background_id")
     j = j.join(objects.select("object_id", F.col("object_height").alias("_oh"), F.col("object_width").alias("_ow"), "rgba"), "object_id")
     j = j.select("name", "_h", "_w", "data", "_oh", "_ow", "rgba", "place_x", "place_y", "place_w", "place_h",
-                 ((uniform(seed, F.lit("warm"), "name") * 2 - 1) * warmth).alias("_warm"), (uniform(seed, F.lit("hide"), "name") * 0.25 + 0.10).alias("_hide"))
+                 (F.floor(uniform(seed, F.lit("warm"), "name") * (2 * warmth + 1)) - warmth).cast("int").alias("_warm"), (uniform(seed, F.lit("hide"), "name") * 0.25 + 0.10).alias("_hide"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -161,13 +213,13 @@ def compose(plan: DataFrame, images: DataFrame, objects: DataFrame, seed: int, w
                 try:
                     bg = np.frombuffer(r["data"], np.uint8).reshape(r["_h"], r["_w"], 3)
                     obj = np.frombuffer(r["rgba"], np.uint8).reshape(r["_oh"], r["_ow"], 4)
-                    out, box = compose_one(bg, obj, r["place_x"], r["place_y"], r["place_h"], r["place_w"], r["_warm"], r["_hide"] if occlude else 0.0, reflection)
-                    rows.append((r["name"], out.tobytes(), list(box) if box else None, None if box else "nothing_visible"))
+                    out, mask, box = compose_one(bg, obj, r["place_x"], r["place_y"], r["place_h"], r["place_w"], r["_warm"], r["_hide"] if occlude else 0.0, reflection)
+                    rows.append((r["name"], out.tobytes(), mask.tobytes(), list(box) if box else None, None if box else "nothing_visible"))
                 except (ValueError, TypeError) as e:
-                    rows.append((r["name"], None, None, str(e)[:200]))
-            yield pd.DataFrame(rows, columns=["name", "data", "box", "error"])
+                    rows.append((r["name"], None, None, None, str(e)[:200]))
+            yield pd.DataFrame(rows, columns=["name", "data", "mask", "box", "error"])
 
-    return j.mapInPandas(work, "name string, data binary, box array<int>, error string")
+    return j.mapInPandas(work, "name string, data binary, mask binary, box array<int>, error string")
 
 
 def choose_background(plan: DataFrame, seed: int, external: float = 0.5) -> DataFrame:
@@ -188,9 +240,21 @@ def finalise(samples: DataFrame, augmented: DataFrame, annotations: DataFrame) -
     return merge_samples(samples, augmented).join(annotations.select("name").distinct(), "name", "left_semi")
 
 
-def build_summary(samples: DataFrame) -> DataFrame:
+def build_counts() -> dict[str, Column]:
+    """What a build counts of its samples (kind)."""
     kind = lambda k: F.count_if(F.col("kind") == k)
-    return samples.agg(F.countDistinct("source").alias("source_images"), kind("original").alias("original_images"), kind("synthetic").alias("synthetic_images"), kind("failed").alias("failures"))
+    return {"original_images": kind("original"), "synthetic_images": kind("synthetic"), "failures": kind("failed")}
+
+
+def extraction_counts() -> dict[str, Column]:
+    """What is counted of extracted objects (error): all, extracted, failed, and failed for each reason."""
+    failed = lambda e: F.count_if(F.col("error") == e)
+    return {"objects": F.count(F.lit(1)), "extracted": F.count_if(F.col("error").isNull()), "failures": F.count_if(F.col("error").isNotNull()), "no_pixels": failed("no_pixels"), "empty_mask": failed("empty_mask")}
+
+
+def build_summary(samples: DataFrame) -> DataFrame:
+    """Sources and counts of a build's samples; while they are written, ``jobs.write_counted`` takes the counts with them."""
+    return samples.agg(F.countDistinct("source").alias("source_images"), *[v.alias(n) for n, v in build_counts().items()])
 
 
 def audit_structure(images: DataFrame, labels: DataFrame, splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:

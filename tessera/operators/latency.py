@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import finite
@@ -102,9 +102,14 @@ def array_agreement(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return df.withColumns({"same_shape": same, "max_abs_diff": F.when(same, F.array_max(diffs)), "mean_abs_diff": mean(diffs), "mean_rel_error": mean(relative)})
 
 
+def scoring_counts() -> dict[str, Column]:
+    """What is counted of scored images (inference_ms)."""
+    n, total = F.count(F.lit(1)), F.sum("inference_ms")
+    return {"n_images": n, "total_ms": total, "avg_ms": F.avg("inference_ms"), "fps": F.when(total > 0, 1000 * n / total).otherwise(F.lit(0.0))}
+
+
 def scoring_summary(df: DataFrame) -> DataFrame:
-    total = F.sum("inference_ms")
-    return df.agg(F.count("*").alias("n_images"), total.alias("total_ms"), F.avg("inference_ms").alias("avg_ms"), F.when(total > 0, 1000 * F.count("*") / total).otherwise(F.lit(0.0)).alias("fps"))
+    return df.agg(*[v.alias(n) for n, v in scoring_counts().items()])
 
 
 def _pick(df: DataFrame, names: Sequence[str]) -> Column:
@@ -118,6 +123,40 @@ def normalise_benchmark(df: DataFrame) -> DataFrame:
     return df.select("runtime", ms.alias("ms"), F.coalesce(_pick(df, ["fps", "avg_fps"]), F.when(ms > 0, 1000 / ms)).alias("fps"))
 
 
+#: The runtimes and devices that a benchmark file can have results for.
+RUNTIMES, DEVICES = ("pytorch", "onnx"), ("cpu", "gpu")
+
+
+def parse_benchmarks(files: DataFrame, content: str = "content") -> DataFrame:
+    """The columns of ``files`` but the JSON text, and runtime, ms, fps: a row for each runtime and device that a file has results for.
+
+    Two layouts are read: ``results.<runtime>.<device>``, and ``results.<runtime>_<device>``, which counts only where the
+    first gives nothing.  A result needs mean_ms; without fps it is 1000 / mean_ms, or 0.  Results whose numbers are no
+    numbers are passed over; a file that is no JSON, or has no result at all, fails the job.
+    """
+
+    def result(path: str, name: str) -> Column:
+        number = lambda k: F.try_variant_get("_v", f"$.results.{path}.{k}", "double")
+        given = F.try_variant_get("_v", f"$.results.{path}.fps", "variant")
+        fps_given = given.isNotNull() & ~F.coalesce(F.is_variant_null(given), F.lit(False))
+        ms = number("mean_ms")
+        fps = F.when(fps_given, number("fps")).otherwise(F.when(ms > 0, 1000 / ms).otherwise(F.lit(0.0)))
+        return F.when(ms.isNotNull() & fps.isNotNull(), F.struct(F.lit(name).alias("runtime"), ms.alias("ms"), fps.alias("fps")))
+
+    found = lambda join: F.array_compact(F.array(*[result(f"{r}{join}{d}", f"{r}_{d}") for r in RUNTIMES for d in DEVICES]))
+    both = files.withColumn("_v", F.parse_json(content)).withColumns({"_nested": found("."), "_flat": found("_")})
+    none = F.raise_error(F.lit("no results in a benchmark file")).cast(both.schema["_flat"].dataType)
+    rows = F.when(F.size("_nested") > 0, F.col("_nested")).when(F.size("_flat") > 0, F.col("_flat")).otherwise(none)
+    rest = [c for c in files.columns if c != content]
+    return both.select(*rest, F.explode(rows).alias("r")).select(*rest, "r.*")
+
+
+def read_benchmarks(spark: SparkSession, path: str) -> DataFrame:
+    """path, runtime, ms, fps of benchmark files, each a whole JSON text."""
+    files = spark.read.format("binaryFile").load(path)
+    return parse_benchmarks(files.select("path", F.col("content").cast("string").alias("content")))
+
+
 def compare_benchmarks(old: DataFrame, new: DataFrame) -> DataFrame:
     """Changes of ms and fps for the runtimes that both have; percentages are null from a base of 0."""
     a, b = normalise_benchmark(old), normalise_benchmark(new)

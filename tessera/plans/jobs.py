@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 
 from tessera.operators import errors, matching, similarity
 
@@ -22,6 +22,13 @@ def error_analysis(preds: DataFrame, gts: DataFrame, least: float = 0.5, top_k:
     }
 
 
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column]) -> dict[str, object]:
+    """Write ``df`` as Parquet and return the ``counts`` (aggregates without distinct) of the rows on their way: no second pass over them."""
+    seen = Observation()
+    df.observe(seen, *[v.alias(n) for n, v in counts.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def hard_mining(cases: DataFrame, index: DataFrame, samples: DataFrame, object_images: DataFrame, k: int = 5) -> dict[str, DataFrame]:
     """Mine the objects nearest to hard cases, rank them, and plan the copies; object_images gives each object's image."""
     manifest = similarity.hard_manifest(similarity.mine_objects(cases, index, k))

@@ -537,6 +537,15 @@ def composition_plan(spark, d):
     return build.choose_background(plan, SEED).select("name", "background_id", "object_id", "bucket", "generation", "background")
 
 
+@query(f"""WITH {POOL}, bg AS (SELECT *, row_number() OVER (ORDER BY background_id) - 1 AS draw, count(*) OVER () AS nb FROM ({fx.BACKGROUNDS})), num AS (SELECT *, row_number() OVER (ORDER BY object_id) - 1 AS pos FROM pool),
+dr AS (SELECT bg.*, floor({UNIT.format(f"concat('{SEED}:', draw)")} * (SELECT n FROM sz))::BIGINT AS pos FROM bg), pl AS (SELECT background_id, object_id, class_name, least(object_id % 4, 2) AS k FROM dr JOIN num USING (pos))
+SELECT concat_ws('_', background_id::VARCHAR, 'e7', g::VARCHAR, object_id::VARCHAR) AS name, background_id, object_id, class_name AS bucket, g AS generation FROM (SELECT *, unnest(range(1, k + 1)) AS g FROM pl)""")
+def composition_plan_of_choice(spark, d):
+    pool = fx.pool(spark, d).withColumn("wanted", F.col("object_id") % 4)
+    plan = build.plan_composition(fx.backgrounds(spark, d), pool, SEED, sampling.random_sample, build.by_column("wanted", "class_name", 2))
+    return plan.select("name", "background_id", "object_id", "bucket", "generation")
+
+
 PLACED = f"""{PLAN}, p0 AS (SELECT name, 100.0::DOUBLE + object_id % 200 AS ow, 80.0::DOUBLE + object_id % 90 AS oh, {UNIT.format(f'''concat('{SEED}:scale:', name)''')} * (0.35::DOUBLE - 0.1::DOUBLE) + 0.1::DOUBLE AS h FROM pl), p1 AS (SELECT *, greatest(1.0, floor(h * 600)) AS ph FROM p0), p2 AS (SELECT *, ph * ow / oh AS pw FROM p1), p3 AS (SELECT *, least(1.0::DOUBLE, 800 / pw) AS k FROM p2),
 p4 AS (SELECT name, greatest(1, floor(pw * k)::BIGINT) AS place_w, greatest(1, floor(ph * k)::BIGINT) AS place_h FROM p3)"""
 
@@ -652,4 +661,22 @@ def benchmark_compare(spark, d):
     return latency.compare_benchmarks(latency.latency_stats(t.where("image % 2 = 0")), latency.latency_stats(t.where("image % 2 = 1")))
 
 
+
+NAMES = "SELECT CASE dense_rank() OVER (ORDER BY runtime) WHEN 1 THEN 'pytorch' WHEN 2 THEN 'pytorch' ELSE 'onnx' END AS kind, CASE dense_rank() OVER (ORDER BY runtime) % 2 WHEN 1 THEN 'cpu' ELSE 'gpu' END AS device, ms, odd FROM s QUALIFY dense_rank() OVER (ORDER BY runtime) <= 4"
+
+
+@query(f"""{TIM}, s AS (SELECT runtime, image % 2 AS odd, round(avg(ms), 3) AS ms FROM t GROUP BY 1, 2), k AS ({NAMES})
+SELECT CASE WHEN odd = 1 THEN 'flat' ELSE 'nested' END AS file, kind || '_' || device AS runtime, ms, round(CASE WHEN odd = 1 THEN 7.5 WHEN ms > 0 THEN 1000 / ms ELSE 0 END::DOUBLE, 6) AS fps FROM k""")
+def benchmark_files(spark, d):
+    """The mean times as benchmark files in both layouts, read again."""
+    t = fx.timings(spark, d).where("ms >= 0 AND NOT isnan(ms)").groupBy("runtime", (F.col("image") % 2).alias("odd")).agg(F.round(F.avg("ms"), 3).alias("ms"))
+    t.createOrReplaceTempView("s")
+    k = spark.sql("SELECT * FROM (SELECT *, dense_rank() OVER (ORDER BY runtime) AS r FROM s) WHERE r <= 4").selectExpr("odd", "ms", "CASE WHEN r <= 2 THEN 'pytorch' ELSE 'onnx' END AS kind", "CASE WHEN r % 2 = 1 THEN 'cpu' ELSE 'gpu' END AS device")
+    entry = lambda key, *v: F.map_from_entries(F.collect_list(F.struct(key, F.struct(*v))))
+    flat = k.where("odd = 1").agg(F.to_json(F.struct(entry(F.concat_ws("_", "kind", "device"), F.col("ms").alias("mean_ms"), F.lit(7.5).alias("fps")).alias("results"))).alias("content"))
+    kinds = k.where("odd = 0").groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("device", F.struct(F.col("ms").alias("mean_ms"))))).alias("m"))
+    nested = kinds.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("kind", "m"))).alias("results"))).alias("content"))
+    return latency.parse_benchmarks(flat.select(F.lit("flat").alias("file"), "content").unionByName(nested.select(F.lit("nested").alias("file"), "content")))
+
+
 from tessera import queries_more  # noqa: E402, F401  (registers its queries here)

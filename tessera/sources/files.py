@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import base_name, safe_double, stem
-from tessera.sources.sink import write_files
+from tessera.sources.sink import opened, write_files
 
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png")
 CASE = "struct<image_path:string,gt_class:string,pred_class:string,gt_bbox:array<double>,pred_bbox:array<double>,iou:double,confidence:double>"
@@ -265,6 +267,19 @@ def collect_backgrounds(images: DataFrame, category: str, source: str) -> DataFr
     )
 
 
-def artifact_info(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+def artifact_info(spark: SparkSession, path: str, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """path, sha256 and size of each file.  Tasks read a file as a stream of chunks, so its size is not bounded by a row's.  Empty files have no row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column("path").to_pylist():
+                store, at = opened(name)
+                digest, size = hashlib.sha256(), 0
+                with store.open_input_stream(at) as stream:
+                    while chunk := stream.read(chunk_bytes):
+                        digest.update(chunk)
+                        size += len(chunk)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([digest.hexdigest()]), pa.array([size])], ["path", "sha256", "size"])
+
+    listed = spark.read.format("binaryFile").load(path).select("path")  # names alone; contents are not read here
+    return listed.mapInArrow(work, "path string, sha256 string, size long")

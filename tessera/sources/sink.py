@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The store of a path or URI, and the path inside it."""
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "/", path)))
 
 
 @dataclass

@@ -226,14 +226,85 @@ def test_composition(spark):
     bg = np.full((40, 60, 3), 200, np.uint8)
     obj = np.zeros((10, 10, 4), np.uint8)
     obj[2:8, 2:8] = (10, 20, 30, 255)
-    out, box = build.compose_one(bg, obj, 5, 6, 20, 20)
-    assert box == (9, 10, 21, 22) and (out[0, 0] == 200).all() and (out[15, 15] != 200).any()
-    assert build.compose_one(bg, np.zeros((4, 4, 4), np.uint8), 0, 0, 4, 4)[1] is None
-    plan = spark.createDataFrame([("n1", 1, 7, 5, 6, 20, 20), ("n2", 1, 8, 5, 6, 20, 20)], "name string, background_id long, object_id long, place_x int, place_y int, place_h int, place_w int")
+    out, mask, box = build.compose_one(bg, obj, 5, 6, 20, 20)
+    assert box == (9, 10, 21, 22) and (out[0, 0] == 200).all() and (out[15, 15] != 200).any() and mask.shape == (20, 20) and set(np.unique(mask)) == {0, 255}
+    assert build.compose_one(bg, np.zeros((4, 4, 4), np.uint8), 0, 0, 4, 4)[2] is None
+    plan = spark.createDataFrame([("n1", 1, 7, 5, 6, 20, 20), ("n2", 1, 8, 5, 6, 20, 20), ("n3", 1, 7, 50, 6, 20, 20)], "name string, background_id long, object_id long, place_x int, place_y int, place_h int, place_w int")
     images = spark.createDataFrame([(1, 40, 60, bg.tobytes())], "background_id long, height int, width int, data binary")
     objects = spark.createDataFrame([(7, 10, 10, obj.tobytes()), (8, 10, 10, b"short")], "object_id long, object_height int, object_width int, rgba binary")
     got = {r["name"]: r for r in build.compose(plan, images, objects, 3).collect()}
-    assert got["n1"]["error"] is None and len(got["n1"]["data"]) == bg.size and got["n2"]["error"]
+    assert got["n1"]["error"] is None and len(got["n1"]["data"]) == bg.size and len(got["n1"]["mask"]) == 400 and got["n2"]["error"] and "out of the background" in got["n3"]["error"]
+
+
+def test_composition_by_hand():
+    """Each raster step with numbers worked out on paper."""
+    px = lambda *v: np.array(v, np.uint8)[None]
+    # Light: grey 100 is 100 / 127.5; blue 100, green 150, red 200 are (186800 + 1442550 + 979800 + 8192) >> 14 = 159.
+    assert build.scene_light(np.full((2, 2, 3), 100, np.uint8)) == pytest.approx(100 / 127.5)
+    assert build.scene_light(px((100, 150, 200))) == pytest.approx(159 / 127.5)
+    # 101 * 0.5 is cut off to 50; then +7 on blue and -7 on red, no wrap below 0; alpha stays.
+    assert build.transformed(px((101, 9, 11, 40)), 0.5, 7).tolist() == [[[57, 4, 0, 40]]]
+    assert build.transformed(px((101, 9, 11, 40)), 0.5, -7).tolist() == [[[43, 4, 12, 40]]]
+    assert build.transformed(px((200, 9, 11, 40)), 2.0).tolist() == [[[255, 18, 22, 40]]]
+    # Highlight of 0.25 over three columns: 63.75, 31.875 and 0 on every colour, inside the object only.
+    assert build.transformed(px((10, 20, 250, 9), (10, 20, 250, 9), (10, 20, 250, 9)), 1.0, reflection=0.25)[0, :, :3].tolist() == [[73, 83, 255], [41, 51, 255], [10, 20, 250]]
+    # Of 5 rows 0.35 is 1.75, cut off to 1: the last one is hidden.
+    assert build.transformed(np.full((5, 1, 4), 200, np.uint8), 1.0, occlusion=0.35)[:, 0, 3].tolist() == [200, 200, 200, 200, 0]
+    # Areas: 3 pixels to 2 are (2 a + b) / 3; 2 to 3 share the middle one; alpha likewise, and 1/3 of 1 rounds to 0.
+    row = lambda *v: np.array(v, np.uint8)[None, :, None]
+    assert build.resize_area(row(0, 30, 90), 1, 2)[0, :, 0].tolist() == [10, 70]
+    assert build.resize_area(row(0, 90), 1, 3)[0, :, 0].tolist() == [0, 45, 90]
+    # Blend: alpha 51 is 0.2, so 0.2 * 100 + 0.8 * 60 = 68; alpha 1 counts for the mask and the box.
+    bg = np.full((1, 3, 3), 60, np.uint8)
+    obj = np.array([[(100, 100, 100, 51), (100, 100, 100, 1), (0, 0, 0, 0)]], np.uint8)
+    obj[:, :, :3] = np.round(obj[:, :, :3] / build.scene_light(bg) + 0.4)
+    out, mask, box = build.compose_one(bg, obj, 0, 0, 1, 3)
+    assert out[0, :, 0].tolist() == [68, 60, 60] and mask.tolist() == [[255, 255, 0]] and box == (0, 0, 2, 1)
+
+
+def test_samplers_and_strategies_are_the_callers(spark):
+    """Two samplers give two plans; a strategy may make no image of an object; thresholds are checked."""
+    backgrounds = spark.createDataFrame([(f"b{i}",) for i in range(6)], "background_id string")
+    pool = spark.createDataFrame([(i, (0.01, 0.1, 0.5)[i % 3], i % 3) for i in range(9)], "object_id long, area_ratio double, wanted int")
+    plain = build.plan_composition(backgrounds, pool, 1).collect()
+    drawn = build.plan_composition(backgrounds, pool, 1, sampling.random_sample).collect()
+    assert len({r["object_id"] for r in plain}) == 6 and {r["name"] for r in plain} != {r["name"] for r in drawn}
+    assert all((r["bucket"], r["generation"] <= n) == (b, True) for r in plain for b, n in [{0.01: ("small", 3), 0.1: ("medium", 2), 0.5: ("large", 1)}[r["area_ratio"]]])
+    first = lambda p, n, seed: p.where("object_id < 3").withColumn("draw", F.col("object_id"))
+    own = build.plan_composition(backgrounds, pool, 1, first, build.by_column("wanted", "object_id", 1)).collect()
+    assert sorted((r["background_id"], r["object_id"], r["bucket"], r["generation"]) for r in own) == [("b1", 1, 1, 1), ("b2", 2, 2, 1)]
+    with pytest.raises(ValueError):
+        build.by_area(small=0.3)
+
+
+def test_counts_are_taken_while_a_table_is_written(spark, tmp_path):
+    from tessera.plans import jobs
+
+    samples = spark.createDataFrame([("original", "a"), ("synthetic", "a"), ("synthetic", "b"), ("failed", "b")], "kind string, source string")
+    assert jobs.write_counted(samples, f"{tmp_path}/build", build.build_counts()) == {"original_images": 1, "synthetic_images": 2, "failures": 1}
+    assert spark.read.parquet(f"{tmp_path}/build").count() == 4 and build.build_summary(samples).first()["source_images"] == 2
+    image = bytes(range(48))
+    rows = [("i", 0, "glass", 4, 4, 0, 0, 2, 2, image, b"\xff" * 16), ("i", 1, "glass", 4, 4, 0, 0, 2, 2, image, bytes(16)), ("j", 0, "glass", 4, 4, 0, 0, 2, 2, None, None)]
+    objects = build.extract_objects(spark.createDataFrame(rows, "image_id string, object_index int, class_name string, height int, width int, x1 int, y1 int, x2 int, y2 int, data binary, mask binary"))
+    assert jobs.write_counted(objects, f"{tmp_path}/objects", build.extraction_counts()) == {"objects": 3, "extracted": 1, "failures": 2, "no_pixels": 1, "empty_mask": 1}
+    times = spark.createDataFrame([(5.0,), (15.0,)], "inference_ms double")
+    assert jobs.write_counted(times, f"{tmp_path}/times", latency.scoring_counts()) == latency.scoring_summary(times).first().asDict() == {"n_images": 2, "total_ms": 20.0, "avg_ms": 10.0, "fps": 100.0}
+
+
+def test_benchmark_files_of_both_layouts(spark, tmp_path):
+    texts = {
+        "nested": '{"results": {"pytorch": {"cpu": {"mean_ms": 20, "fps": 49.5}, "gpu": {"mean_ms": "4"}}, "onnx": {"cpu": {"fps": 3}, "gpu": 7}, "onnx_cpu": {"mean_ms": 1}}}',
+        "flat": '{"results": {"pytorch": {"cpu": {}}, "pytorch_cpu": {"mean_ms": 0}, "onnx_gpu": {"mean_ms": 8.0, "fps": null}, "onnx_cpu": {"mean_ms": "x"}, "other": {"mean_ms": 1}}}',
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name} 1.json").write_text(text)
+    got = sorted((r["path"].rsplit("/", 1)[1], r["runtime"], r["ms"], r["fps"]) for r in latency.read_benchmarks(spark, str(tmp_path)).collect())
+    assert got == [("flat 1.json", "onnx_gpu", 8.0, 125.0), ("flat 1.json", "pytorch_cpu", 0.0, 0.0), ("nested 1.json", "pytorch_cpu", 20.0, 49.5), ("nested 1.json", "pytorch_gpu", 4.0, 250.0)]
+    for bad in ('{"results": {}}', '{"result": 1}', "no json"):
+        with pytest.raises(Exception):
+            latency.parse_benchmarks(spark.createDataFrame([(bad,)], "content string")).collect()
+    both = latency.compare_benchmarks(*(latency.read_benchmarks(spark, str(tmp_path / f)) for f in ("nested 1.json", "flat 1.json"))).collect()
+    assert [(r["runtime"], r["ms_change"], r["ms_change_pct"]) for r in both] == [("pytorch_cpu", -20.0, -100.0)]
 
 
 def test_object_extraction(spark):
@@ -461,3 +532,25 @@ def test_mean_ap_needs_all_thresholds(spark):
 def test_candidates_of_all_thresholds_are_one_aggregate(spark):
     plan = metrics.matches_by_threshold(preds(spark, [(1, 0, 0, 0.9, 0.0, 0.0, 1.0, 1.0)]), gts(spark, [(1, 0, 0, 0.0, 0.0, 1.0, 1.0)]), metrics.IOUS)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def test_small_parts_without_a_query(spark):
+    """Expressions and joins that no query uses: types of backgrounds, annotations of composed images, criteria, summaries, manifests, orphans."""
+    image = lambda v: bytes([v] * 12)
+    pasted = image(10)[:3] + bytes([200] * 3) + image(10)[6:]
+    made = spark.createDataFrame([("a", pasted, 2, 2, 3, 1, 0, 2, 1), ("b", image(99), 2, 2, 3, 0, 0, 1, 1), ("c", image(99), 2, 2, 3, 0, 0, 1, 1)], "stem string, data binary, height int, width int, nChannels int, x1 int, y1 int, x2 int, y2 int")
+    types = bank.background_type(made, spark.createDataFrame([("a", image(11)), ("b", image(10))], "stem string, data binary")).collect()
+    assert {r["stem"]: (r["difference"], r["background"]) for r in types} == {"a": (1.0, "train"), "b": (89.0, "external"), "c": (float("inf"), "external")}
+    own = spark.createDataFrame([("i1", 2, 0.5, 0.5, 0.1, 0.1)], "image_id string, class_id int, cx double, cy double, w double, h double")
+    new = spark.createDataFrame([("n1", 7, 0.2, 0.2, 0.1, 0.1), ("n2", 7, 0.3, 0.3, 0.1, 0.1)], "name string, class_id int, cx double, cy double, w double, h double")
+    plan = spark.createDataFrame([("n1", "i1", "train"), ("n2", "i1", "external")], "name string, image_id string, background string")
+    assert sorted((r["name"], r["class_id"]) for r in build.composed_annotations(plan, own, new).collect()) == [("n1", 2), ("n1", 7), ("n2", 7)]
+    errors.register_criterion("per_image", F.col("count") / F.col("n_images"), True)
+    ranked = errors.rank(spark.createDataFrame([(0, 6, 3), (1, 5, 1)], "class_id int, count long, n_images long"), "per_image", ["class_id"], 1)
+    assert [r["class_id"] for r in ranked.collect()] == [1]
+    cmp = spark.createDataFrame([("improved", 5, 3), ("improved", 2, 1), ("regressed", 1, 4)], "status string, base_count long, exp_count long")
+    assert sorted(map(tuple, compare.comparison_summary(cmp).collect())) == [("improved", 2, 7, 4), ("regressed", 1, 1, 4)]
+    audited = spark.createDataFrame([(True, 0.5, 1, "a"), (False, 0.9, 3, "b"), (True, 0.8, 2, "c"), (True, 0.5, 4, "d")], "keep boolean, similarity double, matched_test_cases int, object_key string")
+    assert [r["object_key"] for r in similarity.audited_manifest(audited).collect()] == ["c", "d", "a"]
+    images, labels = (spark.createDataFrame([(x,) for x in v], "stem string") for v in (["a", "b"], ["b", "c"]))
+    assert sorted(map(tuple, matching.orphans(images, labels).collect())) == [("a", "image_without_label"), ("c", "label_without_image")]

@@ -1,5 +1,6 @@
 """Round trips of the readers and writers on temporary files."""
 
+import hashlib
 import json
 import struct
 import zlib
@@ -150,3 +151,15 @@ def test_error_reports(spark, tmp_path):
     files.write_manifest(manifest, str(tmp_path / "manifest"))
     assert sorted(map(tuple, files.read_manifest(spark, str(tmp_path / "manifest")).select("image_path", "category").collect()), key=repr) == [("a", None), ("b", "x")]
     assert files.manifest_count(manifest) == 2
+
+
+def test_fingerprints_read_chunks(spark, tmp_path):
+    """Files of many chunks, of exactly one, and of less; names that need encoding in a URL. Empty files have no row."""
+    (tmp_path / "empty.bin").write_bytes(b"")
+    data = {"big %.bin": bytes(range(256)) * 5000, "one.bin": b"x" * 1000, "small ü.bin": b"x"}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    info = files.artifact_info(spark, str(tmp_path), chunk_bytes=1000)
+    got = {r["path"].rsplit("/", 1)[1]: (r["sha256"], r["size"]) for r in info.collect()}
+    assert got == {n: (hashlib.sha256(c).hexdigest(), len(c)) for n, c in data.items()}
+    assert "content" not in info._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
