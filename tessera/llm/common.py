@@ -33,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Threads of one session that write at the same time share its batch size: it goes back when the last one is done.
+_writing = threading.Lock()
+_writers: dict[str, tuple[int, str]] = {}
 
 
 #: The tables and archives that each thread of the driver has put into the shared folder, so that it can remove them.
@@ -72,12 +75,22 @@ def written(df: DataFrame, name: str, batch_rows: int = 2500) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(min(int(before), batch_rows) if int(before) > 0 else batch_rows))
+    session = spark._jsparkSession.sessionUUID()
+    with _writing:
+        n, before = _writers.get(session, (0, spark.conf.get(ARROW_ROWS)))
+        _writers[session] = n + 1, before
+        now = int(spark.conf.get(ARROW_ROWS))
+        spark.conf.set(ARROW_ROWS, str(min(now, batch_rows) if now > 0 else batch_rows))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(ARROW_ROWS, before)
+        with _writing:
+            n, before = _writers[session]
+            if n > 1:
+                _writers[session] = n - 1, before
+            else:
+                del _writers[session]
+                spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

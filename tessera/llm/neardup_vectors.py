@@ -15,9 +15,9 @@ from tessera.llm.components import components
 
 BLOCK_DIMS = 8
 #: A label's vectors are cut into cells of about this many bytes of vectors in each block; a tile holds two cells.
-CELL_BYTES = 4 << 20
-#: The cuts of the cells come from this many vectors (chosen by hash over all of them).
-SAMPLE = 20_000
+CELL_BYTES = 1 << 20
+#: The cuts of a label's cells come from so many of its vectors for each cell, chosen by hash; a label has 2 ** DEPTH cells at most.
+SAMPLE, DEPTH = 32, 12
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -141,15 +141,25 @@ def near_links(vectors: DataFrame, least: float = 0.93, cell_bytes: int = CELL_B
     pairs: it returns counts and a forest.  The cuts do not change the result.
     """
     vectors = vectors.withColumn("width", F.octet_length("vector"))
-    sizes = vectors.groupBy("label", "width").agg(F.count("*").alias("group_size"))
-    n = max(vectors.count(), 1)
-    sample = vectors.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(n)) < SAMPLE).join(sizes, ["label", "width"]).select("label", "width", "group_size", "vector")
-    trees: dict[int, dict[int, list[np.ndarray]]] = {}
-    for (label, width, size), part in sample.toArrow().to_pandas().groupby(["label", "width", "group_size"]):
-        depth = min((-(-int(size) * int(width) // cell_bytes) - 1).bit_length(), len(part).bit_length() - 2)
+    cells = F.ceil(F.col("group_size") * F.col("width") / cell_bytes)
+    large = vectors.groupBy("label", "width").agg(F.count("*").alias("group_size")).where(F.col("group_size") * F.col("width") > cell_bytes)
+    large = large.withColumn("depth", F.least(F.lit(DEPTH), F.ceil(F.log2(cells))).cast("int"))
+    large = large.withColumn("share", F.least(F.lit(1.0), SAMPLE * F.pow(F.lit(2.0), "depth") / F.col("group_size")))
+    sample = vectors.join(large, ["label", "width"]).where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        width, depth = int(part["width"].iloc[0]), min(int(part["depth"].iloc[0]), len(part).bit_length() - 2)
+        made = []
         if depth > 0:
             turned = _unit(list(part["vector"])) @ rotation(width // 8)
-            trees.setdefault(width, {})[label] = [_tree(turned[:, s:e], depth) for s, e in blocks_of(width // 8)]
+            made = [(part["label"].iloc[0], width, k, _tree(turned[:, s:e], depth).tobytes()) for k, (s, e) in enumerate(blocks_of(width // 8))]
+        return pd.DataFrame(made, columns=["label", "width", "block", "cuts"])
+
+    # A group has SAMPLE * 2 ** DEPTH vectors or so at most; all cuts are one number for each cell and block, a 16,384th of the vectors' bytes.
+    grown = sample.groupBy("label", "width").applyInPandas(grow, "label long, width int, block int, cuts binary").toArrow().to_pylist()
+    trees: dict[int, dict[int, list[np.ndarray]]] = {}
+    for r in sorted(grown, key=lambda r: (r["width"], r["label"], r["block"])):
+        trees.setdefault(r["width"], {}).setdefault(r["label"], []).append(np.frombuffer(r["cuts"], float))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -188,8 +198,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, cell_bytes: int = C
             out = []
             for x, label in zip(b.column("embedding"), b.column("label"), strict=True):
                 v = None if not label.is_valid or not x.is_valid or x.values.null_count else np.asarray(x.values, np.float64) + 0.0
-                with np.errstate(over="ignore"):
-                    good = v is not None and len(v) and np.isfinite(v).all() and np.isfinite(v @ v) and v @ v > 0
+                good = v is not None and len(v) and np.isfinite(v).all() and v.any()
+                if good:
+                    far = np.frexp(np.abs(v).max())[1]
+                    if abs(far) > 400:  # its square would leave the range of doubles; a power of two changes no direction
+                        v = np.ldexp(v, -far)
                 out.append(v.tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([b.column("vec"), b.column("label"), pa.array(out, pa.binary())], ["vec", "label", "vector"])
 

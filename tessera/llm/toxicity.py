@@ -26,8 +26,8 @@ IDENTITY_GROUPS = (
     ("immigrants", "natives", "refugees", "foreigners", "citizens"),
     ("disabled", "blind", "deaf", "old", "young", "elderly"),
 )
-#: Bounds of the fit: labelled rows (chosen by hash over all of them) and words of the vocabulary.
-TRAIN_ROWS, VOCABULARY = 20_000, 4096
+#: The fit takes about so many labelled rows at most, chosen by hash over all of them.
+TRAIN_ROWS = 20_000
 WORD = r"[^\W\d_]+"
 
 
@@ -112,12 +112,12 @@ def train_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS, train_rows: int = TRAIN_ROWS,
-        vocabulary: int = VOCABULARY, least_chi: float = 24.0, strength: float = 4.0, ridge: float = 1e-4) -> dict:
+        least_chi: float = 24.0, strength: float = 4.0, ridge: float = 1e-4) -> dict:
     """Weights of a logistic regression on the presence of words.
 
-    Takes at most about ``train_rows`` labelled rows, spread by hash over all of them.  The vocabulary is chosen by
-    counts over these: the words and stems whose presence says most about the
-    label by chi-square (``least_chi`` at least, which chance hardly reaches in so many words), and all identity terms.  Each row that mentions an
+    Takes at most about ``train_rows`` labelled rows, spread by hash over all of them.  Features are all
+    words and stems of these whose presence depends on the label (a chi-square of ``least_chi`` at least, which chance
+    hardly reaches in so many words; it is a test of significance, and there is no limit to how many pass it), and all identity terms.  Each row that mentions an
     identity term also stands as its counterfactuals, where the term is swapped for another one of its group;
     ``strength`` times the squared change of the score between the row and each of them, all words and stems that the
     swap exchanges counted, is added to the loss, so that a mention alone cannot move a score.
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, groups: Sequence[Sequence[str]] = ID
     c, d = F.lit(float(pos)) - a, F.lit(float(n - pos)) - b
     chi = n * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d) + 1e-9)
     terms = {t: g for g, group in enumerate(groups) for t in group}
-    best = counts.where("df >= 3 and feature <> ''").withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "feature").limit(vocabulary)
+    best = counts.where("df >= 3 and feature <> ''").withColumn("chi", chi).where(F.col("chi") >= least_chi)
     vocab = sorted({r["feature"] for r in best.select("feature").collect()} | set(terms))
     index = {w: i for i, w in enumerate(vocab)}
 

@@ -253,6 +253,30 @@ def test_near_vectors(spark):
     assert len(links) > 100
 
 
+def test_near_vectors_over_several_cells_at_the_default(spark):
+    """A label of 6,000 vectors is cut into cells; its links are those of all pairs.  Vectors of another label never meet them."""
+    r = np.random.Generator(np.random.PCG64(3))
+    x = r.standard_normal((6000, 64))
+    x[1::6] = x[::6] + 0.3 * r.standard_normal((1000, 64))  # near, about 0.93
+    x[2::60] = x[::60] * 3
+    assert x.nbytes > 2 * neardup_vectors.CELL_BYTES
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(9000, x[0].tolist(), 2)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    near = unit @ unit.T >= 0.93
+    got = {v["vec_id"]: (v["n_links"], v["component_id"]) for v in neardup_vectors.near_duplicates(df).collect()}
+    comp = components_brute(list(range(6000)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    assert got == {i: (int(near[i].sum()) - 1, comp[i]) for i in range(6000)} | {9000: (0, 9000)}
+    assert near.sum() > 7000
+
+
+def test_near_vectors_of_extreme_length(spark):
+    """Squares that would leave the range of doubles change no direction."""
+    rows = [(1, [1e-200, 2e-200, 0.0]), (2, [1e-200, 2.01e-200, 0.0]), (3, [1e200, 2e200, 0.0]), (4, [1.0, 2.0, 0.0]), (5, [5e-324, 1e-323, 0.0]), (6, [-1e200, 2e200, 0.0]), (7, [1.7e308, 1.7e308, 1.7e308]), (8, [3.0, 3.0, 3.0])]
+    df = spark.createDataFrame([(i, v, 1, "clash", 1, "clash") for i, v in rows], "vec_id long, embedding array<double>, label int, key string, vec int, block string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup_vectors.near_duplicates(df).collect()}
+    assert got == {i: (4, 1) for i in (1, 2, 3, 4, 5)} | {6: (0, 6), 7: (1, 7), 8: (1, 7)}
+
+
 def test_cells_within_reach():
     """Whatever the cuts, two points within the share meet: each is dealt to the other's own cell."""
     r = np.random.Generator(np.random.PCG64(5))
