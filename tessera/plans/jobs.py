@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 
 from tessera.operators import errors, matching, similarity
+from tessera.operators.bank import cut
 
 
 def error_analysis(preds: DataFrame, gts: DataFrame, least: float = 0.5, top_k: int | None = None) -> dict[str, DataFrame]:
-    """Matches once, kept for the reports that read them, then confusions, misses, false alarms, patterns and priorities.
-
-    The caller unpersists ``matches`` when the reports are done.
-    """
-    matches = matching.match_detections(preds, gts, least).persist()
+    """Matches once, as a table in the shared folder that all reports read, then confusions, misses, false alarms, patterns and priorities."""
+    matches = cut(matching.match_detections(preds, gts, least))
     table = errors.error_table(matches)
     patterns = errors.find_patterns(table)
     confusions = errors.confusion(matches)
