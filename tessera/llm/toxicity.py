@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Container, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ WORD = r"[^\W\d_]+"
 STEMS = (4, 5, 6, 7)
 #: Word counts are handed on whenever a task holds this many.
 COUNTS = 100_000
-#: Words whose features a task remembers.
+#: Tokens (what white space separates) whose features a task remembers.
 REMEMBERED = 50_000
 
 
@@ -47,6 +47,26 @@ def features(text: str | None) -> set[str]:
     return _features(words(text))
 
 
+class Known:
+    """Features of texts.  A word never reaches over white space, so each token's are found once and looked up from then on."""
+
+    def __init__(self, wanted: Container[str] | None = None) -> None:
+        self.wanted, self.found = wanted, {}
+
+    def features(self, text: str | None) -> set[str]:
+        out: set[str] = set()
+        for token in set(text.lower().split()) if text else ():
+            own = self.found.get(token)
+            if own is None:
+                if len(self.found) >= REMEMBERED:
+                    self.found.clear()
+                own = _features(set(re.findall(WORD, token)))
+                own = self.found[token] = tuple(own if self.wanted is None else (f for f in own if f in self.wanted))
+            if own:
+                out.update(own)
+        return out
+
+
 def _features(found: set[str]) -> set[str]:
     return found.union(*({w[:n] + "*" for w in found if len(w) > n} for n in STEMS))
 
@@ -67,6 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of rows, and of rows with label 1, for each feature; the feature '' counts all rows."""
     every: Counter[str] = Counter()
     toxic: Counter[str] = Counter()
+    known = Known()
 
     def out() -> pa.RecordBatch:
         columns = [pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[f] for f in every], pa.int64())]
@@ -74,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for y, text in zip(b.column("y"), b.column("text"), strict=True):
-            found = features(text.as_py()) | {""}
+            found = known.features(text.as_py()) | {""}
             every.update(found)
             if y.as_py():
                 toxic.update(found)
@@ -85,22 +106,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scorer(model: dict) -> Callable[[Iterable[str | None]], np.ndarray]:
-    """Raw scores (log odds) of texts. What each word contributes is looked up once, for at most REMEMBERED words."""
+    """Raw scores (log odds) of texts: the bias and the weights of their features."""
     weights, bias = model["weights"], model["bias"]  # the chosen features and the identity terms
-    known: dict[str, tuple[str, ...]] = {}
-
-    def one(text: str | None) -> float:
-        hits: set[str] = set()
-        for w in words(text):
-            found = known.get(w)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[w] = tuple(f for f in _features({w}) if f in weights)
-            hits.update(found)
-        return bias + sum(weights[f] for f in sorted(hits))
-
-    return lambda texts: np.array([one(t) for t in texts], float)
+    known = Known(weights)
+    return lambda texts: np.array([bias + sum(weights[f] for f in sorted(known.features(t))) for t in texts], float)
 
 
 def train_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -144,9 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, groups: Sequence[Sequence[str]] = ID
     index = {w: i for i, w in enumerate(vocab)}
 
     def number(batches):
+        known = Known(index)
         for b in batches:
             texts = b.column("text").to_pylist()
-            at = [[index[w] for w in sorted(features(t)) if w in index] for t in texts]
+            at = [sorted(index[w] for w in known.features(t)) for t in texts]
             # Of a counterfactual, -1 - i for a feature i that goes and i for one that comes.
             swaps = [[sorted([-1 - index[w] for w in gone if w in index] + [index[w] for w in come if w in index]) for gone, come in swapped(t, terms, groups)] for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], ["y", "at", "swaps"])

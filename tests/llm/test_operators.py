@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -589,3 +590,28 @@ def test_quality_posteriors_equal_the_formulas(spark):
         want.append((str(doc), host[i], round(site, 8), round(1 / (1 + np.exp(-odds)), 8), bool(odds >= 0)))
     got = [(str(r["doc_id"]), r["host"], round(r["site"], 8), round(r["score"], 8), r["keep"]) for r in quality.posteriors(docs, model, F.col("source"), F.col("lang")).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_features_by_tokens_are_those_of_the_text():
+    """Tokens that are looked up give what the whole text gives, also when the memory of them is full."""
+    r = random.Random(8)
+    texts = [None, "", " \t", "Ünï-cöde2x_y z", "a\u00a0b c\u2003dd", "İstanbul'da STRASSE"] + ["".join(r.choice("abcÄß1_-' \n\u00a0") for _ in range(r.randint(1, 80))) for _ in range(300)]
+    known, old = toxicity.Known(), toxicity.REMEMBERED
+    toxicity.REMEMBERED = 40
+    try:
+        assert [known.features(t) for t in texts * 2] == [toxicity.features(t) for t in texts * 2]
+    finally:
+        toxicity.REMEMBERED = old
+    some = toxicity.Known({"dd", "stra*"})
+    assert [some.features(t) for t in texts[4:6]] == [{"dd"}, {"stra*"}]
+
+
+def test_held_out_toxicity(spark):
+    """On documents whose labels it has not seen: clean ones pass, and most toxic ones are found (some are marked toxic without a toxic word)."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.exists(sf):
+        pytest.skip("needs a table with enough labels")
+    found = toxicity.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    for kind, least in ((0, 0.99), (1, 0.85)):
+        own = [r["predicted"] == kind for r in found if r["toxic"] == kind]
+        assert len(own) > 50 and sum(own) >= least * len(own)
