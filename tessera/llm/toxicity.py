@@ -35,7 +35,7 @@ WORD = r"[^\W\d_]+"
 STEMS = (4, 5, 6, 7)
 #: Word counts are handed on whenever a task holds this many.
 COUNTS = 100_000
-#: Tokens (what white space separates) whose features a task remembers.
+#: Words whose features a task remembers.
 REMEMBERED = 50_000
 
 
@@ -47,21 +47,25 @@ def features(text: str | None) -> set[str]:
     return _features(words(text))
 
 
+def _of_word(w: str) -> tuple[str, ...]:
+    return (w, *(w[:n] + "*" for n in STEMS if len(w) > n))
+
+
 class Known:
-    """Features of texts.  A word never reaches over white space, so each token's are found once and looked up from then on."""
+    """Features of texts, those in ``wanted`` if given; what a word adds is found once and looked up from then on."""
 
     def __init__(self, wanted: Container[str] | None = None) -> None:
         self.wanted, self.found = wanted, {}
 
     def features(self, text: str | None) -> set[str]:
         out: set[str] = set()
-        for token in set(text.lower().split()) if text else ():
-            own = self.found.get(token)
+        found, wanted = self.found, self.wanted
+        for w in words(text):
+            own = found.get(w)
             if own is None:
-                if len(self.found) >= REMEMBERED:
-                    self.found.clear()
-                own = _features(set(re.findall(WORD, token)))
-                own = self.found[token] = tuple(own if self.wanted is None else (f for f in own if f in self.wanted))
+                if len(found) >= REMEMBERED:
+                    found.clear()
+                own = found[w] = _of_word(w) if wanted is None else tuple(f for f in _of_word(w) if f in wanted)
             if own:
                 out.update(own)
         return out
@@ -87,7 +91,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of rows, and of rows with label 1, for each feature; the feature '' counts all rows."""
     every: Counter[str] = Counter()
     toxic: Counter[str] = Counter()
-    known = Known()
 
     def out() -> pa.RecordBatch:
         columns = [pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[f] for f in every], pa.int64())]
@@ -95,7 +98,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for y, text in zip(b.column("y"), b.column("text"), strict=True):
-            found = known.features(text.as_py()) | {""}
+            found = features(text.as_py()) | {""}
             every.update(found)
             if y.as_py():
                 toxic.update(found)

@@ -592,8 +592,8 @@ def test_quality_posteriors_equal_the_formulas(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_features_by_tokens_are_those_of_the_text():
-    """Tokens that are looked up give what the whole text gives, also when the memory of them is full."""
+def test_remembered_features_are_those_of_the_text():
+    """Words that are looked up give what the whole text gives, also when the memory of them is full."""
     r = random.Random(8)
     texts = [None, "", " \t", "Ünï-cöde2x_y z", "a\u00a0b c\u2003dd", "İstanbul'da STRASSE"] + ["".join(r.choice("abcÄß1_-' \n\u00a0") for _ in range(r.randint(1, 80))) for _ in range(300)]
     known, old = toxicity.Known(), toxicity.REMEMBERED
