@@ -59,6 +59,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
 
 
 def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, in 24 shards; cases as in ``assign_shards``."""
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
