@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -102,6 +102,19 @@ def _published(attempts: DataFrame, path: str, staged: str) -> DataFrame:
     return attempts.mapInArrow(move, "n long")
 
 
+def publish(spark: SparkSession, path: str, staged: str) -> int:
+    """Move what the job ``staged`` wrote to ``path``, and return how many files these are."""
+    store, root = opened(path)
+    with store.open_input_stream(f"{root}/{staged}/_attempts.json") as f:
+        folders = json.loads(f.read())  # a name for each task
+    moved = 0
+    if folders:
+        attempts = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(len(folders))
+        moved = _published(attempts, path, staged).agg(F.sum("n")).first()[0]
+    store.delete_dir(f"{root}/{staged}")
+    return moved
+
+
 def write_files(rows: DataFrame, path: str) -> int:
     """Write the rows (name, content: text or bytes) as files below ``path`` and return how many were moved there.
 
@@ -114,12 +127,4 @@ def write_files(rows: DataFrame, path: str) -> int:
     content = F.col("content") if rows.schema["content"].dataType.simpleString() == "binary" else F.encode(F.col("content").cast("string"), "utf-8")
     dealt = rows.select(F.col("name").cast("string").alias("name"), content.alias("content")).repartition("name")  # so that a repeated name meets itself
     dealt.write.format("row_files").option("path", path).option("staged", staged).mode("append").save()
-    store, root = opened(path)
-    with store.open_input_stream(f"{root}/{staged}/_attempts.json") as f:
-        folders = json.loads(f.read())  # a name for each task
-    moved = 0
-    if folders:
-        attempts = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(len(folders))
-        moved = _published(attempts, path, staged).agg(F.sum("n")).first()[0]
-    store.delete_dir(f"{root}/{staged}")
-    return moved
+    return publish(spark, path, staged)
