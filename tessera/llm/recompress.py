@@ -197,29 +197,76 @@ def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(c) if c.dtype == np.uint64 else c) for c in columns], names)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
-    """The columns of all batches of a task, which the session's shuffle partitions keep small."""
-    kept = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches if b.num_rows]
-    return [np.concatenate(x) for x in zip(*kept, strict=True)] if kept else [np.zeros(0, np.int64) for _ in names]
+def in_order(batches: Iterator[pa.RecordBatch], *names: str, size: int = HELD) -> Iterator[list[np.ndarray]]:
+    """The columns of a task's sorted rows, about ``size`` rows at a time; a group may go on in the next part."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if b.num_rows:
+            held.append([b.column(n).to_numpy(zero_copy_only=False) for n in names])
+        if sum(len(x[0]) for x in held) >= size:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    """Of sorted rows, those whose keys are not those of the row before."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    return new
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of one key: those with equal surroundings are covered but at their first place; if surroundings differ, the firsts stay open."""
-    key, around, doc, row, lo, hi, kind = _gathered(batches, "key", "around", "doc", "row", "lo", "hi", "kind")
+SETTLED_BY = ["key", "around", "doc", "lo", "row"]
+
+
+def _settle(batches: Iterator[pa.RecordBatch], size: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Anchors sorted by ``SETTLED_BY``: those with equal surroundings are covered but at their first place; if surroundings differ, the firsts stay open.
+
+    Of the rows before a part only the first of the last surroundings is remembered, and the firsts that wait for a
+    second kind of surroundings.  If more than ``size`` wait, they stay open, which costs a comparison and changes no result.
+    """
     names = ["doc", "row", "lo", "hi", "kind"]
-    done = kind == COVERED
-    passed = [doc[done], row[done], lo[done], hi[done]]
-    key, around, doc, row, lo, hi = (x[~done] for x in (key, around, doc, row, lo, hi))
-    order, first, keep, later = _by_place(doc, row, lo, around, key)
-    key, doc, row, lo, hi = (x[order] for x in (key, doc, row, lo, hi))
-    new_key = np.append(True, key[1:] != key[:-1])[: len(key)]
-    kinds = np.bincount(np.cumsum(new_key) - 1, first, minlength=1) if len(key) else np.zeros(1)
-    several = (kinds > 1)[np.cumsum(new_key) - 1] if len(key) else np.zeros(0, bool)
-    d, r, a, b = _ranges(*(np.concatenate([p, x[later]]) for p, x in zip(passed, (doc, row, lo, hi), strict=True)))
-    yield _rows(names, d, r, a, b, np.full(len(d), COVERED, np.int8))
-    d, r, a, b = _ranges(*(x[keep & several] for x in (doc, row, lo, hi)))
-    yield _rows(names, d, r, a, b, np.full(len(d), OPEN, np.int8))
-    release()
+    head: list[np.ndarray] = []
+    several, waiting = False, [np.zeros(0, np.int64)] * 4
+    for key, around, doc, row, lo, hi, kind in in_order(batches, "key", "around", "doc", "row", "lo", "hi", "kind", size=size):
+        done = kind == COVERED
+        passed = [doc[done], row[done], lo[done], hi[done]]
+        columns = [x[~done] for x in (key, around, doc, row, lo, hi)]
+        old = len(head[0]) if head else 0
+        if head:
+            columns = [np.concatenate(x) for x in zip(head, columns, strict=True)]
+        key, around, doc, row, lo, hi = columns
+        opened = [np.zeros(0, np.int64)] * 4
+        if len(key):
+            new = _begins(key, around)
+            at = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = (doc != doc[at]) | (lo != lo[at])
+            again = ~new & np.append(False, row[1:] == row[:-1])
+            first = ~later & ~again
+            first[:old] = False  # went out or waits already
+            of = np.cumsum(_begins(key)) - 1
+            kinds = np.bincount(of, new) + (np.arange(of[-1] + 1) == 0) * several
+            many = kinds[of] > 1
+            opened = [x[first & many] for x in (doc, row, lo, hi)]
+            passed = [np.concatenate([p, x[later]]) for p, x in zip(passed, (doc, row, lo, hi), strict=True)]
+            if kinds[0] > 1:
+                opened = [np.concatenate(x) for x in zip(waiting, opened, strict=True)]
+            if of[-1] > 0 or kinds[0] > 1:
+                waiting = [np.zeros(0, np.int64)] * 4
+            several = bool(kinds[-1] > 1)
+            if not several:
+                waiting = [np.concatenate([w, x[first & (of == of[-1])]]) for w, x in zip(waiting, (doc, row, lo, hi), strict=True)]
+            if len(waiting[0]) > size:
+                opened = [np.concatenate(x) for x in zip(waiting, opened, strict=True)]
+                several, waiting = True, [np.zeros(0, np.int64)] * 4
+            head = [x[at[-1] : at[-1] + 1] for x in columns]
+        for found, kind_out in ((passed, COVERED), (opened, OPEN)):
+            d, r, a, b = _ranges(*found)
+            yield _rows(names, d, r, a, b, np.full(len(d), kind_out, np.int8))
+        release()
 
 
 def _open_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -260,27 +307,35 @@ def _open_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield from out()
 
 
-def _settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, doc, row, start, kind = _gathered(batches, "key", "doc", "row", "start", "kind")
-    done = kind == COVERED
-    k, d, r, s = (x[~done] for x in (key, doc, row, start))
-    order, _, _, later = _by_place(d, r, s, k)
-    gone = order[later]
-    d, r, s = (np.concatenate([x[done], y[gone]]) for x, y in ((doc, d), (row, r), (start, s)))
-    yield _rows(["doc", "row", "lo", "hi"], *_ranges(d, r, s, s))
-    release()
+def _settle_windows(batches: Iterator[pa.RecordBatch], size: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Windows sorted by key, doc and start: all are covered but those at the first place of their key."""
+    head: list[np.ndarray] = []
+    for key, doc, row, start, kind in in_order(batches, "key", "doc", "row", "start", "kind", size=size):
+        done = kind == COVERED
+        columns = [x[~done] for x in (key, doc, row, start)]
+        if head:
+            columns = [np.concatenate(x) for x in zip(head, columns, strict=True)]
+        k, d, r, s = columns
+        new = _begins(k)
+        at = np.flatnonzero(new)[np.cumsum(new) - 1]
+        gone = (d != d[at]) | (s != s[at])
+        if len(k):
+            head = [x[at[-1] : at[-1] + 1] for x in columns]
+        d, r, s = (np.concatenate([x[done], y[gone]]) for x, y in ((doc, d), (row, r), (start, s)))
+        yield _rows(["doc", "row", "lo", "hi"], *_ranges(d, r, s, s))
+        release()
 
 
 def repeated_windows(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc, row (of its text), ranges (lo, hi): the starts of all windows of ``width`` words whose words also start earlier."""
     texts = docs.select(doc_key().alias("doc"), text_key().alias("row"), F.col("text").cast("string").alias("text"))
     anchors = texts.mapInArrow(lambda it: _anchor_batches(it, width), "key long, around long, doc long, row long, lo long, hi long, kind byte")
-    settled = written(anchors.repartition("key").mapInArrow(_settle, "doc long, row long, lo long, hi long, kind byte"), "repeat-ranges")
+    settled = written(anchors.repartition("key").sortWithinPartitions(*SETTLED_BY).mapInArrow(_settle, "doc long, row long, lo long, hi long, kind byte"), "repeat-ranges")
     # Anchors that occur in unlike surroundings: compare their windows one by one.
     undecided = settled.where(F.col("kind") == OPEN).groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
     at = packed_texts(docs, doc=doc_key(), row=text_key()).join(undecided.hint("shuffle_hash"), ["doc", "row"])
     windows = at.mapInArrow(lambda it: _open_windows(it, width), "key long, doc long, row long, start long, kind byte")
-    more = windows.repartition("key").mapInArrow(_settle_windows, "doc long, row long, lo long, hi long")
+    more = windows.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(_settle_windows, "doc long, row long, lo long, hi long")
     both = settled.where(F.col("kind") == COVERED).select("doc", "row", "lo", "hi").unionByName(more)
     return both.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrays import BYTE, U64, mix, prefix_hash, release, runs, signed, span_hash, texts_of
 from tessera.llm.common import doc_key, id_of, in_runs, packed_texts, table, text_key, unpacked, written
-from tessera.llm.recompress import _gathered, _ranges, _rows
+from tessera.llm.recompress import _ranges, _rows, in_order
 
 GRAM = 32
 #: Low bits of a rank hold the place (a text has less than 2 GiB), so that equal hashes go to the leftmost.
@@ -95,15 +95,28 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         yield from out()
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors whose hash occurs more than once."""
-    key, doc, row, lo, hi, at, lead, kind = _gathered(batches, "key", "doc", "row", "lo", "hi", "at", "lead", "kind")
-    if not len(key):
-        return
-    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    # A row without windows stands for a known one: the hash is shared though the key may occur once here.
-    keep = (kind == KNOWN) | ((count[back] > 1) & (lo <= hi))
-    yield _rows(["doc", "row", "lo", "hi", "at", "lead"], *(x[keep] for x in (doc, row, lo, hi, at, lead)))
+def _shared(batches: Iterator[pa.RecordBatch], size: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Of anchors sorted by hash, those whose hash occurs more than once; the last row of a part waits for the next one."""
+    names = ["doc", "row", "lo", "hi", "at", "lead"]
+    last: list[np.ndarray] = []
+    before = False  # whether the row that waits has the hash of the row before it
+
+    def chosen(columns: list[np.ndarray], same: np.ndarray) -> pa.RecordBatch:
+        _, *out, kind = columns
+        # A row without windows stands for a known one: the hash is shared though the key may occur once here.
+        keep = (kind == KNOWN) | (same & (out[2] <= out[3]))
+        return _rows(names, *(x[keep] for x in out))
+
+    for columns in in_order(batches, "key", *names, "kind", size=size):
+        if last:
+            columns = [np.concatenate(x) for x in zip(last, columns, strict=True)]
+        equal = columns[0][1:] == columns[0][:-1]
+        back = np.append(before, equal)
+        yield chosen([x[:-1] for x in columns], back[:-1] | equal)
+        last, before = [x[-1:] for x in columns], bool(back[-1])
+        release()
+    if last:
+        yield chosen(last, np.array([before]))
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -292,7 +305,7 @@ def repeated_strings(docs: DataFrame, width: int = 200) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(doc_key().alias("doc"), text_key().alias("row"), F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(lambda it: _anchor_rows(it, width), "key long, doc long, row long, lo long, hi long, at long, lead long, kind byte")
-    shared = written(rows.repartition("key").mapInArrow(_shared, "doc long, row long, lo long, hi long, at long, lead long"), "shared-anchors")
+    shared = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "doc long, row long, lo long, hi long, at long, lead long"), "shared-anchors")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = shared.select(F.percentile_approx("lead", F.array(*[F.lit(i / n) for i in range(1, n)] or [F.lit(0.5)]), F.lit(20_000))).first()[0]
     cuts = np.unique(np.array(cuts or [], np.int64))

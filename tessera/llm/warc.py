@@ -7,30 +7,37 @@ import gzip
 import hashlib
 import io
 import re
+import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter
+from pyspark.sql.types import StructType
 
-from tessera.llm.common import NULL_ID, doc_key, id_of, new_path, table, written
+from tessera.llm.common import NULL_ID, doc_key, id_of, new_path, table, unpacked, written
+from tessera.sources.sink import Attempt, FileWriter, opened, publish
 
-#: A record ends with this; Spark's text sink writes it after each value, so its files are WARC archives.
-END = "\r\n\r\n"
+#: A record ends with this.
+END = b"\r\n\r\n"
 #: Fixed values of the WARC 1.1 format.
 VERSION, IDENTICAL = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 1000
+#: A writer begins a new archive after so many packed bytes; one record is never cut.
+ARCHIVE_BYTES = 64 << 20
 FIELDS = "page long, record_type string, payload_bytes long, payload_digest string, payload_hex string, refers_to long"
+#: Records that a reader hands on at a time, and bytes that it unpacks at a time.
+RECORDS, UNPACKED = 1000, 1 << 20
 
 
 def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
-def record(kind: Column, page: Column, url: Column, payload: Column, digest: Column | None = None, refers_to: Column | None = None) -> Column:
-    """One record as text. A revisit (payload null) has an empty block and points to the response."""
-    body = F.coalesce(payload, F.lit(""))
+def head(kind: Column, page: Column, url: Column, n_bytes: Column, digest: Column | None = None, refers_to: Column | None = None) -> Column:
+    """The header lines of a record with a block of ``n_bytes``.  A revisit has an empty block and points to the response."""
     return F.concat(
         F.lit(f"{VERSION}\r\n"),
         _line("WARC-Type", kind),
@@ -40,15 +47,65 @@ def record(kind: Column, page: Column, url: Column, payload: Column, digest: Col
         F.coalesce(_line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), F.lit("")) if digest is not None else F.lit(""),
         F.coalesce(F.concat(_line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), refers_to.cast("string"), F.lit(">"))), _line("WARC-Profile", F.lit(IDENTICAL))), F.lit("")) if refers_to is not None else F.lit(""),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
-        _line("Content-Length", F.octet_length(body).cast("string")),
+        _line("Content-Length", n_bytes.cast("string")),
         F.lit("\r\n"),
-        body,
     )
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Write a DataFrame of one string column (a record each) as archives, each one gzip stream."""
-    records.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+class ArchiveWriter(FileWriter, DataSourceArrowWriter):
+    """Rows (head, packed block or null) as archives ``part-<task>-<number>.warc.gz`` with a gzip member for each record."""
+
+    def __init__(self, path: str, staged: str, most: int) -> None:
+        super().__init__(path, staged)
+        self.most = most
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Attempt:
+        store, root = opened(f"{self.path}/{self.staged}")
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
+        folder = f"{task}-{uuid.uuid4().hex}"
+        files, size, out = 0, 0, None
+        try:
+            for b in batches:
+                for i in range(b.num_rows):
+                    if out is None:
+                        store.create_dir(f"{root}/{folder}", recursive=True)
+                        out, size = store.open_output_stream(f"{root}/{folder}/part-{task:05d}-{files:05d}.warc.gz", compression=None), 0
+                        files += 1
+                    packed = b.column("packed").slice(i, 1)
+                    block = unpacked(packed)[0].as_buffer() if packed.null_count == 0 else b""
+                    member = gzip.compress(b"".join((b.column("head")[i].as_py().encode(), block or b"", END)), 6, mtime=0)
+                    out.write(member)
+                    size += len(member)
+                    if size >= self.most:
+                        out.close()
+                        out = None
+        finally:
+            if out is not None:
+                out.close()
+        return Attempt(folder, files)
+
+
+class ArchiveSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "warc_archives"
+
+    def schema(self) -> str:
+        return "head string, packed binary"
+
+    def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
+        return ArchiveWriter(self.options["path"], self.options["staged"], int(self.options["most"]))
+
+
+def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> int:
+    """Write rows (head, packed) as archives below ``path``; a failed job leaves none.  Returns how many archives were made."""
+    spark = records.sparkSession
+    spark.dataSource.register(ArchiveSource)
+    staged = f"_staged-{uuid.uuid4().hex}"
+    rows = records.select("head", "packed")
+    rows.write.format("warc_archives").option("path", path).option("staged", staged).option("most", archive_bytes).mode("append").save()
+    return publish(spark, path, staged)
 
 
 def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -71,31 +128,38 @@ def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``; digest and size are those of the block, or of the header in a revisit.
 
-    A task holds one packed archive and one unpacked record at a time.
+    Archives are read as streams, of one gzip member or of many, so a task holds one unpacked record at a time.
     """
 
-    def read(batches):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page = re.compile(r"<urn:page:(-?\d+)>")
         number = lambda x: int(page.fullmatch(x)[1]) if x else None
-        names = ["page", "record_type", "payload_bytes", "payload_digest", "payload_hex", "refers_to"]
+        types = [("page", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload_hex", pa.string()), ("refers_to", pa.int64())]
+        rows: list[tuple] = []
 
-        def frame(rows):
-            return pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64", "refers_to": "Int64"})
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), types, strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, [n for n, _ in types])
 
         for b in batches:
-            for raw in b["content"]:
-                rows = []
-                for head, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw)), 1 << 20)):
-                    revisit = head["warc-type"] == "revisit"
-                    digest = head["warc-payload-digest"][5:] if revisit else base64.b32encode(hashlib.sha1(block).digest()).decode()
-                    if not revisit and head.get("warc-payload-digest", "sha1:" + digest) != "sha1:" + digest:
-                        raise ValueError(f"payload of {head['warc-record-id']} does not have its digest")
-                    rows.append((number(head["warc-record-id"]), head["warc-type"], None if revisit else len(block), digest,
-                                 base64.b32decode(digest).hex(), number(head.get("warc-refers-to"))))
-                yield frame(rows)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(read, FIELDS)
+            for where in b.column("path").to_pylist():
+                store, at = opened(where)
+                with store.open_input_stream(at, compression=None, buffer_size=UNPACKED) as packed, gzip.GzipFile(fileobj=packed) as raw:
+                    for head, block in parse(io.BufferedReader(raw, UNPACKED)):
+                        revisit = head["warc-type"] == "revisit"
+                        digest = head["warc-payload-digest"][5:] if revisit else base64.b32encode(hashlib.sha1(block).digest()).decode()
+                        if not revisit and head.get("warc-payload-digest", "sha1:" + digest) != "sha1:" + digest:
+                            raise ValueError(f"payload of {head['warc-record-id']} does not have its digest")
+                        rows.append((number(head["warc-record-id"]), head["warc-type"], None if revisit else len(block), digest,
+                                     base64.b32decode(digest).hex(), number(head.get("warc-refers-to"))))
+                        if len(rows) >= RECORDS:
+                            yield out()
+        if rows:
+            yield out()
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
+    return files.mapInArrow(read, FIELDS)
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -115,31 +179,54 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
-def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
+def _packed_pages(pages: DataFrame) -> DataFrame:
+    """page, url, n (bytes of the payload), hex (its SHA-1), packed (the payload, compressed for the way through shuffles)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                blobs = []
+                for x in part.column("html"):
+                    raw = x.as_buffer() or b""
+                    blobs.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
+                kept = ["page", "url", "n", "hex"]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(blobs, pa.binary())], [*kept, "packed"])
+
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(
+        doc_key("page_id").alias("page"), F.col("url").cast("string").alias("url"), F.octet_length(html).cast("long").alias("n"),
+        F.sha1(F.encode(html, "utf-8")).alias("hex"), html.alias("html"),
+    )
+    return rows.mapInArrow(pack, "page long, url string, n long, hex string, packed binary")
+
+
+def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``path``/raw (a response for each page) and ``path``/deduplicated, and read the latter back.
 
     Null html: an empty payload, which takes part as any other.  Null page_id: archived under the smallest long and
     returned as null.  Rows with equal page_id: all are archived; where their payloads are equal too, all of them
-    are the response, as a record cannot refer to itself.  Empty table: empty archives.  Other columns are ignored.
+    are the response, as a record cannot refer to itself.  Pages of any length are one record; an archive is closed
+    when it holds ``archive_bytes``.  Empty table: no archives.  Other columns are ignored.
     """
     spark = pages.sparkSession
-    rows = pages.select(doc_key("page_id").alias("page"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    write_archives(rows.select(record(F.lit("response"), F.col("page"), F.col("url"), F.col("html"))), f"{path}/raw")
+    rows = _packed_pages(pages)
+    write_archives(rows.select(head(F.lit("response"), F.col("page"), F.col("url"), F.col("n")).alias("head"), "packed"), f"{path}/raw", archive_bytes)
     # The headers are a small table, so that the archives are parsed once.
     decided = resolve(written(read_archives(spark, f"{path}/raw"), "warc-headers", 4), least_bytes)
     known = decided.dropDuplicates(["page", "payload_hex"]).select(F.col("page").alias("of"), "payload_digest", "payload_hex", "record_type", "refers_to")
     # Fresh headers meet their payloads again, by page and digest.
-    full = rows.withColumn("hex", F.sha1(F.encode("html", "utf-8"))).join(known, (F.col("page") == F.col("of")) & (F.col("hex") == F.col("payload_hex")))
-    fresh = full.select(
-        record(F.col("record_type"), F.col("page"), F.col("url"), F.when(F.col("record_type") == "response", F.col("html")), F.col("payload_digest"), F.col("refers_to"))
-    )
-    write_archives(fresh, f"{path}/deduplicated")
+    full = rows.join(known, (F.col("page") == F.col("of")) & (F.col("hex") == F.col("payload_hex")))
+    own = F.col("record_type") == "response"
+    fresh = head(F.col("record_type"), F.col("page"), F.col("url"), F.when(own, F.col("n")).otherwise(0), F.col("payload_digest"), F.col("refers_to"))
+    write_archives(full.select(fresh.alias("head"), F.when(own, F.col("packed")).alias("packed")), f"{path}/deduplicated", archive_bytes)
     return read_back(spark, f"{path}/deduplicated")
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """Each archived page; a revisit takes the size of the response that it refers to."""
-    records = read_archives(spark, path)
+    """Each archived page; a revisit takes the size of the response that it refers to.  The archives are parsed once."""
+    records = written(read_archives(spark, path), "warc-records", 4)
     sizes = records.where("record_type = 'response'").groupBy(F.col("page").alias("owner"), F.col("payload_digest").alias("of")).agg(F.max("payload_bytes").alias("size"))
     joined = records.join(sizes, (F.col("refers_to") == F.col("owner")) & (F.col("payload_digest") == F.col("of")), "left")
     return joined.select(

@@ -2,11 +2,14 @@
 
 import base64
 import hashlib
+import io
 import os
+import pathlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -513,6 +516,92 @@ def test_items_with_null_and_repeated_ids(spark):
     assert got == [("3", "1", 16, 16), ("4", "2", 1, 1), ("4", "None", 2, 2), ("None", "1", 16, 16)]
 
 
+def test_warc_archives_are_bounded_by_bytes(spark):
+    """A page of 50 MB among small ones: archives close by bytes, each record is a member of its own, and nothing staged is left."""
+    r = random.Random(8)
+    noise = [r.randbytes(1500).hex() for _ in range(60)]
+    rows = [(i, "u", x, 1, "n") for i, x in enumerate(noise)] + [(100, "u", "long page " * 5_000_000, 1, "n"), (101, "u", noise[3], 1, "n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, packed int, head string").repartition(2)
+    path = f"{shared_dir(spark)}/warc-bytes-{random.random()}"
+    got = {x["page_id"]: (x["payload_bytes"], x["record_type"], x["refers_to"]) for x in warc.archive_pages(df, path, archive_bytes=20_000).collect()}
+    assert got == {i: (len(h), "revisit" if i == 3 else "response", 101 if i == 3 else None) for i, _, h, *_ in rows}
+    for part in ("raw", "deduplicated"):
+        files = sorted(pathlib.Path(path.removeprefix("file:"), part).iterdir())
+        assert len(files) > 4 and all(f.name.startswith("part-") for f in files)
+        records = 0
+        for f in files:
+            packed = f.read_bytes()
+            while packed:  # member after member, each a whole record
+                one = zlib.decompressobj(31)
+                member = one.decompress(packed) + one.flush()
+                assert member.startswith(b"WARC/1.1\r\n") and member.endswith(b"\r\n\r\n") and len(list(warc.parse(io.BytesIO(member)))) == 1
+                records, packed = records + 1, one.unused_data
+        assert records == len(rows)
+    plan = warc.read_back(spark, f"{path}/deduplicated")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # parsed once, into a table
+
+
+def test_sorted_rows_settle_in_parts():
+    """What is covered does not depend on where a task's sorted rows are cut, and open ranges lose no first place."""
+    r = np.random.Generator(np.random.PCG64(6))
+    for case in range(40):
+        n = 300
+        key, around = r.integers(0, 1 + case % 9, n), r.integers(0, 3, n)
+        doc, row, lo = r.integers(0, 6, n), r.integers(0, 2, n), r.integers(0, 4, n) * 10
+        order = np.lexsort((row, lo, doc, around, key))
+        key, around, doc, row, lo = (x[order] for x in (key, around, doc, row, lo))
+        least: dict = {}
+        for g in zip(key.tolist(), around.tolist(), doc.tolist(), lo.tolist(), strict=True):
+            least.setdefault(g[:2], g[2:])
+        covered, opened, singles = set(), set(), set()
+        for k, a, d, w, s in zip(key.tolist(), around.tolist(), doc.tolist(), row.tolist(), lo.tolist(), strict=True):
+            if (d, s) != least[k, a]:
+                covered.add((d, w, s))
+            elif len({x for x in least if x[0] == k}) > 1:
+                opened.add((d, w, s))
+            else:
+                singles.add((d, w, s))
+        names = ["key", "around", "doc", "row", "lo", "hi", "kind"]
+        rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, around, doc, row, lo, lo, np.zeros(n, np.int8))], names)
+        for part, size in ((n, 10**6), (7, 5), (1, 1), (50, 3)):
+            out = [b.to_pydict() for b in recompress._settle((rows.slice(i, part) for i in range(0, n, part)), size)]
+            found = [{(d, w, s) for b in out for d, w, lo_, hi_, k in zip(*b.values(), strict=True) if k == kind for s in range(lo_, hi_ + 1)} for kind in (recompress.COVERED, recompress.OPEN)]
+            assert found[0] == covered and opened <= found[1] <= (opened | singles)
+            if size == 10**6:
+                assert found[1] == opened
+        order = np.lexsort((lo, doc, key))
+        at = [x[order] for x in (key, doc, row, lo)]
+        first: dict = {}
+        for k, d, s in zip(at[0].tolist(), at[1].tolist(), at[3].tolist(), strict=True):
+            first.setdefault(k, (d, s))
+        want = {(d, w, s) for k, d, w, s in zip(*(x.tolist() for x in at), strict=True) if (d, s) != first[k]}
+        rows = pa.RecordBatch.from_arrays([*(pa.array(x) for x in at), pa.array(np.zeros(n, np.int8))], ["key", "doc", "row", "start", "kind"])
+        for part, size in ((n, 10**6), (7, 5), (1, 1)):
+            out = [b.to_pydict() for b in recompress._settle_windows((rows.slice(i, part) for i in range(0, n, part)), size)]
+            assert {(d, w, s) for b in out for d, w, lo_, hi_ in zip(*b.values(), strict=True) for s in range(lo_, hi_ + 1)} == want
+        hi, kind = lo - r.integers(0, 2, n), r.integers(0, 2, n)
+        key = np.sort(r.integers(0, 200, n))
+        count = np.bincount(key)
+        want = [i for i in range(n) if kind[i] == suffixes.KNOWN or (count[key[i]] > 1 and lo[i] <= hi[i])]
+        rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.arange(n), row, lo, hi, lo, lo, kind)], ["key", "doc", "row", "lo", "hi", "at", "lead", "kind"])
+        for part, size in ((n, 10**6), (7, 5), (1, 1)):
+            assert [d for b in suffixes._shared((rows.slice(i, part) for i in range(0, n, part)), size) for d in b.column("doc").to_pylist()] == want
+
+
+def test_common_header_of_all_texts(spark):
+    """One header of 100 bytes and 16 words before unlike texts: nothing of it is long enough to go, but by what follows."""
+    r = random.Random(12)
+    header = " ".join(f"head{i:02d}" for i in range(15)).ljust(99, "x") + " "
+    words = lambda n: " ".join(f"{r.getrandbits(48):012x}" for _ in range(n))
+    tail = words(30)
+    rows = [(i, header + words(30)) for i in range(400)] + [(1000, header + tail), (1001, header + tail)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {x["doc_id"]: x["n_removed"] for x in recompress.dedup(df).collect() if x["n_removed"]}
+    assert gone == {1001: len((header + tail).split())}
+    gone = {x["doc_id"]: x["n_removed"] for x in suffixes.dedup_bytes(df).collect() if x["n_removed"]}
+    assert gone == {1000: len(header + tail), 1001: len(header + tail)}
+
+
 def test_warc_null_and_repeated_ids(spark):
     rows = [(None, "u", "a"), (None, "u", "b"), (7, "u", "a"), (7, "v", "a"), (8, None, "b"), (9, "u", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
