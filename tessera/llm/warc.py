@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import NULL_ID, doc_key, id_of, new_path, table, unpacked, written
+from tessera.llm.common import NULL_ID, doc_key, id_of, new_path, table, written
 from tessera.sources.sink import Attempt, FileWriter, opened, publish
 
 #: A record ends with this.
@@ -27,6 +27,8 @@ END = b"\r\n\r\n"
 VERSION, IDENTICAL = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A writer begins a new archive after so many packed bytes; one record is never cut.
 ARCHIVE_BYTES = 64 << 20
+#: Of gzip, in its members.
+LEVEL = 5
 FIELDS = "page long, record_type string, payload_bytes long, payload_digest string, payload_hex string, refers_to long"
 #: Records that a reader hands on at a time, and bytes that it unpacks at a time.
 RECORDS, UNPACKED = 1000, 1 << 20
@@ -53,11 +55,11 @@ def head(kind: Column, page: Column, url: Column, n_bytes: Column, digest: Colum
 
 
 class ArchiveWriter(FileWriter, DataSourceArrowWriter):
-    """Rows (head, packed block or null) as archives ``part-<task>-<number>.warc.gz`` with a gzip member for each record."""
+    """Rows (head, block or null) as archives ``part-<task>-<number>.warc.gz`` with a gzip member for each record."""
 
-    def __init__(self, path: str, staged: str, most: int) -> None:
+    def __init__(self, path: str, staged: str, most: int, packed: bool) -> None:
         super().__init__(path, staged)
-        self.most = most
+        self.most, self.packed = most, packed
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Attempt:
         store, root = opened(f"{self.path}/{self.staged}")
@@ -65,16 +67,18 @@ class ArchiveWriter(FileWriter, DataSourceArrowWriter):
         task = context.partitionId() if context else 0
         folder = f"{task}-{uuid.uuid4().hex}"
         files, size, out = 0, 0, None
+        codec = pa.Codec("zstd")
         try:
             for b in batches:
-                for i in range(b.num_rows):
+                for first, block in zip(b.column("head"), b.column("block"), strict=True):
                     if out is None:
                         store.create_dir(f"{root}/{folder}", recursive=True)
                         out, size = store.open_output_stream(f"{root}/{folder}/part-{task:05d}-{files:05d}.warc.gz", compression=None), 0
                         files += 1
-                    packed = b.column("packed").slice(i, 1)
-                    block = unpacked(packed)[0].as_buffer() if packed.null_count == 0 else b""
-                    member = gzip.compress(b"".join((b.column("head")[i].as_py().encode(), block or b"", END)), 6, mtime=0)
+                    body = block.as_buffer() or b""
+                    if self.packed and len(body):
+                        body = codec.decompress(body[8:], int.from_bytes(body[:8], "little"))
+                    member = gzip.compress(b"".join((first.as_buffer(), body, END)), LEVEL, mtime=0)
                     out.write(member)
                     size += len(member)
                     if size >= self.most:
@@ -92,19 +96,22 @@ class ArchiveSource(DataSource):
         return "warc_archives"
 
     def schema(self) -> str:
-        return "head string, packed binary"
+        return "head string, block binary"
 
     def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"], self.options["staged"], int(self.options["most"]))
+        return ArchiveWriter(self.options["path"], self.options["staged"], int(self.options["most"]), self.options["packed"] == "true")
 
 
-def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> int:
-    """Write rows (head, packed) as archives below ``path``; a failed job leaves none.  Returns how many archives were made."""
+def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, packed: bool = False) -> int:
+    """Write rows (head, block; ``packed`` as in ``_packed_pages``) as archives below ``path``; a failed job leaves none.
+
+    Returns how many archives were made.
+    """
     spark = records.sparkSession
     spark.dataSource.register(ArchiveSource)
     staged = f"_staged-{uuid.uuid4().hex}"
-    rows = records.select("head", "packed")
-    rows.write.format("warc_archives").option("path", path).option("staged", staged).option("most", archive_bytes).mode("append").save()
+    sink = records.select("head", "block").write.format("warc_archives").option("path", path).option("staged", staged)
+    sink.option("most", archive_bytes).option("packed", str(packed).lower()).mode("append").save()
     return publish(spark, path, staged)
 
 
@@ -179,8 +186,17 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
-def _packed_pages(pages: DataFrame) -> DataFrame:
-    """page, url, n (bytes of the payload), hex (its SHA-1), packed (the payload, compressed for the way through shuffles)."""
+def _payloads(pages: DataFrame) -> DataFrame:
+    """page, url, n (bytes of the payload), hex (its SHA-1), block (the payload)."""
+    block = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    return pages.select(
+        doc_key("page_id").alias("page"), F.col("url").cast("string").alias("url"), F.octet_length(block).cast("long").alias("n"),
+        F.sha1(block).alias("hex"), block.alias("block"),
+    )
+
+
+def _packed_pages(payloads: DataFrame) -> DataFrame:
+    """The same with blocks compressed for the way through shuffles, after eight bytes that hold their length."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
@@ -188,18 +204,13 @@ def _packed_pages(pages: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 blobs = []
-                for x in part.column("html"):
-                    raw = x.as_buffer() or b""
+                for x in part.column("block"):
+                    raw = x.as_buffer()
                     blobs.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
                 kept = ["page", "url", "n", "hex"]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(blobs, pa.binary())], [*kept, "packed"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(blobs, pa.binary())], [*kept, "block"])
 
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(
-        doc_key("page_id").alias("page"), F.col("url").cast("string").alias("url"), F.octet_length(html).cast("long").alias("n"),
-        F.sha1(F.encode(html, "utf-8")).alias("hex"), html.alias("html"),
-    )
-    return rows.mapInArrow(pack, "page long, url string, n long, hex string, packed binary")
+    return payloads.mapInArrow(pack, "page long, url string, n long, hex string, block binary")
 
 
 def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -211,16 +222,16 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0, archive_byt
     when it holds ``archive_bytes``.  Empty table: no archives.  Other columns are ignored.
     """
     spark = pages.sparkSession
-    rows = _packed_pages(pages)
-    write_archives(rows.select(head(F.lit("response"), F.col("page"), F.col("url"), F.col("n")).alias("head"), "packed"), f"{path}/raw", archive_bytes)
+    rows = _payloads(pages)
+    write_archives(rows.select(head(F.lit("response"), F.col("page"), F.col("url"), F.col("n")).alias("head"), "block"), f"{path}/raw", archive_bytes)
     # The headers are a small table, so that the archives are parsed once.
     decided = resolve(written(read_archives(spark, f"{path}/raw"), "warc-headers", 4), least_bytes)
     known = decided.dropDuplicates(["page", "payload_hex"]).select(F.col("page").alias("of"), "payload_digest", "payload_hex", "record_type", "refers_to")
     # Fresh headers meet their payloads again, by page and digest.
-    full = rows.join(known, (F.col("page") == F.col("of")) & (F.col("hex") == F.col("payload_hex")))
+    full = _packed_pages(rows).join(known, (F.col("page") == F.col("of")) & (F.col("hex") == F.col("payload_hex")))
     own = F.col("record_type") == "response"
     fresh = head(F.col("record_type"), F.col("page"), F.col("url"), F.when(own, F.col("n")).otherwise(0), F.col("payload_digest"), F.col("refers_to"))
-    write_archives(full.select(fresh.alias("head"), F.when(own, F.col("packed")).alias("packed")), f"{path}/deduplicated", archive_bytes)
+    write_archives(full.select(fresh.alias("head"), F.when(own, F.col("block")).alias("block")), f"{path}/deduplicated", archive_bytes, packed=True)
     return read_back(spark, f"{path}/deduplicated")
 
 

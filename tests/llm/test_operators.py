@@ -521,7 +521,7 @@ def test_warc_archives_are_bounded_by_bytes(spark):
     r = random.Random(8)
     noise = [r.randbytes(1500).hex() for _ in range(60)]
     rows = [(i, "u", x, 1, "n") for i, x in enumerate(noise)] + [(100, "u", "long page " * 5_000_000, 1, "n"), (101, "u", noise[3], 1, "n")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, packed int, head string").repartition(2)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, block int, head string").repartition(2)
     path = f"{shared_dir(spark)}/warc-bytes-{random.random()}"
     got = {x["page_id"]: (x["payload_bytes"], x["record_type"], x["refers_to"]) for x in warc.archive_pages(df, path, archive_bytes=20_000).collect()}
     assert got == {i: (len(h), "revisit" if i == 3 else "response", 101 if i == 3 else None) for i, _, h, *_ in rows}
