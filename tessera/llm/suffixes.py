@@ -203,7 +203,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], width: int, cuts: np.ndarray
     """Front-coded runs of suffixes, cut by the splitters: a row for each run and range.
 
     Of anchors with equal surroundings in a run one goes on; all of them repeat, so their windows are covered, which
-    the rows of range -1 say.
+    a row of a negative range says, which is the run's own: no task gathers those of several runs.
     """
     held: list[tuple[bytes, bytes, int, int, int, int]] = []  # suffix, bytes before, hi to anchor, doc, row, anchor
 
@@ -231,10 +231,11 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], width: int, cuts: np.ndarray
             rows.append((int(bucket[a]), lcp.tobytes(), tails, np.ascontiguousarray(meta).tobytes(), b"".join(x[1] for x in part)))
         if covered:
             found = np.stack(_ranges(*np.array(covered, np.int64).T))
-            rows.append((-1 - int(found[0, 0]) % 64, b"", b"", found.tobytes(), b""))
+            doc, row, lo = (x[:1].view(U64) for x in found[:3])
+            rows.append((-1 - int(mix(mix(mix(doc) + row) + lo)[0] >> U64(1)), b"", b"", found.tobytes(), b""))
         names = ["bucket", "lcp", "tails", "meta", "before"]
         release()
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 4], strict=True)], names)
 
     for batch in batches:
         for part in in_runs(batch):
@@ -311,7 +312,7 @@ def repeated_strings(docs: DataFrame, width: int = 200) -> DataFrame:
     cuts = np.unique(np.array(cuts or [], np.int64))
     open_at = shared.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("open"))
     at = packed_texts(docs, doc=doc_key(), row=text_key()).join(open_at.hint("shuffle_hash"), ["doc", "row"])
-    front = at.mapInArrow(lambda it: _sorted_runs(it, width, cuts), "bucket int, lcp binary, tails binary, meta binary, before binary")
+    front = at.mapInArrow(lambda it: _sorted_runs(it, width, cuts), "bucket long, lcp binary, tails binary, meta binary, before binary")
     found = front.groupBy("bucket").applyInArrow(lambda t: _merge(t, width), "doc long, row long, lo long, hi long")
     return found.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 

@@ -450,6 +450,18 @@ def test_long_words_have_hashes_of_their_own(spark):
     assert {r["doc_id"]: r["ids"] for r in pieces.encode(d).collect()} == {1: sp.encode(make(x)), 2: sp.encode(make(y)), 3: sp.encode(make(x))}
 
 
+def test_covered_strings_of_each_run_are_a_group_of_their_own(monkeypatch):
+    monkeypatch.setattr(suffixes, "RUN", 100)
+    raw = random.Random(5).randbytes(300)
+    blob = len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    opened = [{"lo": 0, "hi": 100, "at": 130}] * 2
+    batches = [pa.RecordBatch.from_pylist([{"doc": 1000 * k + i, "row": i, "packed": blob, "open": opened} for i in range(60)]) for k in range(5)]
+    rows = pa.Table.from_batches(suffixes._sorted_runs(iter(batches), 200, np.zeros(0, np.int64))).to_pylist()
+    covered = [r for r in rows if r["bucket"] < 0]
+    assert len(covered) == len({r["bucket"] for r in covered}) == 5
+    assert sorted(d for r in covered for d in np.frombuffer(r["meta"], np.int64).reshape(4, -1)[0].tolist()) == [1000 * k + i for k in range(5) for i in range(60)]
+
+
 def test_suffix_dedup_tells_rows_of_one_id_apart(spark):
     make = lambda p: " ".join(f"{p}{i}" for i in range(60))
     a, b, c = make("a"), make("b"), make("c")
