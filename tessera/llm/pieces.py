@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import U64, mix, runs, text_hashes, texts_of
+from tessera.llm.arrays import U64, mix, release, runs, text_hashes, texts_of
 from tessera.llm.common import doc_key, id_of, table
 
 #: Fixed values of the format: the mark that stands for a space, and the kinds of pieces.
@@ -470,6 +470,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for part in runs(batch):
                 ids, at, _, _ = encode_texts(part.column("text"), path)
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc", "ids"])
+            release()
 
     rows = docs.select(doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc long, ids array<int>").select(id_of("doc").alias("doc_id"), "ids")
@@ -486,6 +487,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             raw, edge = decode_ids(np.array([i for x in lists for i in x], np.int64), at, path)
             texts = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(edge, edge[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([t[1:] if t[:1] == " " else t for t in texts], pa.string())], ["doc", "text"])
+            release()
 
     rows = encoded.select(doc_key().alias("doc"), "ids")
     return rows.mapInArrow(work, "doc long, text string").select(id_of("doc").alias("doc_id"), "text")
@@ -510,6 +512,7 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 a, b = raw.tobytes(), back.tobytes()
                 trip = [a[edge[i] : edge[i + 1]] == b[back_at[i] : back_at[i + 1]] for i in range(rows)]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(np.diff(at).astype(np.int64)), pa.array(digest, pa.string()), pa.array(trip, pa.bool_())], ["doc", "n_tokens", "ids_sha256", "round_trip"])
+            release()
 
     rows = docs.select(doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
     done = rows.mapInArrow(work, "doc long, n_tokens long, ids_sha256 string, round_trip boolean")

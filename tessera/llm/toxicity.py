@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import runs
+from tessera.llm.arrays import release, runs
 from tessera.llm.common import doc_key, id_of, table, written
 
 #: Groups of identity terms. A term may be swapped for any other term of its group.
@@ -243,5 +243,6 @@ def drop_toxic(docs: DataFrame, model: dict) -> DataFrame:
         for b in batches:
             for part in runs(b):
                 yield part.filter(pa.array(raw(part.column("text").to_pylist()) < 0))
+            release()
 
     return docs.mapInArrow(keep, docs.schema)
