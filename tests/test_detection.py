@@ -554,3 +554,43 @@ def test_small_parts_without_a_query(spark):
     assert [r["object_key"] for r in similarity.audited_manifest(audited).collect()] == ["c", "d", "a"]
     images, labels = (spark.createDataFrame([(x,) for x in v], "stem string") for v in (["a", "b"], ["b", "c"]))
     assert sorted(map(tuple, matching.orphans(images, labels).collect())) == [("a", "image_without_label"), ("c", "label_without_image")]
+
+
+def test_a_match_shuffles_boxes_once(spark, sf):
+    from tessera import fixtures as fx
+
+    m = matching.match_detections(fx.pred(spark, sf), fx.gt(spark, sf))
+    plan = m._jdf.queryExecution().sparkPlan().toString() + m._jdf.queryExecution().executedPlan().toString()
+    # One for each reading of the boxes, none by image after them, and nothing folds a group to see whether it has rows.
+    assert plan.count("Exchange hashpartitioning") == 3 and "Filter (size(concat" not in plan
+
+
+def test_conflicts_fold_like_the_loop_and_keep_what_is_left(spark):
+    r = random.Random(5)
+    box = lambda: (lambda x, y: (float(x), float(y), float(x + 10), float(y + 10)))(r.randrange(6), r.randrange(6))
+    preds = [(i, k, r.randrange(3), r.random(), *box()) for i in range(12) for k in range(r.randrange(6))]
+    gts = [(i, k, r.randrange(3), *box()) for i in range(3, 15) for k in range(r.randrange(6))]
+    want = []
+    for i in range(15):
+        ps, gs, used = sorted((p for p in preds if p[0] == i), key=lambda p: (-p[3], p[1])), [g for g in gts if g[0] == i], set()
+        for p in ps:
+            def iou(g, p=p):
+                inter = max(0.0, min(p[6], g[5]) - max(p[4], g[3])) * max(0.0, min(p[7], g[6]) - max(p[5], g[4]))
+                return inter / (200 - inter)
+            best = min(((-iou(g), g[1]) for g in gs if g[1] not in used and iou(g) >= 0.5), default=None)
+            want.append((i, p[1], best and best[1], "match" if best else "fp", p[4]))
+            used |= {best[1]} if best else set()
+        want += [(i, None, g[1], "fn", None) for g in gs if g[1] not in used]
+    a = spark.createDataFrame(preds, "image_id long, pred_idx long, class_id long, confidence double, x1 double, y1 double, x2 double, y2 double")
+    b = spark.createDataFrame(gts, "image_id long, gt_idx long, class_id long, x1 double, y1 double, x2 double, y2 double")
+    got = matching.match_detections(a, b, boxes=True).select("image_id", "pred_idx", "gt_idx", "status", "x1").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_focus_classes_reads_its_counts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    tick = F.udf(lambda x: seen.add(1) or x, "long").asNondeterministic()
+    counts = spark.createDataFrame([(1, 2, 5), (2, 1, 3)], "gt_class long, pred_class long, n long").select("gt_class", "pred_class", tick("n").alias("count"))
+    rows = compare.focus_classes(counts, counts.where("gt_class = 9"), [1]).collect()
+    assert {(r["direction"], r["base_total"], r["exp_total"]) for r in rows} == {("outgoing", 5, 0), ("incoming", 3, 0)}
+    assert seen.value <= 4  # two rows of either side; twice that if each direction made the counts anew
