@@ -594,3 +594,10 @@ def test_focus_classes_reads_its_counts_once(spark):
     rows = compare.focus_classes(counts, counts.where("gt_class = 9"), [1]).collect()
     assert {(r["direction"], r["base_total"], r["exp_total"]) for r in rows} == {("outgoing", 5, 0), ("incoming", 3, 0)}
     assert seen.value <= 4  # two rows of either side; twice that if each direction made the counts anew
+
+
+def test_outcomes_give_rates_of_classes(spark):
+    m = spark.createDataFrame([("match", 1, 1, 0.9), ("match", 1, 2, 0.6), ("fn", 2, None, None), ("fp", None, 1, None)], "status string, gt_class long, pred_class long, iou double")
+    o = errors.outcomes(m)
+    assert {(r["status"], r["gt_class"], r["pred_class"]): (r["count"], r["n_iou"], r["high_iou"]) for r in o.collect()}[("match", 1, 1)] == (1, 1, 1)
+    assert {r["class_id"]: (r["precision"], r["recall"]) for r in errors.rates(o).collect()} == {1: (0.5, 0.5), 2: (0.0, 0.0)}

@@ -42,3 +42,13 @@ def test_jobs(spark, sf):
     made = jobs.hard_mining(cases, index, samples, images, 3)
     copies = made["manifest"].selectExpr("sum(selection_count) AS n").first()["n"]
     assert made["oversampled"].count() == samples.count() + copies
+
+
+def test_split_cuts_at_the_same_double(spark, tmp_path):
+    """90 * 0.7 is less than 63 as a double, and int(n * ratio) is the rule; a decimal would say 63."""
+    spark.range(90).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["image_id"]: r["split"] for r in queries.QUERIES["split_dataset"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert got == dict(c.execute(queries.SQL["split_dataset"]).fetchall())
+    assert sum(v == "train" for v in got.values()) == int(90 * 0.7) == 62
