@@ -601,3 +601,46 @@ def test_outcomes_give_rates_of_classes(spark):
     o = errors.outcomes(m)
     assert {(r["status"], r["gt_class"], r["pred_class"]): (r["count"], r["n_iou"], r["high_iou"]) for r in o.collect()}[("match", 1, 1)] == (1, 1, 1)
     assert {r["class_id"]: (r["precision"], r["recall"]) for r in errors.rates(o).collect()} == {1: (0.5, 0.5), 2: (0.0, 0.0)}
+
+
+def odd_boxes(spark):
+    """Images of many overlapping boxes, some with NaN, infinite or null corners and confidences, one without a key."""
+    r = random.Random(11)
+    odd = lambda v, p=0.04: r.choice([float("nan"), None, float("inf"), -0.0]) if r.random() < p else v
+    box = lambda: (lambda x, y: tuple(odd(float(v)) for v in (x, y, x + 10, y + 10)))(r.randrange(6), r.randrange(6))
+    image = lambda i: None if i == 14 else i
+    p = [(image(i), k, odd(r.randrange(3), 0.1) and 1, odd(r.randrange(1, 4) / 4, 0.1), *box()) for i in range(20) if i % 5 for k in r.sample(range(20), r.randrange(9))]
+    g = [(image(i), k, r.choice([0, 1, 2, None]), *box()) for i in range(20) if i % 7 for k in r.sample(range(20), r.randrange(9))]
+    return preds(spark, [(*x[:2], r.choice([0, 1, 2, None]), *x[3:]) for x in p]), gts(spark, g)
+
+
+def test_images_match_as_their_tables(spark):
+    from tessera.functions import pairing
+
+    a, b = odd_boxes(spark)
+    rows = lambda df: sorted((tuple(map(repr, r)) for r in df.collect()))  # noqa: E731  NaN is like itself
+    for order in ("confidence", "input"):
+        for least in (0.3, 0.5):
+            want = rows(matching.match_detections(a, b, least, order, boxes=True))
+            assert rows(matching.match_images(matching.by_image(a, b), least, order, boxes=True)) == want
+            assert {s for *_, s, _, _, _, _ in want} == {"'match'", "'fp'", "'fn'"}
+    # In small blocks of pairs, some of which part an image's boxes.
+    long = lambda df, n: df.withColumn(n, F.col(n).cast("long"))
+    lists = matching.by_image(long(a, "pred_idx"), long(b, "gt_idx")).select(F.col("image_id").isNotNull().alias("k"), *[f"preds.{n}" for n in ("pred_idx", "class_id", "x1", "y1", "x2", "y2")], *[F.col(f"gts.{n}").alias(f"g_{n}") for n in ("gt_idx", "class_id", "x1", "y1", "x2", "y2")], "preds.confidence")
+    columns = [c.combine_chunks() for c in lists.toArrow().columns]
+    whole, before = pairing.paired(0.3, False, True, *columns), pairing.PAIRS
+    try:
+        for pairing.PAIRS in (1, 5, 40):
+            assert str(pairing.paired(0.3, False, True, *columns)) == str(whole)
+    finally:
+        pairing.PAIRS = before
+    with pytest.raises(ValueError, match="order"):
+        matching.match_images(matching.by_image(a, b), order="banana")
+
+
+@pytest.mark.parametrize("name", ["match_detections", "match_input_order", "rank_false_negatives"])
+def test_a_query_of_matches_deals_its_boxes_once(spark, sf, name):
+    from tessera import queries
+
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning(image_id") == 1 and " Join" not in plan and "JoinExec" not in plan and plan.count("ArrowEvalPython") == 1
