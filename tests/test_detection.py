@@ -644,3 +644,33 @@ def test_a_query_of_matches_deals_its_boxes_once(spark, sf, name):
 
     plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning(image_id") == 1 and " Join" not in plan and "JoinExec" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_experiments_match_in_one_pass_as_each_by_itself(spark):
+    a, b = odd_boxes(spark)
+    images = matching.by_image(a, b).withColumn("preds2", F.reverse(F.filter("preds", lambda p: p["pred_idx"] % 3 > 0)))
+    rows = lambda df: sorted(tuple(map(repr, r)) for r in df.collect())
+    both = matching.match_experiments(images, boxes=True)
+    one = [matching.match_images(images, boxes=True, preds=n) for n in ("preds", "preds2")]
+    assert [rows(both.where(F.col("experiment") == n).drop("experiment")) for n in ("preds", "preds2")] == list(map(rows, one))
+    x, y = ({(r["status"], r["image_id"]) for r in m.collect()} for m in one)
+    got = compare.error_image_list(both).collect()
+    keyed = {(r["status"], r["image_id"]): r["side"] for r in got if r["image_id"] is not None}
+    assert keyed == {k: "both" if k in x & y else "base_only" if k in x else "exp_only" for k in x | y if k[1] is not None}
+    assert sorted((r["status"], r["side"]) for r in got if r["image_id"] is None) == sorted((s, side) for z, side in ((x, "base_only"), (y, "exp_only")) for s, i in z if i is None)
+
+
+@pytest.mark.parametrize("name", ["error_images", "error_image_list"])
+def test_a_comparison_deals_its_boxes_once(spark, sf, name):
+    from tessera import queries
+
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning(image_id") == 1 and plan.count("Join ") == 0
+
+
+def test_counts_of_two_experiments_are_made_once(spark, sf):
+    from tessera import queries
+
+    for name in ("focus_classes", "compare_false_positives"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" not in plan and "ArrowEvalPython" not in plan  # both sides are the kept counts
