@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.matching import candidate_pairs
+from tessera.operators.matching import by_image, candidate_pairs, taken_in_images
 from tessera.operators.prefix import in_ranges, later_max, running_sums
+from tessera.operators.similarity import table_of
 
 IOUS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
@@ -37,22 +38,44 @@ def detection_metrics(preds: DataFrame, gts: DataFrame, ious: Sequence[float] =
     AP is the area under the precision envelope over all points of recall.  Confidence steps are counted first; the
     running counts and the envelope are then taken in ranges of them, so a class may have any number of steps.
     """
-    m = matches_by_threshold(preds, gts, ious)
-    thresholds = F.explode(F.array(*[F.lit(float(t)) for t in ious]))
-    every = preds.select("class_id", "confidence").withColumn("threshold", thresholds).groupBy("threshold", "class_id", "confidence").agg(F.count("*").alias("n"))
-    hits = m.groupBy("threshold", "class_id", "confidence").agg(F.count("*").alias("hits"))
-    steps = every.join(hits, ["threshold", "class_id", "confidence"], "left").fillna(0, ["hits"])
+    return metrics_of_images(by_image(preds, gts), ious)
+
+
+def confidence_steps(images: DataFrame, ious: Sequence[float], preds: Sequence[str], gts: str = "gts") -> DataFrame:
+    """experiment, threshold, class_id, confidence, n (predictions), hits (those of them that match) and boxes: how many there are of the class whose match, if any, is here.
+
+    Matches are class-aware, for each threshold and array of predictions; all of it is one aggregate over the images.
+    """
+    runs = [(e, float(t)) for e in preds for t in ious]
+    taken = images.select(gts, *preds, *[taken_in_images(e, gts, t, by_class=True).alias(f"m_{i}") for i, (e, t) in enumerate(runs)])
+    each = F.explode(F.array(*[F.struct(F.lit(e).alias("experiment"), F.lit(t).alias("threshold"), F.col(f"m_{i}").alias("m")) for i, (e, t) in enumerate(runs)])).alias("e")
+    rows = taken.select(gts, *preds, each).select(gts, *preds, "e.experiment", "e.threshold", F.explode_outer("e.m").alias("m")).where("m IS NOT NULL")
+    left = lambda field: F.coalesce(*[F.when(F.col("experiment") == e, F.get(e, F.col("m.l"))[field]) for e in preds])
+    # A match is of one class, so each row counts for a single one.
+    seen = rows.select("experiment", "threshold", F.coalesce(left("class_id"), F.get(gts, F.col("m.r"))["class_id"]).alias("class_id"), left("confidence").alias("confidence"), "m.l", "m.r")
+    return seen.groupBy("experiment", "threshold", "class_id", "confidence").agg(
+        F.count("l").alias("n"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull() & F.col("confidence").isNotNull()).alias("hits"), F.count("r").alias("boxes"),
+    )
+
+
+def metrics_of_images(images: DataFrame, ious: Sequence[float] = (0.5,), preds: str | Sequence[str] = "preds", gts: str = "gts") -> DataFrame:
+    """``detection_metrics`` of images that hold their boxes (``matching.by_image``).
+
+    Of several arrays of predictions all are scored in one pass, and ``experiment`` tells them apart.
+    """
+    steps = table_of(confidence_steps(images, ious, [preds] if isinstance(preds, str) else preds, gts))
+    group = ["experiment", "threshold", "class_id"]
     order = [F.desc("confidence")]
-    ranges = in_ranges(steps.select(F.struct("threshold", "class_id").alias("_key"), "confidence", "n", "hits"), order)
+    ranges = in_ranges(steps.where("n > 0").select(F.struct(*group).alias("_key"), "confidence", "n", "hits"), order)
     curve = running_sums(ranges, order, {"seen": "n", "found": "hits"}).withColumn("precision", F.col("found") / F.col("seen"))
     area = later_max(curve, order, "envelope", "precision")
     scored = area.groupBy("_key").agg(F.max("seen").alias("n_pred"), F.max("found").alias("tp"), F.sum(F.col("envelope") * F.col("hits")).alias("area"))
     scored = scored.select("_key.*", "n_pred", "tp", "area")
-    n_gt = gts.groupBy("class_id").agg(F.count("*").alias("n_gt"))
-    whole = n_gt.withColumn("threshold", thresholds).join(scored, ["threshold", "class_id"], "left")
+    n_gt = steps.groupBy(*group).agg(F.sum("boxes").alias("n_gt")).where("n_gt > 0")
+    whole = n_gt.join(scored, group, "left")
     n_pred, tp = F.coalesce("n_pred", F.lit(0)), F.coalesce("tp", F.lit(0))
     return whole.select(
-        "threshold", "class_id", "n_gt", n_pred.alias("n_pred"), tp.alias("tp"),
+        *([] if isinstance(preds, str) else ["experiment"]), "threshold", "class_id", "n_gt", n_pred.alias("n_pred"), tp.alias("tp"),
         F.when(n_pred > 0, tp / n_pred).otherwise(F.lit(0.0)).alias("precision"), (tp / F.col("n_gt")).alias("recall"), F.coalesce(F.col("area") / F.col("n_gt"), F.lit(0.0)).alias("ap"),
     )
 

@@ -674,3 +674,28 @@ def test_counts_of_two_experiments_are_made_once(spark, sf):
     for name in ("focus_classes", "compare_false_positives"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Scan parquet" not in plan and "ArrowEvalPython" not in plan  # both sides are the kept counts
+
+
+def test_steps_of_confidence_count_the_matches_of_each_threshold(spark):
+    a, b = odd_boxes(spark)
+    a = a.where("confidence IS NOT NULL AND NOT isnan(confidence)")
+    images = matching.by_image(a, b).withColumn("preds2", F.filter("preds", lambda p: p["pred_idx"] % 2 > 0))
+    steps = metrics.confidence_steps(images, (0.3, 0.6), ("preds", "preds2")).collect()
+    for name, some in (("preds", a), ("preds2", a.where("pred_idx % 2 > 0"))):
+        want = metrics.matches_by_threshold(some, b, (0.3, 0.6)).groupBy("threshold", "class_id", "confidence").count().collect()
+        assert {(s["threshold"], s["class_id"], s["confidence"]): s["hits"] for s in steps if s["experiment"] == name and s["hits"]} == {tuple(w[:3]): w["count"] for w in want}
+        for t in (0.3, 0.6):
+            mine = [s for s in steps if (s["experiment"], s["threshold"]) == (name, t)]
+            assert sum(s["n"] for s in mine) == some.count() and sum(s["boxes"] for s in mine) == b.count()
+
+
+def test_metrics_of_two_experiments_read_the_boxes_once(spark, sf):
+    from tessera import fixtures as fx
+
+    plan = metrics.confidence_steps(fx.images(spark, sf), (0.5, 0.75), ("preds", "preds2"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("ArrowEvalPython") == 1 and plan.count("Exchange hashpartitioning(image_id") == 1
+    both = metrics.metrics_of_images(fx.images(spark, sf), preds=("preds", "preds2"))
+    for name, p in (("preds", fx.pred), ("preds2", fx.pred2)):
+        one = metrics.detection_metrics(p(spark, sf), fx.gt(spark, sf))
+        got = both.where(F.col("experiment") == name).drop("experiment")
+        assert sorted(map(tuple, got.collect())) == [tuple(x if isinstance(x, int) else pytest.approx(x) for x in r) for r in sorted(one.collect())]
